@@ -263,6 +263,8 @@ def tunes(embeddings: DataFrame) -> DataFrame:
 
 
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every vector as a recording; those with an id divisible by 50 matched to all others."""
+    """Every vector as a recording, with its fingerprint's size and hash; a row for each match of those whose id is divisible by 50."""
     prints = written(fingerprints(tunes(read_table(spark, sf_dir, "embeddings")), "vec_id", "audio"), "audio-prints")
-    return align(prints)
+    every = prints.select(F.col("id").alias("vec_id"), F.size("prints").alias("n_prints"), F.xxhash64("prints").alias("prints_hash"), (F.pmod("id", F.lit(QUERY_EVERY)) == 0).alias("is_query"))
+    found = align(prints)
+    return every.join(found, every["vec_id"] == found["query_id"], "left").drop("query_id")
