@@ -95,14 +95,16 @@ class Memo(dict):
 
     def missing(self, keys: set) -> list:
         """The keys that have to be worked out; those of the older generation are taken over."""
-        out, old = [], self.old
-        for k in keys:
-            if k not in self:
-                v = old.get(k)
-                if v is None:
-                    out.append(k)
-                else:
-                    self[k] = v
+        new = [k for k in keys if k not in self]
+        if not self.old:
+            return new
+        old, out = self.old.get, []
+        for k in new:
+            v = old(k)
+            if v is None:
+                out.append(k)
+            else:
+                self[k] = v
         return out
 
     def room(self, keys: set) -> None:

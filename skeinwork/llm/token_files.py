@@ -18,6 +18,7 @@ document larger than a block gets a block of its own; repeated rows are kept, ea
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 import struct
@@ -27,6 +28,7 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,51 +43,130 @@ DICTIONARY_BYTES = 112_640
 BLOCK_BYTES = 4 << 20
 BLOCK_DOCS = 65_536
 LEVEL = 3
+#: Bytes of text whose distinct words are looked up together.
+SLICE_BYTES = 8 << 20
 
 BLOCKS = "shard int, block int, first_token long, n_tokens long, min_doc_id long, max_doc_id long, doc_ids array<long>, blob binary"
 
 
+#: How byte-level pre-tokenizers with their own pattern cut a text.
+PIECE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def byte_letters() -> str:
+    """The 256 letters that byte-level vocabularies have for bytes: printable ones stand for themselves, others follow from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    letters = {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+    return "".join(letters[b] for b in range(256))
+
+
 class WordEncoder:
-    """The tokenizers library behind a memo.
+    """The tokenizers library behind two memos.
 
-    A byte-level pre-tokenizer always starts a token at a single space before a character that isn't white space.
-    So a text is cut there, and each piece gets its ids from the library once and from the memo later. Texts that hold an
-    added token's string go to the library whole.
+    A byte-level pre-tokenizer always starts a piece at a single space before a character that isn't white space.
+    So a text is cut there into words, whose ids are kept in a memo. Words that it lacks are cut into the pre-tokenizer's pieces,
+    with a memo of their own, and pieces that this lacks go to the library's BPE together, a line feed between them.
+    Texts that hold an added token's string go to the library whole, as do all texts if the pre-tokenizer is another.
     """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        import regex
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
         added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.added = re.compile("|".join(map(re.escape, added))) if added else None
-        self.memo = Memo()
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        pre = spec.get("pre_tokenizer") or {}
+        self.cuts = spec["model"]["type"] == "BPE" and not spec.get("normalizer") and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
+        self.merges = Tokenizer.from_file(path)
+        self.feed, self.letters = "\u010a", byte_letters()
+        self.merges.pre_tokenizer = pre_tokenizers.Split(self.feed, "isolated")
+        self.feed_id = self.library.encode("\n", add_special_tokens=False).ids
+        self.words, self.pieces = Memo(500_000), Memo(300_000)
         self.spaced = re.compile(r" \s| $")
         self.cut = re.compile(r" (?=\S)")
+        self.piece = regex.compile(PIECE)
 
     def raw(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, dtype=self.dtype).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def merged(self, pieces: list[str]) -> None:
+        """Put the ids of pieces into their memo."""
+        plain = [p for p in pieces if "\n" not in p]
+        lined = [p for p in pieces if "\n" in p]
+        self.pieces.update(zip(lined, self.raw(lined)))
+        groups = [plain[i : i + 512] for i in range(0, len(plain), 512)]
+        joined = [self.feed.join([p.encode().decode("latin-1").translate(self.letters) for p in g]) for g in groups]
+        size = self.dtype.itemsize
+        for group, e in zip(groups, self.merges.encode_batch_fast(joined, add_special_tokens=False)):
+            ids = np.asarray(e.ids, dtype=self.dtype)
+            data, at = ids.tobytes(), 0
+            ends = [*np.flatnonzero(ids == self.feed_id[0]).tolist(), len(ids)]
+            if len(ends) != len(group):
+                self.pieces.update(zip(group, self.raw(group)))
+                continue
+            for p, end in zip(group, ends):
+                self.pieces[p] = data[size * at : size * end]
+                at = end + 1
+
+    def learn(self, words: list[str]) -> None:
+        """Put the ids of words, each with a space before it, into their memo."""
+        cut = [self.piece.findall(" " + w) for w in words]
+        wanted = {p for pieces in cut for p in pieces}
+        self.pieces.room(wanted)
+        if missing := self.pieces.missing(wanted):
+            self.merged(missing)
+        get = self.pieces.__getitem__
+        self.words.update(zip(words, [b"".join(map(get, pieces)) for pieces in cut]))
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian integers of self.dtype."""
-        memo, out, cut, wanted = self.memo, [b""] * len(texts), [], set()
+        if not self.cuts or len(self.feed_id) != 1:
+            return self.raw(texts)
+        out, plain = [b""] * len(texts), []
         for i, t in enumerate(texts):
             if self.added is not None and self.added.search(t):
                 out[i] = self.raw([t])[0]
+            elif t and self.spaced.search(t):
+                head, *words = self.cut.split(t)
+                out[i] = b"".join([self.raw([head])[0], *self.known(words)])
             elif t:
-                words = self.cut.split(t) if self.spaced.search(t) else t.split(" ")
-                cut.append((i, words))
-                wanted.update(words[1:])
-        memo.room(wanted)
-        if missing := memo.missing(wanted):
-            memo.update(zip(missing, self.raw([" " + w for w in missing])))
-        heads = self.raw([words[0] for _, words in cut])
-        for head, (i, words) in zip(heads, cut):
-            out[i] = head + b"".join(map(memo.__getitem__, words[1:]))
+                plain.append(i)
+        for i, ids in zip(plain, self.split([texts[i] for i in plain])):
+            out[i] = ids
         return out
 
+    def known(self, words: list[str]) -> list[bytes]:
+        """The ids of words, each with a space before it."""
+        wanted = set(words)
+        self.words.room(wanted)
+        if missing := self.words.missing(wanted):
+            self.learn(missing)
+        return list(map(self.words.__getitem__, words))
+
+    def split(self, texts: list[str]) -> list[bytes]:
+        """The ids of texts whose spaces are single: distinct words are looked up once, their ids put together as arrays."""
+        if not texts:
+            return []
+        lists = pc.split_pattern(pa.array(texts), " ")
+        bounds, coded = lists.offsets.to_numpy(), lists.values.dictionary_encode()
+        of = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        found = self.known(coded.dictionary.to_pylist())
+        of[bounds[:-1]] = len(found) + np.arange(len(texts))  # a text's first word has no space before it
+        found += self.raw([t.partition(" ")[0] for t in texts])
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // self.dtype.itemsize
+        starts = np.cumsum(sizes) - sizes
+        ids, n = np.frombuffer(b"".join(found), dtype=self.dtype), sizes[of]
+        ends = np.cumsum(n)
+        data = ids[np.repeat(starts[of] - (ends - n), n) + np.arange(ends[-1])].tobytes()
+        cuts = (np.concatenate([[0], ends])[bounds] * self.dtype.itemsize).tolist()
+        return [data[a:b] for a, b in zip(cuts, cuts[1:])]
+
 
 _encoders: dict[str, WordEncoder] = {}
 
@@ -169,7 +250,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID
             return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(row, schema)], schema=schema)
 
         for batch in batches:
-            for part, raw in text_slices(batch):
+            for part, raw in text_slices(batch, limit=SLICE_BYTES):
                 for i, x in zip(part.column(0).to_pylist(), enc(_strings(raw))):
                     frame = z.compress(x + end)
                     if frames and (held + len(frame) > BLOCK_BYTES or len(frames) >= BLOCK_DOCS):
