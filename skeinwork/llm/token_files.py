@@ -44,7 +44,7 @@ BLOCK_BYTES = 4 << 20
 BLOCK_DOCS = 65_536
 LEVEL = 3
 #: Bytes of text whose distinct words are looked up together.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 16 << 20
 
 BLOCKS = "shard int, block int, first_token long, n_tokens long, min_doc_id long, max_doc_id long, doc_ids array<long>, blob binary"
 
@@ -87,7 +87,7 @@ class WordEncoder:
         self.feed, self.letters = "\u010a", byte_letters()
         self.merges.pre_tokenizer = pre_tokenizers.Split(self.feed, "isolated")
         self.feed_id = self.library.encode("\n", add_special_tokens=False).ids
-        self.words, self.pieces = Memo(500_000), Memo(300_000)
+        self.words, self.pieces = Memo(400_000), Memo(250_000)
         self.spaced = re.compile(r" \s| $")
         self.cut = re.compile(r" (?=\S)")
         self.piece = regex.compile(PIECE)
@@ -155,16 +155,20 @@ class WordEncoder:
             return []
         lists = pc.split_pattern(pa.array(texts), " ")
         bounds, coded = lists.offsets.to_numpy(), lists.values.dictionary_encode()
-        of = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        found = self.known(coded.dictionary.to_pylist())
+        of = coded.indices.to_numpy(zero_copy_only=False).copy()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        del lists, coded
+        found = self.known(words)
         of[bounds[:-1]] = len(found) + np.arange(len(texts))  # a text's first word has no space before it
         found += self.raw([t.partition(" ")[0] for t in texts])
-        sizes = np.fromiter(map(len, found), np.int64, len(found)) // self.dtype.itemsize
-        starts = np.cumsum(sizes) - sizes
+        sizes = np.fromiter(map(len, found), np.int32, len(found)) // self.dtype.itemsize
+        starts = np.cumsum(sizes, dtype=np.int32) - sizes
         ids, n = np.frombuffer(b"".join(found), dtype=self.dtype), sizes[of]
-        ends = np.cumsum(n)
-        data = ids[np.repeat(starts[of] - (ends - n), n) + np.arange(ends[-1])].tobytes()
-        cuts = (np.concatenate([[0], ends])[bounds] * self.dtype.itemsize).tolist()
+        ends = np.concatenate([[0], np.cumsum(n, dtype=np.int32)]).astype(np.int32)
+        at = np.repeat(starts[of] - ends[:-1], n)
+        at += np.arange(len(at), dtype=np.int32)
+        data = ids[at].tobytes()
+        cuts = (ends[bounds].astype(np.int64) * self.dtype.itemsize).tolist()
         return [data[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
