@@ -44,7 +44,7 @@ BLOCK_BYTES = 4 << 20
 BLOCK_DOCS = 65_536
 LEVEL = 3
 #: Bytes of text whose distinct words are looked up together.
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 8 << 20
 
 BLOCKS = "shard int, block int, first_token long, n_tokens long, min_doc_id long, max_doc_id long, doc_ids array<long>, blob binary"
 
@@ -87,7 +87,7 @@ class WordEncoder:
         self.feed, self.letters = "\u010a", byte_letters()
         self.merges.pre_tokenizer = pre_tokenizers.Split(self.feed, "isolated")
         self.feed_id = self.library.encode("\n", add_special_tokens=False).ids
-        self.words, self.pieces = Memo(400_000), Memo(250_000)
+        self.words, self.pieces = Memo(300_000), Memo(200_000)
         self.spaced = re.compile(r" \s| $")
         self.cut = re.compile(r" (?=\S)")
         self.piece = regex.compile(PIECE)
