@@ -338,7 +338,8 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     kept = written(found.where(named | unnamed).groupBy("doc_id", "fp").agg(F.count("*").alias("n")), "simhash-kept")
     plain = kept.where("n > 1 or doc_id is null").isEmpty() and kept.groupBy("doc_id").count().where("count > 1").isEmpty()
     if plain:
-        return docs.join(kept.select(F.col("doc_id").alias("__kept")), F.col("doc_id") == F.col("__kept"), "left_semi")
+        # a sort-merge join at every size: what is kept grows with the documents and mustn't be broadcast
+        return docs.join(kept.select(F.col("doc_id").alias("__kept")).hint("merge"), F.col("doc_id") == F.col("__kept"), "left_semi")
     # ids repeat or are unknown: rows are told apart by their fingerprint too
     names = docs.columns
     wanted = kept.select(F.col("doc_id").alias("__id"), F.col("fp").alias("__fp"))
