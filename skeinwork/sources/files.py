@@ -30,7 +30,7 @@ def source_files(spark: SparkSession, root: str, languages: tuple[str, ...] = ()
     found = found.where(F.col("language").isNotNull() & ~F.col("filepath").rlike(r"(^|/)(\.[^/]*|" + "|".join(SKIPPED) + r")/"))
     if languages:
         found = found.where(F.col("language").isin(*languages))
-    return found.select("filepath", "language", F.expr("CAST(content AS STRING)").alias("source"), F.sha2("content", 256).alias("sha256"), "length")
+    return found.select("filepath", "language", F.expr("make_valid_utf8(CAST(content AS STRING))").alias("source"), F.sha2("content", 256).alias("sha256"), "length")
 
 
 def json_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
