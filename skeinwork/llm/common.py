@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -107,6 +107,28 @@ class Memo(dict):
                 self[k] = v
         return out
 
+    def look(self, keys: list, work: Callable[[list], list]) -> list:
+        """The values of keys, which are all different. work gives the values of those that neither generation has."""
+        found = list(map(self.get, keys))
+        gaps = [i for i, v in enumerate(found) if v is None]
+        if gaps and self.old:
+            old, still = self.old.get, []
+            for i in gaps:
+                v = found[i] = old(keys[i])
+                if v is None:
+                    still.append(i)
+                else:
+                    self[keys[i]] = v
+            gaps = still
+        if gaps:
+            new = [keys[i] for i in gaps]
+            for i, k, v in zip(gaps, new, work(new)):
+                found[i] = self[k] = v
+        if len(self) > self.most:
+            self.old = dict(self)
+            self.clear()
+        return found
+
     def room(self, keys: set) -> None:
         """Start a generation if the keys of one slice wouldn't fit beside those held."""
         if len(self) > self.most:

@@ -49,31 +49,22 @@ SLICE_BYTES = 8 << 20
 BLOCKS = "shard int, block int, first_token long, n_tokens long, min_doc_id long, max_doc_id long, doc_ids array<long>, blob binary"
 
 
-#: How byte-level pre-tokenizers with their own pattern cut a text.
-PIECE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-
-
-def byte_letters() -> str:
-    """The 256 letters that byte-level vocabularies have for bytes: printable ones stand for themselves, others follow from 256 on."""
-    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in own]
-    letters = {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
-    return "".join(letters[b] for b in range(256))
+#: Words that go to the library as one text.
+TOGETHER = 128
 
 
 class WordEncoder:
-    """The tokenizers library behind two memos.
+    """The tokenizers library behind a memo.
 
     A byte-level pre-tokenizer always starts a piece at a single space before a character that isn't white space.
-    So a text is cut there into words, whose ids are kept in a memo. Words that it lacks are cut into the pre-tokenizer's pieces,
-    with a memo of their own, and pieces that this lacks go to the library's BPE together, a line feed between them.
+    So a text is cut there into words, whose ids are kept in a memo. Words that it lacks go to the library, many in one text with
+    line feeds between them, which are pieces of their own; words with a line feed go one by one.
     Texts that hold an added token's string go to the library whole, as do all texts if the pre-tokenizer is another.
     """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        import regex
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
@@ -82,51 +73,36 @@ class WordEncoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre = spec.get("pre_tokenizer") or {}
-        self.cuts = spec["model"]["type"] == "BPE" and not spec.get("normalizer") and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
-        self.merges = Tokenizer.from_file(path)
-        self.feed, self.letters = "\u010a", byte_letters()
-        self.merges.pre_tokenizer = pre_tokenizers.Split(self.feed, "isolated")
         self.feed_id = self.library.encode("\n", add_special_tokens=False).ids
-        self.words, self.pieces = Memo(300_000), Memo(200_000)
+        plain = spec["model"]["type"] == "BPE" and not spec.get("normalizer") and len(self.feed_id) == 1
+        self.cuts = plain and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
+        self.words = Memo(400_000)
         self.spaced = re.compile(r" \s| $")
         self.cut = re.compile(r" (?=\S)")
-        self.piece = regex.compile(PIECE)
 
     def raw(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, dtype=self.dtype).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def merged(self, pieces: list[str]) -> None:
-        """Put the ids of pieces into their memo."""
-        plain = [p for p in pieces if "\n" not in p]
-        lined = [p for p in pieces if "\n" in p]
-        self.pieces.update(zip(lined, self.raw(lined)))
-        groups = [plain[i : i + 512] for i in range(0, len(plain), 512)]
-        joined = [self.feed.join([p.encode().decode("latin-1").translate(self.letters) for p in g]) for g in groups]
+    def learn(self, words: list[str]) -> list[bytes]:
+        """The ids of words, each with a space before it, from the library."""
+        lined = [i for i, w in enumerate(words) if "\n" in w]
+        out = dict(zip(lined, self.raw([" " + words[i] for i in lined])))
+        plain = [i for i in range(len(words)) if i not in out] if lined else range(len(words))
+        groups = [plain[k : k + TOGETHER] for k in range(0, len(plain), TOGETHER)]
         size = self.dtype.itemsize
-        for group, e in zip(groups, self.merges.encode_batch_fast(joined, add_special_tokens=False)):
-            ids = np.asarray(e.ids, dtype=self.dtype)
-            data, at = ids.tobytes(), 0
-            ends = [*np.flatnonzero(ids == self.feed_id[0]).tolist(), len(ids)]
-            if len(ends) != len(group):
-                self.pieces.update(zip(group, self.raw(group)))
-                continue
-            for p, end in zip(group, ends):
-                self.pieces[p] = data[size * at : size * end]
-                at = end + 1
-
-    def learn(self, words: list[str]) -> None:
-        """Put the ids of words, each with a space before it, into their memo."""
-        cut = [self.piece.findall(" " + w) for w in words]
-        wanted = {p for pieces in cut for p in pieces}
-        self.pieces.room(wanted)
-        if missing := self.pieces.missing(wanted):
-            self.merged(missing)
-        get = self.pieces.__getitem__
-        self.words.update(zip(words, [b"".join(map(get, pieces)) for pieces in cut]))
+        for group, e in zip(groups, self.library.encode_batch_fast([" " + "\n ".join([words[i] for i in g]) for g in groups], add_special_tokens=False)):
+            ids = np.array(e.ids, dtype=self.dtype)
+            ends = [*(np.flatnonzero(ids == self.feed_id[0]) * size).tolist(), len(ids) * size]
+            data = ids.tobytes()
+            if len(ends) == len(group):
+                out.update(zip(group, [data[a:b] for a, b in zip([0, *(x + size for x in ends[:-1])], ends)]))
+            else:  # a line feed that isn't a piece of its own
+                out.update(zip(group, self.raw([" " + words[i] for i in group])))
+        return [out[i] for i in range(len(words))]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian integers of self.dtype."""
-        if not self.cuts or len(self.feed_id) != 1:
+        if not self.cuts:
             return self.raw(texts)
         out, plain = [b""] * len(texts), []
         for i, t in enumerate(texts):
@@ -143,11 +119,9 @@ class WordEncoder:
 
     def known(self, words: list[str]) -> list[bytes]:
         """The ids of words, each with a space before it."""
-        wanted = set(words)
-        self.words.room(wanted)
-        if missing := self.words.missing(wanted):
-            self.learn(missing)
-        return list(map(self.words.__getitem__, words))
+        different = list(dict.fromkeys(words))
+        ids = dict(zip(different, self.words.look(different, self.learn)))
+        return list(map(ids.__getitem__, words))
 
     def split(self, texts: list[str]) -> list[bytes]:
         """The ids of texts whose spaces are single: distinct words are looked up once, their ids put together as arrays."""
@@ -158,7 +132,7 @@ class WordEncoder:
         of = coded.indices.to_numpy(zero_copy_only=False).copy()
         words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         del lists, coded
-        found = self.known(words)
+        found = self.words.look(words, self.learn)
         of[bounds[:-1]] = len(found) + np.arange(len(texts))  # a text's first word has no space before it
         found += self.raw([t.partition(" ")[0] for t in texts])
         sizes = np.fromiter(map(len, found), np.int32, len(found)) // self.dtype.itemsize
