@@ -50,7 +50,7 @@ BLOCKS = "shard int, block int, first_token long, n_tokens long, min_doc_id long
 
 
 #: Words that go to the library as one text.
-TOGETHER = 128
+TOGETHER = 64
 
 
 class WordEncoder:
@@ -76,7 +76,7 @@ class WordEncoder:
         self.feed_id = self.library.encode("\n", add_special_tokens=False).ids
         plain = spec["model"]["type"] == "BPE" and not spec.get("normalizer") and len(self.feed_id) == 1
         self.cuts = plain and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
-        self.words = Memo(400_000)
+        self.words, self.heads = Memo(400_000), Memo(50_000)
         self.spaced = re.compile(r" \s| $")
         self.cut = re.compile(r" (?=\S)")
 
@@ -133,8 +133,9 @@ class WordEncoder:
         words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         del lists, coded
         found = self.words.look(words, self.learn)
-        of[bounds[:-1]] = len(found) + np.arange(len(texts))  # a text's first word has no space before it
-        found += self.raw([t.partition(" ")[0] for t in texts])
+        heads: dict[str, int] = {}  # a text's first word has no space before it
+        of[bounds[:-1]] = [heads.setdefault(t.partition(" ")[0], len(found) + len(heads)) for t in texts]
+        found += self.heads.look(list(heads), self.raw)
         sizes = np.fromiter(map(len, found), np.int32, len(found)) // self.dtype.itemsize
         starts = np.cumsum(sizes, dtype=np.int32) - sizes
         ids, n = np.frombuffer(b"".join(found), dtype=self.dtype), sizes[of]
