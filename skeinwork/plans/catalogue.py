@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skeinwork.operators import analysis, docs, relational, traversal
+from skeinwork.operators import analysis, docs, memory, relational, traversal
 from skeinwork.sources import files, tables
 from skeinwork.sources.tables import VIEWS, table
 
@@ -490,6 +490,46 @@ def memory_stats(spark, d):
     return parts[0].union(parts[1]).union(parts[2])
 
 
+_MEMORY = "SELECT o_orderkey AS id, 'u' || (o_custkey % 5) AS author, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE 'r' || (o_orderkey % 4) END AS repo_id, o_orderdate AS updated_at, o_orderpriority AS title, o_orderstatus AS status FROM orders"
+
+
+def _memory(spark, d):
+    repo = F.when(F.col("o_orderkey") % 3 == 0, "").otherwise(F.concat(F.lit("r"), F.col("o_orderkey") % 4))
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.concat(F.lit("u"), F.col("o_custkey") % 5).alias("author"), repo.alias("repo_id"), F.col("o_orderdate").alias("updated_at"), F.col("o_orderpriority").alias("title"), F.col("o_orderstatus").alias("status"))
+
+
+@query(f"SELECT id, title FROM ({_MEMORY}) WHERE author = 'u1' AND repo_id IN ('r2', '')", views=False)
+def preferences_of_author(spark, d):
+    return memory.preferences(_memory(spark, d), "u1", "r2").select("id", "title")
+
+
+@query(f"SELECT id, title, updated_at FROM ({_MEMORY}) WHERE repo_id = 'r1' AND status = 'F' ORDER BY updated_at DESC, id LIMIT 20", views=False)
+def attempts_by_result(spark, d):
+    return memory.newest(_memory(spark, d), 20, "repo_id = 'r1' and status = 'F'").select("id", "title", "updated_at")
+
+
+@query(f"SELECT id FROM (SELECT * FROM ({_MEMORY}) ORDER BY updated_at DESC, id LIMIT 200) WHERE title = '1-URGENT' OR 'm' || (id % 7) = 'm3'", views=False)
+def decisions_for_module(spark, d):
+    m = _memory(spark, d).withColumn("affected_modules", F.array(F.when(F.col("title") == "1-URGENT", "m3").otherwise("none"), F.concat(F.lit("m"), F.col("id") % 7)))
+    return memory.for_module(m, "m3").select("id")
+
+
+@query("SELECT key, repo_id || ':' || name AS scoped_id FROM g_nodes WHERE key < 500")
+def tenant_scope(spark, d):
+    return memory.scoped(tables.nodes(spark, d).where("key < 500"), "repo_id", "name").select("key", "scoped_id")
+
+
+@query("SELECT event_id, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) <= 2 AS allowed FROM events", views=False)
+def rate_limit(spark, d):
+    calls = table(spark, d, "events").withColumn("day", F.to_date("ts"))
+    return memory.within_rate(calls, "user_id", "day", ["ts", "event_id"], 2).select("event_id", "allowed")
+
+
+@query("SELECT user_id, month(ts) AS period, count(*) AS n FROM events GROUP BY ALL", views=False)
+def usage_counts(spark, d):
+    return table(spark, d, "events").groupBy("user_id", F.month("ts").cast("long").alias("period")).agg(F.count("*").alias("n"))
+
+
 # -- exports
 
 
