@@ -24,7 +24,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -51,14 +51,56 @@ BLOCKS = "shard int, block int, first_token long, n_tokens long, min_doc_id long
 
 #: Words that go to the library as one text.
 TOGETHER = 64
+#: Words of Latin letters and signs with one line feed in them, which a byte-level pre-tokenizer always makes a piece of its own.
+SIGNS = r"[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}.,;:!?$#&%*|<>()]+"
+TWO_LINES = rf"\A{SIGNS}\n{SIGNS}\z"
+
+
+class WordTable:
+    """Words and their ids as arrays: words is an Arrow column, the ids of word i are flat[starts[i] : starts[i] + sizes[i]].
+
+    Beyond `most` words, those that weren't asked for again since the last time go.
+    """
+
+    def __init__(self, dtype: np.dtype, most: int):
+        self.most, self.words = most, pa.array([], pa.string())
+        self.flat, self.starts, self.sizes, self.again = np.empty(0, dtype), np.empty(0, np.int32), np.empty(0, np.int32), np.empty(0, bool)
+
+    def rows(self, words: pa.Array) -> np.ndarray:
+        """Each word's row; -1: not held."""
+        at = pc.index_in(words, value_set=self.words).fill_null(-1).to_numpy(zero_copy_only=False).copy()
+        self.again[at[at >= 0]] = True
+        return at
+
+    def add(self, words: pa.Array, flat: np.ndarray, sizes: np.ndarray) -> None:
+        self.words = pa.concat_arrays([self.words, words])
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes, dtype=np.int32) - sizes]).astype(np.int32)
+        self.flat, self.sizes = np.concatenate([self.flat, flat]), np.concatenate([self.sizes, sizes]).astype(np.int32)
+        self.again = np.concatenate([self.again, np.zeros(len(words), bool)])
+
+    def trim(self) -> None:
+        if len(self.words) > self.most:
+            kept = np.flatnonzero(self.again)[-self.most // 2 :]
+            self.words, self.flat = self.words.take(pa.array(kept)), taken(self.flat, self.starts[kept], self.sizes[kept])[0]
+            self.sizes = self.sizes[kept]
+            self.starts, self.again = np.cumsum(self.sizes, dtype=np.int32) - self.sizes, np.zeros(len(kept), bool)
+
+
+def taken(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of flat that begin at starts, one after the other, and where each ends, with 0 first."""
+    ends = np.zeros(len(sizes) + 1, np.int32)
+    np.cumsum(sizes, dtype=np.int32, out=ends[1:])
+    at = np.repeat(starts - ends[:-1], sizes)
+    at += np.arange(len(at), dtype=np.int32)
+    return flat[at], ends
 
 
 class WordEncoder:
     """The tokenizers library behind a memo.
 
     A byte-level pre-tokenizer always starts a piece at a single space before a character that isn't white space.
-    So a text is cut there into words, whose ids are kept in a memo. Words that it lacks go to the library, many in one text with
-    line feeds between them, which are pieces of their own; words with a line feed go one by one.
+    So a text is cut there into words, whose ids are kept in a table. Words that it lacks go to the library, many in one text with
+    line feeds between them, which are pieces of their own; words with a line feed go one by one, but for those of TWO_LINES.
     Texts that hold an added token's string go to the library whole, as do all texts if the pre-tokenizer is another.
     """
 
@@ -76,29 +118,52 @@ class WordEncoder:
         self.feed_id = self.library.encode("\n", add_special_tokens=False).ids
         plain = spec["model"]["type"] == "BPE" and not spec.get("normalizer") and len(self.feed_id) == 1
         self.cuts = plain and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
-        self.words, self.heads = Memo(400_000), Memo(50_000)
+        self.table, self.heads = WordTable(self.dtype, 400_000), Memo(50_000)
         self.spaced = re.compile(r" \s| $")
         self.cut = re.compile(r" (?=\S)")
 
     def raw(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, dtype=self.dtype).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, words: list[str]) -> list[bytes]:
-        """The ids of words, each with a space before it, from the library."""
-        lined = [i for i, w in enumerate(words) if "\n" in w]
-        out = dict(zip(lined, self.raw([" " + words[i] for i in lined])))
-        plain = [i for i in range(len(words)) if i not in out] if lined else range(len(words))
-        groups = [plain[k : k + TOGETHER] for k in range(0, len(plain), TOGETHER)]
-        size = self.dtype.itemsize
-        for group, e in zip(groups, self.library.encode_batch_fast([" " + "\n ".join([words[i] for i in g]) for g in groups], add_special_tokens=False)):
-            ids = np.array(e.ids, dtype=self.dtype)
-            ends = [*(np.flatnonzero(ids == self.feed_id[0]) * size).tolist(), len(ids) * size]
-            data = ids.tobytes()
-            if len(ends) == len(group):
-                out.update(zip(group, [data[a:b] for a, b in zip([0, *(x + size for x in ends[:-1])], ends)]))
-            else:  # a line feed that isn't a piece of its own
-                out.update(zip(group, self.raw([" " + words[i] for i in group])))
-        return [out[i] for i in range(len(words))]
+    def joined(self, words: list[str], feeds: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words, each with a space before it and `feeds` line feeds in it, and how many each has."""
+        groups = [words[k : k + TOGETHER] for k in range(0, len(words), TOGETHER)]
+        lists = [e.ids for e in self.library.encode_batch_fast([" " + "\n ".join(g) + "\n" for g in groups], add_special_tokens=False)]
+        stops = np.cumsum(np.fromiter(map(len, lists), np.int64, len(lists)))
+        ids = np.fromiter(chain.from_iterable(lists), self.dtype, int(stops[-1]) if lists else 0)
+        at = np.flatnonzero(ids == self.feed_id[0])
+        found = np.diff(np.searchsorted(at, stops), prepend=0)
+        if np.array_equal(found, [len(g) * (feeds + 1) for g in groups]):
+            ends = at[feeds :: feeds + 1]
+            return np.delete(ids, ends), (np.diff(ends, prepend=-1) - 1).astype(np.int32)
+        # some line feed isn't a piece of its own: the groups that have it go to the library word by word
+        if len(groups) == 1:
+            return self.alone(words)
+        parts = [self.joined(g, feeds) for g in groups]
+        return np.concatenate([x for x, _ in parts]), np.concatenate([n for _, n in parts])
+
+    def alone(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As joined(), word by word."""
+        raw = self.raw([" " + w for w in words])
+        return np.frombuffer(b"".join(raw), self.dtype), np.fromiter(map(len, raw), np.int32, len(raw)) // self.dtype.itemsize
+
+    def look(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, and where those of each word start and how many they are, for different words, each with a space before it."""
+        table = self.table
+        rows = table.rows(words)
+        gaps = np.flatnonzero(rows < 0)
+        if len(gaps):
+            new = words.take(pa.array(gaps))
+            lined, two = (x.to_numpy(zero_copy_only=False) for x in (pc.match_substring(new, "\n"), pc.match_substring_regex(new, TWO_LINES)))
+            for which, work in ((~lined, lambda w: self.joined(w, 0)), (two, lambda w: self.joined(w, 1)), (lined & ~two, self.alone)):
+                some = np.flatnonzero(which)
+                if len(some):
+                    part = new.take(pa.array(some))
+                    rows[gaps[some]] = len(table.words) + np.arange(len(some))
+                    table.add(part, *work(part.to_pylist()))
+        out = table.flat, table.starts[rows], table.sizes[rows]
+        table.trim()
+        return out
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian integers of self.dtype."""
@@ -120,7 +185,8 @@ class WordEncoder:
     def known(self, words: list[str]) -> list[bytes]:
         """The ids of words, each with a space before it."""
         different = list(dict.fromkeys(words))
-        ids = dict(zip(different, self.words.look(different, self.learn)))
+        flat, starts, sizes = self.look(pa.array(different, pa.string()))
+        ids = {w: flat[a : a + n].tobytes() for w, a, n in zip(different, starts.tolist(), sizes.tolist())}
         return list(map(ids.__getitem__, words))
 
     def split(self, texts: list[str]) -> list[bytes]:
@@ -130,19 +196,16 @@ class WordEncoder:
         lists = pc.split_pattern(pa.array(texts), " ")
         bounds, coded = lists.offsets.to_numpy(), lists.values.dictionary_encode()
         of = coded.indices.to_numpy(zero_copy_only=False).copy()
-        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        flat, starts, sizes = self.look(coded.dictionary)
         del lists, coded
-        found = self.words.look(words, self.learn)
         heads: dict[str, int] = {}  # a text's first word has no space before it
-        of[bounds[:-1]] = [heads.setdefault(t.partition(" ")[0], len(found) + len(heads)) for t in texts]
-        found += self.heads.look(list(heads), self.raw)
-        sizes = np.fromiter(map(len, found), np.int32, len(found)) // self.dtype.itemsize
-        starts = np.cumsum(sizes, dtype=np.int32) - sizes
-        ids, n = np.frombuffer(b"".join(found), dtype=self.dtype), sizes[of]
-        ends = np.concatenate([[0], np.cumsum(n, dtype=np.int32)]).astype(np.int32)
-        at = np.repeat(starts[of] - ends[:-1], n)
-        at += np.arange(len(at), dtype=np.int32)
-        data = ids[at].tobytes()
+        of[bounds[:-1]] = [heads.setdefault(t.partition(" ")[0], len(sizes) + len(heads)) for t in texts]
+        first = self.heads.look(list(heads), self.raw)
+        more = np.fromiter(map(len, first), np.int32, len(first)) // self.dtype.itemsize
+        starts = np.concatenate([starts, len(flat) + np.cumsum(more, dtype=np.int32) - more]).astype(np.int32)
+        flat, sizes = np.concatenate([flat, np.frombuffer(b"".join(first), self.dtype)]), np.concatenate([sizes, more])
+        ids, ends = taken(flat, starts[of], sizes[of])
+        data = ids.tobytes()
         cuts = (ends[bounds].astype(np.int64) * self.dtype.itemsize).tolist()
         return [data[a:b] for a, b in zip(cuts, cuts[1:])]
 

@@ -80,6 +80,17 @@ def test_word_encoder_is_the_library():
     assert e(texts) == e.raw(texts)
 
 
+def test_word_table_forgets_what_is_not_asked_again():
+    """Whatever is dropped, ids are the library's."""
+    e, r = token_files.WordEncoder(BYTE_BPE), random.Random(2)
+    e.table.most = 40
+    words = ["".join(r.choices("abcdé.,\n#", k=r.randrange(1, 7))) for _ in range(300)]
+    for _ in range(30):
+        texts = [" ".join(r.choices(words, k=r.randrange(1, 30))) for _ in range(20)]
+        assert e(texts) == e.raw(texts)
+        assert len(e.table.words) <= 40
+
+
 def test_memo_keeps_what_is_used():
     m = Memo(2)
     m.update(a=1, b=2, c=3)
