@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skeinwork.operators.relational import first_n
+
 
 def prefix_links(nodes: DataFrame, arch: DataFrame) -> DataFrame:
     """(key, module_path) where the module is a whole-segment prefix of the path: prefixes are exploded, and the join is an equi-join."""
@@ -27,6 +29,13 @@ def traceability(nodes: DataFrame, edges: DataFrame, desc: DataFrame, docs: Data
     return out.withColumns({"has_requirements": F.expr("n_desc + n_docs > 0"), "has_tests": F.expr("n_tests > 0"), "has_architecture": F.expr("n_arch > 0")})
 
 
+def tests_of(nodes: DataFrame, edges: DataFrame, most: int = 20) -> DataFrame:
+    """(key, test): the tests that call or import a symbol, the first `most` by id."""
+    tests = nodes.where("contains(name, 'test') or contains(filepath, 'test')").select(F.col("key").alias("src"), F.col("id").alias("test"))
+    pairs = edges.where("relation in ('calls', 'imports')").join(tests, "src").select(F.col("dst").alias("key"), "test").distinct()
+    return first_n(pairs, ["key"], ["test"], most)
+
+
 def trace(nodes: DataFrame, desc: DataFrame, docs: DataFrame, arch: DataFrame, name: str, level: str = "all", sources: int = 5) -> DataFrame:
     """The chain from symbols whose name holds `name` (the first `sources` by key) to the layers asked for: key, type, text."""
     some = nodes.where(F.col("name").contains(name)).orderBy("key").limit(sources)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -30,3 +30,40 @@ def scoped(rows: DataFrame, tenant: str, column: str) -> DataFrame:
 def within_rate(calls: DataFrame, user: str, period: str, order: list, most: int) -> DataFrame:
     """Every call with allowed: whether it's among the user's first `most` of the period."""
     return calls.withColumn("allowed", F.row_number().over(W.partitionBy(user, period).orderBy(*order)) <= most)
+
+
+def pending(rows: DataFrame) -> DataFrame:
+    """Rows that wait for being shared."""
+    return rows.where("pending_sync")
+
+
+def mark_synced(rows: DataFrame, done: DataFrame) -> DataFrame:
+    """rows with pending_sync cleared where their id is in done (id)."""
+    d = done.select("id", F.lit(True).alias("_done")).distinct()
+    return rows.join(d, "id", "left").withColumn("pending_sync", F.col("pending_sync") & F.col("_done").isNull()).drop("_done").select(*rows.columns)
+
+
+def without(rows: DataFrame, gone: DataFrame, *keys: str) -> DataFrame:
+    """Rows none of whose keys is in gone (its first column): a deletion with what hangs on it. Null keys stay."""
+    name = gone.columns[0]
+    for k in keys:
+        rows = rows.join(gone.select(F.col(name).alias("_gone")), F.col(k) == F.col("_gone"), "left_anti")
+    return rows
+
+
+def remaining(rows: DataFrame, done: DataFrame, key: str) -> DataFrame:
+    """Rows left to do after a restart."""
+    return rows.join(done.select(key), key, "left_anti")
+
+
+def summary(kind: Column, row: Column) -> Column:
+    """One line for a memory row by its kind. row: a struct of summary, problem, title, result, key, value."""
+    text = lambda c: F.coalesce(row[c], F.lit(""))
+    session = F.when(text("summary") != "", text("summary")).otherwise(F.substring(text("problem"), 1, 120))
+    attempt = F.concat(F.substring(text("problem"), 1, 80), F.lit(" → "), text("result"))
+    return F.when(kind == "session", session).when(kind.isin("decision", "convention"), text("title")).when(kind == "attempt", attempt).when(kind == "preference", F.concat(text("key"), F.lit(" = "), text("value"))).otherwise("")
+
+
+def valid_url(url: Column) -> Column:
+    """Whether a repository's address is accepted."""
+    return F.coalesce(url.rlike(r"^https://github\.com/[^/\s]+/[^/\s]+/?$"), F.lit(False))

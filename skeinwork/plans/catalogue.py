@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skeinwork.operators import analysis, docs, memory, relational, traversal
+from skeinwork.operators import analysis, context, docs, memory, relational, traversal
 from skeinwork.sources import files, tables
 from skeinwork.sources.tables import VIEWS, table
 
@@ -530,6 +530,108 @@ def usage_counts(spark, d):
     return table(spark, d, "events").groupBy("user_id", F.month("ts").cast("long").alias("period")).agg(F.count("*").alias("n"))
 
 
+# -- contexts
+
+_BLANK = "' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)"
+
+
+@query("""SELECT key, concat_ws(chr(10), '[' || kind || ']', 'Name: ' || name, 'File: ' || filepath, CASE WHEN kind = 'import' AND source_text <> '' THEN 'Code:' || chr(10) || source_text END, CASE WHEN summary <> '' THEN 'Summary: ' || summary END) AS text
+FROM g_nodes LEFT JOIN g_desc ON key = node_id""")
+def context_text(spark, d):
+    n = tables.nodes(spark, d)
+    j = n.join(tables.descriptions(spark, d).select(F.col("node_id").alias("key"), "summary"), "key", "left")
+    source = F.when(F.col("kind") == "import", F.col("source_text"))
+    return j.select("key", context.rendered(F.col("kind"), F.col("id"), F.col("name"), F.col("filepath"), source, F.col("summary")).alias("text"))
+
+
+@query(f"SELECT doc_id, array_to_string(list_filter(list_transform(string_split(replace(coalesce(text, ''), chr(10), '. '), '. '), lambda s: trim(s, {_BLANK})), lambda s: s <> '')[1:10], '|') AS facts FROM documents", views=False)
+def key_facts(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.array_join(context.key_facts(F.col("text")), "|").alias("facts"))
+
+
+@query("""SELECT doc_id, CASE WHEN len(string_split(text, ' ')) <= 40 THEN text WHEN contains(cut, '.') AND length(cut) - instr(reverse(cut), '.') > length(cut) // 2 THEN cut[1 : length(cut) - instr(reverse(cut), '.') + 1] ELSE cut END AS text
+FROM (SELECT doc_id, text, array_to_string(string_split(text, ' ')[1:40], ' ') AS cut FROM documents)""", views=False)
+def truncated_texts(spark, d):
+    return table(spark, d, "documents").select("doc_id", context.truncated(F.col("text"), 40).alias("text"))
+
+
+@query("""SELECT source, substring(string_agg(text, chr(10) ORDER BY score DESC, id), 1, 2000) AS summary, count(*) AS n, CAST(avg(confidence) AS DOUBLE) AS confidence FROM
+(SELECT *, sum(tokens) OVER (PARTITION BY source ORDER BY score DESC, id) AS running FROM (SELECT source, doc_id AS id, doc_id % 97 AS score, len(string_split(text, ' ')) AS tokens, text, (doc_id % 4) / 4.0 AS confidence FROM documents)) WHERE running <= 2000 GROUP BY source""", views=False)
+def context_summaries(spark, d):
+    t = table(spark, d, "documents").select("source", F.col("doc_id").alias("id"), (F.col("doc_id") % 97).alias("score"), F.size(F.split("text", " ")).alias("tokens"), "text", ((F.col("doc_id") % 4) / 4.0).alias("confidence"))
+    return context.summaries(t, "source", 2000)
+
+
+@query("SELECT src, dst, a.name || ' (' || relation || ') → ' || b.name AS story FROM g_calls JOIN g_nodes a ON a.key = src JOIN g_nodes b ON b.key = dst")
+def path_narratives(spark, d):
+    n = tables.nodes(spark, d).select("key", "name")
+    j = tables.calls(spark, d).join(n.toDF("src", "a"), "src").join(n.toDF("dst", "b"), "dst")
+    return j.select("src", "dst", context.narrative(F.array("a", "b"), F.array("relation")).alias("story"))
+
+
+@query("""SELECT module, CAST(abs(list_reduce(list_transform(string_split(module, ''), lambda c: CAST(ord(c) AS BIGINT)), lambda h, c: c + ((h * 32 + 2147483648) % 4294967296 + 4294967296) % 4294967296 - 2147483648 - h, CAST(0 AS BIGINT))) % 360 AS BIGINT) AS hue
+FROM (SELECT DISTINCT regexp_replace(filepath, '/[^/]*$', '') AS module FROM g_nodes)""")
+def module_hues(spark, d):
+    m = tables.nodes(spark, d).select(traversal.module_of(F.col("filepath")).alias("module")).distinct()
+    return m.withColumn("hue", context.hue(F.col("module")))
+
+
+@query(f"SELECT doc_id, coalesce(patch <> '' AND trim(patch, {_BLANK}) = trim(text, {_BLANK}), false) AS resolved FROM (SELECT doc_id, text, CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN '  ' || text || chr(10) WHEN 2 THEN lang END AS patch FROM documents)", views=False)
+def patch_resolved(spark, d):
+    t = table(spark, d, "documents").selectExpr("doc_id", "text", "CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN concat('  ', text, '\\n') WHEN 2 THEN lang END AS patch")
+    return t.select("doc_id", context.resolved(F.col("patch"), F.col("text")).alias("resolved"))
+
+
+@query("""WITH r AS (SELECT user_id, CAST(ts AS DATE) AS day, count(*) FILTER (WHERE event_type = 'error') AS failed FROM events GROUP BY ALL)
+SELECT user_id, day, failed, coalesce(failed >= lag(failed) OVER (PARTITION BY user_id ORDER BY day), false) OR row_number() OVER (PARTITION BY user_id ORDER BY day) > 3 AS stop FROM r""", views=False)
+def refinement_stops(spark, d):
+    r = table(spark, d, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.count_if(F.col("event_type") == "error").alias("failed"))
+    return context.stagnant(r, "user_id", "day", "failed")
+
+
+@query("SELECT node_id, summary, data_flow FROM g_desc LEFT JOIN g_doc ON node_id = component_id")
+def descriptions_with_details(spark, d):
+    c = tables.component_docs(spark, d).withColumnRenamed("component_id", "node_id")
+    return tables.descriptions(spark, d).join(c, "node_id", "left").select("node_id", "summary", "data_flow")
+
+
+@query("SELECT key, test FROM (SELECT key, test, row_number() OVER (PARTITION BY key ORDER BY test) AS rn FROM (SELECT DISTINCT dst AS key, n.id AS test FROM g_edges e JOIN g_nodes n ON n.key = e.src WHERE relation IN ('calls', 'imports') AND (contains(name, 'test') OR contains(filepath, 'test')))) WHERE rn <= 20")
+def test_coverage(spark, d):
+    return docs.tests_of(tables.nodes(spark, d), tables.edges(spark, d))
+
+
+@query("SELECT key FROM g_nodes ANTI JOIN g_desc ON key = node_id")
+def resume_pending(spark, d):
+    done = tables.descriptions(spark, d).select(F.col("node_id").alias("key"))
+    return memory.remaining(tables.nodes(spark, d).select("key"), done, "key")
+
+
+@query("SELECT src, dst, relation FROM g_edges e WHERE NOT EXISTS (FROM g_nodes n WHERE n.repo_id = 'r1' AND n.key IN (e.src, e.dst))")
+def delete_cascade(spark, d):
+    gone = tables.nodes(spark, d).where("repo_id = 'r1'").select("key")
+    return memory.without(tables.edges(spark, d), gone, "src", "dst").select("src", "dst", "relation")
+
+
+@query(f"SELECT id, author FROM ({_MEMORY}) WHERE status = 'O' AND id NOT IN (SELECT o_orderkey FROM orders WHERE o_custkey % 2 = 0)", views=False)
+def pending_after_sync(spark, d):
+    rows = _memory(spark, d).withColumn("pending_sync", F.col("status") == "O")
+    done = table(spark, d, "orders").where("o_custkey % 2 = 0").select(F.col("o_orderkey").alias("id"))
+    return memory.pending(memory.mark_synced(rows, done)).select("id", "author")
+
+
+@query("""SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN CASE WHEN doc_id % 2 = 0 THEN lang ELSE text[1:120] END WHEN 1 THEN source WHEN 2 THEN text[1:80] || ' → ' || lang WHEN 3 THEN lang || ' = ' || source ELSE source END AS line FROM documents""", views=False)
+def memory_summaries(spark, d):
+    kind = F.get(F.array(*map(F.lit, ("session", "decision", "attempt", "preference", "convention"))), (F.col("doc_id") % 5).cast("int"))
+    row = F.struct(F.when(F.col("doc_id") % 2 == 0, F.col("lang")).alias("summary"), F.col("text").alias("problem"), F.col("source").alias("title"), F.col("lang").alias("result"), F.col("lang").alias("key"), F.col("source").alias("value"))
+    return table(spark, d, "documents").select("doc_id", memory.summary(kind, row).alias("line"))
+
+
+@query(r"SELECT page_id, regexp_matches(link, '^https://github\.com/[^/\s]+/[^/\s]+/?$') AS valid FROM (SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'https://github.com/a/r' || page_id WHEN 1 THEN url ELSE 'http://github.com/a/b' END AS link FROM pages)", views=False)
+def repository_urls(spark, d):
+    link = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("https://github.com/a/r"), "page_id")).when(F.col("page_id") % 3 == 1, F.col("url")).otherwise("http://github.com/a/b")
+    return table(spark, d, "pages").select("page_id", memory.valid_url(link).alias("valid"))
+
+
 # -- exports
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from skeinwork import tools
-from skeinwork.operators import analysis, docs, relational, traversal
+from skeinwork.operators import analysis, context, docs, memory, relational, traversal
 
 CHAIN = [(1, 2), (2, 3), (3, 4), (4, 5), (5, 6)]
 
@@ -128,6 +128,46 @@ def test_documenting_and_complexity(spark):
     assert [r[0] for r in t.select(analysis.complexity(F.col("text"), F.col("files"))).collect()] == ["SIMPLE", "MODERATE", "COMPLEX", "COMPLEX"]
 
 
+def test_contexts_by_hand(spark):
+    df = spark.createDataFrame([("function", "i", "f", "a.py", None, ""), ("", "i", None, None, None, None), ("note", None, "", "", "", "s")], "k string, i string, n string, f string, c string, s string")
+    assert [r[0] for r in df.select(context.rendered(*(F.col(c) for c in "kinfcs"))).collect()] == ["[function]\nName: f\nFile: a.py", "Node: i", "[note]\nSummary: s"]
+    t = spark.createDataFrame([(None,), ("",), ("One. Two.\n\n Three ",), (". ".join(map(str, range(30))),)], "t string")
+    assert [r[0] for r in t.select(context.key_facts(F.col("t"))).collect()] == [[], [], ["One", "Two.", "Three"], [*map(str, range(10))]]
+    t = spark.createDataFrame([("a b",), ("a. bbbb cccc dddd",), ("aaaa bbbb. c dddd",), ("aa bb cc dd",), (None,)], "t string")
+    assert [r[0] for r in t.select(context.truncated(F.col("t"), 3)).collect()] == ["a b", "a. bbbb cccc", "aaaa bbbb.", "aa bb cc", None]
+    r = spark.createDataFrame([("", ""), (" x\n", "x"), ("x", "y"), (None, "x")], "p string, g string")
+    assert [x[0] for x in r.select(context.resolved(F.col("p"), F.col("g"))).collect()] == [False, True, False, False]
+    n = spark.createDataFrame([(["a", "b", "c"], ["calls", "imports"])], "n array<string>, r array<string>")
+    assert n.select(context.narrative(F.col("n"), F.col("r"))).first()[0] == "a (calls) → b (imports) → c"
+
+
+@pytest.mark.parametrize("module", [".", "src", "src/a/very/long/path/with/many/parts/in/it/and/more", "ä/b"])
+def test_hue_wraps(spark, module):
+    h = 0
+    for c in module:
+        shifted = (h * 32) & 0xFFFFFFFF
+        h = ord(c) + (shifted - (1 << 32) if shifted >= 1 << 31 else shifted) - h
+    assert spark.range(1).select(context.hue(F.lit(module))).first()[0] == abs(h) % 360
+
+
+def test_plans_are_checked(spark):
+    tasks = [("a", ["zz", "fn_2"], "impact"), ("b", ["zz"], "impact"), ("c", ["zz"], "search"), ("d", [""], "impact")]
+    assert [t[0] for t in context.supported(nodes(spark, range(3)), tasks)] == ["a", "c"]
+    assert context.supported(nodes(spark, []), tasks[:2]) == [] and context.supported(nodes(spark, range(3)), []) == []
+    assert context.with_signals(tasks, ["zz", "new", "x", "late"])[4:] == [("subtask-test-new", ["new"], "search"), ("subtask-test-x", ["x"], "search")]
+
+
+def test_upkeep_keeps_other_rows(spark):
+    rows = spark.createDataFrame([(1, True), (2, True), (3, False), (None, True)], "id long, pending_sync boolean")
+    done = spark.createDataFrame([(1,), (1,), (None,), (9,)], "id long")
+    assert sorted(map(repr, (tuple(r) for r in memory.mark_synced(rows, done).collect()))) == ["(1, False)", "(2, True)", "(3, False)", "(None, True)"]
+    assert memory.pending(rows).count() == 3 and found(memory.without(rows.where("id is not null"), done, "id"), "id") == [(2,), (3,)]
+    runs = spark.createDataFrame([("k", i, f) for i, f in enumerate((5, 3, 3, 1))], "k string, i int, failed int")
+    assert [r["stop"] for r in context.stagnant(runs, "k", "i", "failed").orderBy("i").collect()] == [False, False, True, True]
+    urls = spark.createDataFrame([("https://github.com/a/b",), ("http://github.com/a/b",), ("https://github.com.evil/a/b",), ("https://github.com/a",), (None,)], "u string")
+    assert [r[0] for r in urls.select(memory.valid_url(F.col("u"))).collect()] == [True, False, False, False, False]
+
+
 def test_tools(spark, sf):
     g = tools.Graph.of(spark, sf)
     assert tools.dispatch(g, "search", {"query": "ring"}).count() > 0
