@@ -19,7 +19,6 @@ def reach(edges: DataFrame, roots: DataFrame, depth: int, forward: bool = True)
     """
     depth = max(1, min(MAX_DEPTH, depth))
     step = edges.select(F.col("src").alias("node"), F.col("dst").alias("next")) if forward else edges.select(F.col("dst").alias("node"), F.col("src").alias("next"))
-    step = step.distinct()
     frontier = roots.select("root", F.col("root").alias("node")).distinct()
     known = frontier.withColumn("depth", F.lit(0))
     for level in range(1, depth + 1):
@@ -33,7 +32,10 @@ def reach(edges: DataFrame, roots: DataFrame, depth: int, forward: bool = True)
 
 
 def levels(edges: DataFrame, roots: DataFrame, depth: int, forward: bool = True) -> DataFrame:
-    """As reach(), but one lazy plan: exchanges of a level are reused by the next ones. For small depths."""
+    """As reach(), but one lazy plan: the edges' exchange is reused by every level, and a level isn't written.
+
+    A level may find again what an earlier one knew, so it holds as many rows as there are nodes for each root at most: for one root, or small depths.
+    """
     step = edges.select(F.col("src").alias("node"), F.col("dst").alias("next")) if forward else edges.select(F.col("dst").alias("node"), F.col("src").alias("next"))
     at = roots.select("root", F.col("root").alias("node")).distinct()
     out = None
@@ -50,7 +52,7 @@ def root(edges: DataFrame, key: int) -> DataFrame:
 def callers(nodes: DataFrame, edges: DataFrame, key: int, depth: int = 1, forward: bool = False) -> DataFrame:
     """Symbols that reach `key` within `depth` calls: node_id, name, kind, filepath, call_depth (as asked for), min_depth."""
     depth = max(1, min(MAX_DEPTH, depth))
-    found = reach(edges.where("relation = 'calls'"), root(edges, key), depth, forward)
+    found = levels(edges.where("relation = 'calls'"), root(edges, key), depth, forward)
     return found.join(nodes, found["node"] == nodes["key"]).select(nodes["id"].alias("node_id"), "name", "kind", "filepath", F.lit(depth).alias("call_depth"), F.col("depth").alias("min_depth"))
 
 
@@ -64,7 +66,7 @@ def neighbors(edges: DataFrame, key: int, relation: str | None = None, depth: in
     depth = max(1, min(MAX_DEPTH, depth))
     some = edges.where(F.col("relation") == relation) if relation else edges
     both = some.select("src", "dst").union(some.select("dst", "src"))
-    return reach(both, root(edges, key), depth).select("node", F.lit(1.0 / depth).alias("score"), F.col("depth").alias("min_depth"))
+    return levels(both, root(edges, key), depth).select("node", F.lit(1.0 / depth).alias("score"), F.col("depth").alias("min_depth"))
 
 
 def is_test(path: Column) -> Column:
@@ -99,7 +101,7 @@ def blast_radius(edges: DataFrame, changed: DataFrame, depth: int = 3, most: int
     # one root: what matters is the distance to the nearest changed symbol
     some = edges.where("relation in ('calls', 'imports')").select("src", "dst")
     start = changed.select(F.lit(-1).cast("long").alias("src"), F.col("key").alias("dst")).distinct()
-    found = reach(some.select("dst", "src").toDF("src", "dst").union(start), root(edges, -1), depth + 1)
+    found = levels(some.select("dst", "src").toDF("src", "dst").union(start), root(edges, -1), depth + 1)
     scored = found.select("node", F.expr("1.0D / greatest(depth, 1)").alias("impact_score"))
     return scored.orderBy(F.desc("impact_score"), "node").limit(most)
 
