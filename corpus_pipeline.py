@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from skeinwork.llm.common import read_table, written
+from skeinwork.llm.jaccard import deduplicated
 from skeinwork.llm.mixing import sampled
 from skeinwork.llm.secrets import masked
-from skeinwork.llm.simhash import deduplicated
 from skeinwork.llm.toxicity import without_toxic
 from skeinwork.llm.unigram import digests
 
@@ -22,7 +22,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
+    """One document of each group of near-duplicates (five-word Jaccard similarity of 0.8 or more) stays."""
     return deduplicated(docs)
 
 

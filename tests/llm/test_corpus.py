@@ -9,7 +9,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from skeinwork.llm import audio, mixing, quality, rules, simhash, token_counts, token_files, toxicity, unigram
+from skeinwork.llm import audio, jaccard, mixing, quality, rules, simhash, token_counts, token_files, toxicity, unigram
 from skeinwork.llm.automaton import Automaton
 from skeinwork.llm.common import Memo, read_table, work_path
 from skeinwork.llm.pieces import Vocabulary
@@ -403,6 +403,34 @@ def test_mixing_rows(spark, docs, empty, sf):
 # -- pipeline
 
 
+def test_near_duplicates_stage_against_brute_force(spark, docs, empty):
+    import corpus_pipeline
+
+    r = random.Random(5)
+    rows = []
+    for i in range(0, 120, 4):  # a text and copies with 1, 2 and 12 words exchanged
+        words = [f"w{r.randrange(10**6)}" for _ in range(100)]
+        for k, n in enumerate((0, 1, 2, 12)):
+            copy = words.copy()
+            for at in r.sample(range(100), n):
+                copy[at] = f"x{r.randrange(10**6)}"
+            rows.append((i + k, " ".join(copy)))
+    sets = [{tuple(t.split()[j : j + 5]) for j in range(96)} for _, t in rows]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8:
+                a, b = root[i], root[j]
+                root = [min(a, b) if x in (a, b) else x for x in root]
+    got = corpus_pipeline.near_duplicates_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert sorted(x["doc_id"] for x in got.collect()) == sorted(set(root)) and len(set(root)) < len(rows)
+    kept = jaccard.deduplicated(docs)
+    assert kept.columns == docs.columns and jaccard.deduplicated(empty).count() == 0
+    assert sorted(x["text"] or "" for x in kept.collect()) == sorted(["", *(t for t in dict.fromkeys(TEXTS) if (t or "").split())])
+    twice = spark.createDataFrame([(7, "a b c d"), (7, "a b c d"), (7, "q r s t u v"), (None, "z z z z"), (None, "z z z z")], "doc_id long, text string")
+    assert sorted((x["doc_id"] or 0, x["text"]) for x in jaccard.deduplicated(twice).collect())[:2] == [(0, "z z z z"), (7, "a b c d")]
+
+
 def test_pipeline_against_its_parts(spark, sf):
     import corpus_pipeline
 
