@@ -15,13 +15,15 @@ ids; an empty table gives no rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skeinwork.llm.common import drop_path, read_table, work_path
+from skeinwork.llm.common import drop_path, read_table, work_path, written
 
 DIMENSIONS = ("source", "lang", "topic")
 MOST_CELLS = 50_000
@@ -141,43 +143,173 @@ def fitted(cells: DataFrame, targets: Targets) -> list[tuple]:
     return [(*r[:3], int(r[3]), float(f), float(x)) for r, f, x in zip(rows, factors, p)]
 
 
-def fitted_wide(cells: DataFrame, targets: Targets, rounds: int = 30) -> DataFrame:
-    """The same columns by DataFrame steps, for more cells than the driver should hold."""
-    spark, path = cells.sparkSession, None
+class Wide:
+    """The cells as one row for each source, with arrays over its languages and topics: tokens t, first factor f, probability p, held h.
+
+    A round of rake() is one pass: a source's factor follows from those of languages and topics, and the passes give
+    the sums over sources that the other two dimensions need. Languages and topics are on the driver, sources aren't.
+    """
+
+    SCHEMA = "source string, g double, l array<int>, k array<int>, t array<double>, f array<double>, p array<double>, h array<boolean>"
+
+    def __init__(self, cells: DataFrame, langs: list, topics: list, goal):
+        self.spark, self.shape, self.path = cells.sparkSession, (len(langs), len(topics)), None
+        at, of = {x: i for i, x in enumerate(langs)}, {x: i for i, x in enumerate(topics)}
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for r in batch.to_pylist():
+                    t, n = [float(c["tokens"]) for c in r["cells"]], len(r["cells"])
+                    row = {"source": r["source"], "g": goal(r["source"], sum(t)), "l": [at[c["lang"]] for c in r["cells"]], "k": [of[c["topic"]] for c in r["cells"]]}
+                    yield pa.RecordBatch.from_pylist([row | {"t": t, "f": [1.0] * n, "p": [1.0] * n, "h": [False] * n}], schema=WIDE)
+
+        grouped = cells.groupBy("source").agg(F.collect_list(F.struct("lang", "topic", "tokens")).alias("cells"))
+        self._write(grouped.mapInArrow(run, self.SCHEMA))
+
+    def _write(self, rows: DataFrame) -> None:
+        new = work_path(self.spark, "mixing-cells")
+        rows.write.parquet(new)
+        self.drop()
+        self.rows, self.path = self.spark.read.schema(self.SCHEMA).parquet(new), new
+
+    def drop(self) -> None:
+        if self.path:
+            drop_path(self.spark, self.path)
+
+    @staticmethod
+    def flat(batch: pa.RecordBatch) -> tuple:
+        """Each cell's row, and goals, l, k, t, f, p, h as arrays."""
+        lists = [batch.column(i) for i in range(2, 8)]
+        row = np.repeat(np.arange(batch.num_rows), np.diff(lists[0].offsets.to_numpy()))
+        return row, batch.column(1).to_numpy(), *(x.flatten().to_numpy(zero_copy_only=False) for x in lists)
+
+    def sums(self, of, n: int) -> np.ndarray:
+        """The sum over batches of of(*flat(batch)), n numbers."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(n)
+            for batch in batches:
+                if batch.num_rows:
+                    total += of(*Wide.flat(batch))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(n, dtype=np.int32)), pa.array(total)], names=["i", "x"])
+
+        found = self.rows.mapInArrow(run, "i int, x double").groupBy("i").agg(F.sum("x")).collect()
+        out = np.zeros(n)
+        for i, x in found:
+            out[i] = x
+        return out
+
+    def change(self, to) -> None:
+        """Put the (f, p, h) that to(*flat(batch)) gives."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(Wide.flat(batch)[0], minlength=batch.num_rows))]).astype(np.int32))
+                    made = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in to(*Wide.flat(batch))]
+                    yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(5)), *made], schema=WIDE)
+
+        self._write(self.rows.mapInArrow(run, self.SCHEMA))
+
+    def left(self) -> tuple[float, float]:
+        """What held cells leave of the sources' goals, and tokens that aren't held."""
+        return tuple(self.sums(lambda row, g, l, k, t, f, p, h: np.array([np.maximum(g - np.bincount(row, t * h, len(g)), 0).sum(), t[~h].sum()]), 2))
+
+    def rake(self, scale: float, langs: np.ndarray, topics: np.ndarray, tokens: float, rounds: int = ROUNDS):
+        """As rake(), over the cells that aren't held; scale is put on what is left of the sources' goals. Gives a function of flat()
+        that returns the factors."""
+        (nl, nk), b, c = self.shape, np.ones(len(langs)), np.ones(len(topics))
+        before = None
+
+        def source(row, g, t, l, k, h, b, c):
+            have = np.bincount(row, t * ~h * b[l] * c[k], len(g))
+            goal = np.maximum(g - np.bincount(row, t * h, len(g)), 0) * scale
+            return np.divide(goal, have, out=np.ones(len(g)), where=have > 0), goal, have
+
+        for _ in range(rounds):
+
+            def step(row, g, l, k, t, f, p, h, b=b, c=c, before=before):
+                a, goal, have = source(row, g, t, l, k, h, b, c)
+                was = np.ones(len(g)) if before is None else source(row, g, t, l, k, h, *before)[0]
+                # a sum over batches: whether any source is off is what counts
+                off = (np.abs(was * have - goal) >= TOLERANCE * max(1.0, tokens)).sum()
+                return np.concatenate([[off], np.bincount(l * nk + k, t * ~h * a[row], nl * nk)])
+
+            off, *m = self.sums(step, 1 + nl * nk)
+            m, before, worst = np.array(m).reshape(nl, nk), (b, c), 0.0
+            have = b * (m @ c)
+            worst = max(worst, np.abs(have - langs).max())
+            b = b * np.divide(langs, have, out=np.ones(nl), where=have > 0)
+            have = c * (b @ m)
+            worst = max(worst, np.abs(have - topics).max())
+            c = c * np.divide(topics, have, out=np.ones(nk), where=have > 0)
+            if not off and worst < TOLERANCE * max(1.0, tokens):
+                break
+
+        def factors(row, g, l, k, t, f, p, h):
+            a = source(row, g, t, l, k, h, *before)[0]
+            return np.where((t > 0) & ~h, a[row] * b[l] * c[k], 1.0)
+
+        return factors
+
+
+WIDE = pa.schema([("source", pa.string()), ("g", pa.float64()), *((x, pa.list_(pa.int32())) for x in "lk"), *((x, pa.list_(pa.float64())) for x in "tfp"), ("h", pa.list_(pa.bool_()))])
+
+
+def fitted_wide(cells: DataFrame, targets: Targets) -> DataFrame:
+    """The same columns by the same steps as fitted(), for more cells than the driver should hold."""
+    cells = written(cells, "mixing-wide")
     total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
-    state = cells.withColumn("w", F.col("tokens").cast("double"))
-    want = {}
-    for name in DIMENSIONS:
-        sums = cells.groupBy(name).agg(F.sum("tokens").alias("t")).where("t > 0")
-        fixed = targets.fixed.get(name, {})
-        table = F.create_map(*(F.lit(x) for kv in fixed.items() for x in kv)) if fixed else None
-        given = table[F.col(name)] if fixed else F.lit(None).cast("double")
-        s = sums.select(name, F.col("t"), given.alias("given")).withColumn("own", F.when(F.col("given").isNull(), F.pow(F.col("t") / total, F.lit(targets.powers[name]))))
-        own, free = s.agg(F.sum("own"), F.sum(F.when(F.col("given").isNull(), F.col("t")))).first()
-        left = max(max(0.0, 1 - sum(fixed.values())), (free or 0) / total) if fixed else 1.0
-        s = s.withColumn("part", F.coalesce("given", F.col("own") * F.lit(left / own if own else 0.0)))
-        norm = s.agg(F.sum("part")).first()[0] or 1.0
-        want[name] = s.select(F.col(name).alias(f"_{name}"), (F.col("part") * F.lit(targets.share * total / norm)).alias("goal"))
-    for _ in range(rounds):
-        for name in DIMENSIONS:
-            have = state.groupBy(F.col(name).alias("_k")).agg(F.sum("w").alias("have"))
-            ratio = have.join(want[name], F.col("_k").eqNullSafe(F.col(f"_{name}"))).select("_k", (F.col("goal") / F.col("have")).alias("ratio"))
-            state = state.join(ratio, F.col(name).eqNullSafe(F.col("_k")), "left").select(*DIMENSIONS, "tokens", (F.col("w") * F.coalesce("ratio", F.lit(1.0))).alias("w"))
-        new = work_path(spark, "mixing-cells")
-        state.write.parquet(new)
-        if path:
-            drop_path(spark, path)
-        state, path = spark.read.schema(state.schema).parquet(new), new
-    factor = F.when(F.col("tokens") > 0, F.col("w") / F.col("tokens")).otherwise(F.lit(1.0))
-    state = state.withColumn("factor", factor)
-    low, high = 0.0, 1.0
-    expected = lambda c: state.agg(F.sum(F.col("tokens") * F.least(F.lit(1.0), F.col("factor") * c))).first()[0] or 0.0
-    while high < 1e9 and expected(high) < targets.share * total * (1 - 1e-9):
-        high *= 2
-    for _ in range(30):
-        middle = (low + high) / 2
-        low, high = (middle, high) if expected(middle) < targets.share * total else (low, middle)
-    return state.select(*DIMENSIONS, "tokens", "factor", F.least(F.lit(1.0), F.col("factor") * high).alias("probability"))
+    if not total:
+        return cells.select(*DIMENSIONS, "tokens", F.lit(1.0).alias("factor"), F.lit(1.0).alias("probability"))
+    names, wanted = [], []
+    for name in DIMENSIONS[1:]:
+        rows = sorted(map(tuple, cells.groupBy(name).agg(F.sum("tokens")).collect()), key=lambda r: (r[0] is not None, r[0] or ""))
+        names.append([r[0] for r in rows])
+        wanted.append(marginal(names[-1], np.array([r[1] for r in rows], dtype=float), targets.powers[name], targets.fixed.get(name, {})) * targets.share * total)
+    # marginal() of the sources, which stay on the executors
+    fixed, power = targets.fixed.get("source", {}), targets.powers["source"]
+    sums = cells.groupBy("source").agg(F.sum("tokens").cast("double").alias("t")).where("t > 0")
+    free = sums.where(~F.coalesce(F.col("source").isin(*fixed), F.lit(False))) if fixed else sums
+    own, rest = free.agg(F.coalesce(F.sum(F.pow(F.col("t") / total, F.lit(power))), F.lit(0.0)), F.coalesce(F.sum("t"), F.lit(0.0))).first()
+    there = [r[0] for r in sums.where(F.col("source").isin(*fixed)).select("source").collect()] if fixed else []
+    share = max(max(0.0, 1 - sum(fixed.values())), rest / total) if fixed else 1.0
+    norm = sum(fixed[n] for n in there) + (share if own else 0.0)
+
+    def goal(name, t: float) -> float:
+        part = 0.0 if not t else fixed[name] if name in fixed else share * (t / total) ** power / own
+        return part / (norm or 1.0) * targets.share * total
+
+    wide = Wide(cells, *names, goal)
+    factors = wide.rake(1.0, *wanted, total)
+    wide.change(lambda *x: ((y := factors(*x)), y, x[-1]))
+    for _ in range(50):
+        over = lambda p, h: ~h & (p > 1 + 1e-9)
+        if not wide.sums(lambda row, g, l, k, t, f, p, h: np.array([over(p, h).sum()]), 1)[0]:
+            break
+        wide.change(lambda row, g, l, k, t, f, p, h: (f, p, h | over(p, h)))
+        nl, nk = wide.shape
+        held = wide.sums(lambda row, g, l, k, t, f, p, h: np.bincount(l * nk + k, t * h, nl * nk), nl * nk).reshape(nl, nk)
+        others = [np.maximum(w - held.sum(axis=1 - d), 0) for d, w in enumerate(wanted)]
+        sources, tokens = wide.left()
+        cells_left = wide.sums(lambda row, g, l, k, t, f, p, h: np.array([(~h).sum()]), 1)[0]
+        least = min(sources, *(x.sum() for x in others))
+        if not cells_left or least <= 0:
+            break
+        again = wide.rake(least / sources, *(x * least / x.sum() for x in others), tokens)
+        wide.change(lambda *x: (x[5], again(*x), x[-1]))
+    # the constant: cells that it brings to one are held, and it is worked out again, until no more are
+    weight = lambda p: np.minimum(p, 1.0) + 1e-12
+    high, need = 0.0, targets.share * total
+    while True:
+        done, left = wide.sums(lambda row, g, l, k, t, f, p, h, c=high: np.array([t[c * weight(p) > 1].sum(), (t * weight(p))[c * weight(p) <= 1].sum()]), 2)
+        before, high = high, (need - done) / left if left > 0 else np.inf
+        if high <= before * (1 + 1e-12) or not np.isfinite(high):
+            break
+    wide.change(lambda row, g, l, k, t, f, p, h: (f, np.minimum(1.0, high * weight(p)) if np.isfinite(high) else np.ones(len(p)), h))
+    langs, topics = (F.array(*(F.lit(x).cast("string") for x in y)) for y in names)
+    each = wide.rows.select("source", F.explode(F.arrays_zip("l", "k", "t", "f", "p")).alias("x"))
+    return each.select("source", F.get(langs, F.col("x.l")).alias("lang"), F.get(topics, F.col("x.k")).alias("topic"), F.col("x.t").cast("long").alias("tokens"), F.col("x.f").alias("factor"), F.col("x.p").alias("probability"))
 
 
 CELLS = "__source string, __lang string, __topic string, __tokens long, factor double, probability double"

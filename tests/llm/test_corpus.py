@@ -400,6 +400,17 @@ def test_mixing_rows(spark, docs, empty, sf):
     assert a.keys() == b.keys() and np.mean([abs(b[k] - c[k]) < 0.05 for k in b]) > 0.9
 
 
+def test_wide_raking_equals_raking_on_the_driver(spark):
+    # a small source and a small language that saturate, so that cells are held and the rest raked again
+    cells = [(f"s{i}" if i else None, lang, topic, (i + 1) ** 3 * a * b) for i in range(6) for lang, a in (("en", 40), ("de", 9), (None, 1)) for topic, b in (("prose", 20), ("short", 1)) if (i, lang) != (2, "de")]
+    table = spark.createDataFrame([*cells, ("none", "en", "prose", 0)], "source string, lang string, topic string, tokens long").coalesce(2)
+    targets = mixing.Targets(share=0.5, fixed={"source": {"s1": 0.2, "gone": 0.1}, "lang": {"en": 0.6}})
+    a = {r[:3]: r for r in mixing.fitted(table, targets)}
+    b = {tuple(r)[:3]: tuple(r) for r in mixing.fitted_wide(table, targets).collect()}
+    assert a.keys() == b.keys() and any(r[4] > 1.01 for r in a.values())
+    assert all(a[k][3] == b[k][3] and np.allclose(a[k][4:], b[k][4:], rtol=1e-6, atol=1e-6) for k in a)
+
+
 # -- pipeline
 
 
