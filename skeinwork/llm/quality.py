@@ -30,8 +30,8 @@ FOLDS, HELD_OUT = 4, 2
 CUT = 0.7
 #: Pairs for each worse document.
 PAIRS = 8
-#: Pairs in all, at most.
-MOST_PAIRS = 60_000
+#: Pairs that are worked on at a time.
+BLOCK = 16_384
 SYMBOLS = re.compile(r"[#*$%&|<>]")
 CAPITALS = re.compile(r"[A-ZÀ-ÖØ-Þ]")
 DIGITS = re.compile(r"[0-9]")
@@ -96,7 +96,10 @@ def bradley_terry(differences: np.ndarray, penalty: float = 20.0, steps: int = 2
     for _ in range(steps):
         p = 1 / (1 + np.exp(np.clip(differences @ w, -60, 60)))  # of the less likely order
         grad = differences.T @ p - penalty * w
-        hess = (differences * (p * (1 - p))[:, None]).T @ differences + penalty * np.eye(len(w))
+        hess = penalty * np.eye(len(w))
+        for i in range(0, len(p), BLOCK):
+            x, q = differences[i : i + BLOCK], p[i : i + BLOCK]
+            hess += (x * (q * (1 - q))[:, None]).T @ x
         step = np.linalg.solve(hess, grad)
         w = w + step
         if np.abs(step).max() < 1e-6:
@@ -115,9 +118,12 @@ def rank(x: np.ndarray, y: np.ndarray, seed: int = 7) -> Ranking:
     b = np.clip((b - r.center) / r.scale, -8, 8)
     random = np.random.default_rng(seed)
     good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
-    worse = random.permutation(np.repeat(bad, max(PAIRS, -(-len(good) // len(bad)))))[:MOST_PAIRS]
+    worse = random.permutation(np.repeat(bad, max(PAIRS, -(-len(good) // len(bad)))))
     better = np.resize(random.permutation(good), len(worse))
-    r.weights = bradley_terry(b[better] - b[worse])
+    differences = b[better]
+    for i in range(0, len(worse), BLOCK):
+        differences[i : i + BLOCK] -= b[worse[i : i + BLOCK]]
+    r.weights = bradley_terry(differences)
     s = b @ r.weights
     ordered = np.sort(s)
     k = len(bad)

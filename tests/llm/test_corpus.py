@@ -348,6 +348,14 @@ def test_recall_against_all_offsets():
     assert len(got & near) / len(near) >= 0.9
 
 
+def test_every_worse_document_has_its_pairs(monkeypatch):
+    seen, r = [], np.random.default_rng(1)
+    monkeypatch.setattr(quality, "bradley_terry", lambda differences: seen.append(len(differences)) or np.zeros(differences.shape[1]))
+    y = (np.arange(10_000) % 10 == 0).astype(int)
+    quality.rank(r.normal(size=(10_000, 2)), y)
+    assert seen == [9_000 * quality.PAIRS]
+
+
 # -- 8
 
 
