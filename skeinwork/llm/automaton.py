@@ -10,6 +10,8 @@ import numpy as np
 
 #: Bytes of a text that are scanned as one lane of a scan.
 LANE = 256
+#: Lanes to run again that are too few to be worth a round of all of them.
+FEW = 16
 
 
 class _Parser:
@@ -209,7 +211,8 @@ class Automaton:
         """Positions after which some rule accepts, over the texts put together, and the masks there.
 
         Each text is cut into lanes that advance together, a byte of all of them at a time. Lanes begin in the start
-        state; a lane whose predecessor in its text ended in another state is run again from that, until no end changes.
+        state; a lane whose predecessor in its text ended in another state is run again from that, until no end changes. A few
+        lanes are run again byte by byte, on into the lanes behind them, so that a state which lasts for a whole text costs one pass.
         """
         sizes = np.array([len(t) for t in texts], dtype=np.int64)
         data = np.frombuffer(b"".join(texts), dtype=np.uint8)
@@ -235,6 +238,10 @@ class Automaton:
             wrong = follows[now != begin[rank[follows]]]
             if not len(wrong):
                 break
+            if len(wrong) <= FEW:
+                for lane in wrong.tolist():
+                    self._run_on(classes, lane, start, length, rank, k, begin, states)
+                continue
             at = np.sort(rank[wrong])
             begin[at] = final[rank[order[at] - 1]]
             self._advance(classes, start[order[at]], length[order[at]], begin[at], states, at)
@@ -267,6 +274,25 @@ class Automaton:
                         break
                     start, length, columns, cur = start[keep], length[keep], columns[keep], cur[keep]
 
+    def _run_on(self, classes: np.ndarray, lane: int, start: np.ndarray, length: np.ndarray, rank: np.ndarray, k: np.ndarray, begin: np.ndarray, states: np.ndarray) -> None:
+        """Run a lane from its predecessor's last state, and the lanes of the same text behind it, until a state is met that was there before."""
+        rows, before = self.rows, rank[lane - 1]
+        s = int(states[length[lane - 1] - 1, before])
+        while True:
+            c, n = rank[lane], int(length[lane])
+            begin[c] = s
+            old = states[:n, c].tolist()
+            new = []
+            for b, was in zip(classes[start[lane] : start[lane] + n].tolist(), old):
+                s = rows[s][b]
+                if s == was:
+                    break
+                new.append(s)
+            states[: len(new), c] = new
+            lane += 1
+            if len(new) < n or lane >= len(k) or not k[lane]:
+                return
+
     def longest(self, data: bytes, at: int, end: int) -> int:
         """The end of the longest match that begins at `at`, or -1."""
         s, rows, cls, accept, best = 0, self.rows, self.class_of, self.accepts, -1

@@ -3,11 +3,14 @@
 All rules are compiled together (subset construction, minimisation, transition arrays) and every byte of a text is
 read once by that automaton, which tells where matches of which rules end. Each match's begin comes from the rule's
 reversed automaton, its last end from the rule's own one, and matches of a rule are leftmost, longest and apart.
+Where a rule's beginning is found without the rest, one more pass, from the text's end, tells where whole matches of the rule begin, and
+only there the rule's own automaton runs: the time is linear in the text's length for any text.
 
 Matches consume their text first, and those that are too short are dropped then. No match of a rule may begin inside
 another whose pattern isn't complete yet, which holds for the rules here.
 
-Defined cases: null and empty texts have no spans; spans are in code points, end exclusive, so a text with characters
+Defined cases: null and empty texts have no spans; an empty table gives no rows; other columns, whatever their names, are ignored by the scan and
+kept by masked(); spans that overlap are masked as one; spans are in code points, end exclusive, so a text with characters
 of several bytes has the same spans as Python's ``re`` gives; repeated rows are each scanned; bytes that aren't UTF-8
 count as characters wherever they aren't continuation bytes.
 """
@@ -67,6 +70,7 @@ class Scanner:
         self.all = Automaton([r.pattern for r in rules], [r.fold for r in rules])
         self.ahead = [Automaton([r.pattern + r.rest], [r.fold], search=False) for r in rules]
         self.back = [Automaton([r.pattern], [r.fold], search=False, reverse=True) for r in rules]
+        self.whole = [Automaton([r.pattern + r.rest], [r.fold], reverse=True) for r in rules]
         self.part = [re.compile(r.part) if r.part else None for r in rules]
 
     def spans(self, texts: list[bytes]) -> list[list[tuple[int, int, int]]]:
@@ -90,14 +94,15 @@ class Scanner:
         seen = int(np.bitwise_or.reduce(masks))
         for k, rule in enumerate(self.rules):
             if seen >> k & 1:
-                mine, bound, at = ends[(masks >> np.uint32(k) & np.uint32(1)).astype(bool)], 0, 0
+                mine, bound, at, whole = ends[(masks >> np.uint32(k) & np.uint32(1)).astype(bool)], 0, 0, None
                 while at < len(mine):
                     begin = self.back[k].leftmost(text, bound, int(mine[at]))
-                    if begin < 0:  # what ends here began before the last match's end
+                    if begin < 0 or (whole is not None and not whole[begin]):  # it began before the last match's end, or its rest isn't there
                         at += 1
                         continue
                     end = self.ahead[k].longest(text, begin, len(text))
                     if end < 0:  # the pattern is there, its rest isn't
+                        whole = self._begins(k, text)
                         at += 1
                         continue
                     bound = end
@@ -105,6 +110,12 @@ class Scanner:
                     at = int(np.searchsorted(mine, bound, side="right"))
         return sorted(((a, b, k) for a, b, k in found if self._kept(text, a, b, k)), key=lambda x: (x[0], x[2]))
 
+    def _begins(self, k: int, text: bytes) -> np.ndarray:
+        """Whether a match of rule k, rest included, begins at each byte."""
+        out = np.zeros(len(text), dtype=bool)
+        out[len(text) - self.whole[k].scan([text[::-1]])[0]] = True
+        return out
+
     def _kept(self, text: bytes, begin: int, end: int, k: int) -> bool:
         if self.part[k]:
             begin = self.part[k].match(text, begin, end).end()
@@ -143,7 +154,7 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 
 def mask(text: str, spans: list[tuple[int, int, str]]) -> str:
-    """The text with every span replaced by [kind]; of spans that overlap, the first names the replacement."""
+    """The text with every span replaced by [kind]; spans that overlap go together, and the first of them names the replacement."""
     out, at = [], 0
     for begin, end, kind in sorted(spans):
         if begin >= at:
