@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,9 +26,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local master may leave it unset and has a temporary one."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = getattr(spark, "_skeinwork_tmp", None) or tempfile.mkdtemp(prefix="skeinwork-")
         spark._skeinwork_tmp = base
     return base.rstrip("/")
@@ -39,20 +41,79 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/skeinwork/{name}-{uuid.uuid4().hex}"
 
 
+def _file_system(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a work folder through Hadoop's file system, wherever it is."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    fs, p = _file_system(spark, path)
+    fs.delete(p, True)
+
+
+def drop_at_exit(spark: SparkSession, path: str) -> None:
+    """Delete a work folder when the driver ends: what a lazy result reads can't go earlier."""
+    fs, p = _file_system(spark, path)
+    fs.deleteOnExit(p)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df after a round trip through Parquet in the shared folder; later stages don't recompute what led to it."""
+    """df after a round trip through Parquet in the shared folder; later stages don't recompute what led to it. The folder goes when the driver ends."""
     path = work_path(df.sparkSession, name)
     df.write.parquet(path)
+    drop_at_exit(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Work:
+    """Tables written for the steps of one operator; they go when the block ends, whether it fails or not."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Work:
+        return self
+
+    def put(self, df: DataFrame, name: str) -> DataFrame:
+        self.paths.append(work_path(self.spark, name))
+        df.write.parquet(self.paths[-1])
+        return self.spark.read.schema(df.schema).parquet(self.paths[-1])
+
+    def drop_first(self, n: int) -> None:
+        """Drop the n oldest tables that are still there."""
+        for path in self.paths[:n]:
+            drop_path(self.spark, path)
+        del self.paths[:n]
+
+    def __exit__(self, *_) -> None:
+        self.drop_first(len(self.paths))
+
+
+#: A key is hot if it has more than this part of all rows, so there are fewer hot keys than the denominator says.
+HOT = 1 / 500
+#: Parts into which a hot key's rows are dealt.
+PARTS = 64
+
+
+def spread_join(big: DataFrame, small: DataFrame, key: str, salt: str | Column, how: str = "inner") -> DataFrame:
+    """big joined to small (few rows for each key) on their column `key`, with the rows of hot keys dealt over PARTS tasks by `salt`.
+
+    Hot keys are fewer than 1 / HOT, so they may be collected and broadcast; small's rows of these are copied to every part. big is read twice.
+    """
+    counts = big.groupBy(key).count()
+    least = max(PARTS, int((big.count()) * HOT))
+    hot = [r[0] for r in counts.where(F.col("count") > least).select(key).collect()]
+    if not hot:
+        return big.join(small.hint("merge"), key, how)
+    marks = F.broadcast(big.sparkSession.createDataFrame([(k,) for k in hot], big.select(key).schema).withColumn("_hot", F.lit(True)))
+    part = F.when(F.col("_hot"), F.pmod(F.xxhash64(salt), F.lit(PARTS))).otherwise(F.lit(0))
+    dealt = big.join(marks, key, "left").withColumn("_part", part.cast("int")).drop("_hot")
+    parts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(PARTS - 1))).otherwise(F.array(F.lit(0)))
+    copied = small.join(marks, key, "left").withColumn("_part", F.explode(parts)).drop("_hot")
+    return dealt.join(copied.hint("merge"), [key, "_part"], how).drop("_part")
+
+
 def only(df: DataFrame, *kinds: tuple[str, T.DataType]) -> DataFrame:
     """The named columns in the given types. Other columns, whatever their names, go."""
     return df.select(*(F.col(f"`{name}`").cast(kind).alias(name) for name, kind in kinds))

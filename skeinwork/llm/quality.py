@@ -10,7 +10,9 @@ takes the value CUT there.
 All fitting is on SAMPLE_ROWS labelled rows at most, outside the held-out fold; every row is scored.
 
 Defined cases: null and empty texts have the score of a text without words; without labels of both kinds every score is
-CUT if there are only better documents or none, and 0 if there are only worse ones; repeated rows have equal scores.
+CUT if there are only better documents or none, and 0 if there are only worse ones; repeated rows have equal scores; of repeated
+labels of an id the largest counts, of repeated labelled rows one; an empty table gives no rows; texts of any length are read whole; columns other
+than doc_id and text, whatever their names, are ignored; documents with the threshold's score count as better.
 """
 
 from __future__ import annotations
@@ -137,7 +139,7 @@ def rank(x: np.ndarray, y: np.ndarray, seed: int = 7) -> Ranking:
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted of every row."""
-    x, y, _ = matrix(labelled(docs, labels, "quality", FOLDS, HELD_OUT), features)
+    x, y, _ = matrix(labelled(docs, labels, "quality", FOLDS, HELD_OUT), lambda text, _: features(text), len(features("")))
     found = scored(docs, features, rank(x, y))
     return found.select("doc_id", (fold("doc_id", FOLDS) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
 

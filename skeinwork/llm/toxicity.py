@@ -1,15 +1,18 @@
 """Toxicity: gradient-boosted trees over dense features, with isotonic calibration.
 
-Features: densities of a fixed lexicon and of one learned from labelled texts, how near its words stand to words
-of the second person, capitals, punctuation, symbols, and rates of obfuscation (digits and signs inside words,
-stretched letters, words that are in the lexicon only after these are undone).
+One lexicon, of plain English insults and of words and word beginnings learned from labelled texts of any language, serves all features:
+densities of its words, how near they stand to words of the second person, capitals, punctuation, symbols, and rates of
+obfuscation (digits and signs inside words, stretched and spaced letters, words that are in the lexicon only after these are undone).
 
-Labelled rows outside the held-out fold are dealt by fold: one for the learned lexicon, two for the trees, one for the calibration,
-so that no part is fitted on what another has already seen. Folds with too few toxic rows are used for all three.
+Labelled rows outside the held-out fold are dealt to the other folds, and nothing is judged by what has seen it: a row's features use the
+lexicon learned without its fold, and the calibration is fitted on margins of trees grown without the row's fold. The final
+lexicon and trees are those of all folds. It is so at every number of rows.
 All fitting is on SAMPLE_ROWS labelled rows at most; every row is scored.
 
 Defined cases: null and empty texts have the score of a text without words; without labels of both kinds every score is
-the share of toxic labels (0 without any); repeated rows have equal scores.
+the share of toxic labels (0 without any); repeated rows have equal scores; of repeated labels of an id the largest counts, of repeated
+labelled rows one; an empty table gives no rows; texts of any length are read whole; columns other than doc_id and text,
+whatever their names, are ignored by the scores and kept by without_toxic().
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skeinwork.llm.common import read_table, text_slices
+from skeinwork.llm.common import Work, read_table, text_slices
 from skeinwork.llm.learn import fold, labelled, matrix, score_column, scored
 
 FOLDS, HELD_OUT = 5, 0
@@ -44,9 +47,11 @@ SPACED = re.compile(r"(?:\b[^\W\d_][ .\-*]){3,}[^\W\d_]\b")
 PUNCTUATION = re.compile(r"[!?.,;:]")
 SYMBOLS = re.compile(r"[#*$%&|<>@^~]")
 CAPITALS = re.compile(r"[A-ZÀ-ÖØ-Þ]")
-#: Learned grams: whole words ("word$") and beginnings of longer ones ("begin*").
+#: Learned grams: whole words ("word$") and beginnings of longer ones ("begin*"). The LEARNED_GRAMS most telling ones are kept.
 LEARNED_GRAMS = 400
-PREFIXES = (4, 5, 6, 7, 8)
+PREFIXES = (3, 4, 5, 6, 7, 8)
+#: Weight of the fixed lexicon's words, and the least weight of a word that counts as a hit.
+FIXED_WEIGHT, HIT = 4.0, 2.5
 
 
 def grams(word: str) -> list[str]:
@@ -54,47 +59,58 @@ def grams(word: str) -> list[str]:
     return [word + "$", *(word[:k] + "*" for k in PREFIXES if len(word) > k)]
 
 
+NAMES = (
+    "hits", "hit density", "different hits", "weight density", "largest weight", "hits near you", "nearness", "you density",
+    "capitals", "exclamations", "punctuation", "symbols", "undone density", "signed words", "stretched words", "different words", "words",
+)
+WIDTH = len(NAMES)
+
+
 class Features:
-    """The features of a text, with the learned lexicon's weights."""
+    """The features of a text, with the weights of learned grams."""
 
     def __init__(self, learned: dict[str, float]):
         self.learned = learned
-        self.begins = frozenset(g[:3] for g in learned)
+        self.begins = frozenset(g[:3] for g in learned) | {w[:3] for w in LEXICON}
 
     def weight(self, word: str) -> float:
         """The largest weight of a word's grams, 0 without any."""
-        return max((self.learned.get(g, 0.0) for g in grams(word)), default=0.0) if word[:3] in self.begins else 0.0
+        if word[:3] not in self.begins:
+            return 0.0
+        return max((self.learned.get(g, 0.0) for g in grams(word)), default=0.0) if word not in LEXICON else FIXED_WEIGHT
+
+    def undone(self, low: str, counts: Counter) -> tuple[int, int, int]:
+        """Words that are hits only after signs, stretched letters and spaces between letters are undone; words with signs; stretched ones."""
+        signed, stretched = SIGNED.findall(low), STRETCHED.findall(low)
+        undone = sum(any(not c.isalpha() for c in w) and self.weight("".join(LETTERS.findall(w.translate(LEET)))) >= HIT for w in signed)
+        if stretched:
+            undone += sum(w not in counts and self.weight(w) >= HIT for w in LETTERS.findall(STRETCHED.sub(r"\1", low)))
+        undone += sum(self.weight("".join(LETTERS.findall(w))) >= HIT for w in SPACED.findall(low))
+        return undone, len(signed), len(stretched)
 
-    def __call__(self, text: str) -> list[float]:
+    def __call__(self, text: str, _: int = 0) -> list[float]:
         low = text.lower()
         words = LETTERS.findall(low)
         n = len(words) or 1
         chars = len(text) or 1
         counts = Counter(words)
-        hit = counts.keys() & LEXICON
-        hits = sum(counts[w] for w in hit)
         begins = self.begins
-        learned = {w: x for w in counts if w[:3] in begins and (x := self.weight(w))}
-        weight = sum(learned.values())
-        strong = sum(counts[w] for w, x in learned.items() if x > 2.5)
+        weights = {w: x for w in counts if w[:3] in begins and (x := self.weight(w))}
+        hit = {w for w, x in weights.items() if x >= HIT}
+        hits = sum(counts[w] for w in hit)
         you = sum(counts[w] for w in counts.keys() & YOU)
-        near = 0
+        near, nearness = 0, 0.0
         if hits and you:
-            at = [i for i, w in enumerate(words) if w in YOU]
-            spots = np.searchsorted(at, [i for i, w in enumerate(words) if w in hit])
-            for k, i in zip(spots.tolist(), (i for i, w in enumerate(words) if w in hit)):
-                near += min(abs(at[j] - i) for j in (k - 1, k) if 0 <= j < len(at)) <= NEAR
-        signed = SIGNED.findall(low)
-        undone = sum(LETTERS.sub("", w) != "" and re.sub(r"[^a-z]", "", w.translate(LEET)) in LEXICON for w in signed)
-        stretched = STRETCHED.findall(low)
-        if stretched:
-            undone += sum(w in LEXICON and w not in counts for w in LETTERS.findall(STRETCHED.sub(r"\1", low)))
-        spaced = SPACED.findall(low)
-        undone += sum(re.sub(r"[^a-z]", "", w) in LEXICON for w in spaced)
+            at = np.array([i for i, w in enumerate(words) if w in YOU])
+            spots = np.array([i for i, w in enumerate(words) if w in hit])
+            k = np.searchsorted(at, spots)
+            gap = np.minimum(np.abs(at[np.maximum(k - 1, 0)] - spots), np.abs(at[np.minimum(k, len(at) - 1)] - spots))
+            near, nearness = int((gap <= NEAR).sum()), float((1 / (1 + gap)).max())
+        undone, signed, stretched = self.undone(low, counts)
         return [
-            float(hits), 100 * hits / n, float(len(hit)), weight, 100 * weight / n, float(len(learned)), max(learned.values(), default=0.0), float(strong), 100 * strong / n, 100 * near / n, float(near), 100 * you / n,
-            len(CAPITALS.findall(text)) / chars, text.count("!") / chars, len(PUNCTUATION.findall(text)) / chars, len(SYMBOLS.findall(text)) / chars,
-            float(undone), 100 * len(signed) / n, 100 * len(stretched) / n, len(counts) / n, float(np.log1p(len(words))),
+            float(hits), 100 * hits / n, float(len(hit)), 100 * sum(x * counts[w] for w, x in weights.items()) / n, max(weights.values(), default=0.0),
+            100 * near / n, nearness, 100 * you / n, len(CAPITALS.findall(text)) / chars, text.count("!") / chars, len(PUNCTUATION.findall(text)) / chars, len(SYMBOLS.findall(text)) / chars,
+            100 * undone / n, 100 * signed / n, 100 * stretched / n, len(counts) / n, float(np.log1p(len(words))),
         ]
 
 
@@ -178,57 +194,72 @@ def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Model:
-    """Calibrated scores. A fiftieth of the uncalibrated one keeps the order where the calibration is flat."""
+    """Calibrated scores."""
 
     trees: Boosted | None
     knots: tuple[np.ndarray, np.ndarray]
     share: float
 
     def __call__(self, x: np.ndarray) -> np.ndarray:
-        if self.trees is None:
-            return np.full(len(x), self.share)
-        raw = self.trees.raw(x)
-        return 0.98 * np.interp(raw, *self.knots) + 0.02 / (1 + np.exp(-raw))
+        return np.full(len(x), self.share) if self.trees is None else np.interp(self.trees.raw(x), *self.knots)
 
 
 # -- fitting
 
 
-def learned_lexicon(rows: DataFrame, most: int = LEARNED_GRAMS) -> dict[str, float]:
-    """Grams of toxic texts that other texts rarely have, with the logarithm of the ratio of their document shares."""
+def gram_counts(rows: DataFrame) -> tuple[dict[str, list[int]], list[int]]:
+    """Documents with each gram, and all documents, as 2 * fold + label counts. Grams of less than a fiftieth of the toxic documents, or of less than three, stay out."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, raw in text_slices(batch):
                 seen: dict[str, list[int]] = {}
-                for label, t in zip(part.column(2).to_pylist(), raw):
+                for label, k, t in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), raw):
                     words = set(LETTERS.findall(t.decode("utf-8", "replace").lower()))
                     for g in {g for w in words for g in grams(w)}:
-                        seen.setdefault(g, [0, 0])[label] += 1
-                yield pa.RecordBatch.from_pydict({"gram": pa.array(list(seen), pa.string()), "clean": pa.array([v[0] for v in seen.values()], pa.int64()), "toxic": pa.array([v[1] for v in seen.values()], pa.int64())})
-
-    toxic, all_rows = rows.agg(F.sum("label"), F.count("*")).first()
-    toxic, clean = int(toxic or 0), all_rows - int(toxic or 0)
-    if not toxic or not clean:
-        return {}
-    words = rows.mapInArrow(counted, "gram string, clean long, toxic long").groupBy("gram").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    ratio = (F.col("toxic") / toxic) / ((F.col("clean") + 1) / (clean + 1))
-    kept = words.where(F.col("toxic") >= max(3, round(0.02 * toxic))).withColumn("weight", F.log(ratio)).where("weight > 1.4")
-    return {r["gram"]: r["weight"] for r in kept.orderBy(F.desc(F.col("weight") * F.log1p("toxic")), "gram").limit(most).collect()}
+                        seen.setdefault(g, [0] * (2 * FOLDS))[2 * k + label] += 1
+                columns = [pa.array([v[i] for v in seen.values()], pa.int64()) for i in range(2 * FOLDS)]
+                yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), *columns], names=["gram", *(f"n{i}" for i in range(2 * FOLDS))])
+
+    kind = ", ".join(f"n{i} long" for i in range(2 * FOLDS))
+    totals = [0] * (2 * FOLDS)
+    for k, label, n in rows.groupBy("fold", "label").count().collect():
+        totals[2 * k + label] = n
+    sums = rows.mapInArrow(counted, f"gram string, {kind}").groupBy("gram").agg(*(F.sum(f"n{i}").alias(f"n{i}") for i in range(2 * FOLDS)))
+    toxic = sum((F.col(f"n{2 * k + 1}") for k in range(FOLDS)), F.lit(0))
+    clean = sum((F.col(f"n{2 * k}") for k in range(FOLDS)), F.lit(0))
+    # at most fifty times a text's grams: what a fiftieth of the toxic texts have, and clean ones have less often
+    kept = sums.where((toxic >= max(3, round(0.02 * sum(totals[1::2])))) & (toxic * sum(totals[::2]) > 2 * clean * sum(totals[1::2])))
+    return {r[0]: list(r[1:]) for r in kept.collect()}, totals
+
+
+def lexicon(counts: dict[str, list[int]], totals: list[int], without: int | None = None, most: int = LEARNED_GRAMS) -> dict[str, float]:
+    """The most telling grams of all folds but `without`, with the logarithm of the ratio of their shares of toxic and of other documents."""
+    folds = [k for k in range(FOLDS) if k != without]
+    pick = lambda v, label: sum(v[2 * k + label] for k in folds)
+    toxic, clean = pick(totals, 1), pick(totals, 0)
+    found = []
+    for g, v in counts.items():
+        t, c = pick(v, 1), pick(v, 0)
+        if t >= 3 and (w := float(np.log((t / toxic) / ((c + 1) / (clean + 1))))) > 1.4:
+            found.append((-w * np.log1p(t), g, w))
+    return {g: w for _, g, w in sorted(found)[:most]}
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int | None = None) -> tuple[Features, Model]:
     """Features and model from labelled rows outside the held-out fold."""
-    rows = labelled(docs, labels, "toxic", FOLDS, HELD_OUT, *([sample_rows] if sample_rows else []))
-    by_fold = dict(rows.where("label = 1").groupBy("fold").count().collect())
-    thin = min(by_fold.get(k, 0) for k in (1, 2, 3, 4)) < 20
-    features = Features(learned_lexicon(rows if thin else rows.where("fold = 1")))
-    x, y, folds = matrix(rows, features)
+    with Work(docs.sparkSession) as work:
+        rows = work.put(labelled(docs, labels, "toxic", FOLDS, HELD_OUT, *([sample_rows] if sample_rows else [])), "toxicity-sample")
+        counts, totals = gram_counts(rows)
+        apart = {k: Features(lexicon(counts, totals, k)) for k in range(FOLDS) if k != HELD_OUT}
+        x, y, folds = matrix(rows, lambda text, k: apart[k](text), WIDTH)
+    features = Features(lexicon(counts, totals))
     if not 0 < y.sum() < len(y):
         return features, Model(None, (np.zeros(1), np.zeros(1)), float(y.mean()) if len(y) else 0.0)
-    train, check = (np.ones(len(y), bool), np.ones(len(y), bool)) if thin else (np.isin(folds, (2, 3)), folds == 4)
-    trees = boost(x[train], y[train])
-    return features, Model(trees, isotonic(trees.raw(x[check]), y[check]), float(y.mean()))
+    margins = np.zeros(len(y))
+    for k in np.unique(folds):
+        margins[folds == k] = boost(x[folds != k], y[folds != k]).raw(x[folds == k]) if (folds != k).any() else 0.0
+    return features, Model(boost(x, y), isotonic(margins, y), float(y.mean()))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
