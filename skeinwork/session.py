@@ -17,10 +17,13 @@ def session(master: str = "local[*]", **conf: str) -> SparkSession:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a reliable checkpoint, in spark.checkpoint.dir or, where that is unset, a temporary folder."""
+    """df with its lineage cut by a reliable checkpoint in spark.checkpoint.dir. Only a local master may leave that unset and has a temporary folder."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         import tempfile
 
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="skeinwork-"))
+        shared = context.getConf().get("spark.checkpoint.dir")
+        if not shared and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="skeinwork-"))
     return df.checkpoint()
