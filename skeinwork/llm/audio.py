@@ -5,12 +5,17 @@ semitone modulo the octave, each frame scaled to length one. Sixteen filters com
 an integral image; each comparison is quantised to two bits in Gray code, and the sixteen are packed into a 32-bit
 integer for each position. Positions whose window holds silence have none.
 
-Queries are matched to every recording in blocks of at most BLOCK queries, whose integers make a sorted index: equal
+Queries are matched to every recording in blocks of about BLOCK_PRINTS integers, which make a sorted index: equal
 integers vote for an offset between the two recordings, the offset with the most votes (of equal ones the smallest shift) is verified by
-the share of differing bits over the overlap. Only matches leave a task; nothing is joined or kept per pair otherwise.
+the share of differing bits over the overlap. Votes are counted VOTES at a time, so that an integer that is everywhere (a steady tone)
+costs time, not memory. Only matches leave a task; nothing is joined or kept per pair otherwise.
 
-Defined cases: null, broken or silent audio and audio shorter than a filter window has an empty fingerprint and no match; repeated rows
-match each other; ids that are null are no queries, and match as any other; channels are averaged; an empty table gives no rows.
+Every row is a recording of its own, told apart by `row`, a number that it gets when its fingerprint is written.
+
+Defined cases: null, broken or silent audio and audio shorter than a filter window has an empty fingerprint and no match; rows that repeat an id
+are different recordings, which match each other and are joined by row, so nothing multiplies; null ids are no queries, and match as any
+other; channels are averaged; an empty table gives no rows; recordings of any length are read whole; columns other than id and audio,
+whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skeinwork.llm.common import read_table, work_path, written
+from skeinwork.llm.common import drop_at_exit, read_table, work_path, written
 
 FRAME, HOP = 1024, 256
 LOWEST, HIGHEST = 100.0, 1900.0
@@ -34,7 +39,9 @@ SPAN = 16
 #: Quantiser steps of a filter's log ratio.
 STEPS = (-0.25, 0.0, 0.25)
 GRAY = np.array([0, 1, 3, 2], dtype=np.uint32)
-BLOCK = 4096
+#: Integers of a block of queries, and votes that are counted at a time.
+BLOCK_PRINTS = 1 << 19
+VOTES = 1 << 20
 MIN_VOTES = 2
 MIN_OVERLAP = 48
 MAX_BIT_ERROR = 0.25
@@ -170,17 +177,27 @@ class Index:
         """(query, offset of the recording's positions to the query's, votes, overlap, bit error) for each query that matches."""
         lo, hi = np.searchsorted(self.keys, prints, "left"), np.searchsorted(self.keys, prints, "right")
         n = hi - lo
-        if not n.sum():
+        met = np.flatnonzero(n)
+        if not len(met):
             return []
-        at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        offset = np.repeat(places.astype(np.int64), n) - self.place[at]
-        votes, counts = np.unique(np.stack([self.query[at], offset]), axis=1, return_counts=True)
+        lo, n, places_met = lo[met], n[met], places[met].astype(np.int64)
+        base = int(places.max()) + int(self.place.max()) + 1  # offsets are between -base and base
+        votes, counts = np.empty(0, np.int64), np.empty(0, np.int64)
+        begins = np.concatenate([[0], np.cumsum(n)])
+        for first in range(0, int(begins[-1]), VOTES):
+            vote = np.arange(first, min(first + VOTES, int(begins[-1])))
+            i = np.searchsorted(begins, vote, "right") - 1
+            at = lo[i] + vote - begins[i]
+            found, c = np.unique(self.query[at] * (2 * base + 1) + (places_met[i] - self.place[at]) + base, return_counts=True)
+            votes, where = np.unique(np.concatenate([votes, found]), return_inverse=True)
+            counts = np.bincount(where, np.concatenate([counts, c])).astype(np.int64)
         enough = counts >= MIN_VOTES
-        out, best = [], {}
-        for q, d, c in zip(votes[0][enough].tolist(), votes[1][enough].tolist(), counts[enough].tolist()):
-            if q not in best or (c, -abs(d), -d) > (best[q][1], -abs(best[q][0]), -best[q][0]):
-                best[q] = (d, c)
-        for q, (d, c) in best.items():
+        query, offset = np.divmod(votes[enough], 2 * base + 1)
+        offset, counts = offset - base, counts[enough]
+        order = np.lexsort((offset, np.abs(offset), -counts, query))
+        best = order[np.unique(query[order], return_index=True)[1]]
+        out = []
+        for q, d, c in zip(query[best].tolist(), offset[best].tolist(), counts[best].tolist()):
             overlap, error = bit_error(self.prints[q], self.places[q], prints, places, d)
             if overlap >= MIN_OVERLAP and error <= MAX_BIT_ERROR:
                 out.append((q, d, c, overlap, error))
@@ -189,40 +206,46 @@ class Index:
 
 def bit_error(a: np.ndarray, at_a: np.ndarray, b: np.ndarray, at_b: np.ndarray, offset: int) -> tuple[int, float]:
     """Positions that a, moved by the offset, and b both have, and the share of bits that differ there."""
-    _, i, j = np.intersect1d(at_a.astype(np.int64) + offset, at_b, assume_unique=True, return_indices=True)
+    moved = at_a.astype(np.int64) + offset  # both ascend
+    j = np.searchsorted(at_b, moved)
+    i = np.flatnonzero((j < len(at_b)) & (at_b[np.minimum(j, len(at_b) - 1)] == moved)) if len(at_b) else np.empty(0, np.int64)
+    j = j[i]
     return len(i), float(np.bitwise_count(a[i] ^ b[j]).sum() / (32 * len(i))) if len(i) else 1.0
 
 
-MATCHES = "query_id long, match_id long, offset int, votes int, overlap int, bit_error double"
+MATCHES = "query_row long, match_row long, match_id long, offset int, votes int, overlap int, bit_error double"
 
 
-def align(prints: DataFrame, every: int = QUERY_EVERY, block: int = BLOCK) -> DataFrame:
-    """Matches of each recording whose id is divisible by `every` with every other recording. prints: as from fingerprints(), on disk."""
+def align(prints: DataFrame, every: int = QUERY_EVERY, block: int = BLOCK_PRINTS) -> DataFrame:
+    """Matches of each recording whose id is divisible by `every` with every other recording. prints: as from fingerprints() with `row`, on disk."""
     spark, path = prints.sparkSession, work_path(prints.sparkSession, "audio-matches")
     queries = prints.where(F.pmod("id", F.lit(every)) == 0)
-    blocks = max(1, -(-queries.count() // (block // 2)))  # hashing fills them unevenly
+    total = queries.agg(F.sum(F.size("prints"))).first()[0] or 0
+    blocks = max(1, -(-2 * total // block))  # hashing fills them unevenly
     for b in range(blocks):
-        rows = queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).orderBy("id").collect()
+        rows = queries.where(F.pmod(F.xxhash64("row"), F.lit(blocks)) == b).orderBy("row").collect()
         if not rows and b:
             continue
-        index = Index([r["id"] for r in rows], [np.array(r["prints"], dtype=np.uint32) for r in rows], [np.array(r["places"], dtype=np.int32) for r in rows])
+        index = Index([r["row"] for r in rows], [np.array(r["prints"], dtype=np.uint32) for r in rows], [np.array(r["places"], dtype=np.int32) for r in rows])
         held = spark.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            ix, names = held.value, ("query_id", "match_id", "offset", "votes", "overlap", "bit_error")
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64())
+            ix, names = held.value, ("query_row", "match_row", "match_id", "offset", "votes", "overlap", "bit_error")
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64())
             for batch in batches:
                 for i in range(0, batch.num_rows, 1024):
                     part, found = batch.slice(i, 1024), []
-                    for k, p, q in zip(*(part.column(c) for c in range(3))):
-                        k = k.as_py()
-                        for query, d, c, overlap, error in ix.matches(np.array(p.as_py(), dtype=np.uint32), np.array(q.as_py(), dtype=np.int32)):
-                            if ix.ids[query] != k:
-                                found.append((ix.ids[query], k, d, c, overlap, error))
-                    cols = list(zip(*found)) or [[]] * 6
+                    for k, p, q, row in zip(*(part.column(c) for c in range(4))):
+                        row, k = row.as_py(), k.as_py()
+                        for query, *what in ix.matches(p.values.to_numpy().astype(np.uint32), q.values.to_numpy()):
+                            if ix.ids[query] != row:
+                                found.append((ix.ids[query], row, k, *what))
+                    cols = list(zip(*found)) or [[]] * 7
                     yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(cols, kinds)], names=list(names))
 
-        prints.mapInArrow(run, MATCHES).write.mode("append").parquet(path)
+        prints.select("id", "prints", "places", "row").mapInArrow(run, MATCHES).write.mode("append").parquet(path)
+        held.destroy()
+    drop_at_exit(spark, path)
     return spark.read.schema(MATCHES).parquet(path)
 
 
@@ -262,9 +285,14 @@ def tunes(embeddings: DataFrame) -> DataFrame:
     return embeddings.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).mapInArrow(run, "vec_id long, audio binary")
 
 
+def numbered(prints: DataFrame) -> DataFrame:
+    """prints on disk, with a number for each row."""
+    return written(prints.withColumn("row", F.monotonically_increasing_id()), "audio-prints")
+
+
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector as a recording, with its fingerprint's size and hash; a row for each match of those whose id is divisible by 50."""
-    prints = written(fingerprints(tunes(read_table(spark, sf_dir, "embeddings")), "vec_id", "audio"), "audio-prints")
-    every = prints.select(F.col("id").alias("vec_id"), F.size("prints").alias("n_prints"), F.xxhash64("prints").alias("prints_hash"), (F.pmod("id", F.lit(QUERY_EVERY)) == 0).alias("is_query"))
-    found = align(prints)
-    return every.join(found, every["vec_id"] == found["query_id"], "left").drop("query_id")
+    prints = numbered(fingerprints(tunes(read_table(spark, sf_dir, "embeddings")), "vec_id", "audio"))
+    every = prints.select("row", F.col("id").alias("vec_id"), F.size("prints").alias("n_prints"), F.xxhash64("prints").alias("prints_hash"), (F.pmod("id", F.lit(QUERY_EVERY)) == 0).alias("is_query"))
+    found = align(prints).drop("match_row")
+    return every.join(found, every["row"] == found["query_row"], "left").drop("query_row", "row")

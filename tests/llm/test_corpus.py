@@ -330,14 +330,37 @@ def test_recordings_align(spark):
     rows = [(i, audio.render(v, i % 3)) for i, v in enumerate(base)] + [(50 + i, audio.render((np.array(v) + 0.05 * r.normal(size=64)).tolist(), 2)) for i, v in enumerate(base)]
     rows += [(200, None), (201, b"not audio"), (202, audio.render([0.0] * 4, 0)), (None, audio.render(base[3], 0)), (5, rows[5][1])]
     media = spark.createDataFrame(rows, "vec_id long, audio binary")
-    prints = audio.fingerprints(media, "vec_id", "audio").cache()
+    prints = audio.numbered(audio.fingerprints(media, "vec_id", "audio"))
     assert prints.count() == len(rows) and prints.where("id in (200, 201, 202) and size(prints) > 0").count() == 0
-    pairs = {(m["query_id"], m["match_id"]) for m in audio.align(prints, every=1, block=4).collect()}
+    ids = {r["row"]: r["id"] for r in prints.select("row", "id").collect()}
+    matches = [(ids[m["query_row"]], m["match_id"]) for m in audio.align(prints, every=1, block=4 * 120).collect()]
+    pairs = set(matches)
     assert sum((i, 50 + i) in pairs for i in range(12)) >= 11  # recall of near copies at other offsets
     assert {b for a, b in pairs if a == 3} == {53, None} and all(b % 50 == a % 50 for a, b in pairs if b is not None)
+    # rows that repeat an id are recordings of their own
+    assert matches.count((5, 5)) == 2 and matches.count((55, 5)) == 2 and matches.count((5, 55)) == 2
     assert prints.where("false").transform(audio.align).count() == 0
 
 
+def test_media_query_with_repeated_ids(spark, tmp_path):
+    r = np.random.default_rng(6)
+    vectors = [r.normal(size=64).tolist() for _ in range(3)]
+    rows = [(50, vectors[0]), (50, vectors[0]), (51, vectors[0]), (52, vectors[1]), (100, None), (None, vectors[2])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = sorted((x["vec_id"] or 0, x["match_id"] or 0, x["is_query"]) for x in audio.op6_media(spark, str(tmp_path)).collect())
+    # the two of id 50 match each other and 51
+    assert got == [(0, 0, None), (50, 50, True), (50, 50, True), (50, 51, True), (50, 51, True), (51, 0, False), (52, 0, False), (100, 0, True)]
+
+
+def test_votes_in_parts(monkeypatch):
+    """A steady tone: every integer is equal, in any number of parts."""
+    tone = (np.full(300, 7, np.uint32), np.arange(300, dtype=np.int32))
+    ix = audio.Index([0, 1], [tone[0], tone[0][:200]], [tone[1], tone[1][:200]])
+    whole = ix.matches(*tone)
+    monkeypatch.setattr(audio, "VOTES", 1000)
+    assert ix.matches(*tone) == whole and [(m[0], m[1], m[2]) for m in whole] == [(0, 0, 300), (1, 0, 200)]
+
+
 def test_recall_against_all_offsets():
     r = np.random.default_rng(4)
     base = [r.normal(size=64) for _ in range(15)]
