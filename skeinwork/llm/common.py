@@ -94,16 +94,18 @@ class Work:
 HOT = 1 / 500
 #: Parts into which a hot key's rows are dealt.
 PARTS = 64
+#: Rows of one key that a task may always hold.
+FEW_ROWS = 512
 
 
-def spread_join(big: DataFrame, small: DataFrame, key: str, salt: str | Column, how: str = "inner") -> DataFrame:
-    """big joined to small (few rows for each key) on their column `key`, with the rows of hot keys dealt over PARTS tasks by `salt`.
+def spread_join(big: DataFrame, small: DataFrame, key: str, salt: str, how: str = "inner") -> DataFrame:
+    """big joined to small (one row for each key) on their column `key`, by sort and merge at every size; rows of hot keys are dealt over PARTS tasks by `salt`.
 
-    Hot keys are fewer than 1 / HOT, so they may be collected and broadcast; small's rows of these are copied to every part. big is read twice.
+    Hot keys are fewer than 1 / HOT, so they may be collected and broadcast; small's rows of these are copied to every part.
+    big is read twice more, to count, so it should be on disk or cheap.
     """
-    counts = big.groupBy(key).count()
-    least = max(PARTS, int((big.count()) * HOT))
-    hot = [r[0] for r in counts.where(F.col("count") > least).select(key).collect()]
+    least = max(FEW_ROWS, int(big.count() * HOT))
+    hot = [r[0] for r in big.groupBy(key).count().where(F.col("count") > least).select(key).collect()]
     if not hot:
         return big.join(small.hint("merge"), key, how)
     marks = F.broadcast(big.sparkSession.createDataFrame([(k,) for k in hot], big.select(key).schema).withColumn("_hot", F.lit(True)))

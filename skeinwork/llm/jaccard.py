@@ -1,16 +1,20 @@
-"""Near-duplicates by the Jaccard similarity of five-word shingles.
+"""Near-duplicates by the Jaccard similarity of five-word shingles: SimHash and Golay keys, joined by minhash keys, then verified.
 
 Texts whose sets of shingles have a similarity of LEAST or more are linked; components of linked texts are found:
 
 1. Texts of one set are a class, named by a hash of the set. Only classes enter the next steps.
-2. BANDS keys of ROWS minima each are taken from a set's permutations. A pair at similarity s shares a key with probability
-   1 - (1 - s ** ROWS) ** BANDS: 0.999997 at 0.8 and more above it. Members of a key become a star, not pairs.
-3. Components of the stars are candidates. The texts of one come together, and classes that share a key are compared by their whole sets
-   until they are in one component; links below LEAST don't count.
+2. A class has the Golay keys of its set's SimHash fingerprint, which texts within two bits share, and BANDS keys of ROWS minima each
+   of the set's permutations: a pair at similarity s shares one of these with probability 1 - (1 - s ** ROWS) ** BANDS, 0.999997 at 0.8 and
+   more above it. Golay keys alone can't do it: at 0.8 a fingerprint's bits differ with probability 0.15, ten of 64.
+3. Classes that share a key are compared by their whole sets, in rounds. In each round some members of a key are its heads and
+   are compared with the others that aren't yet in their component; half of what is left are heads later. So each pair of a key is
+   compared in some round unless its classes are in one component before, and no round holds a group in one task: pairs are rows, and a
+   head's pairs are dealt over tasks.
 4. Components of the true links are found as in simhash.
 
 Defined cases: words are white-space bytes apart, A-Z in lower case; fewer words than a shingle are one shingle; null and wordless texts
-are one class, linked to no other; rows with a null doc_id are told apart by their text.
+are one class, linked to no other; rows with a null doc_id are told apart by their text; repeated rows are one class; an empty table gives no rows;
+texts of any length are read whole; columns other than doc_id and text, whatever their names, are kept.
 """
 
 from __future__ import annotations
@@ -23,8 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skeinwork.llm.common import text_slices, utf8, written
-from skeinwork.llm.simhash import SEED, _mixed, components
+from skeinwork.llm.common import Work, spread_join, text_slices, utf8, written
+from skeinwork.llm.simhash import SEED, _mixed, components, golay_keys, majority
 
 WIDTH = 5
 LEAST = 0.8
@@ -61,6 +65,18 @@ def class_of(grams: np.ndarray) -> int:
     return found - (1 << 64) if found >> 63 else found
 
 
+def fuzzy_keys(sets: list[np.ndarray]) -> list[np.ndarray]:
+    """The Golay keys of each set's fingerprint; none of the empty set."""
+    full = [i for i, s in enumerate(sets) if len(s)]
+    keys, of = golay_keys(np.array([majority(sets[i]) for i in full], dtype=np.uint64).view(np.int64))
+    keys = _mixed(keys.view(np.uint64) + np.uint64(SEED))
+    order = np.argsort(of, kind="stable")
+    out = [np.zeros(0, dtype=np.int64)] * len(sets)
+    for i, some in zip(full, np.split(keys[order], np.cumsum(np.bincount(of, minlength=len(full)))[:-1])):
+        out[i] = some
+    return out
+
+
 def keys_of(grams: np.ndarray) -> np.ndarray:
     """The band keys of a set; none of the empty set."""
     if not len(grams):
@@ -84,105 +100,93 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """id, doc_id, cls and keys of every row."""
+    """id, doc_id, cls, size (of the set) and keys of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, raw in text_slices(batch, 2):
                 sets = [shingles(x) for x in raw]
-                cls, keys = pa.array(map(class_of, sets), pa.int64()), pa.array(map(keys_of, sets), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), cls, keys], names=["id", "doc_id", "cls", "keys"])
+                keys = [np.concatenate([a, keys_of(s)]) for a, s in zip(fuzzy_keys(sets), sets)]
+                columns = [pa.array(map(class_of, sets), pa.int64()), pa.array(map(len, sets), pa.int32()), pa.array(keys, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], names=["id", "doc_id", "cls", "size", "keys"])
 
     rows = docs.select(F.expr(ID).alias("id"), F.expr("CAST(doc_id AS BIGINT)").alias("doc_id"), F.expr(TEXT).alias("text"))
-    return rows.mapInArrow(run, "id long, doc_id long, cls long, keys array<long>")
+    return rows.mapInArrow(run, "id long, doc_id long, cls long, size int, keys array<long>")
 
 
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over (key, cls) sorted by both: (first class of the key, each other)."""
-    key = head = None
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over (cls, text): (cls, grams), for the rows whose text is of that class."""
     for batch in batches:
-        keys, cls = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        if len(keys):
-            starts = np.concatenate([[True], keys[1:] != keys[:-1]])
-            first = np.maximum.accumulate(np.where(starts, np.arange(len(keys)), 0))
-            heads = cls[first]
-            if key == int(keys[0]):
-                heads = np.where(first == 0, head, heads)
-            key, head = int(keys[-1]), int(heads[-1])
-            other = heads != cls
-            yield pa.RecordBatch.from_arrays([pa.array(heads[other]), pa.array(cls[other])], names=["a", "b"])
-
-
-def true_links(cls: list[int], sets: list[np.ndarray], least: float = LEAST) -> list[tuple[int, int]]:
-    """Edges between classes that share a key and are as similar as asked, whose components are those of all such."""
-    root = list(range(len(cls)))
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    members: dict[int, list[int]] = {}
-    for i, s in enumerate(sets):
-        for k in keys_of(s).tolist():
-            members.setdefault(k, []).append(i)
-    out, seen = [], set()
-    for of in members.values():
-        groups: dict[int, list[int]] = {}
-        for i in of:
-            for r in list(groups):
-                if find(r) != find(i):
-                    for j in groups[r]:
-                        if (pair := (min(i, j), max(i, j))) not in seen:
-                            seen.add(pair)
-                            if similarity(sets[i], sets[j]) >= least:
-                                root[find(i)] = find(j)
-                                out.append((cls[i], cls[j]))
-                                break
-            # groups that have become one are held as one, so its members aren't met again
-            mine, me = [i], find(i)
-            for r in [r for r in groups if find(r) == me]:
-                mine += groups.pop(r)
-            groups[me] = mine
-    return out
-
+        for part, raw in text_slices(batch):
+            found = [(c, s) for c, s in zip(part.column(0).to_pylist(), map(shingles, raw)) if class_of(s) == c]
+            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in found], pa.int64()), pa.array([s.view(np.int64) for _, s in found], pa.list_(pa.int64()))], names=["cls", "grams"])
 
-def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over (comp, cls, text) sorted by comp: true links."""
-    comp, held = None, {}
 
-    def close() -> pa.RecordBatch:
-        found = true_links(list(held), list(held.values()))
-        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+def _similar(least: float):
+    """Over (a, b, x, y): the pairs whose sets x and y are as similar as asked."""
 
-    for batch in batches:
-        for i in range(0, batch.num_rows, 64):
-            part = batch.slice(i, 64)
-            for c, cls, raw in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), utf8(part.column(2))):
-                if c != comp:
-                    yield close()
-                    comp, held = c, {}
-                if cls not in held and class_of(grams := shingles(raw)) == cls:  # ids may repeat
-                    held[cls] = grams
-    yield close()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = batch.column(2), batch.column(3)
+            good = [similarity(p.values.to_numpy().view(np.uint64), q.values.to_numpy().view(np.uint64)) >= least for p, q in zip(x, y)]
+            yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
+
+    return run
+
+
+def true_links(pairs: DataFrame, sets: DataFrame, least: float = LEAST) -> DataFrame:
+    """The pairs (a, b) of classes that are as similar as asked. sets: cls, grams."""
+    a = sets.select(F.col("cls").alias("a"), F.col("grams").alias("x"))
+    b = sets.select(F.col("cls").alias("b"), F.col("grams").alias("y"))
+    both = spread_join(pairs, a, "a", "b").join(b.hint("merge"), "b").select("a", "b", "x", "y")
+    return both.mapInArrow(_similar(least), "a long, b long")
+
+
+#: Rank of a class among the members of any key: half of the classes have 0, a quarter 1, and so on.
+RANK = "CAST(floor(-log2((xxhash64(cls) & 4611686018427387903 | 1) / 4611686018427387904D)) AS INT)"
+
+
+def _compared(members: DataFrame, sets: DataFrame, work: Work) -> DataFrame:
+    """True links (a, b) that give the components of all true links between members of one key. members: key, cls, size, on disk."""
+    links, tested, turn = members.sparkSession.createDataFrame([], "a long, b long"), None, 0
+    now = members.withColumns({"rank": F.expr(RANK), "comp": F.col("cls")})
+    while True:
+        # keys whose members aren't in one component, and the ranks whose classes are heads this time: to and to - 1
+        keys = now.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.max("rank").alias("top")).where("least <> most")
+        keys = keys.select("key", (F.col("top") - 2 * turn).alias("to")).where("to >= 0")
+        some = work.put(spread_join(now, keys, "key", "cls"), "jaccard-open")
+        if some.isEmpty():
+            return links
+        heads = some.where("rank in (to, to - 1)").select("key", F.col("cls").alias("a"), F.col("size").alias("size_a"), F.col("rank").alias("rank_a"), F.col("comp").alias("comp_a"))
+        met = spread_join(some.withColumnRenamed("cls", "b"), heads, "key", "b")
+        met = met.where(f"comp <> comp_a and (rank < rank_a or (rank = rank_a and b < a)) and least(size, size_a) >= {LEAST} * greatest(size, size_a)")
+        met = met.select("a", "b").distinct()
+        if tested is not None:
+            met = met.join(tested.hint("merge"), ["a", "b"], "left_anti")
+        pairs = work.put(met, "jaccard-pairs")
+        tested = pairs if tested is None else tested.union(pairs)
+        links, turn = links.union(work.put(true_links(pairs, sets), "jaccard-links")), turn + 1
+        label = components(links).select(F.col("a").alias("cls"), F.col("b").alias("found"))
+        now = spread_join(some.drop("comp", "to"), label, "cls", "key", "left").withColumn("comp", F.coalesce("found", "cls")).drop("found")
+        now = work.put(now, "jaccard-members")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """id, doc_id, cls and head (the component's smallest linked class) of every row."""
     marked = written(sketches(docs), "jaccard-sketches")
-    classes = marked.groupBy("cls").agg(F.first("keys").alias("keys"))
-    bands = classes.select(F.explode("keys").alias("key"), "cls")
-    stars = bands.repartition("key").sortWithinPartitions("key", "cls").mapInArrow(_stars, "a long, b long")
-    near = components(written(stars.distinct(), "jaccard-stars"))
-    pairs = near.select(F.col("a").alias("cls"), F.col("b").alias("comp"))
-    candidates = pairs.union(near.select("b", "b").distinct()).toDF("cls", "comp")
-    wanted = candidates.join(marked.groupBy("cls").agg(F.min("id").alias("rep")), "cls")
-    # a sort-merge join at every size: the candidates grow with the documents and mustn't be broadcast
-    texts = docs.select(F.expr(ID).alias("rep"), F.expr(TEXT).alias("text")).join(wanted.hint("merge"), "rep").select("comp", "cls", "text")
-    links = written(texts.repartition("comp").sortWithinPartitions("comp").mapInArrow(_verified, "a long, b long"), "jaccard-links")
-    label = components(links).select(F.col("a").alias("cls"), F.col("b").alias("head"))
-    return marked.select("id", "doc_id", "cls").join(label, "cls", "left").select("id", "doc_id", "cls", F.coalesce("head", "cls").alias("head"))
+    with Work(docs.sparkSession) as work:
+        classes = marked.groupBy("cls").agg(F.first("size").alias("size"), F.first("keys").alias("keys"))
+        bands = work.put(classes, "jaccard-classes").select(F.explode("keys").alias("key"), "cls", "size")
+        shared = bands.groupBy("key").count().where("count > 1").select("key")
+        members = work.put(spread_join(bands, shared, "key", "cls"), "jaccard-shared")
+        wanted = marked.groupBy("cls").agg(F.min("id").alias("rep")).join(members.select("cls").distinct().hint("merge"), "cls", "left_semi")
+        # a sort-merge join at every size: the candidates grow with the documents and mustn't be broadcast
+        texts = docs.select(F.expr(ID).alias("rep"), F.expr(TEXT).alias("text")).join(wanted.hint("merge"), "rep").select("cls", "text")
+        sets = work.put(texts.mapInArrow(_sets, "cls long, grams array<long>").dropDuplicates(["cls"]), "jaccard-sets")
+        links = _compared(members, sets, work)
+        label = components(links).select(F.col("a").alias("cls"), F.col("b").alias("head"))
+    rows = marked.select("id", "doc_id", "cls")
+    return spread_join(rows, label, "cls", "id", "left").select("id", "doc_id", "cls", F.coalesce("head", "cls").alias("head"))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
@@ -193,20 +197,17 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     found = written(near_duplicates(docs), "jaccard-components")
     # known ids before others, the smallest first
     order = F.struct(F.col("doc_id").isNull(), F.col("id"), F.col("cls"))
-    kept = found.groupBy("head").agg(F.min(order).alias("x")).select(F.col("x.id").alias("__id"), F.col("x.cls").alias("__cls"))
+    kept = found.groupBy("head").agg(F.min(order).alias("x")).select(F.col("x.id").alias("id"), F.col("x.cls").alias("cls"))
     kept = written(kept, "jaccard-kept")
-    names = docs.columns
-    rows = found.join(kept.hint("merge"), F.col("id") == F.col("__id"), "left_semi").count()
-    if rows == kept.count():
-        return docs.withColumn("__id_", F.expr(ID)).join(kept.hint("merge"), F.col("__id_") == F.col("__id"), "left_semi").select(*(F.col(f"`{n}`") for n in names))
-    # ids repeat: rows are told apart by their class too
+    rows = docs.select(F.struct("*").alias("row"), F.expr(ID).alias("id"), F.expr(TEXT).alias("text"))
+    if found.groupBy("id").count().where("count > 1").isEmpty():
+        return rows.drop("text").join(kept.select("id").hint("merge"), "id", "left_semi").select("row.*")
 
+    # ids repeat: rows are told apart by their class too
     @F.pandas_udf("long")
     def marks(texts):
         import pandas as pd
 
-        return pd.Series([class_of(shingles((x or "").encode())) for x in texts], dtype="int64")
+        return pd.Series([class_of(shingles(x.encode())) for x in texts], dtype="int64")
 
-    told = docs.withColumn("__id_", F.expr(ID)).withColumn("__mark", marks(F.expr(TEXT)))
-    some = told.join(kept.hint("merge"), (F.col("__id_") == F.col("__id")) & (F.col("__mark") == F.col("__cls")), "left_semi")
-    return some.dropDuplicates(["__id_", "__mark"]).select(*(F.col(f"`{n}`") for n in names))
+    return rows.withColumn("cls", marks("text")).join(kept.hint("merge"), ["id", "cls"], "left_semi").dropDuplicates(["id", "cls"]).select("row.*")

@@ -17,7 +17,8 @@ Only distinct fingerprints enter steps 2 to 4; copies are a class with the small
 
 Defined cases: null and wordless texts have fingerprint zero and are linked as any other; fewer words than a shingle are
 one shingle; repeated rows are all returned; rows with a null doc_id are returned and take the component's
-smallest known id, null where there is none; an empty table gives no rows.
+smallest known id, null where there is none; an empty table gives no rows; texts of any length are read whole; columns other than doc_id and
+text, whatever their names, are ignored by the links and kept by deduplicated().
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skeinwork.llm.common import docs_of, drop_path, read_table, text_slices, work_path, written
+from skeinwork.llm.common import Work, docs_of, read_table, spread_join, text_slices, written
 
 SEED = 42
 SHINGLE = 3
@@ -55,11 +56,15 @@ def fingerprint(text: bytes, width: int = SHINGLE, seed: int = SEED) -> int:
         return 0
     n = max(1, len(words) - width + 1)
     shingles = map(b" ".join, zip(*(words[i:] for i in range(width)))) if len(words) >= width else iter([b" ".join(words)])
-    hashes = np.fromiter(map(xxh64_intdigest, shingles, repeat(seed)), dtype=np.uint64, count=n)
+    return majority(np.fromiter(map(xxh64_intdigest, shingles, repeat(seed)), dtype=np.uint64, count=n))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half of the hashes have."""
     ones = np.zeros(64, dtype=np.int64)
-    for i in range(0, n, 1 << 16):
+    for i in range(0, len(hashes), 1 << 16):
         ones += np.unpackbits(hashes[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > n, bitorder="little").tobytes(), "little")
+    return int.from_bytes(np.packbits(2 * ones > len(hashes), bitorder="little").tobytes(), "little")
 
 
 def fingerprints(docs: DataFrame, width: int = SHINGLE, seed: int = SEED) -> DataFrame:
@@ -267,9 +272,9 @@ def _keyed_again(over: DataFrame) -> DataFrame:
     return over.mapInArrow(run, "key long, fp long")
 
 
-def links(distinct: DataFrame, cap: int = CAP, errors: int = ERRORS) -> DataFrame:
+def links(distinct: DataFrame, work: Work, cap: int = CAP, errors: int = ERRORS) -> DataFrame:
     """Edges (a, b) between distinct fingerprints whose components are those of all links. distinct: fp."""
-    found = written(_keyed(distinct).repartition("key").sortWithinPartitions("key").mapInArrow(_linked(cap, errors), LINKS), "simhash-links")
+    found = work.put(_keyed(distinct).repartition("key").sortWithinPartitions("key").mapInArrow(_linked(cap, errors), LINKS), "simhash-links")
     edges, over = found.where("over is null").select("a", "b"), found.where("over is not null")
     if over.isEmpty():
         return edges
@@ -289,42 +294,40 @@ def _state(edges: DataFrame) -> tuple:
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
-    return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+    return spread_join(both, least, "a", "b").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = down.groupBy("a").agg(F.min("b").alias("m"))
-    moved = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    moved = spread_join(down, least, "a", "b").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.union(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(a, b): every linked node a but the smallest of its component, with that smallest node b."""
-    spark, path = edges.sparkSession, None
-    edges = edges.where("a <> b")
-    state = None
-    while True:
-        new = work_path(spark, "simhash-stars")
-        _small_star(_large_star(edges)).write.parquet(new)
-        if path:
-            drop_path(spark, path)
-        edges, path = spark.read.schema("a long, b long").parquet(new), new
-        state, before = _state(edges), state
-        if state == before:
-            return edges
+    """(a, b): every linked node a but the smallest of its component, with that smallest node b. edges should be on disk or cheap."""
+    edges, state = edges.where("a <> b"), None
+    with Work(edges.sparkSession) as work:
+        while True:
+            large = work.put(_large_star(edges), "simhash-stars")
+            edges = work.put(_small_star(large), "simhash-stars")
+            work.drop_first(len(work.paths) - 1)
+            state, before = _state(edges), state
+            if state == before:
+                return written(edges, "simhash-components")
 
 
 def near_duplicates(docs: DataFrame, cap: int = CAP) -> DataFrame:
     """doc_id, fp, component_id and head (the component's smallest linked fingerprint) of every row."""
     marked = written(fingerprints(docs), "simhash-fingerprints")
     classes = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    stars = components(links(classes.select("fp"), cap))
-    label = stars.select(F.col("a").alias("fp"), F.col("b").alias("head"))
-    headed = classes.join(label, "fp", "left").select("fp", "first", F.coalesce("head", "fp").alias("head"))
-    least = headed.groupBy("head").agg(F.min("first").alias("component_id"))
-    named = headed.join(least, "head").select("fp", "component_id", "head")
-    return marked.join(named, "fp").select("doc_id", "fp", "component_id", "head")
+    with Work(docs.sparkSession) as work:
+        stars = components(links(classes.select("fp"), work, cap))
+        label = stars.select(F.col("a").alias("fp"), F.col("b").alias("head"))
+        headed = work.put(classes.join(label.hint("merge"), "fp", "left").select("fp", "first", F.coalesce("head", "fp").alias("head")), "simhash-heads")
+        least = headed.groupBy("head").agg(F.min("first").alias("component_id"))
+        named = written(spread_join(headed, least, "head", "fp").select("fp", "component_id", "head"), "simhash-classes")
+    return spread_join(marked, named, "fp", "doc_id").select("doc_id", "fp", "component_id", "head")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
@@ -337,22 +340,23 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     unnamed = F.col("component_id").isNull() & (F.col("fp") == F.col("head"))
     kept = written(found.where(named | unnamed).groupBy("doc_id", "fp").agg(F.count("*").alias("n")), "simhash-kept")
     plain = kept.where("n > 1 or doc_id is null").isEmpty() and kept.groupBy("doc_id").count().where("count > 1").isEmpty()
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    wanted = kept.select(F.col("doc_id").alias("id"), F.col("fp").alias("mark"))
     if plain:
         # a sort-merge join at every size: what is kept grows with the documents and mustn't be broadcast
-        return docs.join(kept.select(F.col("doc_id").alias("__kept")).hint("merge"), F.col("doc_id") == F.col("__kept"), "left_semi")
-    # ids repeat or are unknown: rows are told apart by their fingerprint too
-    names = docs.columns
-    wanted = kept.select(F.col("doc_id").alias("__id"), F.col("fp").alias("__fp"))
+        return rows.join(wanted.select("id").hint("merge"), "id", "left_semi").select("row.*")
 
+    # ids repeat or are unknown: rows are told apart by their fingerprint too
     @F.pandas_udf("long")
     def marks(texts):
         import pandas as pd
 
-        return pd.Series(np.array([fingerprint((x or "").encode()) for x in texts], dtype=np.uint64).view(np.int64))
+        return pd.Series(np.array([fingerprint(x.encode()) for x in texts], dtype=np.uint64).view(np.int64))
 
-    told = docs.withColumn("__mark", marks(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    some = told.join(wanted, told["doc_id"].eqNullSafe(wanted["__id"]) & (told["__mark"] == wanted["__fp"]), "left_semi")
-    return some.dropDuplicates(["doc_id", "__mark"]).select(*(F.col(f"`{n}`") for n in names))
+    told = rows.withColumn("mark", marks("text")).alias("t")
+    w = wanted.alias("w").hint("merge")
+    some = told.join(w, F.col("t.id").eqNullSafe(F.col("w.id")) & (F.col("t.mark") == F.col("w.mark")), "left_semi")
+    return some.dropDuplicates(["id", "mark"]).select("row.*")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

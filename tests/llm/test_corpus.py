@@ -11,7 +11,7 @@ import pytest
 
 from skeinwork.llm import audio, jaccard, mixing, quality, rules, simhash, token_counts, token_files, toxicity, unigram
 from skeinwork.llm.automaton import Automaton
-from skeinwork.llm.common import Memo, read_table, work_path
+from skeinwork.llm.common import Memo, Work, read_table, spread_join, work_path
 from skeinwork.llm.pieces import Vocabulary
 from skeinwork.llm.secrets import RULES, Scanner, find_secrets, mask, masked
 
@@ -184,7 +184,8 @@ def test_links_lose_nothing(spark, cap):
     heart = [r.getrandbits(64) for _ in range(6)]
     fps = sorted({h ^ sum(1 << b for b in r.sample(range(64), r.choice([0, 1, 2, 3, 4]))) for h in heart for _ in range(60)})
     signed = np.array(fps, dtype=np.uint64).view(np.int64).tolist()
-    stars = dict(simhash.components(simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long"), cap)).collect())
+    with Work(spark) as work:
+        stars = dict(simhash.components(simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long"), work, cap)).collect())
     assert [stars.get(x, x) for x in signed] == brute_components(fps, signed)
 
 
@@ -445,6 +446,45 @@ def test_wide_raking_equals_raking_on_the_driver(spark):
 # -- pipeline
 
 
+def jaccard_components(texts, ids):
+    """The smallest id of each text's component under a similarity of 0.8 of the sets of five-word shingles."""
+    words = [re.findall(rb"[^\x20\x09-\x0D]+", t.lower().encode() if t.isascii() else t.encode().lower()) for t in texts]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in words]
+    least = list(range(len(ids)))
+    for i in range(len(ids)):
+        for j in range(i):
+            if sets[i] == sets[j] or (sets[i] and sets[j] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])):
+                a, b = least[i], least[j]
+                least = [min(a, b) if x in (a, b) else x for x in least]
+    first = {}
+    for k, i in enumerate(ids):
+        first[least[k]] = min(first.get(least[k], i), i)
+    return [first[x] for x in least]
+
+
+def test_hot_keys_are_dealt(spark):
+    """A key with a third of all rows gives the same join as any other."""
+    big = spark.range(6000).selectExpr("if(id % 3 = 0, null, if(id % 3 = 1, 7, id)) AS k", "id")
+    small = spark.createDataFrame([(7, "a"), (8, "b"), (None, "c"), (9, "d")], "k long, v string")
+    for how in ("inner", "left", "left_semi"):
+        want = big.join(small, "k", how)
+        assert sorted(map(repr, spread_join(big, small, "k", "id", how).select(want.columns).collect())) == sorted(map(repr, want.collect()))
+
+
+def test_a_large_group_of_near_copies(spark):
+    """Copies that are alike by one text alone, and pairs that share keys without being alike, in several rounds."""
+    r = random.Random(9)
+    base = [f"w{i}" for i in range(200)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 150):
+        copy = base.copy()
+        for at in r.sample(range(200), r.choice([1, 3, 5, 9])):
+            copy[at] = f"x{r.randrange(10**6)}"
+        rows.append((i, " ".join(copy)))
+    got = jaccard.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(x["doc_id"] for x in got.collect()) == sorted(set(jaccard_components([t for _, t in rows], [i for i, _ in rows])))
+
+
 def test_near_duplicates_stage_against_brute_force(spark, docs, empty):
     import corpus_pipeline
 
@@ -484,8 +524,7 @@ def test_pipeline_against_its_parts(spark, sf):
     scores = {r["doc_id"]: r["predicted"] for r in toxicity.toxicity(docs, read_table(spark, sf, "labels")).collect()}
     assert {r["doc_id"] for r in clean.collect()} == {k for k, v in scores.items() if not v} and clean.columns == columns
     rows = [(r["doc_id"], r["text"]) for r in clean.orderBy("doc_id").collect()]
-    heads = brute_components([simhash.fingerprint((t or "").encode()) for _, t in rows], [i for i, _ in rows])
-    single = {i for (i, _), h in zip(rows, heads) if i == h}
+    single = {i for (i, _), h in zip(rows, jaccard_components([t or "" for _, t in rows], [i for i, _ in rows])) if i == h}
     deduplicated = corpus_pipeline.STAGES[1][1](spark, clean, sf)
     assert {r["doc_id"] for r in deduplicated.collect()} == single and deduplicated.columns == columns
     hidden = corpus_pipeline.STAGES[2][1](spark, deduplicated, sf)
