@@ -8,13 +8,17 @@ other cells are raked again to what is left, until no more do.
 Only sums per cell leave the aggregation: cells are sources x languages x topics, not documents. Up to MOST_CELLS of them are
 raked on the driver, more by the same steps on DataFrames.
 
+Targets that can't be met together are raked ROUNDS times, a warning tells by how much they are missed, and the last weights count.
+
 Defined cases: a null source, language or topic is a category of its own; targets for categories without tokens are
 shared out among the others; documents without tokens have their cell's probability; null ids are decided as one id, and so are repeated
-ids; an empty table gives no rows.
+ids; equal cells have equal factors, whatever the order of rows; an empty table gives no rows; texts of any length are counted whole; columns that
+aren't read, whatever their names, are kept by sampled().
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -23,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skeinwork.llm.common import drop_path, read_table, work_path, written
+from skeinwork.llm.common import Work, drop_at_exit, drop_path, read_table, work_path, written
 
 DIMENSIONS = ("source", "lang", "topic")
 MOST_CELLS = 50_000
@@ -82,6 +86,11 @@ def marginal(names: list, tokens: np.ndarray, power: float, fixed: dict[str, flo
     return out / out.sum() if out.sum() else out
 
 
+def missed(worst: float, total: float) -> None:
+    if worst > 1e-6 * total:
+        warnings.warn(f"targets can't all be met: the worst is off by {worst / total:.2%} of the tokens", stacklevel=3)
+
+
 def rake(tokens: np.ndarray, cells: list[np.ndarray], targets: list[np.ndarray], rounds: int = ROUNDS) -> np.ndarray:
     """Factors of cells such that factors * tokens has the targets as its sums. cells[d]: each cell's category in dimension d."""
     w = tokens.astype(float).copy()
@@ -94,6 +103,8 @@ def rake(tokens: np.ndarray, cells: list[np.ndarray], targets: list[np.ndarray],
             w *= ratio[of]
         if worst < TOLERANCE * max(1.0, tokens.sum()):
             break
+    else:
+        missed(worst, tokens.sum())
     return np.divide(w, tokens, out=np.ones(len(w)), where=tokens > 0)
 
 
@@ -169,6 +180,7 @@ class Wide:
     def _write(self, rows: DataFrame) -> None:
         new = work_path(self.spark, "mixing-cells")
         rows.write.parquet(new)
+        drop_at_exit(self.spark, new)
         self.drop()
         self.rows, self.path = self.spark.read.schema(self.SCHEMA).parquet(new), new
 
@@ -245,6 +257,8 @@ class Wide:
             c = c * np.divide(topics, have, out=np.ones(nk), where=have > 0)
             if not off and worst < TOLERANCE * max(1.0, tokens):
                 break
+        else:
+            missed(worst, tokens)
 
         def factors(row, g, l, k, t, f, p, h):
             a = source(row, g, t, l, k, h, *before)[0]
@@ -257,8 +271,7 @@ WIDE = pa.schema([("source", pa.string()), ("g", pa.float64()), *((x, pa.list_(p
 
 
 def fitted_wide(cells: DataFrame, targets: Targets) -> DataFrame:
-    """The same columns by the same steps as fitted(), for more cells than the driver should hold."""
-    cells = written(cells, "mixing-wide")
+    """The same columns by the same steps as fitted(), for more cells than the driver should hold. cells: on disk."""
     total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
     if not total:
         return cells.select(*DIMENSIONS, "tokens", F.lit(1.0).alias("factor"), F.lit(1.0).alias("probability"))
@@ -315,34 +328,36 @@ def fitted_wide(cells: DataFrame, targets: Targets) -> DataFrame:
 CELLS = "__source string, __lang string, __topic string, __tokens long, factor double, probability double"
 
 
-def cell_table(docs: DataFrame, targets: Targets, most_cells: int = MOST_CELLS) -> DataFrame:
-    """Factor and probability of every cell; a broadcast hint where there are most_cells of them at most."""
-    cells = keyed(docs).groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens"))
-    rows = cells.limit(most_cells + 1).count()
-    if rows <= most_cells:
-        return F.broadcast(docs.sparkSession.createDataFrame(fitted(cells, targets), CELLS))
-    return fitted_wide(cells, targets).toDF("__source", "__lang", "__topic", "__tokens", "factor", "probability")
+def cell_table(keys: DataFrame, targets: Targets, most_cells: int = MOST_CELLS) -> DataFrame:
+    """Factor and probability of every cell; a broadcast hint where there are most_cells of them at most. keys: as from keyed()."""
+    with Work(keys.sparkSession) as work:
+        cells = work.put(keys.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")), "mixing-cells")
+        if cells.count() <= most_cells:
+            return F.broadcast(keys.sparkSession.createDataFrame(fitted(cells, targets), CELLS))
+        return fitted_wide(cells, targets).toDF("__source", "__lang", "__topic", "__tokens", "factor", "probability")
 
 
 def _drawn(targets: Targets) -> Column:
-    draw = F.pmod(F.xxhash64(F.lit(targets.seed), F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))), F.lit(1 << 40)) / float(1 << 40)
+    draw = F.pmod(F.xxhash64(F.lit(targets.seed), F.coalesce(F.col("doc_id"), F.lit(-1))), F.lit(1 << 40)) / float(1 << 40)
     return draw < F.col("probability")
 
 
+def _with_cells(rows: DataFrame, cells: DataFrame) -> DataFrame:
+    return rows.join(cells, rows["source"].eqNullSafe(cells["__source"]) & rows["lang"].eqNullSafe(cells["__lang"]) & rows["topic"].eqNullSafe(cells["__topic"]))
+
+
 def weighted(docs: DataFrame, targets: Targets = Targets(), most_cells: int = MOST_CELLS) -> DataFrame:
-    """doc_id, source, lang, topic, tokens, factor, probability and kept of every row."""
-    k, found = keyed(docs), cell_table(docs, targets, most_cells)
-    joined = k.join(found, k["source"].eqNullSafe(found["__source"]) & k["lang"].eqNullSafe(found["__lang"]) & k["topic"].eqNullSafe(found["__topic"]))
+    """doc_id, source, lang, topic, tokens, factor, probability and kept of every row. Texts are read once."""
+    k = written(keyed(docs), "mixing-keys")
+    joined = _with_cells(k, cell_table(k, targets, most_cells))
     return joined.select("doc_id", "source", "lang", "topic", "tokens", "factor", "probability", _drawn(targets).alias("kept"))
 
 
 def sampled(docs: DataFrame, targets: Targets = Targets(), most_cells: int = MOST_CELLS) -> DataFrame:
     """The rows, with all columns, that the draw keeps."""
-    names = docs.columns
-    found = cell_table(docs, targets, most_cells).select("__source", "__lang", "__topic", F.col("probability").alias("__probability"))
-    same = docs["source"].cast("string").eqNullSafe(found["__source"]) & docs["lang"].cast("string").eqNullSafe(found["__lang"]) & topic().eqNullSafe(found["__topic"])
-    draw = F.pmod(F.xxhash64(F.lit(targets.seed), F.coalesce(docs["doc_id"].cast("long"), F.lit(-1))), F.lit(1 << 40)) / float(1 << 40)
-    return docs.join(found, same).where(draw < F.col("__probability")).select(*(docs[f"`{n}`"] for n in names))
+    cells = cell_table(keyed(docs), targets, most_cells)
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), topic().alias("topic"))
+    return _with_cells(rows, cells).where(_drawn(targets)).select("row.*")
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,13 +8,16 @@ two pieces are compatible if BPE leaves their concatenation as those two. A tran
 so the sum over a text's characters is its number of tokens. States are built when a text first needs them, and a state
 that has been built is found by its list, so texts that differ only in what can't matter any more share states.
 
-A text is cut into chunks. A chunk's state map is what it does to any state in which it can begin: up to its first
-word boundary that depends on the state, from there on it doesn't, as a boundary leads to the same state from anywhere. Maps are
-composed pairwise, neighbour with neighbour, in log2(chunks) rounds of a prefix scan.
+Spaces are characters like others. A run of them is cut into the longest pieces of spaces and a rest, as their scores tie below all others, and its last
+space begins the word behind it, if some piece goes on from it there; a state in a run knows the run's length modulo the longest piece.
+
+A text is cut into chunks, between words where it can be. A chunk's state map has, for the states in which the chunk can begin, the
+state in which it ends and the tokens that it emits; where a chunk begins with a space, all states lead to the same. Maps are
+composed pairwise, neighbour with neighbour, in log2(chunks) rounds of a prefix scan, and the map of the whole text is read off at the start state.
 
 Defined cases: null and empty texts have no tokens; a character that is in no piece counts its UTF-8 bytes (byte
-fallback); U+2581 in a text counts as a space, as in the library; runs of spaces, where scores tie, are
-merged step by step; repeated rows are each counted.
+fallback); U+2581 in a text counts as a space, as in the library; repeated rows are each counted; texts of any length are counted whole; an
+empty table gives no rows; columns other than doc_id and text, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -30,8 +33,8 @@ from skeinwork.llm.common import Memo, docs_of, read_table, text_slices
 from skeinwork.llm.pieces import MARK, WORD, Vocabulary
 
 LIMIT = 4096
-#: Characters of a chunk of a text.
-CHUNK = 1 << 16
+#: Characters of a chunk of a text; half as many again where no word ends before.
+CHUNK = 1 << 12
 #: States that are held; beyond, the transducer is built anew.
 STATES = 300_000
 UNKNOWN = -1
@@ -89,10 +92,19 @@ class BPE:
 
 
 class Transducer:
-    """States 0, 1, ...; step[s][character] = (next state, tokens emitted). State 0 is before a word."""
+    """States 0, 1, ...; step[s][character] = (next state, tokens emitted). State 0 is before a text. Spaces are read as MARK."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary, self.bpe = vocabulary, BPE(vocabulary.score)
+        runs = {p: s for p, s in vocabulary.score.items() if len(p) > 1 and not p.strip(MARK)}
+        #: Spaces of the longest piece of spaces alone, and the tokens of runs of up to so many.
+        self.run_length = max(map(len, runs), default=1)
+        self.run_tokens = [len(self.bpe(MARK * n)) for n in range(self.run_length + 1)]
+        others = [(p, s) for p, s in vocabulary.score.items() if len(p) > 1 and p.strip(MARK)]
+        if any(p.startswith(MARK * 2) or s <= max(runs.values(), default=s - 1) for p, s in others):
+            raise ValueError("pieces of spaces come before others")
+        if any(len(self.bpe(MARK * n)) != n // self.run_length + self.run_tokens[n % self.run_length] for n in range(4 * self.run_length)):
+            raise ValueError("runs of spaces aren't cut into longest pieces")
         self.known = {c for p in vocabulary.score for c in p}
         self.child: list[dict[str, int]] = [{}]
         self.piece: list[str | None] = [None]
@@ -136,10 +148,24 @@ class Transducer:
             self.compatible_pairs[key] = known
         return known
 
+    def _spaces(self, s: int) -> int:
+        """How many spaces of a run state s has read, modulo the longest piece of them (1 to run_length); 0: it isn't in a run."""
+        live = self.states[s]
+        return live[0] if isinstance(live[0], int) else 0
+
     def compile(self, s: int, c: str) -> tuple[int, int]:
         """Build the transition of state s by the character c."""
+        spaces = self._spaces(s)
+        if c == MARK:
+            now = spaces % self.run_length + 1
+            out = self.step[s][c] = (self._state((now,)), self.run_tokens[now] - self.run_tokens[now - 1])
+            return out
+        live = self.states[s]
+        if spaces:
+            # a word's first piece can begin with the run's last space, which then isn't in the run
+            live = ((self.child[0][MARK], self.run_tokens[spaces - 1] - self.run_tokens[spaces], None), (0, 0, MARK)) if MARK in self.child[0] else ((0, 0, UNKNOWN),)
         grown, token, emitted = [], None, 0
-        for node, count, before in self.states[s]:
+        for node, count, before in live:
             node = self.child[node].get(c)
             if node is not None:
                 piece = self.piece[node]
@@ -163,23 +189,45 @@ class Transducer:
             total += n
         return s, total
 
-    def word(self, word: str) -> int:
-        """Tokens of a word: spaces, then other characters."""
-        if word.startswith("  "):
-            return sum(1 if p in self.vocabulary.score else len(p.encode()) for p in self.bpe(word.replace(" ", MARK)))
-        if len(self.states) > STATES:
-            self._reset()
-        return self.run(0, MARK + word[1:])[1]
-
 
 @dataclass(frozen=True)
 class ChunkMap:
-    """What a chunk does: `head` meets whatever state the chunk begins in, up to the first boundary; `count` tokens of the words between
-    the boundaries; `tail` is the begun word after the last one. count None: the chunk has no boundary, and head is all of it."""
+    """What a chunk does: `table` has the last state and the tokens emitted for states in which it can begin, `others` for every other state,
+    where all of those lead to the same (a chunk that begins with a space after another character)."""
+
+    table: dict[int, tuple[int, int]]
+    others: tuple[int, int] | None = None
+
+    def __call__(self, s: int) -> tuple[int, int]:
+        found = self.table.get(s, self.others)
+        if found is None:
+            raise KeyError(f"no chunk before can end in state {s}")
+        return found
+
+    def ends(self) -> set[int]:
+        """The states in which the chunk can end."""
+        return {t for t, _ in self.table.values()} | ({self.others[0]} if self.others else set())
+
+    def then(self, b: ChunkMap) -> ChunkMap:
+        """The map of this chunk followed by chunk b. Associative."""
 
-    head: str
-    count: int | None = None
-    tail: str = ""
+        def on(at: tuple[int, int]) -> tuple[int, int]:
+            t, n = b(at[0])
+            return t, at[1] + n
+
+        return ChunkMap({s: on(at) for s, at in self.table.items()}, self.others and on(self.others))
+
+
+def chunks(text: str, size: int) -> list[str]:
+    """A text in parts of `size` characters and the word that is begun there, if it ends within half as many again."""
+    out, at = [], 0
+    while at < len(text):
+        end = at + size
+        while end < len(text) and end < at + size + size // 2 + 1 and not (text[end] == " " and text[end - 1] != " "):
+            end += 1
+        out.append(text[at:end])
+        at = end
+    return out
 
 
 class Counter:
@@ -189,61 +237,48 @@ class Counter:
         self.transducer = Transducer(vocabulary)
         self.memo = Memo()
 
-    def chunk(self, text: str) -> ChunkMap:
-        """The state map of a chunk."""
-        first = next((i for i in range(1, len(text)) if text[i] == " " and text[i - 1] != " "), None)
-        if first is None:
-            return ChunkMap(text)
-        *words, tail = WORD.findall(text, first)
-        return ChunkMap(text[:first], self.words(words), tail)
+    def word(self, word: str) -> int:
+        """Tokens of a word that begins with a space, from any state that isn't in a run of spaces."""
+        return self.transducer.run(0, word.replace(" ", MARK))[1]
 
     def words(self, words: list[str]) -> int:
         wanted = set(words)
         self.memo.room(wanted)
         for w in self.memo.missing(wanted):
-            self.memo[w] = self.transducer.word(w)
+            self.memo[w] = self.word(w)
         return sum(map(self.memo.__getitem__, words))
 
-    def compose(self, a: ChunkMap, b: ChunkMap) -> ChunkMap:
-        """The map of chunk a followed by chunk b. Associative."""
-        if a.count is None:
-            if b.count is None:
-                return self.chunk(a.head + b.head)
-            c = self.chunk(a.head + b.head + " ")  # the boundary at which b.count begins
-            return ChunkMap(c.head, (c.count or 0) + b.count, b.tail)
-        *done, last = WORD.findall(a.tail + b.head)
-        if b.count is None:
-            return ChunkMap(a.head, a.count + self.words(done), last)
-        return ChunkMap(a.head, a.count + self.words([*done, last]) + b.count, b.tail)
-
-    def scan(self, maps: list[ChunkMap]) -> ChunkMap:
+    def chunk(self, text: str, begins: set[int]) -> ChunkMap:
+        """The state map of a chunk that can begin in the states `begins`."""
+        run, s = self.transducer.run, next(iter(begins))
+        if text[0] == " " and not any(map(self.transducer._spaces, begins)):
+            *words, last = WORD.findall(text)
+            end, n = run(s, last.replace(" ", MARK))
+            return ChunkMap({}, (end, n + self.words(words)))
+        # it begins inside a word or a run of spaces: these characters depend on the state, words behind them don't
+        first = next((i for i in range(1, len(text)) if text[i] == " " and text[i - 1] != " "), len(text))
+        head = ChunkMap({s: run(s, text[:first].replace(" ", MARK)) for s in begins})
+        return head if first == len(text) else head.then(self.chunk(text[first:], head.ends()))
+
+    def maps(self, text: str) -> list[ChunkMap]:
+        out, begins = [], {0}
+        for part in chunks(text, CHUNK):
+            out.append(self.chunk(part, begins))
+            begins = out[-1].ends()
+        return out
+
+    @staticmethod
+    def scan(maps: list[ChunkMap]) -> ChunkMap:
         """The map of all chunks, composed in rounds of neighbours."""
         while len(maps) > 1:
-            maps = [self.compose(maps[i], maps[i + 1]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
+            maps = [maps[i].then(maps[i + 1]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
         return maps[0]
 
-    def total(self, m: ChunkMap) -> int:
-        """Tokens of a text whose map, with the space before it, is m."""
-        return self.words(WORD.findall(m.head)) + (0 if m.count is None else m.count + self.words([m.tail]))
-
     def many(self, texts: list[str]) -> list[int]:
         """Tokens of each text."""
-        out, cut = [0] * len(texts), []
-        for i, text in enumerate(texts):
-            if text:
-                text = " " + text.replace(MARK, " ")
-                if len(text) > CHUNK:
-                    out[i] = self.total(self.scan([self.chunk(text[k : k + CHUNK]) for k in range(0, len(text), CHUNK)]))
-                else:
-                    cut.append((i, WORD.findall(text)))
-        wanted = {w for _, words in cut for w in words}
-        self.memo.room(wanted)
-        for w in self.memo.missing(wanted):
-            self.memo[w] = self.transducer.word(w)
-        get = self.memo.__getitem__
-        for i, words in cut:
-            out[i] = sum(map(get, words))
-        return out
+        if len(self.transducer.states) > STATES:
+            self.transducer._reset()
+        return [self.scan(self.maps(" " + t.replace(MARK, " ")))(0)[1] if t else 0 for t in texts]
 
 
 _counters: dict[str, Counter] = {}

@@ -225,32 +225,33 @@ def _strings(raw: list[bytes]) -> list[str]:
 
 
 def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int) -> bytes:
-    """A dictionary from the id arrays of about SAMPLE_DOCS documents. A sample too small to train on becomes the dictionary itself."""
+    """A dictionary from the id arrays of about SAMPLE_DOCS documents, chosen by a hash of id and text; repeated rows count once. A sample too small to train on becomes the dictionary itself."""
     n = docs.count()
     if not n:
         return bytes(8)
     share = min(1.0, SAMPLE_DOCS / n)
-    chosen = docs.where(F.pmod(F.xxhash64(F.lit("dictionary"), "doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    mark = F.xxhash64(F.lit("dictionary"), "doc_id", "text")
+    chosen = docs.withColumn("mark", mark).where(F.pmod("mark", F.lit(1 << 30)) < int(share * (1 << 30)))
 
     def serialised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         end = np.asarray([end_id], dtype=enc.dtype).tobytes()
         for batch in batches:
-            for _, raw in text_slices(batch):
-                rows = [x + end for x in enc(_strings(raw))]
-                yield pa.RecordBatch.from_pydict({"ids": pa.array([x for x in rows if len(x) <= SAMPLE_DOC_BYTES], pa.binary())})
+            for part, raw in text_slices(batch):
+                rows = [(m, x + end) for m, x in zip(part.column(2).to_pylist(), enc(_strings(raw))) if len(x) < SAMPLE_DOC_BYTES]
+                yield pa.RecordBatch.from_pydict({"mark": pa.array([m for m, _ in rows], pa.int64()), "ids": pa.array([x for _, x in rows], pa.binary())})
 
     def trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        samples = sorted(x for b in batches for x in b.column(0).to_pylist())
+        samples = sorted(x for b in batches for x in b.column(1).to_pylist())
         try:
             found = zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
         except (zstandard.ZstdError, ValueError):  # too few or too short samples to train on
             found = b"".join(samples)[-DICTIONARY_BYTES:].ljust(8, b"\0")
         yield pa.RecordBatch.from_pydict({"dictionary": pa.array([found], pa.binary())})
 
-    rows = chosen.mapInArrow(serialised, "ids binary").repartition(1).mapInArrow(trained, "dictionary binary").collect()
+    rows = chosen.mapInArrow(serialised, "mark long, ids binary").dropDuplicates(["mark"]).repartition(1).mapInArrow(trained, "dictionary binary").collect()
     return bytes(rows[0][0])
 
 
@@ -302,8 +303,9 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID
         if frames:
             yield flush()
 
-    tie = F.xxhash64("text")
-    dealt = docs.withColumn("tie", tie).repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
+    # rows with the same id and text are told apart by their places, so that they needn't be in one partition
+    dealt = docs.withColumns({"tie": F.xxhash64("text"), "place": F.monotonically_increasing_id()}).repartitionByRange("doc_id", "tie", "place")
+    dealt = dealt.sortWithinPartitions("doc_id", "tie", "place").select("doc_id", "text")
     dealt.mapInArrow(packed, BLOCKS).write.parquet(f"{path}/blocks")
 
 

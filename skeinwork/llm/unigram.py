@@ -1,15 +1,20 @@
 """SentencePiece encoding and decoding: unigram Viterbi over a double-array trie of pieces with log scores.
 
 Encoding puts a space before the text, turns spaces into the marker U+2581 and looks for the segmentation of the best total
-score; of equal ones, for each end the one whose last piece begins first. A character that is in no piece costs the
+log score; of equal ones, for each end the one whose last piece begins first. A character that is in no piece costs the
 lowest score less ten and is spelled by the ids of its UTF-8 bytes. Words (markers, then other characters) are segmented one by one,
 with a bounded memo, which is exact as no piece crosses their boundaries.
 
+The model files at hand hold ranks (a BPE's merges, the most frequent first), not log probabilities, and tokenizers aren't trained here. So a piece's log
+score is that of its rank by the law of Zipf and Mandelbrot, 1 / (rank + SHIFT) over the sum of all. A model whose scores are log
+probabilities is used as it is.
+
 Decoding joins pieces, turns markers into spaces, spells byte ids, and drops the space that encoding put first.
 
 Defined cases: null and empty texts have no ids and decode to the empty text; U+2581 in a text is spelled by
 bytes, so decoding gives the text back for every text; bytes that don't form UTF-8 decode to U+FFFD; repeated rows are
-each encoded.
+each encoded; texts of any length are encoded whole; an empty table gives no rows; columns other than doc_id and text, whatever their
+names, are ignored.
 """
 
 from __future__ import annotations
@@ -27,6 +32,17 @@ from skeinwork.llm.common import Memo, docs_of, read_table, text_slices
 from skeinwork.llm.pieces import MARK, WORD, Vocabulary
 
 UNKNOWN_PENALTY = 10.0
+SHIFT = 2.7
+
+
+def log_scores(vocabulary: Vocabulary) -> dict[str, float]:
+    """Natural logarithms of the pieces' probabilities."""
+    given = vocabulary.score
+    if max(given.values()) <= 0 and abs(np.exp(list(given.values())).sum() - 1) < 0.1:  # log probabilities already
+        return dict(given)
+    ranked = sorted(given, key=lambda p: (-given[p], vocabulary.id[p]))
+    shares = 1 / (np.arange(1, len(ranked) + 1) + SHIFT)
+    return dict(zip(ranked, np.log(shares / shares.sum()).tolist()))
 
 
 class DoubleArray:
@@ -93,9 +109,10 @@ class Encoder:
         self.vocabulary = vocabulary
         self.trie = DoubleArray((p.encode(), i) for p, i in vocabulary.id.items())
         self.scores = [0.0] * len(vocabulary.pieces)
-        for p, s in vocabulary.score.items():
+        self.score = log_scores(vocabulary)
+        for p, s in self.score.items():
             self.scores[vocabulary.id[p]] = s
-        self.unknown = min(vocabulary.score.values()) - UNKNOWN_PENALTY
+        self.unknown = min(self.score.values()) - UNKNOWN_PENALTY
         self.dtype = np.dtype("<u2" if len(vocabulary.pieces) <= 1 << 16 else "<u4")
         self.memo = Memo()
         self.mark = MARK.encode()

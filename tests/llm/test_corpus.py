@@ -282,9 +282,26 @@ def test_counts_are_the_library_s(strings):
 @pytest.mark.parametrize("size", [1, 2, 3, 7, 50])
 def test_chunk_maps_compose(strings, size, monkeypatch):
     c = token_counts.Counter(Vocabulary(PIECES))
-    want = c.many(strings[:300])
+    some = [*strings[:300], " " * 40 + "a  b" + " " * 17 + "漢 ", "    的", "   " * 30]
+    want = [c.transducer.run(0, (" " + t).replace(" ", "▁"))[1] if t else 0 for t in some]
     monkeypatch.setattr(token_counts, "CHUNK", size)
-    assert c.many(strings[:300]) == want
+    assert c.many(some) == want
+    for t in some[:60]:
+        if t:  # maps are functions of states, and any order of composition gives the same
+            maps = c.maps(" " + t.replace("▁", " "))
+            left, state, total = maps[0], 0, 0
+            for m in maps[1:]:
+                left = left.then(m)
+            for m in maps:
+                state, n = m(state)
+                total += n
+            assert left(0) == c.scan(maps)(0) == (state, total)
+
+
+def test_chunks_are_the_text():
+    for text in ("", "a", "ab cd  ef" * 50, " " * 99, "x" * 99):
+        for size in (1, 4, 10):
+            assert "".join(token_counts.chunks(text, size)) == text
 
 
 def test_count_rows(spark, docs, empty):
@@ -300,12 +317,40 @@ def test_unigram_is_the_library_s(strings):
     pb = pytest.importorskip("sentencepiece.sentencepiece_model_pb2")
     import sentencepiece
 
-    m = pb.ModelProto()
+    e, m = unigram.Encoder(Vocabulary(PIECES)), pb.ModelProto()
     with open(PIECES, "rb") as f:
         m.ParseFromString(f.read())
-    m.trainer_spec.model_type = 1  # the same pieces and scores, as a unigram model
-    sp, e = sentencepiece.SentencePieceProcessor(model_proto=m.SerializeToString()), unigram.Encoder(Vocabulary(PIECES))
-    assert [np.frombuffer(x, e.dtype).tolist() for x in e.encode(strings)] == sp.encode(strings)
+    m.trainer_spec.model_type = 1  # the same pieces with the same log scores, as a unigram model
+    for p in m.pieces:
+        p.score = e.score.get(p.piece, p.score)
+    sp = sentencepiece.SentencePieceProcessor(model_proto=m.SerializeToString())
+    # the library adds in single precision, so what ties there may differ
+    got = [np.frombuffer(x, e.dtype).tolist() for x in e.encode(strings)]
+    assert np.mean([a == b for a, b in zip(got, sp.encode(strings))]) > 0.98
+    spells = set(e.vocabulary.byte_id)
+    cost = lambda ids: sum(0 if i in spells else e.scores[i] for i in ids)
+    for a, b in zip(got, sp.encode(strings)):
+        assert abs(cost(a) - cost(b)) < 1e-3 * (1 + abs(cost(a)))
+
+
+def test_viterbi_against_all_segmentations():
+    e, r = unigram.Encoder(Vocabulary(PIECES)), random.Random(4)
+    assert abs(sum(np.exp(list(e.score.values()))) - 1) < 1e-9
+
+    def best(text):
+        if not text:
+            return 0.0
+        heads = [e.score[text[:k]] + best(text[k:]) for k in range(1, len(text) + 1) if text[:k] in e.score]
+        return max([*heads, e.unknown + best(text[1:])] if text[0] not in e.score else heads)
+
+    for _ in range(200):
+        word = "▁" + "".join(r.choices("abeinorst漢é", k=r.randrange(0, 9)))
+        ids, total, spelled = e.viterbi(word.encode()), 0.0, 0
+        for i in ids:
+            spelled += i in e.vocabulary.byte_id
+            total += 0 if i in e.vocabulary.byte_id else e.scores[i]
+        unknown = sum(c not in e.score for c in word)
+        assert spelled == sum(len(c.encode()) for c in word if c not in e.score) and np.isclose(total + unknown * e.unknown, best(word))
 
 
 def test_unigram_rows(spark, docs, empty):
@@ -432,6 +477,50 @@ def test_mixing_rows(spark, docs, empty, sf):
     assert a.keys() == b.keys() and np.mean([abs(b[k] - c[k]) < 0.05 for k in b]) > 0.9
 
 
+def test_wide_mixing_equals_mixing_on_the_driver(spark, sf):
+    """The default targets over documents: every probability and every decision."""
+    documents = read_table(spark, sf, "documents")
+    a = {r["doc_id"]: (r["probability"], r["kept"]) for r in mixing.weighted(documents).collect()}
+    b = {r["doc_id"]: (r["probability"], r["kept"]) for r in mixing.weighted(documents, most_cells=1).collect()}
+    assert a.keys() == b.keys() and all(abs(a[k][0] - b[k][0]) < 1e-6 and a[k][1] == b[k][1] for k in a)
+
+
+def test_the_draw_is_by_probability(spark):
+    """Brute force: raked weights, the constant and the draw, cell by cell."""
+    rows = [(i, "w " * (1 + i % 7), "en" if i % 3 else "de", f"s{i % 4}") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    targets = mixing.Targets(share=0.4, powers={"source": 0.0, "lang": 1.0, "topic": 1.0}, fixed={})
+    got = {r["doc_id"]: r for r in mixing.weighted(docs, targets).collect()}
+    tokens = {(l, s): sum(1 + i % 7 for i, _, a, b in rows if (a, b) == (l, s)) for l in ("en", "de") for s in ("s0", "s1", "s2", "s3")}
+    want, total = dict.fromkeys(tokens, 1.0), sum(tokens.values())
+    for _ in range(300):  # each source the same share, each language its own
+        for s in ("s0", "s1", "s2", "s3"):
+            have = sum(tokens[l, s] * want[l, s] for l in ("en", "de"))
+            want |= {(l, s): want[l, s] * 0.4 * total / 4 / have for l in ("en", "de")}
+        for l in ("en", "de"):
+            have, mine = (sum(tokens[l, s] * x for s, x in ((s, w[l, s]) for s in ("s0", "s1", "s2", "s3"))) for w in (want, dict.fromkeys(tokens, 0.4)))
+            want |= {(l, s): want[l, s] * mine / have for s in ("s0", "s1", "s2", "s3")}
+    assert max(want.values()) < 1
+    assert all(np.isclose(got[i]["probability"], want[l, s], rtol=1e-6) for i, _, l, s in rows)
+    kept = sum(r["tokens"] for r in got.values() if r["kept"])
+    assert abs(kept / total - 0.4) < 0.1
+
+
+def test_targets_that_cannot_be_met_are_told():
+    with pytest.warns(UserWarning, match="off by"):
+        mixing.rake(np.array([1.0, 1.0]), [np.array([0, 1]), np.array([0, 1])], [np.array([1.0, 1.0]), np.array([1.9, 0.1])])
+
+
+def test_clashing_names(spark):
+    names = ["doc_id long", "text string", "lang string", "source string", *(f"{n} string" for n in ("__probability", "__mark", "__id", "row", "id", "mark", "cls", "fp", "key", "topic", "probability", "a.b"))]
+    kind = ", ".join(f"`{n.split()[0]}` {n.split()[1]}" for n in names)
+    docs = spark.createDataFrame([(i, t, "en", "s", *("x" * 12)) for i, t in ((1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (3, "q r s t u v"), (None, "z"))], kind)
+    for f in (simhash.deduplicated, jaccard.deduplicated, masked, lambda d: mixing.sampled(d, mixing.Targets(share=1.0)), lambda d: toxicity.without_toxic(d, labels(spark))):
+        got = f(docs)
+        assert got.columns == docs.columns and all(set(r[4:]) == {"x"} for r in got.collect())
+    assert sorted(r["doc_id"] or 0 for r in simhash.deduplicated(docs).collect()) == [0, 1, 3]
+
+
 def test_wide_raking_equals_raking_on_the_driver(spark):
     # a small source and a small language that saturate, so that cells are held and the rest raked again
     cells = [(f"s{i}" if i else None, lang, topic, (i + 1) ** 3 * a * b) for i in range(6) for lang, a in (("en", 40), ("de", 9), (None, 1)) for topic, b in (("prose", 20), ("short", 1)) if (i, lang) != (2, "de")]
