@@ -90,22 +90,19 @@ class Work:
         self.drop_first(len(self.paths))
 
 
-#: A key is hot if it has more than this part of all rows, so there are fewer hot keys than the denominator says.
-HOT = 1 / 500
+#: A key is hot if it is among the MOST_HOT most frequent ones and has more rows than a task may always hold.
+MOST_HOT, FEW_ROWS = 512, 512
 #: Parts into which a hot key's rows are dealt.
 PARTS = 64
-#: Rows of one key that a task may always hold.
-FEW_ROWS = 512
 
 
 def spread_join(big: DataFrame, small: DataFrame, key: str, salt: str, how: str = "inner") -> DataFrame:
-    """big joined to small (one row for each key) on their column `key`, by sort and merge at every size; rows of hot keys are dealt over PARTS tasks by `salt`.
+    """big joined to small (few rows for each key) on their column `key`, by sort and merge at every size; rows of hot keys are dealt over PARTS tasks by `salt`.
 
-    Hot keys are fewer than 1 / HOT, so they may be collected and broadcast; small's rows of these are copied to every part.
-    big is read twice more, to count, so it should be on disk or cheap.
+    Of N rows a key that isn't hot has N / MOST_HOT at most. Hot keys are MOST_HOT at most, so they may be collected and broadcast; small's rows of
+    these are copied to every part. big is read once more, to count, so it should be on disk or cheap.
     """
-    least = max(FEW_ROWS, int(big.count() * HOT))
-    hot = [r[0] for r in big.groupBy(key).count().where(F.col("count") > least).select(key).collect()]
+    hot = [r[0] for r in big.groupBy(key).count().where(F.col("count") > FEW_ROWS).orderBy(F.desc("count")).limit(MOST_HOT).collect()]
     if not hot:
         return big.join(small.hint("merge"), key, how)
     marks = F.broadcast(big.sparkSession.createDataFrame([(k,) for k in hot], big.select(key).schema).withColumn("_hot", F.lit(True)))

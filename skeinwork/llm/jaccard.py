@@ -89,16 +89,6 @@ def keys_of(grams: np.ndarray) -> np.ndarray:
     return _mixed(bands + np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def similarity(a: np.ndarray, b: np.ndarray) -> float:
-    """Jaccard similarity of two sorted sets that aren't empty."""
-    if len(a) > len(b):
-        a, b = b, a
-    if len(a) < LEAST * len(b):
-        return len(a) / len(b)  # at most this
-    both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
-    return both / (len(a) + len(b) - both)
-
-
 def sketches(docs: DataFrame) -> DataFrame:
     """id, doc_id, cls, size (of the set) and keys of every row."""
 
@@ -122,42 +112,35 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in found], pa.int64()), pa.array([s.view(np.int64) for _, s in found], pa.list_(pa.int64()))], names=["cls", "grams"])
 
 
-def _similar(least: float):
-    """Over (a, b, x, y): the pairs whose sets x and y are as similar as asked."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = batch.column(2), batch.column(3)
-            good = [similarity(p.values.to_numpy().view(np.uint64), q.values.to_numpy().view(np.uint64)) >= least for p, q in zip(x, y)]
-            yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
-
-    return run
-
-
 def true_links(pairs: DataFrame, sets: DataFrame, least: float = LEAST) -> DataFrame:
-    """The pairs (a, b) of classes that are as similar as asked. sets: cls, grams."""
+    """The pairs (a, b) of classes whose sets are as similar as asked. sets: cls, grams (each once)."""
     a = sets.select(F.col("cls").alias("a"), F.col("grams").alias("x"))
     b = sets.select(F.col("cls").alias("b"), F.col("grams").alias("y"))
-    both = spread_join(pairs, a, "a", "b").join(b.hint("merge"), "b").select("a", "b", "x", "y")
-    return both.mapInArrow(_similar(least), "a long, b long")
+    both = spread_join(pairs, a, "a", "b").join(b.hint("merge"), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    return both.where(shared >= F.lit(least) * (F.size("x") + F.size("y") - shared)).select("a", "b")
 
 
 #: Rank of a class among the members of any key: half of the classes have 0, a quarter 1, and so on.
 RANK = "CAST(floor(-log2((xxhash64(cls) & 4611686018427387903 | 1) / 4611686018427387904D)) AS INT)"
+#: Pairs that may all be met in the last round, however many ranks are left.
+LAST_PAIRS = 4_000_000
 
 
-def _compared(members: DataFrame, sets: DataFrame, work: Work) -> DataFrame:
+def _compared(members: DataFrame, sets: DataFrame, work: Work, last_pairs: int = LAST_PAIRS) -> DataFrame:
     """True links (a, b) that give the components of all true links between members of one key. members: key, cls, size, on disk."""
     links, tested, turn = members.sparkSession.createDataFrame([], "a long, b long"), None, 0
     now = members.withColumns({"rank": F.expr(RANK), "comp": F.col("cls")})
     while True:
-        # keys whose members aren't in one component, and the ranks whose classes are heads this time: to and to - 1
-        keys = now.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.max("rank").alias("top")).where("least <> most")
-        keys = keys.select("key", (F.col("top") - 2 * turn).alias("to")).where("to >= 0")
-        some = work.put(spread_join(now, keys, "key", "cls"), "jaccard-open")
-        if some.isEmpty():
+        # keys whose members aren't in one component, and the ranks whose classes are heads this time: to, to - 1
+        keys = now.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.max("rank").alias("top"), F.count("*").alias("n")).where("least <> most")
+        keys = keys.select("key", (F.col("top") - 2 * turn).alias("to"), "n").where("to >= 0")
+        n, all_pairs = keys.agg(F.count("*"), F.sum(F.col("n").cast("double") * F.col("n"))).first()
+        if not n:
             return links
-        heads = some.where("rank in (to, to - 1)").select("key", F.col("cls").alias("a"), F.col("size").alias("size_a"), F.col("rank").alias("rank_a"), F.col("comp").alias("comp_a"))
+        last = turn > 0 and all_pairs <= last_pairs  # all ranks that are left
+        some = work.put(spread_join(now, keys.drop("n"), "key", "cls"), "jaccard-open")
+        heads = some.where("rank <= to" if last else "rank in (to, to - 1)").select("key", F.col("cls").alias("a"), F.col("size").alias("size_a"), F.col("rank").alias("rank_a"), F.col("comp").alias("comp_a"))
         met = spread_join(some.withColumnRenamed("cls", "b"), heads, "key", "b")
         met = met.where(f"comp <> comp_a and (rank < rank_a or (rank = rank_a and b < a)) and least(size, size_a) >= {LEAST} * greatest(size, size_a)")
         met = met.select("a", "b").distinct()
@@ -166,6 +149,8 @@ def _compared(members: DataFrame, sets: DataFrame, work: Work) -> DataFrame:
         pairs = work.put(met, "jaccard-pairs")
         tested = pairs if tested is None else tested.union(pairs)
         links, turn = links.union(work.put(true_links(pairs, sets), "jaccard-links")), turn + 1
+        if last:
+            return links
         label = components(links).select(F.col("a").alias("cls"), F.col("b").alias("found"))
         now = spread_join(some.drop("comp", "to"), label, "cls", "key", "left").withColumn("comp", F.coalesce("found", "cls")).drop("found")
         now = work.put(now, "jaccard-members")

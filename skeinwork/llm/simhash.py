@@ -38,6 +38,8 @@ SHINGLE = 3
 ERRORS = 2
 #: Members of a key that are compared with each other in memory.
 CAP = 4096
+#: Edges whose components one task may find (they take some 50 MB).
+ONE_TASK = 200_000
 #: (shift, width) of the segments A, B, C.
 SEGMENTS = ((42, 22), (21, 21), (0, 21))
 #: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1 generates the code.
@@ -304,9 +306,31 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(a, b): every linked node a but the smallest of its component, with that smallest node b. edges should be on disk or cheap."""
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What components() gives, in the memory of one task."""
+    root: dict[int, int] = {}
+
+    def find(i: int) -> int:
+        while (r := root.setdefault(i, i)) != i:
+            root[i] = i = root[r]
+        return i
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+    found = [(i, find(i)) for i in list(root)]
+    yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found if x[0] != x[1]], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+
+def components(edges: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
+    """(a, b): every linked node a but the smallest of its component, with that smallest node b. edges should be on disk or cheap.
+
+    Up to `one_task` edges are united in one task, more by rounds over all; the result is the same.
+    """
     edges, state = edges.where("a <> b"), None
+    if edges.limit(one_task + 1).count() <= one_task:
+        return written(edges.coalesce(1).mapInArrow(_united, "a long, b long"), "simhash-components")
     with Work(edges.sparkSession) as work:
         while True:
             large = work.put(_large_star(edges), "simhash-stars")
