@@ -6,10 +6,9 @@ Texts whose sets of shingles have a similarity of LEAST or more are linked; comp
 2. A class has the Golay keys of its set's SimHash fingerprint, which texts within two bits share, and BANDS keys of ROWS minima each
    of the set's permutations: a pair at similarity s shares one of these with probability 1 - (1 - s ** ROWS) ** BANDS, 0.999997 at 0.8 and
    more above it. Golay keys alone can't do it: at 0.8 a fingerprint's bits differ with probability 0.15, ten of 64.
-3. Classes that share a key are compared by their whole sets, in rounds. In each round some members of a key are its heads and
-   are compared with the others that aren't yet in their component; half of what is left are heads later. So each pair of a key is
-   compared in some round unless its classes are in one component before, and no round holds a group in one task: pairs are rows, and a
-   head's pairs are dealt over tasks.
+3. Members of a key become a star, and components of the stars are candidates. A candidate component is cut into parts of about PART classes,
+   and every two parts come together in a task, which compares classes that share a key by their whole sets until they
+   are in one component. So every pair that shares a key is compared or already joined, a task never holds more than two parts, and pairs are never rows.
 4. Components of the true links are found as in simhash.
 
 Defined cases: words are white-space bytes apart, A-Z in lower case; fewer words than a shingle are one shingle; null and wordless texts
@@ -33,6 +32,8 @@ from skeinwork.llm.simhash import SEED, _mixed, components, golay_keys, majority
 WIDTH = 5
 LEAST = 0.8
 BANDS, ROWS = 32, 5
+#: Classes of a candidate component that are compared in one task with as many others.
+PART = 512
 
 _random = np.random.default_rng(SEED)
 FLIPS = _random.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
@@ -89,86 +90,108 @@ def keys_of(grams: np.ndarray) -> np.ndarray:
     return _mixed(bands + np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sorted sets that aren't empty."""
+    if len(a) > len(b):
+        a, b = b, a
+    if len(a) < LEAST * len(b):
+        return len(a) / len(b)  # at most this
+    both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+    return both / (len(a) + len(b) - both)
+
+
 def sketches(docs: DataFrame) -> DataFrame:
-    """id, doc_id, cls, size (of the set) and keys of every row."""
+    """id, doc_id, cls and keys of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, raw in text_slices(batch, 2):
                 sets = [shingles(x) for x in raw]
                 keys = [np.concatenate([a, keys_of(s)]) for a, s in zip(fuzzy_keys(sets), sets)]
-                columns = [pa.array(map(class_of, sets), pa.int64()), pa.array(map(len, sets), pa.int32()), pa.array(keys, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], names=["id", "doc_id", "cls", "size", "keys"])
+                columns = [pa.array(map(class_of, sets), pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], names=["id", "doc_id", "cls", "keys"])
 
     rows = docs.select(F.expr(ID).alias("id"), F.expr("CAST(doc_id AS BIGINT)").alias("doc_id"), F.expr(TEXT).alias("text"))
-    return rows.mapInArrow(run, "id long, doc_id long, cls long, size int, keys array<long>")
+    return rows.mapInArrow(run, "id long, doc_id long, cls long, keys array<long>")
+
+
+def true_links(cls: list[int], sets: list[np.ndarray], parts: list[int], least: float = LEAST) -> list[tuple[int, int]]:
+    """Edges between classes of different parts (of any, if there is but one) that share a key and are as similar as asked: enough of them for the components of all such."""
+    root, one = list(range(len(cls))), len(set(parts)) < 2
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    members: dict[int, list[int]] = {}
+    for i, (fuzzy, s) in enumerate(zip(fuzzy_keys(sets), sets)):
+        for k in {*fuzzy.tolist(), *keys_of(s).tolist()}:
+            members.setdefault(k, []).append(i)
+    out, seen = [], set()
+    for of in members.values():
+        groups: dict[int, list[int]] = {}
+        for i in of:
+            for r in list(groups):
+                if find(r) != find(i):
+                    for j in groups[r]:
+                        if (one or parts[i] != parts[j]) and (pair := (min(i, j), max(i, j))) not in seen:
+                            seen.add(pair)
+                            if similarity(sets[i], sets[j]) >= least:
+                                root[find(i)] = find(j)
+                                out.append((cls[i], cls[j]))
+                                break
+            # groups that have become one are held as one, so its members aren't met again
+            mine, me = [i], find(i)
+            for r in [r for r in groups if find(r) == me]:
+                mine += groups.pop(r)
+            groups[me] = mine
+    return out
+
 
+def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over (task, cls, part, text) sorted by task: true links."""
+    task, held = None, {}
+
+    def close() -> pa.RecordBatch:
+        found = true_links(list(held), [s for _, s in held.values()], [p for p, _ in held.values()])
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over (cls, text): (cls, grams), for the rows whose text is of that class."""
     for batch in batches:
-        for part, raw in text_slices(batch):
-            found = [(c, s) for c, s in zip(part.column(0).to_pylist(), map(shingles, raw)) if class_of(s) == c]
-            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in found], pa.int64()), pa.array([s.view(np.int64) for _, s in found], pa.list_(pa.int64()))], names=["cls", "grams"])
-
-
-def true_links(pairs: DataFrame, sets: DataFrame, least: float = LEAST) -> DataFrame:
-    """The pairs (a, b) of classes whose sets are as similar as asked. sets: cls, grams (each once)."""
-    a = sets.select(F.col("cls").alias("a"), F.col("grams").alias("x"))
-    b = sets.select(F.col("cls").alias("b"), F.col("grams").alias("y"))
-    both = spread_join(pairs, a, "a", "b").join(b.hint("merge"), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    return both.where(shared >= F.lit(least) * (F.size("x") + F.size("y") - shared)).select("a", "b")
-
-
-#: Rank of a class among the members of any key: half of the classes have 0, a quarter 1, and so on.
-RANK = "CAST(floor(-log2((xxhash64(cls) & 4611686018427387903 | 1) / 4611686018427387904D)) AS INT)"
-#: Pairs that may all be met in the last round, however many ranks are left.
-LAST_PAIRS = 4_000_000
-
-
-def _compared(members: DataFrame, sets: DataFrame, work: Work, last_pairs: int = LAST_PAIRS) -> DataFrame:
-    """True links (a, b) that give the components of all true links between members of one key. members: key, cls, size, on disk."""
-    links, tested, turn = members.sparkSession.createDataFrame([], "a long, b long"), None, 0
-    now = members.withColumns({"rank": F.expr(RANK), "comp": F.col("cls")})
-    while True:
-        # keys whose members aren't in one component, and the ranks whose classes are heads this time: to, to - 1
-        keys = now.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.max("rank").alias("top"), F.count("*").alias("n")).where("least <> most")
-        keys = keys.select("key", (F.col("top") - 2 * turn).alias("to"), "n").where("to >= 0")
-        n, all_pairs = keys.agg(F.count("*"), F.sum(F.col("n").cast("double") * F.col("n"))).first()
-        if not n:
-            return links
-        last = turn > 0 and all_pairs <= last_pairs  # all ranks that are left
-        some = work.put(spread_join(now, keys.drop("n"), "key", "cls"), "jaccard-open")
-        heads = some.where("rank <= to" if last else "rank in (to, to - 1)").select("key", F.col("cls").alias("a"), F.col("size").alias("size_a"), F.col("rank").alias("rank_a"), F.col("comp").alias("comp_a"))
-        met = spread_join(some.withColumnRenamed("cls", "b"), heads, "key", "b")
-        met = met.where(f"comp <> comp_a and (rank < rank_a or (rank = rank_a and b < a)) and least(size, size_a) >= {LEAST} * greatest(size, size_a)")
-        met = met.select("a", "b").distinct()
-        if tested is not None:
-            met = met.join(tested.hint("merge"), ["a", "b"], "left_anti")
-        pairs = work.put(met, "jaccard-pairs")
-        tested = pairs if tested is None else tested.union(pairs)
-        links, turn = links.union(work.put(true_links(pairs, sets), "jaccard-links")), turn + 1
-        if last:
-            return links
-        label = components(links).select(F.col("a").alias("cls"), F.col("b").alias("found"))
-        now = spread_join(some.drop("comp", "to"), label, "cls", "key", "left").withColumn("comp", F.coalesce("found", "cls")).drop("found")
-        now = work.put(now, "jaccard-members")
+        for i in range(0, batch.num_rows, 64):
+            part = batch.slice(i, 64)
+            for t, cls, p, raw in zip(*(part.column(k).to_pylist() for k in range(3)), utf8(part.column(3))):
+                if t != task:
+                    yield close()
+                    task, held = t, {}
+                if cls not in held and class_of(grams := shingles(raw)) == cls:  # ids may repeat
+                    held[cls] = (p, grams)
+    yield close()
+
+
+def _dealt(candidates: DataFrame, size: int = PART) -> DataFrame:
+    """task, cls and part of candidates (cls, comp): a class is in a task for every pair of its component's parts that its own is in."""
+    n = candidates.groupBy("comp").count().select("comp", F.ceil(F.col("count") / size).cast("long").alias("parts"))
+    rows = spread_join(candidates, n, "comp", "cls").withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")))
+    others = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda q: F.xxhash64("comp", F.least("part", q), F.greatest("part", q)))
+    return rows.select(F.explode(others).alias("task"), "cls", "part")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """id, doc_id, cls and head (the component's smallest linked class) of every row."""
     marked = written(sketches(docs), "jaccard-sketches")
     with Work(docs.sparkSession) as work:
-        classes = marked.groupBy("cls").agg(F.first("size").alias("size"), F.first("keys").alias("keys"))
-        bands = work.put(classes, "jaccard-classes").select(F.explode("keys").alias("key"), "cls", "size")
-        shared = bands.groupBy("key").count().where("count > 1").select("key")
-        members = work.put(spread_join(bands, shared, "key", "cls"), "jaccard-shared")
-        wanted = marked.groupBy("cls").agg(F.min("id").alias("rep")).join(members.select("cls").distinct().hint("merge"), "cls", "left_semi")
+        classes = marked.groupBy("cls").agg(F.first("keys").alias("keys"))
+        bands = work.put(classes, "jaccard-classes").select(F.explode("keys").alias("key"), "cls")
+        shared = bands.groupBy("key").agg(F.min("cls").alias("b"), F.count("*").alias("n")).where("n > 1").select("key", "b")
+        stars = spread_join(bands, shared, "key", "cls").where("cls <> b").select(F.col("cls").alias("a"), "b").distinct()
+        near = components(work.put(stars, "jaccard-stars"))
+        candidates = work.put(near.select(F.col("a").alias("cls"), F.col("b").alias("comp")).union(near.select("b", "b").distinct()), "jaccard-candidates")
+        wanted = spread_join(_dealt(candidates), marked.groupBy("cls").agg(F.min("id").alias("rep")), "cls", "task")
         # a sort-merge join at every size: the candidates grow with the documents and mustn't be broadcast
-        texts = docs.select(F.expr(ID).alias("rep"), F.expr(TEXT).alias("text")).join(wanted.hint("merge"), "rep").select("cls", "text")
-        sets = work.put(texts.mapInArrow(_sets, "cls long, grams array<long>").dropDuplicates(["cls"]), "jaccard-sets")
-        links = _compared(members, sets, work)
+        texts = docs.select(F.expr(ID).alias("rep"), F.expr(TEXT).alias("text")).join(wanted.hint("merge"), "rep").select("task", "cls", "part", "text")
+        links = work.put(texts.repartition("task").sortWithinPartitions("task").mapInArrow(_verified, "a long, b long"), "jaccard-links")
         label = components(links).select(F.col("a").alias("cls"), F.col("b").alias("head"))
     rows = marked.select("id", "doc_id", "cls")
     return spread_join(rows, label, "cls", "id", "left").select("id", "doc_id", "cls", F.coalesce("head", "cls").alias("head"))

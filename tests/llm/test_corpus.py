@@ -573,12 +573,13 @@ def test_a_large_group_of_near_copies(spark, monkeypatch):
             copy[at] = f"x{r.randrange(10**6)}"
         rows.append((i, " ".join(copy)))
     want = sorted(set(jaccard_components([t for _, t in rows], [i for i, _ in rows])))
-    for last in (0, jaccard.LAST_PAIRS):  # in rounds of two ranks, and all that are left in the second
-        monkeypatch.setattr(jaccard._compared, "__defaults__", (last,))
+    for size in (10, jaccard.PART):  # in fifteen parts, and in one
+        monkeypatch.setattr(jaccard._dealt, "__defaults__", (size,))
         got = jaccard.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"))
         assert sorted(x["doc_id"] for x in got.collect()) == want
 
 
+
 def test_near_duplicates_stage_against_brute_force(spark, docs, empty):
     import corpus_pipeline
 
