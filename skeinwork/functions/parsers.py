@@ -1,8 +1,9 @@
 """Source files to symbols and relations: one file row becomes many records.
 
 Python is parsed by its own ast. Other languages are read by a table of line patterns and brace depth, as no grammar library is
-at hand: declarations, imports, inheritance and calls are found, expressions aren't parsed. A file that can't be
-parsed gives no records, and a language without a parser none either.
+at hand: declarations with their extent and the comment above them, decorators, variables, imports, inheritance and calls are found, expressions
+aren't parsed; what stands in comments and strings isn't read as code. A file that can't be parsed gives no records, and a language
+without a parser none either.
 """
 
 from __future__ import annotations
@@ -13,18 +14,21 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from skeinwork.operators.docs import import_links
 from skeinwork.schema import RECORDS
+from skeinwork.sources.files import LANGUAGES
 
 SOURCE_LIMIT = 2000
 MOST_BYTES = 1 << 20
 
 
 class Records:
-    """Collects records of a file: of a node id the first stays, of an edge one, and none from a node to itself."""
+    """Collects records of a file: of a node id the first stays, of an edge one, and none from a node to itself unless loops are wanted."""
 
-    def __init__(self, repo: str, path: str):
-        self.repo, self.path = repo, path
+    def __init__(self, repo: str, path: str, loops: bool = False):
+        self.repo, self.path, self.loops = repo, path, loops
         self.nodes: dict[str, dict] = {}
         self.edges: dict[tuple[str, str, str], None] = {}
 
@@ -39,7 +43,7 @@ class Records:
         return i
 
     def edge(self, source: str, target: str, relation: str) -> None:
-        if source != target:
+        if source != target or self.loops:
             self.edges.setdefault((source, target, relation))
 
     def rows(self) -> list[dict]:
@@ -102,11 +106,11 @@ def parse_python(path: str, source: str, repo: str) -> list[dict]:
                     out.edge(module, i, "imports")
             elif isinstance(n, (ast.Assign, ast.AnnAssign)):
                 for target in n.targets if isinstance(n, ast.Assign) else [n.target]:
-                    for name in (x.id for x in ast.walk(target) if isinstance(x, ast.Name)):
-                        out.node("variable", name, n.lineno, n.end_lineno, text(n), parent)
+                    if isinstance(target, ast.Name):  # neither self.x nor a[i] nor a, b
+                        out.node("variable", target.id, n.lineno, n.end_lineno, text(n), parent)
             else:
-                for part in ("body", "orelse", "finalbody", "handlers"):
-                    visit([x for h in getattr(n, part, []) or [] for x in (h.body if isinstance(h, ast.ExceptHandler) else [h])], parent, in_class)
+                for part in ("body", "orelse", "finalbody", "handlers", "cases"):
+                    visit([x for h in getattr(n, part, []) or [] for x in (h.body if isinstance(h, (ast.ExceptHandler, ast.match_case)) else [h])], parent, in_class)
 
     visit(tree.body, module, False)
     return out.rows()
@@ -126,71 +130,205 @@ GRAMMARS: dict[str, tuple[str, str, str]] = {
     "swift": (rf"\b(?:class|struct|enum|protocol)\s+{NAME}", rf"\bfunc\s+{NAME}", r"^\s*import\s+(\w+)"),
     "cpp": (rf"\b(?:class|struct|enum(?:\s+class)?)\s+{NAME}\s*(?:final\s*)?[:{{]", rf"^[\w:<>*&~\s]*?\b(?:\w+::)*(~?[A-Za-z_]\w*)\s*\([^;]*\)\s*(?:const\s*)?(?:noexcept\s*)?{{?\s*$", r"^\s*#\s*include\s+[<\"]([^>\"]+)"),
 }
+#: What declares a variable.
+VARIABLES: dict[str, str] = {
+    "typescript": rf"^\s*(?:export\s+)?(?:const|let|var)\s+{NAME}\s*(?::[^=]+)?=",
+    "go": rf"^\s*(?:var|const)\s+{NAME}\b",
+    "rust": rf"^\s*(?:pub\s+)?(?:static|const|let)\s+(?:mut\s+)?{NAME}\s*[:=]",
+    "java": rf"^\s+(?:(?:private|public|protected|static|final|volatile)\s+)+[\w<>\[\],.?]+\s+{NAME}\s*[=;]",
+    "csharp": rf"^\s+(?:(?:private|public|protected|internal|static|readonly|const)\s+)+[\w<>\[\],.?]+\s+{NAME}\s*[=;]",
+    "kotlin": rf"\b(?:val|var)\s+{NAME}\s*[:=]",
+    "ruby": r"(?!)",
+    "php": rf"^\s+(?:(?:public|private|protected|static|const|readonly)\s+)+(?:\??\w+\s+)?\$?{NAME}\s*[=;]",
+    "swift": rf"\b(?:let|var)\s+{NAME}\s*[:=]",
+    "cpp": r"(?!)",
+}
+DECORATOR = re.compile(r"^\s*@([A-Za-z_][\w.]*)")
 INHERITS = re.compile(r"\b(?:extends|implements)\s+([\w$.,\s]+?)\s*(?:\{|$|implements)|^\s*(?:public\s+|abstract\s+|final\s+|open\s+|data\s+)*(?:class|struct|interface)\s+\w+(?:<[^>]*>)?(?:\([^)]*\))?\s*(?::|<)\s*([\w$.,\s:()]+?)\s*(?:\{|$)")
 CALL = re.compile(r"(?:^|[^\w.])(?:[\w$]+\.)*([A-Za-z_$][\w$]*)\s*\(")
 WORDS = frozenset("if for while switch catch return function def fn func fun new sizeof match when foreach elseif typeof super constructor".split())
+STRING = r'"(?:\\.|[^"\\\n])*"|`(?:\\.|[^`\\])*`'
+#: What isn't code: strings (group 1) and comments (group 2).
+TEXTS = {
+    "rust": re.compile(rf"({STRING}|'(?:\\.|[^'\\])')|(/\*[\s\S]*?\*/|//[^\n]*)"),
+    "ruby": re.compile(rf"({STRING}|'(?:\\.|[^'\\\n])*')|((?m:^=begin[\s\S]*?^=end)|#[^\n]*)"),
+    "php": re.compile(rf"({STRING}|'(?:\\.|[^'\\\n])*')|(/\*[\s\S]*?\*/|//[^\n]*|#[^\n]*)"),
+}
+OTHER_TEXTS = re.compile(rf"({STRING}|'(?:\\.|[^'\\\n])*')|(/\*[\s\S]*?\*/|//[^\n]*)")
+BLOCK = re.compile(r"\s*(?:class|module|def|if|unless|while|until|case|begin)\b|.*\bdo\b(?:\s*\|[^|]*\|)?\s*$")
+
+
+def without_texts(source: str, language: str) -> tuple[list[str], list[str], dict[int, str]]:
+    """Lines without comments, lines without comments and strings' insides, and the comments by their last line."""
+    comments: dict[int, str] = {}
+
+    def blank(m: re.Match, strings: bool) -> str:
+        if m[1] is not None:
+            return m[1][0] + re.sub(r"[^\n]", " ", m[1][1:-1]) + m[1][-1] if strings else m[1]
+        if strings:
+            comments[source.count("\n", 0, m.end())] = m[2]
+        return re.sub(r"[^\n]", " ", m[2])
+
+    pattern = TEXTS.get(language, OTHER_TEXTS)
+    code, bare = (pattern.sub(lambda m, s=s: blank(m, s), source).split("\n") for s in (False, True))
+    return code, bare, comments
 
 
 def parse_lines(language: str) -> Callable[[str, str, str], list[dict]]:
     classes, functions, imports = (re.compile(x) for x in GRAMMARS[language])
+    variables, ruby = re.compile(VARIABLES[language]), language == "ruby"
+    first = lambda m: next((g for g in m.groups() if g), None)
+
+    def comment_above(comments: dict[int, str], code: list[str], k: int) -> str | None:
+        """The comment that ends right above line k (decorators aside), with the line comments above it."""
+        k -= 1
+        while k >= 0 and DECORATOR.match(code[k]):
+            k -= 1
+        found = []
+        while k in comments and not code[k].strip():
+            found.append(comments[k])
+            k -= comments[k].count("\n") + 1
+            if found[-1].startswith("/*"):
+                break
+        return "\n".join(x.strip() for x in reversed(found)) or None
+
+    def has_body(bare: list[str], k: int, after: int) -> bool:
+        rest = " ".join([bare[k][after:], *bare[k + 1 : k + 10]])
+        opens, ends = rest.find("{"), rest.find(";")
+        expression = re.match(r"[^{;]*?\)?\s*(?::\s*[\w<>?.]+\s*)?=(?![=>])", rest.split("{")[0])
+        return opens >= 0 and not 0 <= ends < opens and not (expression and language in ("kotlin", "swift"))
 
     def parse(path: str, source: str, repo: str) -> list[dict]:
         if len(source) > MOST_BYTES:
             return []
-        out, rows = Records(repo, path), source.split("\n")
+        out, rows = Records(repo, path, loops=True), source.split("\n")
+        code, bare_rows, comments = without_texts(source, language)
         stem = path.rsplit("/", 1)[-1].rsplit(".", 1)[0]
-        module = out.node("module", stem, 1, len(rows), source)
-        open_scopes: list[tuple[int, str, str]] = []  # depth at which a scope began, kind, id
-        depth, comment = 0, None
-        for k, line in enumerate(rows):
-            bare = re.sub(r"//.*|(?<!['\"])#(?!\s*include).*$" if language in ("ruby", "php") else r"//.*", "", line)
-            if line.strip().startswith(("//", "#", "*", "/*")) and not bare.strip().startswith("#"):
-                comment = line.strip().lstrip("/#* ")
-            inside = next((s for s in reversed(open_scopes) if s[1] == "class"), None)
-            parent = open_scopes[-1][2] if open_scopes else module
-            first = lambda m: next((g for g in m.groups() if g), None)
-            if m := imports.search(bare):
-                i = out.node("import", first(m), k + 1, k + 1, line, module)
-                out.edge(module, i, "imports")
+        module = out.node("module", stem, 1, max(1, len(source.splitlines())), source)
+        scopes: list[tuple[int, str, str, int]] = []  # depth at which a scope began, kind, id, line
+        decorators: list[tuple[str, int]] = []
+        depth = 0
+
+        def declared(kind: str, name: str, k: int, parent: str, body: bool) -> str:
+            known = out.id(kind, name) in out.nodes
+            i = out.node(kind, name, k + 1, k + 1, rows[k], parent, comment_above(comments, code, k), rows[k].strip())
+            for d, at in decorators:
+                out.edge(out.node("decorator", d, at + 1, at + 1, rows[at].strip()), i, "decorates")
+            decorators.clear()
+            if body:
+                scopes.append((depth, kind, i if not known else "", k))
+            return i
+
+        def closed(k: int) -> None:
+            _, _, i, start = scopes.pop()
+            if i:
+                out.nodes[i].update(end_line=k + 1, source_text="\n".join(rows[start : k + 1])[:SOURCE_LIMIT])
+
+        for k, bare in enumerate(bare_rows):
+            if m := DECORATOR.match(bare):
+                decorators.append((m[1].rsplit(".", 1)[-1], k))
+                bare = bare[m.end() :]
+            inside = next((True for s in reversed(scopes) if s[1] == "class"), False)
+            parent = next((s[2] for s in reversed(scopes) if s[2]), module)
+            caller = next((s[2] for s in reversed(scopes) if s[1] in ("function", "method")), "")
+            if (m := imports.search(code[k])) and bare.strip():
+                i = out.node("import", first(m), k + 1, k + 1, code[k].strip(), parent)
+                out.edge(i, i, "imports")
             elif m := classes.search(bare):
-                i = out.node("class", m[1], k + 1, k + 1, line, parent, comment)
+                i = declared("class", m[1], k, parent, ruby or has_body(bare_rows, k, m.end()))
                 if h := INHERITS.search(bare):
                     for base in re.split(r"[,\s]+", first(h) or ""):
                         if base and base.isidentifier() and base not in ("public", "private", "protected", "virtual", "implements"):
                             out.edge(i, out.id("class", base), "inherits")
-                open_scopes.append((depth, "class", i))
             elif (m := functions.search(bare)) and first(m) not in WORDS:
-                i = out.node("method" if inside else "function", first(m), k + 1, k + 1, line, parent, comment, line.strip())
-                open_scopes.append((depth, "function", i))
-            elif open_scopes and open_scopes[-1][1] == "function":
-                for name in CALL.findall(bare):
+                body = ruby or has_body(bare_rows, k, m.end() - (bare[: m.end()].endswith("{")))
+                i = declared("method" if inside else "function", first(m), k, parent, body)
+                _, opened, rest = bare.partition("{" if "{" in bare else "=>")
+                for name in CALL.findall(rest) if opened else ():
                     if name not in WORDS:
-                        out.edge(open_scopes[-1][2], out.id("function", name), "calls")
-            if language == "ruby":
-                depth += bool(re.match(r"\s*(?:class|module|def|if|unless|while|case|begin)\b|.*\bdo\b", bare)) - bool(re.match(r"\s*end\b", bare))
+                        out.edge(i, out.id("function", name), "calls")
             else:
+                if m := variables.search(bare):
+                    out.node("variable", first(m), k + 1, k + 1, rows[k].strip(), parent, comment_above(comments, code, k), rows[k].strip())
+                for name in CALL.findall(bare) if caller else ():
+                    if name not in WORDS:
+                        out.edge(caller, out.id("function", name), "calls")
+            if bare.strip() and not DECORATOR.match(bare_rows[k]):
+                decorators.clear()
+            if ruby:
+                ends = bool(re.match(r"\s*end\b", bare))
+                depth += bool(BLOCK.match(bare)) - ends
+            else:
+                ends = "}" in bare
                 depth += bare.count("{") - bare.count("}")
-            while open_scopes and depth <= open_scopes[-1][0] and ("}" in bare or "end" in bare):
-                open_scopes.pop()
-            if bare.strip():
-                comment = None
+            while scopes and ends and depth <= scopes[-1][0]:
+                closed(k)
+        while scopes:
+            closed(len(rows) - 1)
         return out.rows()
 
     return parse
 
 
-PARSERS: dict[str, Callable[[str, str, str], list[dict]]] = {"python": parse_python} | {name: parse_lines(name) for name in GRAMMARS}
+Parser = Callable[[str, str, str], list[dict]]
+PARSERS: dict[str, Parser] = {"python": parse_python} | {name: parse_lines(name) for name in GRAMMARS}
+
+
+class Registry:
+    """Parsers by language, and languages by extension. After freeze() nothing can be added."""
 
+    def __init__(self):
+        self.parsers: dict[str, Parser] = {}
+        self.languages: dict[str, str] = {}
+        self.frozen = False
 
-def parse_files(files: DataFrame, repo: str) -> DataFrame:
-    """Records of source files. files: filepath, language, source."""
+    def register(self, language: str, extensions: tuple[str, ...], parser: Parser) -> None:
+        if self.frozen:
+            raise RuntimeError("the registry is frozen")
+        for e in map(str.lower, extensions):
+            if e in self.languages:
+                raise ValueError(f"{e} belongs to {self.languages[e]} already")
+            self.languages[e] = language
+        self.parsers[language] = parser
+
+    def freeze(self) -> Registry:
+        self.frozen = True
+        return self
+
+    def parser(self, path: str) -> Parser | None:
+        """The parser of a path's extension, in any case; None for others."""
+        dot = path.rfind(".", path.rfind("/") + 1)
+        return self.parsers.get(self.languages.get(path[dot:].lower(), "")) if dot >= 0 else None
+
+
+def default_registry() -> Registry:
+    """All languages, frozen."""
+    out = Registry()
+    for language, parser in PARSERS.items():
+        out.register(language, tuple(e for e, name in LANGUAGES.items() if name == language), parser)
+    return out.freeze()
+
+
+def parse_files(files: DataFrame, repo: str, registry: Registry | None = None) -> DataFrame:
+    """Records of source files. files: filepath, language, source. registry: other parsers than the package's."""
+    parsers = registry.parsers if registry else PARSERS
     kinds = {"int": pa.int32(), "string": pa.string()}
     schema = pa.schema([(name, kinds[kind]) for name, kind in (c.split() for c in RECORDS.split(", "))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, language, source in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                if found := PARSERS[language](path, source or "", repo) if language in PARSERS else []:
+                if found := parsers[language](path, source or "", repo) if language in parsers else []:
                     yield pa.RecordBatch.from_pylist([{n: row.get(n) for n in schema.names} for row in found], schema=schema)
 
     return files.select("filepath", "language", "source").mapInArrow(run, RECORDS)
+
+
+def parse_repository(files: DataFrame, repo: str, registry: Registry | None = None) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of a repository's files, with the links of its imports to what they name in other files."""
+    records = parse_files(files, repo, registry)
+    nodes = records.where("rec_type = 'node'").select("id", "kind", "name", "filepath", "start_line", "end_line", "source_text", "docstring", "signature", "parent_id")
+    imports = nodes.where("kind = 'import'").select("id", F.coalesce("docstring", "name").alias("target"))
+    links = import_links(imports, nodes.select("id", "name", "kind")).select(F.col("src").alias("source_id"), F.col("dst").alias("target_id"), F.lit("imports").alias("relation"))
+    edges = records.where("rec_type = 'edge'").select("source_id", "target_id", "relation")
+    return nodes, edges.union(links).distinct()

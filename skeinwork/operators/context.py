@@ -28,6 +28,16 @@ def rendered(kind: Column, node_id: Column, name: Column, filepath: Column, sour
     return F.concat_ws("\n", F.when(kind != "", F.concat(F.lit("["), kind, F.lit("]"))), F.when(known != "", known).otherwise(labelled("Node: ", node_id)))
 
 
+def first_tokens(text: Column, most: int) -> Column:
+    """The first `most` tokens, parted by spaces, of a text."""
+    return F.array_join(F.slice(F.split(text, " "), 1, most), " ")
+
+
+def embedding_text(kind: Column, name: Column, signature: Column, docstring: Column, source: Column) -> Column:
+    """What of a symbol is embedded, a line each: kind and name, signature, documentation, source (cut by the caller); what is null is left out."""
+    return F.concat_ws("\n", F.concat_ws(": ", kind, name), signature, docstring, source)
+
+
 def key_facts(text: Column, most: int = 10) -> Column:
     """The first sentences, which end at '. ' or a line feed, as an array; blank ones don't count."""
     sentences = F.split(F.replace(F.coalesce(text, F.lit("")), F.lit("\n"), F.lit(". ")), r"\. ")

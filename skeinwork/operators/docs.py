@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skeinwork.operators.relational import first_n
+from skeinwork.operators.traversal import with_confidence
 
 
 def prefix_links(nodes: DataFrame, arch: DataFrame) -> DataFrame:
@@ -16,49 +19,83 @@ def prefix_links(nodes: DataFrame, arch: DataFrame) -> DataFrame:
     return exploded.join(arch, "module_path").select("key", "module_path", "architectural_role")
 
 
-def traceability(nodes: DataFrame, edges: DataFrame, desc: DataFrame, docs: DataFrame, arch: DataFrame) -> DataFrame:
-    """For every symbol: links to descriptions, details and architecture, callers or importers that are tests, and three flags."""
-    n = nodes.select("key", "id", "filepath")
-    tests = edges.where("relation in ('calls', 'imports')").join(nodes.where("contains(filepath, 'test') or contains(name, 'test')").select(F.col("key").alias("src")), "src").groupBy(F.col("dst").alias("key")).agg(F.countDistinct("src").alias("n_tests"))
-    d = desc.groupBy(F.col("node_id").alias("key")).agg(F.count("*").alias("n_desc"))
-    c = docs.groupBy(F.col("component_id").alias("key")).agg(F.count("*").alias("n_docs"))
-    a = prefix_links(nodes, arch).groupBy("key").agg(F.count("*").alias("n_arch"))
-    out = n.join(d, "key", "left").join(c, "key", "left").join(a, "key", "left").join(tests, "key", "left")
-    counts = {k: F.coalesce(k, F.lit(0)).cast("long") for k in ("n_desc", "n_docs", "n_arch", "n_tests")}
-    out = out.select("key", *(v.alias(k) for k, v in counts.items()))
-    return out.withColumns({"has_requirements": F.expr("n_desc + n_docs > 0"), "has_tests": F.expr("n_tests > 0"), "has_architecture": F.expr("n_arch > 0")})
+TESTS = "contains(name, 'test') or contains(name, 'spec') or contains(filepath, 'test') or contains(filepath, 'spec')"
 
 
 def tests_of(nodes: DataFrame, edges: DataFrame, most: int = 20) -> DataFrame:
     """(key, test): the tests that call or import a symbol, the first `most` by id."""
-    tests = nodes.where("contains(name, 'test') or contains(filepath, 'test')").select(F.col("key").alias("src"), F.col("id").alias("test"))
+    tests = nodes.where(TESTS).select(F.col("key").alias("src"), F.col("id").alias("test"))
     pairs = edges.where("relation in ('calls', 'imports')").join(tests, "src").select(F.col("dst").alias("key"), "test").distinct()
     return first_n(pairs, ["key"], ["test"], most)
 
 
-def trace(nodes: DataFrame, desc: DataFrame, docs: DataFrame, arch: DataFrame, name: str, level: str = "all", sources: int = 5) -> DataFrame:
-    """The chain from symbols whose name holds `name` (the first `sources` by key) to the layers asked for: key, type, text."""
-    some = nodes.where(F.col("name").contains(name)).orderBy("key").limit(sources)
-    parts = []
-    if level in ("component", "all"):
-        parts.append(some.join(desc, some["key"] == desc["node_id"]).select("key", F.lit("component").alias("type"), F.col("summary").alias("text")))
-        parts.append(some.join(docs, some["key"] == docs["component_id"]).select("key", F.lit("detail").alias("type"), F.col("data_flow").alias("text")))
-    if level in ("architecture", "all"):
-        parts.append(prefix_links(some, arch).select("key", F.lit("architecture").alias("type"), F.col("architectural_role").alias("text")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def context(nodes: DataFrame, edges: DataFrame, desc: DataFrame, docs: DataFrame, text: str, located: int = 10) -> DataFrame:
-    """Symbols whose path holds `text` (the first `located` by key), what they contain, and the documentation of both."""
-    at = nodes.where(F.col("filepath").contains(text) | F.col("name").contains(text)).orderBy("key").limit(located).select(F.col("key").alias("node_id"))
-    inside = at.join(edges.where("relation = 'contains'"), at["node_id"] == edges["src"]).select("node_id", F.col("dst").alias("context_id"))
-    all_ids = at.select("node_id", F.col("node_id").alias("context_id")).union(inside)
-    d = desc.select(F.col("node_id").alias("context_id"), "summary")
-    c = docs.select(F.col("component_id").alias("context_id"), F.lit(True).alias("has_doc"))
-    return all_ids.join(d, "context_id", "left").join(c, "context_id", "left").select("node_id", "context_id", "summary", F.coalesce("has_doc", F.lit(False)).alias("has_doc"))
+def traceability(nodes: DataFrame, edges: DataFrame, desc: DataFrame, docs: DataFrame, arch: DataFrame) -> DataFrame:
+    """For every symbol: requirement_links (its descriptions, then their details), test_coverage (20 ids), architecture_context (modules), and three flags."""
+    link = lambda t, at, text: F.struct(F.lit(at).alias("at"), F.lit(t).alias("type"), F.col(text).alias("text"))
+    links = desc.select(F.col("node_id").alias("key"), link("ComponentDescription", 1, "summary").alias("x"))
+    links = links.union(docs.select(F.col("component_id").alias("key"), link("ComponentDoc", 2, "data_flow").alias("x")))
+    some = links.groupBy("key").agg(F.array_sort(F.collect_list("x")).alias("requirement_links"))
+    tests = tests_of(nodes, edges).groupBy("key").agg(F.array_sort(F.collect_list("test")).alias("test_coverage"))
+    where = prefix_links(nodes, arch).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("module_path", "architectural_role"))).alias("architecture_context"))
+    out = nodes.select("key", "id").join(some, "key", "left").join(tests, "key", "left").join(where, "key", "left")
+    for n in ("requirement_links", "test_coverage", "architecture_context"):
+        out = out.withColumn(n, F.coalesce(n, F.array().cast(out.schema[n].dataType)))
+    return out.withColumns({"has_documentation": F.size("requirement_links") > 0, "has_test_coverage": F.size("test_coverage") > 0, "has_architecture_context": F.size("architecture_context") > 0})
+
+
+def located(nodes: DataFrame, text: str, repo_id: str, most: int) -> DataFrame:
+    """Symbols of a repository that are named `text` or whose path holds it, the first `most` by id."""
+    hit = (F.col("name") == text) | F.col("filepath").contains(text)
+    return nodes.where(hit & (F.col("repo_id") == repo_id)).orderBy("id").limit(most)
+
+
+def trace(nodes: DataFrame, desc: DataFrame, docs: DataFrame, arch: DataFrame, source: str, repo_id: str, level: str = "architecture", sources: int = 5) -> DataFrame:
+    """The chain from a source's symbols to the documentation: key, type, node_id, text, and the confidence of all.
+
+    Descriptions always; their details at level component and architecture; modules at level architecture. Any other level gives descriptions.
+    """
+    some = located(nodes, source, repo_id, sources).select("key", "filepath")
+    parts = [some.join(desc, some["key"] == desc["node_id"]).select("key", F.lit("component_desc").alias("type"), F.col("node_id").cast("string").alias("node_id"), F.col("summary").alias("text"))]
+    if level in ("component", "architecture"):
+        parts.append(some.join(docs, some["key"] == docs["component_id"]).select("key", F.lit("component"), F.col("component_id").cast("string"), "data_flow"))
+    if level == "architecture":
+        parts.append(prefix_links(some, arch).select("key", F.lit("architecture"), "module_path", "architectural_role"))
+    return with_confidence(reduce(DataFrame.union, parts), 10)
+
+
+def context(nodes: DataFrame, edges: DataFrame, desc: DataFrame, docs: DataFrame, arch: DataFrame, text: str, repo_id: str, most: int = 10, expanded: int = 5) -> DataFrame:
+    """What surrounds the symbols that `text` locates: context_id, type, summary, data_flow, and the confidence of all.
+
+    The first `expanded` of the located symbols are expanded: what contains them or is contained by them, and the modules that they are part of; located ones
+    aren't context. Further rounds would expand the same symbols and find nothing new, so one round is what any depth gives.
+    """
+    at = located(nodes, text, repo_id, most).select("key", "id", "filepath")
+    few = at.orderBy("id").limit(expanded)
+    c = edges.where("relation = 'contains'").select("src", "dst")
+    near = few.join(c.union(c.select("dst", "src")).toDF("key", "context"), "key").select(F.col("context").alias("key")).distinct().join(at, "key", "left_anti")
+    named = near.join(nodes.select("key", "id"), "key")
+    d, l = desc.select(F.col("node_id").alias("key"), "summary"), docs.select(F.col("component_id").alias("key"), "data_flow")
+    symbols = named.join(d, "key", "left").join(l, "key", "left").select(F.col("id").alias("context_id"), F.lit("symbol").alias("type"), "summary", "data_flow")
+    modules = prefix_links(few, arch).select(F.col("module_path").alias("context_id"), F.lit("module").alias("type"), F.col("architectural_role").alias("summary"), F.lit(None).cast("string").alias("data_flow")).distinct()
+    return with_confidence(symbols.union(modules), 30)
+
+
+# -- layers stored
+
+
+def stored_layers(nodes: DataFrame, desc: DataFrame, docs: DataFrame, arch: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What is kept of new documentation: descriptions of known symbols, details of kept descriptions, and modules with the symbols that they link."""
+    kept = desc.join(nodes.select(F.col("key").alias("node_id")), "node_id", "left_semi")
+    details = docs.join(kept.select(F.col("node_id").alias("component_id")), "component_id", "left_semi")
+    return kept, details, prefix_links(nodes, arch)
+
+
+def stored_embeddings(nodes: DataFrame, old: DataFrame, new: DataFrame, dimensions: int) -> DataFrame:
+    """old with new vectors (key, vector) put in by key; a vector of another length is an error, one of an unknown symbol is dropped."""
+    size = F.coalesce(F.size("vector"), F.lit(-1))
+    checked = new.withColumn("vector", F.when(size == dimensions, F.col("vector")).otherwise(F.raise_error(F.concat(F.lit("a vector has length "), size.cast("string"), F.lit(f", not {dimensions}")))))
+    known = checked.join(nodes.select("key"), "key", "left_semi")
+    return old.join(known.select("key"), "key", "left_anti").unionByName(known)
 
 
 def import_links(imports: DataFrame, definitions: DataFrame) -> DataFrame:
@@ -68,9 +105,26 @@ def import_links(imports: DataFrame, definitions: DataFrame) -> DataFrame:
     return i.join(d, "name").where("src <> dst").select("src", "dst").distinct()
 
 
-def layered(nodes: DataFrame, desc: DataFrame, docs: DataFrame, arch: DataFrame, most: int) -> DataFrame:
-    """layer, id, label: the first `most` of each layer by id."""
-    def top(df: DataFrame, layer: int, key: str, label: str) -> DataFrame:
+def layered(nodes: DataFrame, desc: DataFrame, docs: DataFrame, arch: DataFrame, facts: DataFrame, memory: DataFrame, edges: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """Vertices (layer, id, label), the first `most` of each layer by id, and the edges between them (source, target, relation), the first 2 * `most` of each kind.
+
+    Layers are symbols, descriptions, details, modules, facts (id, label) and memory (id, label); edges link symbols to each other, to their
+    descriptions and modules, and descriptions to details.
+    """
+
+    def top(df: DataFrame, layer: str, key: str, label: str) -> DataFrame:
         return df.select(F.lit(layer).alias("layer"), F.col(key).cast("string").alias("id"), F.col(label).alias("label")).orderBy("id", "label").limit(most)
 
-    return top(nodes, 1, "id", "name").unionByName(top(desc, 2, "node_id", "summary")).unionByName(top(docs, 3, "component_id", "data_flow")).unionByName(top(arch, 4, "module_path", "architectural_role"))
+    def links(df: DataFrame, relation: str, a: DataFrame, b: DataFrame) -> DataFrame:
+        ends = df.join(a.select(F.col("id").alias("source")), "source", "left_semi").join(b.select(F.col("id").alias("target")), "target", "left_semi")
+        return ends.select("source", "target", F.lit(relation).alias("relation")).distinct().orderBy("source", "target").limit(2 * most)
+
+    symbols, about, details, modules = top(nodes, "symbol", "id", "name"), top(desc, "description", "node_id", "summary"), top(docs, "detail", "component_id", "data_flow"), top(arch, "module", "module_path", "architectural_role")
+    ids = nodes.select("key", "id")
+    calls = edges.join(ids.toDF("src", "source"), "src").join(ids.toDF("dst", "target"), "dst")
+    sets = [links(calls.where(F.col("relation") == r).select("source", "target"), r, symbols, symbols) for r in ("calls", "contains")]
+    sets.append(links(ids.join(desc, ids["key"] == desc["node_id"]).select(F.col("id").alias("source"), F.col("node_id").cast("string").alias("target")), "described_by", symbols, about))
+    sets.append(links(docs.select(F.col("component_id").cast("string").alias("source"), F.col("component_id").cast("string").alias("target")), "detailed_in", about, details))
+    sets.append(links(prefix_links(nodes, arch).join(ids, "key").select(F.col("id").alias("source"), F.col("module_path").alias("target")), "part_of_architecture", symbols, modules))
+    vertices = [symbols, about, details, modules, top(facts, "fact", "id", "label"), top(memory, "memory", "id", "label")]
+    return reduce(DataFrame.union, vertices), reduce(DataFrame.union, sets)

@@ -22,6 +22,12 @@ def repo_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return joined.where("repo_id = dst_repo").select("src", "dst", "relation", "repo_id")
 
 
+def find_edges(nodes: DataFrame, edges: DataFrame, repo_id: str, source: int | None = None, limit: int = 100) -> DataFrame:
+    """Edges inside a repository, of one source if that is given, the first by their ends."""
+    some = edges if source is None else edges.where(F.col("src") == source)
+    return repo_edges(nodes.where(F.col("repo_id") == repo_id), some).orderBy("src", "dst", "relation").limit(limit)
+
+
 def by_relation(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return repo_edges(nodes, edges).groupBy("repo_id", "relation").agg(F.count("*").alias("n"))
 
@@ -38,9 +44,10 @@ def lines(nodes: DataFrame) -> DataFrame:
 
 
 def repositories(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Symbols and distinct outgoing edges of every repository."""
-    out = nodes.select("key", "repo_id").join(edges.select(F.col("src").alias("key"), "dst", "relation"), "key", "left")
-    return out.groupBy("repo_id").agg(F.countDistinct("key").alias("node_count"), F.countDistinct("key", "dst", "relation").alias("edge_count"))
+    """Symbols, distinct outgoing edges and the last indexing of every repository, the last indexed first (unknown ones before). nodes may have last_indexed."""
+    at = F.col("last_indexed") if "last_indexed" in nodes.columns else F.lit(None).cast("timestamp_ntz")
+    out = nodes.select("key", "repo_id", at.alias("last_indexed")).join(edges.select(F.col("src").alias("key"), "dst", "relation"), "key", "left")
+    return out.groupBy("repo_id").agg(F.countDistinct("key").alias("node_count"), F.countDistinct("key", "dst", "relation").alias("edge_count"), F.max("last_indexed").alias("last_indexed")).orderBy(F.desc_nulls_first("last_indexed"), "repo_id")
 
 
 def compare(nodes: DataFrame, repos: list[str]) -> DataFrame:
@@ -91,17 +98,6 @@ def word_search(nodes: DataFrame, query: str, limit: int = 20) -> DataFrame:
     return nodes.where(hit).select("id", "name").orderBy("id").limit(limit)
 
 
-def term_search(tables: dict[str, DataFrame], query: str, limit: int = 20) -> DataFrame:
-    """Rows of tables (id long, data string) that hold all terms in any case: node_type, node_id, score = min(1, 0.2 * occurrences per term); best first."""
-    terms = query.lower().split()
-    parts = []
-    for name, t in tables.items():
-        low = t.select(F.col("id").alias("node_id"), F.lower("data").alias("data")).where(reduce(Column.__and__, [F.col("data").contains(x) for x in terms]))
-        hits = reduce(Column.__add__, [(F.length("data") - F.length(F.replace("data", F.lit(x), F.lit("")))) / F.lit(len(x)) for x in terms])
-        parts.append(low.select(F.lit(name).alias("node_type"), "node_id", F.round(F.least(F.lit(1.0), hits / len(terms) * 0.2), 6).alias("score")))
-    return reduce(DataFrame.unionByName, parts).orderBy(F.desc("score"), "node_type", "node_id").limit(limit)
-
-
 def worth_documenting(kind: Column, source: Column, least: int = 10) -> Column:
     """Classes always, functions and methods of `least` lines or more; a line feed at the end begins no line."""
     n = F.size(F.split(F.regexp_replace(source, r"\n\z", ""), "\n"))
@@ -203,7 +199,8 @@ def jaccard(a: Column, b: Column) -> Column:
 
 # -- exports
 
-COLOURS = {"module": "lightblue", "class": "lightgreen", "function": "lightyellow", "method": "lightpink"}
+#: Colours by kind; others are white.
+COLOURS = {"class": "lightblue", "function": "lightgreen", "method": "lightgreen", "module": "lightyellow", "import": "lightgray"}
 
 
 def csv_rows(nodes: DataFrame) -> DataFrame:
@@ -211,15 +208,19 @@ def csv_rows(nodes: DataFrame) -> DataFrame:
 
 
 def dot_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Lines of a Graphviz graph; the header and the closing brace are the writer's."""
+    """Lines of a Graphviz graph of the symbols and the edges between them: part (0 head, 1 symbols, 2 edges, 3 end), line. A file has them by part."""
+    spark = nodes.sparkSession
     colour = F.create_map(*(F.lit(x) for kv in COLOURS.items() for x in kv))
     quoted = F.replace("name", F.lit('"'), F.lit('\\"'))
-    a = nodes.select(F.format_string('  "%s" [label="%s", fillcolor="%s"];', F.col("key").cast("string"), quoted, F.coalesce(F.try_element_at(colour, "kind"), F.lit("white"))).alias("line"))
-    b = attached(edges, nodes).select(F.format_string('  "%s" -> "%s" [label="%s"];', F.col("src").cast("string"), F.col("dst").cast("string"), "relation").alias("line"))
-    return a.union(b)
-
-
-def with_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """A symbol and its outgoing edges as text, sorted."""
-    out = edges.groupBy(F.col("src").alias("key")).agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "relation", "dst"))), ",").alias("edges"))
-    return nodes.select("key", "name").join(out, "key", "left").withColumn("edges", F.coalesce("edges", F.lit("")))
+    head = spark.createDataFrame([(0, x) for x in ("digraph G {", "  rankdir=LR;", "  node [shape=box];")] + [(3, "}")], "part int, line string")
+    a = nodes.select(F.lit(1), F.format_string('  "%s" [label="%s", style=filled, fillcolor="%s"];', "id", quoted, F.coalesce(F.try_element_at(colour, "kind"), F.lit("white"))))
+    ids = nodes.select("key", "id")
+    ends = edges.join(ids.toDF("src", "a"), "src").join(ids.toDF("dst", "b"), "dst")
+    return head.union(a).union(ends.select(F.lit(2), F.format_string('  "%s" -> "%s" [label="%s"];', "a", "b", "relation")))
+
+
+def similar_patches(patches: DataFrame, query: list[float], files: str, k: int = 3) -> DataFrame:
+    """The k patches (id, embedding, files) most like a problem: 0.4 of the files' Jaccard similarity to the column `files`, 0.6 of the problems' cosine."""
+    some = F.coalesce("files", F.array().cast(patches.schema["files"].dataType))
+    score = 0.4 * jaccard(some, F.col(files)) + 0.6 * F.round(cosine(F.col("embedding"), F.array(*(F.lit(float(x)) for x in query))), 5)
+    return patches.select("id", F.round(score, 5).alias("score")).orderBy(F.desc("score"), "id").limit(k)

@@ -50,10 +50,11 @@ def root(edges: DataFrame, key: int) -> DataFrame:
 
 
 def callers(nodes: DataFrame, edges: DataFrame, key: int, depth: int = 1, forward: bool = False) -> DataFrame:
-    """Symbols that reach `key` within `depth` calls: node_id, name, kind, filepath, call_depth (as asked for), min_depth."""
+    """Symbols that reach `key` within `depth` calls, by name: node_id, name, kind, filepath, lines, call_depth (as asked for), min_depth."""
     depth = max(1, min(MAX_DEPTH, depth))
     found = levels(edges.where("relation = 'calls'"), root(edges, key), depth, forward)
-    return found.join(nodes, found["node"] == nodes["key"]).select(nodes["id"].alias("node_id"), "name", "kind", "filepath", F.lit(depth).alias("call_depth"), F.col("depth").alias("min_depth"))
+    named = found.join(nodes, found["node"] == nodes["key"])
+    return named.select(F.col("id").alias("node_id"), "name", "kind", "filepath", "start_line", "end_line", F.lit(depth).alias("call_depth"), F.col("depth").alias("min_depth")).orderBy("name", "node_id")
 
 
 def callees(nodes: DataFrame, edges: DataFrame, key: int, depth: int = 1) -> DataFrame:
@@ -78,32 +79,61 @@ def risk_label(risk: Column) -> Column:
     return F.when(risk >= 0.7, "High").when(risk >= 0.4, "Medium").otherwise("Low")
 
 
-def impact(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Of every called symbol: callers within one, two, three calls (cumulative), direct callees, propagation depth, risk and its label, tests among the callers."""
-    c = edges.where("relation = 'calls'")
-    up = levels(c, c.select(F.col("dst").alias("root")).distinct(), 3, forward=False)
-    tests = up.join(nodes.select(F.col("key").alias("node"), is_test(F.col("filepath")).alias("test")), "node", "left")
-    counted = tests.groupBy("root").agg(
-        F.sum(F.when(F.col("depth") == 1, 1).otherwise(0)).alias("c1"),
-        F.sum(F.when(F.col("depth") <= 2, 1).otherwise(0)).alias("c2"),
-        F.count("*").alias("c3"),
-        F.max("depth").alias("propagation_depth"),
-        F.sum(F.when(F.col("test"), 1).otherwise(0)).alias("tests"),
+def impact(nodes: DataFrame, edges: DataFrame, asked: DataFrame, depth: int = 3) -> DataFrame:
+    """For every asked symbol (key), called or not: its risk and who depends on it.
+
+    direct_callers_count, total_callers_count (callers within one, two and three calls, the nearer ones counted again), direct_callees_count,
+    propagation_depth (the largest depth to three within which there are callees: those within two include those within one, so it's
+    three if there is any), risk_score, risk_label, and as arrays direct_dependents (20, without tests), test_files (20) and all_callers (50). The lists go by
+    depth asked for, then name, and hold a caller once for every depth within which it is, as the counts do.
+    """
+    c, roots = edges.where("relation = 'calls'"), asked.select(F.col("key").alias("root")).distinct()
+    up = levels(c, roots, depth, forward=False)
+    named = up.join(nodes.select(F.col("key").alias("node"), F.col("id").alias("node_id"), "name", "kind", "filepath"), "node")
+    # a caller at least depth 1 is in all lists, at least depth 3 in the last alone
+    listed = named.withColumn("at", F.explode(F.sequence(F.col("depth"), F.lit(depth)))).withColumn("test", F.coalesce(is_test(F.col("filepath")), F.lit(False)))
+    item = F.struct(F.col("at"), F.col("name"), F.col("node_id"), F.col("kind"), F.col("filepath"))
+
+    def first(condition: Column, most: int) -> Column:
+        """The first items, of bounded groups: an aggregate that holds no more than it returns would need a window over all."""
+        return F.slice(F.array_sort(F.collect_list(F.when(condition, item))), 1, most)
+
+    order = W.partitionBy("root").orderBy("at", "name", "node_id")
+    ranked = listed.withColumn("rn", F.row_number().over(order))
+    tests = W.partitionBy("root", "test").orderBy("at", "name", "node_id")
+    ranked = ranked.withColumn("rt", F.row_number().over(tests))
+    counted = ranked.groupBy("root").agg(
+        F.count_if(F.col("at") == 1).alias("direct_callers_count"),
+        F.count("*").alias("total_callers_count"),
+        first((F.col("at") == 1) & ~F.col("test") & (F.col("rt") <= 20), 20).alias("direct_dependents"),
+        first(F.col("test") & (F.col("rt") <= 20), 20).alias("test_files"),
+        first(F.col("rn") <= 50, 50).alias("all_callers"),
     )
-    down = c.groupBy(F.col("src").alias("root")).agg(F.count("*").alias("callees1"))
-    risk = F.round(F.least(F.lit(1.0), (10 * F.col("c1") + 2 * (F.col("c1") + F.col("c2") + F.col("c3"))) / 100.0), 2)
-    out = counted.join(down, "root", "left").select(F.col("root").alias("key"), "c1", "c2", "c3", F.coalesce("callees1", F.lit(0)).cast("long").alias("callees1"), "propagation_depth", "tests", risk.alias("risk_score"))
+    down = c.join(roots, c["src"] == roots["root"], "left_semi").groupBy(F.col("src").alias("root")).agg(F.countDistinct("dst").alias("direct_callees_count"))
+    none = F.array().cast(counted.schema["all_callers"].dataType)
+    zero = lambda n: F.coalesce(n, F.lit(0)).cast("long").alias(n)
+    out = roots.join(counted, "root", "left").join(down, "root", "left").select(
+        F.col("root").alias("key"), *map(zero, ("direct_callers_count", "total_callers_count", "direct_callees_count")),
+        *(F.coalesce(n, none).alias(n) for n in ("direct_dependents", "test_files", "all_callers")),
+    )
+    risk = F.round(F.least(F.lit(1.0), (10 * F.col("direct_callers_count") + 2 * F.col("total_callers_count")) / 100.0), 2)
+    out = out.withColumns({"propagation_depth": F.when(F.col("direct_callees_count") > 0, depth).otherwise(0), "risk_score": risk})
     return out.withColumn("risk_label", risk_label(F.col("risk_score")))
 
 
 def blast_radius(edges: DataFrame, changed: DataFrame, depth: int = 3, most: int = 50) -> DataFrame:
-    """The `most` symbols nearest to changed ones by reversed calls and imports: node, impact_score 1 / (distance + 1); changed ones score 1."""
+    """The `most` symbols nearest to changed ones by reversed calls and imports: node, impact_score 1 / (distance + 1), confidence of the whole list; changed ones score 1."""
     # one root: what matters is the distance to the nearest changed symbol
     some = edges.where("relation in ('calls', 'imports')").select("src", "dst")
     start = changed.select(F.lit(-1).cast("long").alias("src"), F.col("key").alias("dst")).distinct()
     found = levels(some.select("dst", "src").toDF("src", "dst").union(start), root(edges, -1), depth + 1)
     scored = found.select("node", F.expr("1.0D / greatest(depth, 1)").alias("impact_score"))
-    return scored.orderBy(F.desc("impact_score"), "node").limit(most)
+    return with_confidence(scored.orderBy(F.desc("impact_score"), "node").limit(most), 20)
+
+
+def with_confidence(found: DataFrame, enough: int) -> DataFrame:
+    """A short list (a top-k, so a window over it is bounded) with its confidence: its length over `enough`, one at most."""
+    return found.withColumn("confidence", F.least(F.lit(1.0), F.count("*").over(W.partitionBy(F.lit(1))) / F.lit(float(enough))))
 
 
 def fan(edges: DataFrame) -> DataFrame:
@@ -113,6 +143,11 @@ def fan(edges: DataFrame) -> DataFrame:
     return ends.groupBy("key").agg(F.sum("i").alias("fan_in"), F.sum("o").alias("fan_out"))
 
 
+def connecting_paths(edges: DataFrame, candidates: DataFrame, starts: int = 10, most: int = 10) -> DataFrame:
+    """paths() from the first `starts` candidates (key) to any candidate."""
+    return paths(edges, candidates.orderBy("key").limit(starts), candidates, most)
+
+
 def paths(edges: DataFrame, starts: DataFrame, ends: DataFrame, most: int = 10) -> DataFrame:
     """Paths of two and three steps from starts to ends, an edge once at most, `most` for each start: start, path, relations."""
     e = edges.select("src", "dst", "relation")
@@ -159,6 +194,46 @@ def module_cycles(module_pairs: DataFrame) -> DataFrame:
     return a.join(b, ["a", "b"]).where("a < b").select("a", "b", "n_ab", "n_ba")
 
 
+def module_rings(module_pairs: DataFrame, most: int = 64) -> DataFrame:
+    """(module, ring): modules that reach each other by calls, through any number of others; ring is the smallest of them.
+
+    Reachability between modules, doubled each round until nothing is new (rounds are logarithmic in the longest path). It is quadratic in modules that
+    call each other, which are directories, not symbols; `most` bounds the rounds.
+    """
+    reach = cut(module_pairs.select("src_module", "dst_module").distinct())
+    n = reach.count()
+    for _ in range(most):
+        further = reach.toDF("src_module", "via").join(reach.toDF("via", "dst_module"), "via").select("src_module", "dst_module")
+        reach, before = cut(reach.union(further).distinct()), n
+        n = reach.count()
+        if n == before:
+            break
+    a = reach.toDF("module", "other")
+    both = a.join(reach.toDF("other", "module"), ["module", "other"]).where("module <> other")
+    return both.groupBy("module").agg(F.least("module", F.min("other")).alias("ring"))
+
+
+def level_rows(tasks: DataFrame, most: int = 64) -> DataFrame:
+    """plan_levels() for tables of plans: plan, task_id, priority, depends_on array -> plan, level, task_id; a round of joins for each level.
+
+    Ready are tasks all of whose known dependencies are done; where a plan has none, its task of the smallest priority (then id) is.
+    """
+    t = tasks.select("plan", "task_id", "priority")
+    needs = tasks.select("plan", "task_id", F.explode("depends_on").alias("needs")).where("needs <> task_id").distinct()
+    needs = needs.join(t.select("plan", F.col("task_id").alias("needs")), ["plan", "needs"], "left_semi")
+    t, needs, done = cut(t), cut(needs), None
+    for level in range(1, most + 1):
+        left = t if done is None else t.join(done, ["plan", "task_id"], "left_anti")
+        unmet = needs if done is None else needs.join(done.select("plan", F.col("task_id").alias("needs")), ["plan", "needs"], "left_anti")
+        ready = left.join(unmet.select("plan", "task_id").distinct(), ["plan", "task_id"], "left_anti")
+        stuck = left.join(ready.select("plan").distinct(), "plan", "left_anti").groupBy("plan").agg(F.min(F.struct("priority", "task_id")).alias("x")).select("plan", F.col("x.task_id").alias("task_id"))
+        now = cut(ready.select("plan", "task_id").union(stuck).withColumn("level", F.lit(level)))
+        if now.isEmpty():
+            break
+        done = now if done is None else done.union(now)
+    return t.select("plan", F.lit(0).alias("level"), "task_id").limit(0) if done is None else done.select("plan", "level", "task_id")
+
+
 def plan_levels(tasks: list[tuple[str, list[str], int]]) -> list[list[str]]:
     """Groups of tasks (id, ids it depends on, priority) that can run together, in order; a cycle is broken at its smallest priority. A plan is a handful of tasks."""
     ids = {t for t, _, _ in tasks}

@@ -2,34 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skeinwork.operators import analysis, context, docs, memory, relational, traversal
-from skeinwork.sources import files, tables
-from skeinwork.sources.tables import VIEWS, table
+from skeinwork.operators import analysis, bridge, catalog, context, docs, memory, relational, traversal
+from skeinwork.plans.registry import ORACLES, QUERIES, query
+from skeinwork.sources import tables
+from skeinwork.sources.tables import TURNS, table
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
 ROOT = 42
 
 
-def query(sql: str | None = None, views: bool = True, recursive: bool = False) -> Callable[[Query], Query]:
-    """Register a function under its name, with its SQL after the graph's views."""
-
-    def put(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLES[f.__name__] = (f"WITH {'RECURSIVE ' if recursive else ''}{VIEWS}{',' if sql.lstrip()[:1] == '+' else ''} {sql.lstrip().removeprefix('+')}") if views else sql
-        return f
-
-    return put
-
-
-def many(df: DataFrame, *names: str) -> DataFrame:
+def many(df, *names):
     """The named counts as long."""
     return df.withColumns({n: F.col(n).cast("long") for n in names})
 
@@ -39,7 +23,7 @@ def many(df: DataFrame, *names: str) -> DataFrame:
 _REACH = """+ r(node, d) AS (SELECT CAST({root} AS BIGINT), 0 UNION SELECT e.{to}, r.d + 1 FROM r JOIN {edges} e ON e.{by} = r.node WHERE r.d < {depth}),
 m AS (SELECT node, min(d) AS d FROM r GROUP BY node HAVING min(d) > 0)
 """
-_CALLS = _REACH + "SELECT n.id AS node_id, n.name, n.kind, n.filepath, CAST({depth} AS INTEGER) AS call_depth, CAST(m.d AS INTEGER) AS min_depth FROM m JOIN g_nodes n ON n.key = m.node"
+_CALLS = _REACH + "SELECT n.id AS node_id, n.name, n.kind, n.filepath, n.start_line, n.end_line, CAST({depth} AS INTEGER) AS call_depth, CAST(m.d AS INTEGER) AS min_depth FROM m JOIN g_nodes n ON n.key = m.node"
 
 
 @query(_CALLS.format(root=ROOT, edges="g_calls", by="dst", to="src", depth=2), recursive=True)
@@ -70,29 +54,45 @@ def neighbors_contains(spark, d):
     return traversal.neighbors(tables.edges(spark, d), ROOT, "contains", 1)
 
 
-_IMPACT = """+ l1 AS (SELECT DISTINCT dst AS root, src AS node FROM g_calls),
+_IMPACT = """+ asked AS (SELECT key AS root FROM g_nodes WHERE {asked}),
+l1 AS (SELECT DISTINCT root, src AS node FROM asked JOIN g_calls ON dst = root),
 l2 AS (SELECT DISTINCT root, e.src AS node FROM l1 JOIN g_calls e ON e.dst = l1.node WHERE root <> e.src),
 l3 AS (SELECT DISTINCT root, e.src AS node FROM l2 JOIN g_calls e ON e.dst = l2.node WHERE root <> e.src),
 u AS (SELECT root, node, min(d) AS d FROM (SELECT *, 1 AS d FROM l1 UNION ALL SELECT *, 2 FROM l2 UNION ALL SELECT *, 3 FROM l3) GROUP BY ALL),
-c AS (SELECT root, count_if(d = 1) AS c1, count_if(d <= 2) AS c2, count(*) AS c3, max(d) AS p, count_if(regexp_matches(lower(n.filepath), 'test|spec')) AS t FROM u LEFT JOIN g_nodes n ON n.key = u.node GROUP BY root),
-o AS (SELECT src AS root, count(*) AS n FROM g_calls GROUP BY src),
-s AS (SELECT root AS key, CAST(c1 AS BIGINT) AS c1, CAST(c2 AS BIGINT) AS c2, CAST(c3 AS BIGINT) AS c3, CAST(coalesce(o.n, 0) AS BIGINT) AS callees1, CAST(p AS INTEGER) AS propagation_depth, CAST(t AS BIGINT) AS tests,
-  round(least(1.0::DOUBLE, (10 * c1 + 2 * (c1 + c2 + c3)) / 100.0::DOUBLE), 2) AS risk_score FROM c LEFT JOIN o USING (root))
-SELECT *, CASE WHEN risk_score >= 0.7 THEN 'High' WHEN risk_score >= 0.4 THEN 'Medium' ELSE 'Low' END AS risk_label FROM s"""
+b AS (SELECT root, at_depth, n.id, n.name, n.kind, n.filepath, regexp_matches(lower(n.filepath), 'test|spec') AS test FROM u JOIN g_nodes n ON n.key = u.node, (VALUES (1), (2), (3)) t(at_depth) WHERE d <= at_depth),
+k AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY at_depth, name, id) AS rn, row_number() OVER (PARTITION BY root, test ORDER BY at_depth, name, id) AS rt FROM b),
+c AS (SELECT root, count_if(at_depth = 1) AS c1, count(*) AS c, string_agg(id, ',' ORDER BY name, id) FILTER (WHERE at_depth = 1 AND NOT test AND rt <= 20) AS direct_dependents,
+  string_agg(id, ',' ORDER BY at_depth, name, id) FILTER (WHERE test AND rt <= 20) AS test_files, string_agg(id || '@' || at_depth, ',' ORDER BY at_depth, name, id) FILTER (WHERE rn <= 50) AS all_callers FROM k GROUP BY root),
+s AS (SELECT root AS key, CAST(coalesce(c1, 0) AS BIGINT) AS direct_callers_count, CAST(coalesce(c, 0) AS BIGINT) AS total_callers_count, CAST((SELECT count(*) FROM g_calls WHERE src = root) AS BIGINT) AS direct_callees_count,
+  coalesce(direct_dependents, '') AS direct_dependents, coalesce(test_files, '') AS test_files, coalesce(all_callers, '') AS all_callers FROM asked LEFT JOIN c USING (root)),
+r AS (SELECT *, CAST(CASE WHEN direct_callees_count > 0 THEN 3 ELSE 0 END AS INTEGER) AS propagation_depth, round(least(1.0::DOUBLE, (10 * direct_callers_count + 2 * total_callers_count) / 100.0::DOUBLE), 2) AS risk_score FROM s)
+SELECT *, CASE WHEN risk_score >= 0.7 THEN 'High' WHEN risk_score >= 0.4 THEN 'Medium' ELSE 'Low' END AS risk_label FROM r"""
+
 
+def _impact(spark, d, asked):
+    found = traversal.impact(tables.nodes(spark, d), tables.calls(spark, d), tables.nodes(spark, d).where(asked))
+    ids = lambda c: F.array_join(F.transform(c, lambda x: x["node_id"]), ",").alias(c)
+    depths = F.array_join(F.transform("all_callers", lambda x: F.concat_ws("@", x["node_id"], x["at"])), ",").alias("all_callers")
+    return found.select(*(c for c in found.columns if c not in ("direct_dependents", "test_files", "all_callers")), ids("direct_dependents"), ids("test_files"), depths)
 
-@query(_IMPACT)
-def impact_all_symbols(spark, d):
-    return traversal.impact(tables.nodes(spark, d), tables.calls(spark, d))
 
+_CLASSES = "kind = 'class' AND starts_with(filepath, 'brand2')"
+_FOLDER = "starts_with(filepath, 'brand7/large/')"
 
-@query(_IMPACT + f" WHERE key = {ROOT}")
+
+@query(_IMPACT.format(asked=_FOLDER))
+def impact_of_files(spark, d):
+    """The symbols of a changed folder."""
+    return _impact(spark, d, _FOLDER.replace("starts_with", "startswith"))
+
+
+@query(_IMPACT.format(asked=f"key = {ROOT}"))
 def symbol_impact(spark, d):
-    return traversal.impact(tables.nodes(spark, d), tables.calls(spark, d)).where(F.col("key") == ROOT)
+    return _impact(spark, d, F.col("key") == ROOT)
 
 
-@query("""+ r(node, d) AS (SELECT key, 0 FROM g_nodes WHERE contains(filepath, 'brand7/') UNION SELECT e.src, r.d + 1 FROM r JOIN g_edges e ON e.dst = r.node AND e.relation IN ('calls', 'imports') WHERE r.d < 3)
-SELECT node, 1.0 / (min(d) + 1) AS impact_score FROM r GROUP BY node ORDER BY 2 DESC, 1 LIMIT 50""", recursive=True)
+@query("""+ r(node, d) AS (SELECT key, 0 FROM g_nodes WHERE contains(filepath, 'brand7/') UNION SELECT e.src, r.d + 1 FROM r JOIN g_edges e ON e.dst = r.node AND e.relation IN ('calls', 'imports') WHERE r.d < 3),
+t AS (SELECT node, 1.0 / (min(d) + 1) AS impact_score FROM r GROUP BY node ORDER BY 2 DESC, 1 LIMIT 50) SELECT *, least(1.0::DOUBLE, count(*) OVER () / 20.0::DOUBLE) AS confidence FROM t""", recursive=True)
 def blast_radius_top50(spark, d):
     return traversal.blast_radius(tables.edges(spark, d), tables.nodes(spark, d).where(F.col("filepath").contains("brand7/")))
 
@@ -102,18 +102,18 @@ def fan_in_out(spark, d):
     return traversal.fan(tables.calls(spark, d))
 
 
-_PATHS = """+ e AS (SELECT * FROM g_calls UNION ALL SELECT * FROM g_imports),
-two AS (SELECT a.src AS start, [a.src, a.dst, b.dst] AS p, [a.relation, b.relation] AS r, b.dst AS at_end FROM e a JOIN e b ON a.dst = b.src WHERE a.src < 10 AND NOT (a.src = b.src AND a.dst = b.dst AND a.relation = b.relation)),
+_PATHS = f"""+ e AS (SELECT * FROM g_calls UNION ALL SELECT * FROM g_imports), cand AS (SELECT key FROM g_nodes WHERE {_CLASSES}), begins AS (SELECT key FROM cand ORDER BY key LIMIT 10),
+two AS (SELECT a.src AS start, [a.src, a.dst, b.dst] AS p, [a.relation, b.relation] AS r, b.dst AS at_end FROM e a JOIN e b ON a.dst = b.src WHERE a.src IN (FROM begins) AND NOT (a.src = b.src AND a.dst = b.dst AND a.relation = b.relation)),
 three AS (SELECT start, list_append(p, c.dst) AS p, list_append(r, c.relation) AS r, c.dst AS at_end FROM two JOIN e c ON two.at_end = c.src
   WHERE NOT (c.src = p[1] AND c.dst = p[2] AND c.relation = r[1]) AND NOT (c.src = p[2] AND c.dst = p[3] AND c.relation = r[2])),
-f AS (SELECT start, array_to_string(p, '>') AS path_text, array_to_string(r, '>') AS relation_text, len(p) AS n, p FROM (SELECT * FROM two UNION ALL SELECT * FROM three) WHERE at_end % 5 = 0),
+f AS (SELECT start, array_to_string(p, '>') AS path_text, array_to_string(r, '>') AS relation_text, len(p) AS n, p FROM (SELECT * FROM two UNION ALL SELECT * FROM three) WHERE at_end IN (FROM cand)),
 g AS (SELECT *, row_number() OVER (PARTITION BY start ORDER BY n, path_text, relation_text) AS rn FROM f)
 """
 
 
 def _paths(spark, d):
-    n = tables.nodes(spark, d)
-    return traversal.paths(tables.calls(spark, d).union(tables.imports(spark, d)), n.where("key < 10"), n.where("key % 5 = 0"))
+    candidates = tables.nodes(spark, d).where(_CLASSES.replace("starts_with", "startswith"))
+    return traversal.connecting_paths(tables.calls(spark, d).union(tables.imports(spark, d)), candidates)
 
 
 @query(_PATHS + "SELECT start, path_text, relation_text FROM g WHERE rn <= 10")
@@ -151,11 +151,22 @@ def module_cycles(spark, d):
     return traversal.module_cycles(traversal.module_edges(tables.nodes(spark, d), tables.calls(spark, d)))
 
 
-@query("SELECT * FROM (VALUES ('diamond', 1, 'a'), ('diamond', 2, 'b'), ('diamond', 2, 'c'), ('diamond', 3, 'd'), ('cycle', 1, 'y'), ('cycle', 2, 'x')) t(plan, level, task_id)", views=False)
+@query(_MODULES + """, r(a, b) AS (SELECT src_module, dst_module FROM q UNION SELECT r.a, q.dst_module FROM r JOIN q ON q.src_module = r.b)
+SELECT x.a AS module, least(x.a, min(x.b)) AS ring FROM r x JOIN r y ON x.a = y.b AND x.b = y.a WHERE x.a <> x.b GROUP BY x.a""", recursive=True)
+def module_rings(spark, d):
+    return traversal.module_rings(traversal.module_edges(tables.nodes(spark, d), tables.calls(spark, d)))
+
+
+@query("SELECT conv_id AS plan, CAST(CASE WHEN conv_id % 5 = 0 THEN r + 1 ELSE r % 3 + 1 END AS INTEGER) AS level, 't' || r AS task_id FROM (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS r FROM conversations)", views=False)
 def dag_levels(spark, d):
-    plans = {"diamond": [("a", [], 1), ("b", ["a"], 2), ("c", ["a"], 3), ("d", ["b", "c"], 4)], "cycle": [("x", ["y"], 2), ("y", ["x"], 1)]}
-    rows = [(p, i, t) for p, tasks in plans.items() for i, group in enumerate(traversal.plan_levels(tasks), 1) for t in group]
-    return spark.createDataFrame(rows, "plan string, level int, task_id string")
+    """Turns as tasks: each third one needs nothing, others the one before; every fifth conversation is a ring, which breaks at its first turn."""
+    from pyspark.sql import Window as W
+
+    w = W.partitionBy("conv_id")
+    c = table(spark, d, "conversations").withColumn("r", (F.row_number().over(w.orderBy("turn", "role", "text")) - 1).cast("long")).withColumn("n", F.count("*").over(w))
+    before = F.when((F.col("conv_id") % 5 == 0) & (F.col("r") == 0), F.col("n") - 1).when((F.col("conv_id") % 5 == 0) | (F.col("r") % 3 != 0), F.col("r") - 1)
+    tasks = c.select(F.col("conv_id").alias("plan"), F.concat(F.lit("t"), "r").alias("task_id"), F.col("r").alias("priority"), F.array_compact(F.array(F.concat(F.lit("t"), before))).alias("depends_on"))
+    return traversal.level_rows(tasks)
 
 
 # -- documentation
@@ -169,33 +180,92 @@ def arch_prefix_join(spark, d):
     return docs.prefix_links(tables.nodes(spark, d), tables.architecture(spark, d))
 
 
-@query(f"""+ t AS (SELECT e.dst AS key, count(DISTINCT e.src) AS n FROM g_edges e JOIN g_nodes n ON n.key = e.src WHERE e.relation IN ('calls', 'imports') AND (contains(n.filepath, 'test') OR contains(n.name, 'test')) GROUP BY 1),
-c AS (SELECT n.key, CAST((SELECT count(*) FROM g_desc x WHERE x.node_id = n.key) AS BIGINT) AS n_desc, CAST((SELECT count(*) FROM g_doc x WHERE x.component_id = n.key) AS BIGINT) AS n_docs,
-  CAST(coalesce(a.n, 0) AS BIGINT) AS n_arch, CAST(coalesce(t.n, 0) AS BIGINT) AS n_tests
-  FROM g_nodes n LEFT JOIN t USING (key) LEFT JOIN (SELECT n.key, count(*) AS n FROM {_ARCH} GROUP BY 1) a USING (key))
-SELECT *, n_desc + n_docs > 0 AS has_requirements, n_tests > 0 AS has_tests, n_arch > 0 AS has_architecture FROM c""")
+_TESTS = "(contains(n.name, 'test') OR contains(n.name, 'spec') OR contains(n.filepath, 'test') OR contains(n.filepath, 'spec'))"
+_COVERED = f"SELECT key, test FROM (SELECT key, test, row_number() OVER (PARTITION BY key ORDER BY test) AS rn FROM (SELECT DISTINCT e.dst AS key, n.id AS test FROM g_edges e JOIN g_nodes n ON n.key = e.src WHERE relation IN ('calls', 'imports') AND {_TESTS})) WHERE rn <= 20"
+
+
+@query(f"""+ c AS ({_COVERED}),
+l AS (SELECT node_id AS key, string_agg(type || ':' || text, chr(10) ORDER BY type DESC, text) AS links FROM (SELECT node_id, 'ComponentDescription' AS type, summary AS text FROM g_desc UNION ALL SELECT component_id, 'ComponentDoc', data_flow FROM g_doc) GROUP BY 1),
+t AS (SELECT key, string_agg(test, ',' ORDER BY test) AS tests FROM c GROUP BY 1), a AS (SELECT n.key, string_agg(a.module_path, ',' ORDER BY a.module_path) AS modules FROM {_ARCH} GROUP BY 1)
+SELECT n.key, md5(coalesce(links, '')) AS links_md5, coalesce(tests, '') AS tests, coalesce(modules, '') AS modules, links IS NOT NULL AS has_documentation, tests IS NOT NULL AS has_test_coverage, modules IS NOT NULL AS has_architecture_context
+FROM g_nodes n LEFT JOIN l USING (key) LEFT JOIN t USING (key) LEFT JOIN a USING (key)""".replace("type DESC, text", "CASE type WHEN 'ComponentDescription' THEN 1 ELSE 2 END, text"))
 def symbol_traceability(spark, d):
-    return docs.traceability(tables.nodes(spark, d), tables.edges(spark, d), tables.descriptions(spark, d), tables.component_docs(spark, d), tables.architecture(spark, d))
+    t = docs.traceability(tables.nodes(spark, d), tables.edges(spark, d), tables.descriptions(spark, d), tables.component_docs(spark, d), tables.architecture(spark, d))
+    links = F.array_join(F.transform("requirement_links", lambda x: F.concat_ws(":", x["type"], x["text"])), "\n")
+    return t.select("key", F.md5(links).alias("links_md5"), F.array_join("test_coverage", ",").alias("tests"), F.array_join(F.transform("architecture_context", lambda x: x["module_path"]), ",").alias("modules"), "has_documentation", "has_test_coverage", "has_architecture_context")
+
+
+_TRACE = f"""+ s AS (SELECT * FROM g_nodes WHERE (name = 'brand' OR contains(filepath, 'brand')) AND repo_id = 'r2' ORDER BY id LIMIT 5),
+p AS (SELECT key, 'component_desc' AS type, CAST(node_id AS VARCHAR) AS node_id, summary AS text FROM s JOIN g_desc ON node_id = key
+UNION ALL SELECT key, 'component', CAST(component_id AS VARCHAR), data_flow FROM s JOIN g_doc ON component_id = key
+UNION ALL SELECT n.key, 'architecture', a.module_path, a.architectural_role FROM {_ARCH.replace("g_nodes", "s")})
+SELECT *, least(1.0::DOUBLE, count(*) OVER () / 10.0::DOUBLE) AS confidence FROM p"""
 
 
-@query(f"""+ s AS (SELECT key FROM g_nodes WHERE contains(name, 'part_1') ORDER BY key LIMIT 5)
-SELECT key, 'component' AS type, summary AS text FROM s JOIN g_desc ON node_id = key UNION ALL SELECT key, 'detail', data_flow FROM s JOIN g_doc ON component_id = key
-UNION ALL SELECT n.key, 'architecture', a.architectural_role FROM {_ARCH} WHERE n.key IN (SELECT key FROM s)""")
+def _trace(spark, d, level):
+    return docs.trace(tables.nodes(spark, d), tables.descriptions(spark, d), tables.component_docs(spark, d), tables.architecture(spark, d), "brand", "r2", level)
+
+
+@query(_TRACE)
 def trace_levels(spark, d):
-    return docs.trace(tables.nodes(spark, d), tables.descriptions(spark, d), tables.component_docs(spark, d), tables.architecture(spark, d), "part_1")
+    return _trace(spark, d, "architecture")
+
 
+@query(_TRACE.replace("FROM p", "FROM p WHERE type <> 'architecture'"))
+def trace_components(spark, d):
+    return _trace(spark, d, "component")
 
-@query("""+ a AS (SELECT key AS node_id FROM g_nodes WHERE contains(filepath, 'brand7/') OR contains(name, 'brand7/') ORDER BY key LIMIT 10),
-i AS (SELECT node_id, node_id AS context_id FROM a UNION ALL SELECT node_id, dst FROM a JOIN g_contains ON src = node_id)
-SELECT node_id, context_id, summary, component_id IS NOT NULL AS has_doc FROM i LEFT JOIN g_desc x ON x.node_id = context_id LEFT JOIN g_doc ON component_id = context_id""".replace("SELECT node_id, context_id, summary", "SELECT i.node_id, context_id, summary"))
+
+@query(f"""+ a AS (SELECT * FROM g_nodes WHERE (name = 'brand7' OR contains(filepath, 'brand7/')) AND repo_id = 'r1' ORDER BY id LIMIT 10), few AS (SELECT * FROM a ORDER BY id LIMIT 5),
+near AS (SELECT DISTINCT e.dst AS key FROM few JOIN (SELECT src, dst FROM g_contains UNION ALL SELECT dst, src FROM g_contains) e ON e.src = few.key WHERE e.dst NOT IN (SELECT key FROM a)),
+p AS (SELECT n.id AS context_id, 'symbol' AS type, summary, data_flow FROM near JOIN g_nodes n USING (key) LEFT JOIN g_desc x ON x.node_id = n.key LEFT JOIN g_doc ON component_id = n.key
+UNION ALL SELECT DISTINCT a.module_path, 'module', a.architectural_role, NULL FROM {_ARCH.replace("g_nodes", "few")})
+SELECT *, least(1.0::DOUBLE, count(*) OVER () / 30.0::DOUBLE) AS confidence FROM p""")
 def architecture_context(spark, d):
-    return docs.context(tables.nodes(spark, d), tables.edges(spark, d), tables.descriptions(spark, d), tables.component_docs(spark, d), "brand7/")
+    return docs.context(tables.nodes(spark, d), tables.edges(spark, d), tables.descriptions(spark, d), tables.component_docs(spark, d), tables.architecture(spark, d), "brand7/", "r1")
 
 
-@query("""SELECT * FROM (SELECT 1 AS layer, id, name AS label FROM g_nodes ORDER BY id, label LIMIT 30) UNION ALL SELECT * FROM (SELECT 2, CAST(node_id AS VARCHAR) AS id, summary AS label FROM g_desc ORDER BY id, label LIMIT 30)
-UNION ALL SELECT * FROM (SELECT 3, CAST(component_id AS VARCHAR) AS id, data_flow AS label FROM g_doc ORDER BY id, label LIMIT 30) UNION ALL SELECT * FROM (SELECT 4, module_path AS id, architectural_role AS label FROM g_arch ORDER BY id, label LIMIT 30)""")
-def layered_subgraph(spark, d):
-    return docs.layered(tables.nodes(spark, d), tables.descriptions(spark, d), tables.component_docs(spark, d), tables.architecture(spark, d), 30)
+_LAYERS = """+ v1 AS (SELECT 'symbol' AS layer, id, name AS label FROM g_nodes ORDER BY id, label LIMIT {n}), v2 AS (SELECT 'description' AS layer, CAST(node_id AS VARCHAR) AS id, summary AS label FROM g_desc ORDER BY 2, 3 LIMIT {n}),
+v3 AS (SELECT 'detail' AS layer, CAST(component_id AS VARCHAR) AS id, data_flow AS label FROM g_doc ORDER BY 2, 3 LIMIT {n}), v4 AS (SELECT 'module' AS layer, module_path AS id, architectural_role AS label FROM g_arch ORDER BY 2, 3 LIMIT {n}),
+v5 AS (SELECT 'fact' AS layer, CAST(key AS VARCHAR) AS id, docstring AS label FROM g_nodes WHERE docstring IS NOT NULL ORDER BY 2, 3 LIMIT {n}), v6 AS (SELECT 'memory' AS layer, id, title AS label FROM m_decisions ORDER BY 2, 3 LIMIT {n}),
+""".format(n=200)
+
+
+def _layers(spark, d):
+    n = tables.nodes(spark, d)
+    facts = n.where("docstring is not null").select(F.col("key").cast("string").alias("id"), F.col("docstring").alias("label"))
+    held = tables.decisions(spark, d).select("id", F.col("title").alias("label"))
+    return docs.layered(n, tables.descriptions(spark, d), tables.component_docs(spark, d), tables.architecture(spark, d), facts, held, tables.edges(spark, d), 200)
+
+
+@query(_LAYERS + " v AS (FROM v1 UNION ALL FROM v2 UNION ALL FROM v3 UNION ALL FROM v4 UNION ALL FROM v5 UNION ALL FROM v6) SELECT * FROM v", views="both")
+def layered_vertices(spark, d):
+    return _layers(spark, d)[0]
+
+
+@query(_LAYERS + f""" c AS (SELECT a.id AS source, b.id AS target, relation FROM g_edges e JOIN g_nodes a ON a.key = e.src JOIN g_nodes b ON b.key = e.dst WHERE a.id IN (SELECT id FROM v1) AND b.id IN (SELECT id FROM v1)),
+e1 AS (SELECT DISTINCT * FROM c WHERE relation = 'calls' ORDER BY 1, 2 LIMIT 400), e2 AS (SELECT DISTINCT * FROM c WHERE relation = 'contains' ORDER BY 1, 2 LIMIT 400),
+e3 AS (SELECT DISTINCT n.id AS source, CAST(node_id AS VARCHAR) AS target, 'described_by' AS relation FROM g_nodes n JOIN g_desc ON node_id = n.key WHERE n.id IN (SELECT id FROM v1) AND CAST(node_id AS VARCHAR) IN (SELECT id FROM v2) ORDER BY 1, 2 LIMIT 400),
+e4 AS (SELECT DISTINCT v3.id AS source, v2.id AS target, 'detailed_in' AS relation FROM v3 JOIN v2 USING (id) ORDER BY 1, 2 LIMIT 400),
+e5 AS (SELECT DISTINCT n.id AS source, a.module_path AS target, 'part_of_architecture' AS relation FROM {_ARCH} WHERE n.id IN (SELECT id FROM v1) AND a.module_path IN (SELECT id FROM v4) ORDER BY 1, 2 LIMIT 400),
+v AS (FROM e1 UNION ALL FROM e2 UNION ALL FROM e3 UNION ALL FROM e4 UNION ALL FROM e5) SELECT * FROM v""", views="both")
+def layered_edges(spark, d):
+    return _layers(spark, d)[1]
+
+
+@query("+ k AS (SELECT * FROM g_desc WHERE node_id IN (SELECT key FROM g_nodes)) SELECT component_id, md5(data_flow) AS flow FROM g_doc WHERE component_id IN (SELECT node_id FROM k)")
+def stored_details(spark, d):
+    """Details are kept where their description is."""
+    _, details, _ = docs.stored_layers(tables.nodes(spark, d), tables.descriptions(spark, d), tables.component_docs(spark, d), tables.architecture(spark, d))
+    return details.select("component_id", F.md5("data_flow").alias("flow"))
+
+
+@query("SELECT vec_id AS key, CASE WHEN vec_id % 3 = 0 THEN 'new' ELSE 'old' END AS which FROM embeddings WHERE vec_id % 3 <> 0 OR vec_id IN (SELECT key FROM g_nodes)")
+def stored_embeddings(spark, d):
+    e = table(spark, d, "embeddings")
+    old = e.where("vec_id % 3 <> 0").select(F.col("vec_id").alias("key"), F.col("embedding").alias("vector"), F.lit("old").alias("which"))
+    new = e.where("vec_id % 3 = 0").select(F.col("vec_id").alias("key"), F.col("embedding").alias("vector"), F.lit("new").alias("which"))
+    return docs.stored_embeddings(tables.nodes(spark, d), old, new, 64).where("size(vector) = 64").select("key", "which")
 
 
 @query("""+ i AS (SELECT s_suppkey AS id, 'pkg.mod.part_' || (s_suppkey * 3) AS target FROM supplier)
@@ -263,9 +333,23 @@ def repo_lines(spark, d):
     return relational.lines(tables.nodes(spark, d))
 
 
-@query("SELECT n.repo_id, count(DISTINCT n.key) AS node_count, count(DISTINCT CASE WHEN e.dst IS NOT NULL THEN n.key || '>' || e.dst || e.relation END) AS edge_count FROM g_nodes n LEFT JOIN g_edges e ON e.src = n.key GROUP BY 1")
+@query("SELECT n.repo_id, count(DISTINCT n.key) AS node_count, count(DISTINCT CASE WHEN e.dst IS NOT NULL THEN n.key || '>' || e.dst || e.relation END) AS edge_count, max(CASE WHEN n.key % 7 = 0 THEN TIMESTAMP '2024-01-01' + to_minutes(n.key) END) AS last_indexed FROM g_nodes n LEFT JOIN g_edges e ON e.src = n.key GROUP BY 1")
 def repo_list(spark, d):
-    return relational.repositories(tables.nodes(spark, d), tables.edges(spark, d))
+    n = tables.nodes(spark, d).withColumn("last_indexed", F.expr("CASE WHEN key % 7 = 0 THEN timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, CAST(key AS INT)) END"))
+    return relational.repositories(n, tables.edges(spark, d))
+
+
+_REPOS = "(SELECT 'r' || n_nationkey AS repo_id, CASE n_nationkey WHEN 0 THEN '2024-05-01 10:00:00' WHEN 1 THEN 'not a date' WHEN 2 THEN '2024-05-02 10:00:00' END AS last_indexed FROM nation)"
+
+
+def _repos(spark, d):
+    return table(spark, d, "nation").selectExpr("concat('r', n_nationkey) AS repo_id", "CASE n_nationkey WHEN 0 THEN '2024-05-01 10:00:00' WHEN 1 THEN 'not a date' WHEN 2 THEN '2024-05-02 10:00:00' END AS last_indexed")
+
+
+@query(f"""SELECT r.repo_id, (SELECT count(*) FROM g_nodes n WHERE n.repo_id = r.repo_id) AS node_count, (SELECT count(*) FROM g_edges e JOIN g_nodes a ON a.key = e.src JOIN g_nodes b ON b.key = e.dst WHERE a.repo_id = r.repo_id AND b.repo_id = r.repo_id) AS edge_count,
+TRY_CAST(last_indexed AS TIMESTAMP) AS last_indexed FROM {_REPOS} r""")
+def repo_overview(spark, d):
+    return catalog.overview(tables.nodes(spark, d), tables.edges(spark, d), _repos(spark, d))
 
 
 @query("SELECT kind, CAST(count_if(repo_id = 'r0') AS BIGINT) AS r0, CAST(count_if(repo_id = 'r1') AS BIGINT) AS r1 FROM g_nodes WHERE repo_id IN ('r0', 'r1') GROUP BY kind")
@@ -303,9 +387,14 @@ def node_filter(spark, d):
     return relational.find_nodes(tables.nodes(spark, d), "r1", "class", "brand1", "_1")
 
 
-@query("SELECT e.src, e.dst, e.relation, a.repo_id FROM g_edges e JOIN g_nodes a ON a.key = e.src JOIN g_nodes b ON b.key = e.dst WHERE a.repo_id = b.repo_id AND e.src < 100")
+@query("SELECT e.src, e.dst, e.relation, a.repo_id FROM g_edges e JOIN g_nodes a ON a.key = e.src JOIN g_nodes b ON b.key = e.dst WHERE a.repo_id = b.repo_id")
 def edge_filter(spark, d):
-    return relational.repo_edges(tables.nodes(spark, d), tables.edges(spark, d)).where("src < 100")
+    return relational.repo_edges(tables.nodes(spark, d), tables.edges(spark, d))
+
+
+@query(f"SELECT e.src, e.dst, e.relation, a.repo_id FROM g_edges e JOIN g_nodes a ON a.key = e.src JOIN g_nodes b ON b.key = e.dst WHERE a.repo_id = 'r2' AND b.repo_id = 'r2' AND e.src = {ROOT} ORDER BY ALL LIMIT 100")
+def symbol_edges(spark, d):
+    return relational.find_edges(tables.nodes(spark, d), tables.edges(spark, d), "r2", ROOT)
 
 
 @query("SELECT id, name, coalesce(docstring, source_text[1:200]) AS snippet, 0.5::DOUBLE AS score FROM g_nodes WHERE contains(lower(name), 'ring') OR contains(lower(coalesce(docstring, '')), 'ring') OR contains(lower(filepath), 'ring') ORDER BY id LIMIT 20")
@@ -318,31 +407,38 @@ def word_or_search(spark, d):
     return relational.word_search(tables.nodes(spark, d), "a blue bolt is")
 
 
-_TERM = "SELECT '{t}' AS node_type, {i} AS node_id, round(least(1.0::DOUBLE, ((length(lower(text)) - length(replace(lower(text), 'the', ''))) / 3 + (length(lower(text)) - length(replace(lower(text), 'tion', ''))) / 4) / 2 * 0.2::DOUBLE), 6) AS score FROM {t} WHERE contains(lower(text), 'the') AND contains(lower(text), 'tion')"
-
-
-@query(" UNION ALL ".join(_TERM.format(t=t, i=i) for t, i in (("documents", "doc_id"), ("benchmark", "item_id"))) + " ORDER BY score DESC, node_type, node_id LIMIT 20", views=False)
-def memory_search(spark, d):
-    t = {n: table(spark, d, n).select(F.col(i).alias("id"), F.col("text").alias("data")) for n, i in (("documents", "doc_id"), ("benchmark", "item_id"))}
-    return relational.term_search(t, "The tion")
-
-
 @query("""SELECT kind, count(*) AS n_total, count_if(CASE WHEN kind = 'class' THEN true WHEN kind IN ('function', 'method') THEN len(string_split(regexp_replace(source_text, '\\n$', ''), chr(10))) >= 10 ELSE false END)::BIGINT AS n_documented FROM g_nodes GROUP BY kind""")
 def smart_docs_filter(spark, d):
     n = tables.nodes(spark, d)
     return n.groupBy("kind").agg(F.count("*").alias("n_total"), F.sum(F.when(relational.worth_documenting(F.col("kind"), F.col("source_text")), 1).otherwise(0)).alias("n_documented"))
 
 
-@query("SELECT key, concat_ws(chr(10), kind || ': ' || name, signature, docstring, source_text[1:100]) AS text FROM g_nodes")
+@query("SELECT key, concat_ws(chr(10), kind || ': ' || name, signature, docstring, array_to_string(string_split(source_text, ' ')[1:512], ' ')) AS text FROM g_nodes")
 def embedding_text(spark, d):
-    return tables.nodes(spark, d).select("key", F.concat_ws("\n", F.concat_ws(": ", "kind", "name"), "signature", "docstring", F.substring("source_text", 1, 100)).alias("text"))
+    return tables.nodes(spark, d).select("key", context.embedding_text(F.col("kind"), F.col("name"), F.col("signature"), F.col("docstring"), context.first_tokens(F.col("source_text"), 512)).alias("text"))
+
+
+_EPISODES = """+ j AS (SELECT *, coalesce(nullif(docstring, ''), summary, '') AS doc FROM g_nodes LEFT JOIN g_desc ON node_id = key),
+l AS (SELECT repo_id, filepath, string_agg(CASE WHEN kind IN ('class', 'function', 'method') THEN coalesce(nullif(signature, ''), kind || ' ' || name) || CASE WHEN doc <> '' THEN chr(10) || '  # ' || doc[1:150] ELSE '' END || chr(10) END, chr(10) ORDER BY start_line, key) AS body FROM j GROUP BY ALL),
+t AS (SELECT repo_id, filepath, 'FILE: ' || filepath || chr(10) || coalesce(chr(10) || body, '') AS transcript, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(repo_id || ':file:' || translate(filepath, '/.', '__'))) AS h FROM l)
+"""
 
 
-@query("SELECT filepath, string_agg(coalesce(signature, name) || ' # ' || coalesce(docstring[1:150], ''), chr(10) ORDER BY start_line, end_line, key) AS text FROM g_nodes GROUP BY filepath HAVING length(string_agg(coalesce(signature, name) || ' # ' || coalesce(docstring[1:150], ''), chr(10))) >= 20")
+@query(_EPISODES + """SELECT repo_id, filepath, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || (['8', '9', 'a', 'b'])[CAST(('0x' || h[17:17])::INT AS INT) % 4 + 1] || h[18:20] || '-' || h[21:32] AS episode_id, 'Code file: ' || filepath AS summary, transcript FROM t WHERE length(transcript) >= 50""")
 def episode_transcripts(spark, d):
-    line = F.concat(F.coalesce("signature", "name"), F.lit(" # "), F.coalesce(F.substring("docstring", 1, 150), F.lit("")))
-    g = tables.nodes(spark, d).groupBy("filepath").agg(F.array_sort(F.collect_list(F.struct("start_line", "end_line", "key", line.alias("t")))).alias("x"))
-    return g.select("filepath", F.array_join(F.col("x.t"), "\n").alias("text")).where("length(text) >= 20")
+    return bridge.episodes(tables.nodes(spark, d), tables.descriptions(spark, d))
+
+
+@query("""+ j AS (SELECT *, concat_ws(' — ', nullif(signature, ''), coalesce(nullif(summary, ''), nullif(docstring[1:200], ''))) AS v FROM g_nodes LEFT JOIN g_desc ON node_id = key WHERE kind IN ('class', 'function', 'method', 'module'))
+SELECT key, (kind || '.' || name)[1:80] AS attribute, (CASE WHEN v = '' THEN kind || ' in ' || filepath ELSE v END)[1:400] AS value, 'index:' || repo_id || ':' || filepath AS session_id FROM j""")
+def symbol_facts(spark, d):
+    return bridge.symbol_facts(tables.nodes(spark, d), tables.descriptions(spark, d))
+
+
+@query("""+ j AS (SELECT relation, a.name AS a, b.name AS b, row_number() OVER (PARTITION BY relation, a.name ORDER BY b.name, dst, src) AS rn FROM g_edges JOIN g_nodes a ON a.key = src JOIN g_nodes b ON b.key = dst WHERE relation IN ('calls', 'imports', 'inherits'))
+SELECT relation || '_dependency' AS attribute, (a || ' → ' || b)[1:200] AS value FROM j WHERE rn <= 3""")
+def dependency_facts(spark, d):
+    return bridge.dependency_facts(tables.nodes(spark, d), tables.edges(spark, d))
 
 
 # -- vectors, ranks, budgets
@@ -361,9 +457,11 @@ def vector_topk_filtered(spark, d):
     return relational.nearest(table(spark, d, "embeddings"), _Q, condition="label in (1, 2)")
 
 
-@query(f"SELECT vec_id, label, {_COS.format(_Q)} AS score FROM embeddings WHERE {_COS.format(_Q)} > 0.2", views=False)
+@query("SELECT e.vec_id, e.label, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 5) AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 42) q WHERE round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 5) > 0.5", views=False)
 def vector_threshold(spark, d):
-    return table(spark, d, "embeddings").select("vec_id", "label", F.round(relational.cosine(F.col("embedding"), F.array(*map(F.lit, _Q))), 5).alias("score")).where("score > 0.2")
+    e = table(spark, d, "embeddings")
+    q = e.where("vec_id = 42").select(F.col("embedding").alias("q"))  # one row
+    return e.join(F.broadcast(q)).select("vec_id", "label", F.round(relational.cosine(F.col("embedding"), F.col("q")), 5).alias("score")).where("score > 0.5")
 
 
 @query(f"""SELECT vec_id, round(0.6::DOUBLE * CASE WHEN vec_id % 3 = 0 THEN 0.5::DOUBLE ELSE {_COS.format(_Q)} END + 0.4::DOUBLE * CASE WHEN vec_id % 2 = 0 THEN label / 10 ELSE 0.5::DOUBLE END, 5) AS score FROM embeddings ORDER BY score DESC, vec_id LIMIT 25""", views=False)
@@ -372,14 +470,17 @@ def hybrid_rank(spark, d):
     return e.select("vec_id", F.round(relational.hybrid(F.col("s"), F.lit(None).cast("double"), F.col("i")), 5).alias("score")).orderBy(F.desc("score"), "vec_id").limit(25)
 
 
-@query("""WITH s AS (SELECT l_orderkey AS id, list_distinct(list(l_partkey)) AS f FROM lineitem GROUP BY 1), q AS (SELECT f AS qf FROM s WHERE id = (SELECT min(l_orderkey) FROM lineitem))
-SELECT id, round(len(list_intersect(f, qf)) / len(list_distinct(list_concat(f, qf))), 6) AS score FROM s, q ORDER BY score DESC, id LIMIT 10""", views=False)
+@query(f"""WITH s AS (SELECT l_orderkey AS id, list_distinct(list(l_partkey)) AS f FROM lineitem GROUP BY 1), q AS (SELECT f AS qf FROM s WHERE id = (SELECT min(l_orderkey) FROM lineitem))
+SELECT vec_id AS id, round(0.4::DOUBLE * CASE WHEN len(list_distinct(list_concat(coalesce(f, []), qf))) > 0 THEN len(list_intersect(coalesce(f, []), qf)) / len(list_distinct(list_concat(coalesce(f, []), qf))) ELSE 0 END + 0.6::DOUBLE * {_COS.format(_Q)}, 5) AS score
+FROM embeddings LEFT JOIN s ON s.id = vec_id, q ORDER BY score DESC, id LIMIT 3""", views=False)
 def patch_similarity(spark, d):
+    """Vectors are problems, the parts of the order of the same number their patches' files."""
     line = table(spark, d, "lineitem")
-    s = line.groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_set("l_partkey").alias("f"))
+    files = line.groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_set("l_partkey").alias("files"))
     first = line.agg(F.min("l_orderkey").alias("m"))
-    q = s.join(first, s["id"] == first["m"]).select(F.col("f").alias("qf"))  # one row
-    return s.join(F.broadcast(q)).select("id", F.round(relational.jaccard(F.col("f"), F.col("qf")), 6).alias("score")).orderBy(F.desc("score"), "id").limit(10)
+    q = line.join(F.broadcast(first), line["l_orderkey"] == first["m"]).agg(F.collect_set("l_partkey").alias("qf"))  # one row
+    patches = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding").join(files, "id", "left")
+    return relational.similar_patches(patches.join(F.broadcast(q)), _Q, "qf")
 
 
 @query("SELECT doc_id, source, tokens, running FROM (SELECT doc_id, source, tokens, CAST(sum(tokens) OVER (PARTITION BY source ORDER BY n_chars, doc_id) AS BIGINT) AS running FROM (SELECT doc_id, source, n_chars, CAST(len(string_split(text, ' ')) AS BIGINT) AS tokens FROM documents)) WHERE running <= 800", views=False)
@@ -401,41 +502,68 @@ def capped_dependencies(spark, d):
 # -- text
 
 
-_SAID = (("sentence", r"(?i)\bthe ([^.\n]+)"), ("question", r"(?i)\bwith ([^.\n]+)"))
+_LOG = f"WITH {TURNS}, log AS (SELECT conv_id, string_agg(trim(text), chr(10) ORDER BY turn, trim(text)) AS log FROM m_turns WHERE role = 'assistant' GROUP BY conv_id),"
+_SAID = " UNION ALL ".join(f"SELECT conv_id, '{c}' AS class, {k} AS k, unnest(regexp_extract_all(log, '{p.replace(chr(39), chr(39) * 2)}', 1)) AS col, generate_subscripts(regexp_extract_all(log, '{p.replace(chr(39), chr(39) * 2)}', 1), 1) AS pos FROM log" for k, (c, p) in enumerate(analysis.PATTERNS))
+_FOUND = f"{_LOG} f AS ({_SAID}), t AS (SELECT conv_id, class, k, pos, regexp_replace(trim(col), '[.,;]+$', '') AS text FROM f), x AS (SELECT conv_id, class, text[1:200] AS text FROM t WHERE length(text) >= 10 QUALIFY row_number() OVER (PARTITION BY conv_id, class, lower(text)[1:60] ORDER BY k, pos) = 1)"
 
 
-@query(" UNION ALL ".join(f"SELECT conv_id, class, arg_min(text, turn) AS text FROM (SELECT conv_id, turn, '{c}' AS class, trim(unnest(regexp_extract_all(text, '(?i)\\b{w} ([^.\\n]+)', 1)))[1:200] AS text FROM conversations WHERE role = 'assistant') WHERE length(text) >= 10 GROUP BY conv_id, class, lower(text[1:60])" for c, w in (("sentence", "the"), ("question", "with"))).replace("arg_min(text, turn)", "(min({'turn': turn, 'text': text})).text"), views=False)
+@query(_FOUND + " SELECT * FROM x", views=False)
 def journal_extract(spark, d):
-    return analysis.extract(table(spark, d, "conversations"), _SAID)
+    return analysis.extract(tables.turns(spark, d))
 
 
-@query("SELECT conv_id, turn FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM conversations) WHERE rn <= 2", views=False)
-def journal_compact_tail(spark, d):
-    return analysis.tail(table(spark, d, "conversations").select("conv_id", "turn"), "conv_id", "turn", 2)
+_CLASS = "CASE WHEN files <= 1 AND hits = 0 AND n < 100 THEN 'SIMPLE' WHEN files >= 4 OR hits >= 3 OR n >= 300 THEN 'COMPLEX' ELSE 'MODERATE' END"
+_PROBLEMS = "SELECT doc_id, doc_id % 6 AS files, " + " + ".join(f"CAST(contains(lower(text), '{w}') AS INT)" for w in analysis.CROSS_FILE) + " AS hits, len(list_filter(regexp_split_to_array(text, '[ \t\n\x0b\f\r]+'), lambda w: w <> '')) AS n FROM (SELECT item_id + 1000000000 AS doc_id, 'refactor the module, extends import' || text AS text FROM benchmark UNION ALL SELECT doc_id, text FROM documents)"
 
 
-_WORDS = "len(list_filter(regexp_split_to_array(text, '[ \\t\\n\\x0b\\f\\r]+'), lambda w: w <> ''))"
-_CLASS = "CASE WHEN doc_id % 6 > 3 OR " + " + ".join(f"CAST(contains(lower(text), '{w}') AS INT)" for w in analysis.COMPLEX) + f" > 1 OR {_WORDS} > 200 THEN 'COMPLEX' WHEN doc_id % 6 > 1 OR " + " + ".join(f"CAST(contains(lower(text), '{w}') AS INT)" for w in analysis.MODERATE) + f" > 0 OR {_WORDS} > 50 THEN 'MODERATE' ELSE 'SIMPLE' END"
+def _problems(spark, d):
+    b = table(spark, d, "benchmark").select((F.col("item_id") + 1000000000).alias("doc_id"), F.concat(F.lit("refactor the module, extends import"), "text").alias("text"))
+    return b.union(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", analysis.complexity(F.col("text"), F.col("doc_id") % 6).alias("class"))
 
 
-@query(f"SELECT doc_id, {_CLASS} AS class FROM documents", views=False)
+@query(f"SELECT doc_id, {_CLASS} AS class FROM ({_PROBLEMS})", views=False)
 def complexity_class(spark, d):
-    return table(spark, d, "documents").select("doc_id", analysis.complexity(F.col("text"), F.col("doc_id") % 6).alias("class"))
+    return _problems(spark, d)
+
 
+_ROUTES = ", ".join(f"('{c}', '{x}', '{t}', '{s}', {m}::DOUBLE)" for c, x, t, s, m in analysis.ROUTES)
 
-@query(f"WITH c AS (SELECT doc_id, {_CLASS} AS class FROM documents) SELECT class, depth, count(*) AS n FROM c JOIN (VALUES ('SIMPLE', 1), ('MODERATE', 2), ('COMPLEX', 3)) t(class, depth) USING (class) GROUP BY ALL", views=False)
+
+@query(f"WITH c AS (SELECT doc_id, {_CLASS} AS class FROM ({_PROBLEMS})) SELECT class, depth, tier, skipped, cost, count(*) AS n FROM c JOIN (VALUES {_ROUTES}) t(class, depth, tier, skipped, cost) USING (class) GROUP BY ALL", views=False)
 def routing(spark, d):
-    c = complexity_class(spark, d)
-    depth = F.create_map(*map(F.lit, ("SIMPLE", 1, "MODERATE", 2, "COMPLEX", 3)))
-    return c.withColumn("depth", depth[F.col("class")]).groupBy("class", "depth").agg(F.count("*").alias("n"))
+    return analysis.routed(_problems(spark, d)).groupBy("class", "depth", "tier", "skipped", "cost").agg(F.count("*").alias("n"))
+
 
+@query(f"WITH c AS (SELECT doc_id, {_CLASS} AS was FROM ({_PROBLEMS})), u AS (SELECT doc_id, CASE WHEN doc_id % 2 = 1 THEN was WHEN was = 'SIMPLE' THEN 'MODERATE' ELSE 'COMPLEX' END AS class FROM c) SELECT doc_id, class, tier FROM u JOIN (VALUES {_ROUTES}) t(class, depth, tier, skipped, cost) USING (class)", views=False)
+def routing_escalated(spark, d):
+    return analysis.routed(_problems(spark, d).withColumn("failed", F.col("doc_id") % 2 == 0), "failed").select("doc_id", "class", "tier")
 
-@query("""SELECT p_partkey AS id, 'src/' || lower(p_type) || '.py' AS files, array_to_string(list_sort(list_distinct(['part_' || p_partkey, 'os'])), ',') AS symbols,
-sha256('src/' || lower(p_type) || '.py|' || array_to_string(list_sort(list_distinct(['part_' || p_partkey, 'os'])), ',')) AS signature FROM part""", views=False)
-def diff_signals(spark, d):
-    text = F.concat(F.lit("--- a/x\n+++ b/src/"), F.lower("p_type"), F.lit(".py\n@@ -1 +1 @@\n-old\n+import os\n+def part_"), "p_partkey", F.lit("():\n+    pass\n+import os"))
-    diffs = table(spark, d, "part").select(F.col("p_partkey").alias("id"), text.alias("patch"))
-    return analysis.diff_signals(files.diff_lines(diffs, "id", "patch"), "id")
+
+_PATCH = "'--- a/x' || chr(10) || '+++ b/src/' || lower(p_type) || '.py' || chr(10) || '@@ -1 +1 @@ def part_' || p_partkey || '(x):' || chr(10) || '-old' || chr(10) || '+import os' || chr(10) || '@@ -9 +9 @@ class Part' || (p_partkey % 7) || chr(10) || '+    pass'"
+
+
+@query(rf"""WITH p AS (SELECT p_partkey AS id, {_PATCH} AS t FROM part), x AS (SELECT id, 'src/' || regexp_extract(t, 'b/src/(.*)\.py', 1) || '.py' AS files, list_distinct(regexp_extract_all(t, '@@.*@@\s*(?:def|class)\s+(\w+)', 1)) AS s FROM p)
+SELECT id, files, array_to_string(list_sort(s), ',') AS symbols, sha256(files || '|' || array_to_string(list_sort(s), ',') || '|bugfix') AS signature FROM x""", views=False)
+def patch_index(spark, d):
+    text = F.concat(F.lit("--- a/x\n+++ b/src/"), F.lower("p_type"), F.lit(".py\n@@ -1 +1 @@ def part_"), "p_partkey", F.lit("(x):\n-old\n+import os\n@@ -9 +9 @@ class Part"), F.col("p_partkey") % 7, F.lit("\n+    pass"))
+    found = analysis.patch_index(table(spark, d, "part").select(F.col("p_partkey").alias("id"), text.alias("patch")), "id", "patch")
+    return found.select("id", F.array_join("files", ",").alias("files"), F.array_join(F.array_sort("symbols"), ",").alias("symbols"), "signature")
+
+
+_TEST = """'+++ b/tests/t.py' || chr(10) || '+from app.part' || (p_partkey % 9) || ' import load, Part' || chr(10) || '+import util.text' || chr(10) || '+class T(TestCase):' || chr(10) || '+    def test_it(self):' || chr(10) || '+        self.assertEqual(load(' || p_size || '), Part(None))' || chr(10) || CASE WHEN p_partkey % 2 = 0 THEN '+        assert check(x) == []' ELSE '-        assert gone(x)' END || chr(10)"""
+
+
+@query(rf"""WITH p AS (SELECT p_partkey AS id, {_TEST} AS t FROM part), s AS (SELECT id, array_to_string(list_transform(list_filter(string_split(t, chr(10)), lambda x: starts_with(x, '+') AND NOT starts_with(x, '+++')), lambda x: x[2:]), chr(10)) AS s FROM p),
+x AS (SELECT id, list_concat(regexp_extract_all(s, 'from\s+([\w.]+)\s+import\s+[\w, *]+', 1), regexp_extract_all(s, '(?m)^import\s+([\w.]+)', 1)) AS f,
+list_filter(list_distinct(list_concat(list_filter(regexp_extract_all(s, '(?:self\.)?(\w+)\s*\(', 1), lambda n: NOT starts_with(n, 'test_')), regexp_extract_all(s, '\b([A-Z]\w+)\s*\(', 1))), lambda n: n NOT IN ({", ".join(f"'{n}'" for n in analysis.FRAMEWORK)})) AS c,
+list_concat(regexp_extract_all(s, '(self\.assert\w+\([^)]*\))', 1), list_transform(regexp_extract_all(s, '(?m)^(\s*assert\s+.+)$', 1), lambda n: trim(n))) AS a, s FROM s)
+SELECT id, array_to_string(list_transform(f, lambda n: replace(n, '.', '/') || '.py'), ',') AS tested_files, array_to_string(list_sort(c), ',') AS symbols, array_to_string(a, ';') AS assertions,
+array_to_string(list_filter([CASE WHEN regexp_matches(s, '(?:None|null|nil)\b') THEN 'None/null check' END, CASE WHEN regexp_matches(s, '(?:\[\]|\(\)|\{{\}}|\.empty|len\([^)]*\)\s*==\s*0)') THEN 'Empty collection' END, CASE WHEN regexp_matches(s, '(?:\b0\b|\b1\b|\b-1\b|MAX|MIN|boundary)') THEN 'Boundary value' END, CASE WHEN regexp_matches(s, '(?:assertRaises|with\s+self\.assertRaises|pytest\.raises)') THEN 'Exception handling' END], lambda n: n IS NOT NULL), ',') AS edge_cases,
+array_to_string(list_sort(list_intersect(c, ['load', 'Part', 'text'])), ',') AS direct FROM x""", views=False)
+def test_patch_signals(spark, d):
+    patch = F.expr(_TEST.replace("chr(10)", "'\n'"))
+    found = analysis.test_signals(table(spark, d, "part").select(F.col("p_partkey").alias("id"), patch.alias("patch")), "id", "patch")
+    return found.select("id", *(F.array_join(c, ";" if c == "assertions" else ",").alias(c) for c in ("tested_files", "symbols", "assertions", "edge_cases", "direct")))
 
 
 # -- merges
@@ -478,58 +606,6 @@ def decision_merge(spark, d):
     return relational.list_merge(a, b, "id", ["l"], "v").withColumn("l", F.array_join("l", ","))
 
 
-@query("SELECT o_orderkey AS id, o_orderpriority AS title, o_orderdate AS updated_at FROM orders WHERE o_orderstatus <> 'F' ORDER BY o_orderdate DESC, o_orderkey LIMIT 50", views=False)
-def memory_lists(spark, d):
-    o = table(spark, d, "orders").where("o_orderstatus <> 'F'")
-    return o.orderBy(F.desc("o_orderdate"), "o_orderkey").limit(50).select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("title"), F.col("o_orderdate").alias("updated_at"))
-
-
-@query("SELECT 'documents' AS name, count(*) AS n FROM documents UNION ALL SELECT 'conversations', count(*) FROM conversations UNION ALL SELECT 'benchmark', count(*) FROM benchmark", views=False)
-def memory_stats(spark, d):
-    parts = [table(spark, d, n).agg(F.count("*").alias("n")).select(F.lit(n).alias("name"), "n") for n in ("documents", "conversations", "benchmark")]
-    return parts[0].union(parts[1]).union(parts[2])
-
-
-_MEMORY = "SELECT o_orderkey AS id, 'u' || (o_custkey % 5) AS author, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE 'r' || (o_orderkey % 4) END AS repo_id, o_orderdate AS updated_at, o_orderpriority AS title, o_orderstatus AS status FROM orders"
-
-
-def _memory(spark, d):
-    repo = F.when(F.col("o_orderkey") % 3 == 0, "").otherwise(F.concat(F.lit("r"), F.col("o_orderkey") % 4))
-    return table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.concat(F.lit("u"), F.col("o_custkey") % 5).alias("author"), repo.alias("repo_id"), F.col("o_orderdate").alias("updated_at"), F.col("o_orderpriority").alias("title"), F.col("o_orderstatus").alias("status"))
-
-
-@query(f"SELECT id, title FROM ({_MEMORY}) WHERE author = 'u1' AND repo_id IN ('r2', '')", views=False)
-def preferences_of_author(spark, d):
-    return memory.preferences(_memory(spark, d), "u1", "r2").select("id", "title")
-
-
-@query(f"SELECT id, title, updated_at FROM ({_MEMORY}) WHERE repo_id = 'r1' AND status = 'F' ORDER BY updated_at DESC, id LIMIT 20", views=False)
-def attempts_by_result(spark, d):
-    return memory.newest(_memory(spark, d), 20, "repo_id = 'r1' and status = 'F'").select("id", "title", "updated_at")
-
-
-@query(f"SELECT id FROM (SELECT * FROM ({_MEMORY}) ORDER BY updated_at DESC, id LIMIT 200) WHERE title = '1-URGENT' OR 'm' || (id % 7) = 'm3'", views=False)
-def decisions_for_module(spark, d):
-    m = _memory(spark, d).withColumn("affected_modules", F.array(F.when(F.col("title") == "1-URGENT", "m3").otherwise("none"), F.concat(F.lit("m"), F.col("id") % 7)))
-    return memory.for_module(m, "m3").select("id")
-
-
-@query("SELECT key, repo_id || ':' || name AS scoped_id FROM g_nodes WHERE key < 500")
-def tenant_scope(spark, d):
-    return memory.scoped(tables.nodes(spark, d).where("key < 500"), "repo_id", "name").select("key", "scoped_id")
-
-
-@query("SELECT event_id, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) <= 2 AS allowed FROM events", views=False)
-def rate_limit(spark, d):
-    calls = table(spark, d, "events").withColumn("day", F.to_date("ts"))
-    return memory.within_rate(calls, "user_id", "day", ["ts", "event_id"], 2).select("event_id", "allowed")
-
-
-@query("SELECT user_id, month(ts) AS period, count(*) AS n FROM events GROUP BY ALL", views=False)
-def usage_counts(spark, d):
-    return table(spark, d, "events").groupBy("user_id", F.month("ts").cast("long").alias("period")).agg(F.count("*").alias("n"))
-
-
 # -- contexts
 
 _BLANK = "' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)"
@@ -595,7 +671,7 @@ def descriptions_with_details(spark, d):
     return tables.descriptions(spark, d).join(c, "node_id", "left").select("node_id", "summary", "data_flow")
 
 
-@query("SELECT key, test FROM (SELECT key, test, row_number() OVER (PARTITION BY key ORDER BY test) AS rn FROM (SELECT DISTINCT dst AS key, n.id AS test FROM g_edges e JOIN g_nodes n ON n.key = e.src WHERE relation IN ('calls', 'imports') AND (contains(name, 'test') OR contains(filepath, 'test')))) WHERE rn <= 20")
+@query(_COVERED)
 def test_coverage(spark, d):
     return docs.tests_of(tables.nodes(spark, d), tables.edges(spark, d))
 
@@ -612,13 +688,6 @@ def delete_cascade(spark, d):
     return memory.without(tables.edges(spark, d), gone, "src", "dst").select("src", "dst", "relation")
 
 
-@query(f"SELECT id, author FROM ({_MEMORY}) WHERE status = 'O' AND id NOT IN (SELECT o_orderkey FROM orders WHERE o_custkey % 2 = 0)", views=False)
-def pending_after_sync(spark, d):
-    rows = _memory(spark, d).withColumn("pending_sync", F.col("status") == "O")
-    done = table(spark, d, "orders").where("o_custkey % 2 = 0").select(F.col("o_orderkey").alias("id"))
-    return memory.pending(memory.mark_synced(rows, done)).select("id", "author")
-
-
 @query("""SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN CASE WHEN doc_id % 2 = 0 THEN lang ELSE text[1:120] END WHEN 1 THEN source WHEN 2 THEN text[1:80] || ' → ' || lang WHEN 3 THEN lang || ' = ' || source ELSE source END AS line FROM documents""", views=False)
 def memory_summaries(spark, d):
     kind = F.get(F.array(*map(F.lit, ("session", "decision", "attempt", "preference", "convention"))), (F.col("doc_id") % 5).cast("int"))
@@ -640,15 +709,19 @@ def export_csv_rows(spark, d):
     return relational.csv_rows(tables.nodes(spark, d))
 
 
-@query("""SELECT '  "' || key || '" [label="' || replace(name, '"', '\\"') || '", fillcolor="' || CASE kind WHEN 'module' THEN 'lightblue' WHEN 'class' THEN 'lightgreen' WHEN 'function' THEN 'lightyellow' WHEN 'method' THEN 'lightpink' ELSE 'white' END || '"];' AS line FROM g_nodes
-UNION ALL SELECT '  "' || src || '" -> "' || dst || '" [label="' || relation || '"];' FROM g_calls WHERE src IN (SELECT key FROM g_nodes) AND dst IN (SELECT key FROM g_nodes)""")
+@query("""+ n AS (SELECT * FROM g_nodes WHERE repo_id = 'r1'), l AS (SELECT 0 AS part, unnest(['digraph XCE {', '  rankdir=LR;', '  node [shape=box];']) AS line
+UNION ALL SELECT 1, '  "' || id || '" [label="' || replace(name, '"', '\\"') || '", style=filled, fillcolor="' || CASE kind WHEN 'class' THEN 'lightblue' WHEN 'function' THEN 'lightgreen' WHEN 'method' THEN 'lightgreen' WHEN 'module' THEN 'lightyellow' WHEN 'import' THEN 'lightgray' ELSE 'white' END || '"];' FROM n
+UNION ALL SELECT 2, '  "' || a.id || '" -> "' || b.id || '" [label="' || relation || '"];' FROM g_edges JOIN n a ON a.key = src JOIN n b ON b.key = dst UNION ALL SELECT 3, '}') SELECT * FROM l""".replace("digraph XCE", "digraph G"))
 def export_dot_lines(spark, d):
-    return relational.dot_lines(tables.nodes(spark, d), tables.calls(spark, d))
+    n = tables.nodes(spark, d).where("repo_id = 'r1'")
+    return relational.dot_lines(n, tables.edges(spark, d))
 
 
-@query("SELECT n.key, n.name, coalesce((SELECT string_agg(t, ',' ORDER BY t) FROM (SELECT relation || ':' || dst AS t FROM g_calls WHERE src = n.key)), '') AS edges FROM g_nodes n")
+@query("""+ e AS (SELECT a.key, b.id AS target, e.relation FROM g_edges e JOIN g_nodes a ON a.key = e.src JOIN g_nodes b ON b.key = e.dst WHERE a.repo_id = b.repo_id),
+l AS (SELECT key, list({'target': target, 'relation': relation} ORDER BY target, relation) AS edges FROM e GROUP BY key)
+SELECT key, id, CAST(to_json({'id': id, 'kind': kind, 'name': name, 'filepath': filepath, 'edges': coalesce(edges, [])}) AS VARCHAR) AS json FROM g_nodes LEFT JOIN l USING (key)""")
 def export_json_rows(spark, d):
-    return relational.with_edges(tables.nodes(spark, d), tables.calls(spark, d))
+    return catalog.json_graph(tables.nodes(spark, d), tables.edges(spark, d))
 
 
 # -- events
@@ -672,12 +745,22 @@ def progress_eta(spark, d):
     return analysis.progress(table(spark, d, "events"), 100)
 
 
-@query()
+_RECORDS = """WITH p AS (SELECT p_partkey AS k, 'src/m' || p_partkey || '.py' AS f FROM part), i AS (SELECT *, 'repo:' || f || ':' AS i FROM p),
+n AS (SELECT k, 'node' AS rec_type, i || 'module:m' || k AS a, 'm' || k AS b FROM i UNION ALL SELECT k, 'node', i || 'import:os', 'os' FROM i UNION ALL SELECT k, 'node', i || 'class:A', 'A' FROM i UNION ALL SELECT k, 'node', i || 'method:f', 'f' FROM i UNION ALL SELECT k, 'node', i || 'variable:v', 'v' FROM i),
+e AS (SELECT k, 'edge', i || 'module:m' || k, i || 'class:A' FROM i UNION ALL SELECT k, 'edge', i || 'class:A', i || 'method:f' FROM i UNION ALL SELECT k, 'edge', i || 'class:A', i || 'class:B' FROM i UNION ALL SELECT k, 'edge', i || 'method:f', i || 'function:g' || k FROM i UNION ALL SELECT k, 'edge', i || 'module:m' || k, unnest([i || 'import:os', i || 'import:os']) FROM i UNION ALL SELECT k, 'edge', i || 'module:m' || k, i || 'variable:v' FROM i)
+SELECT rec_type, a, b FROM (SELECT * FROM n UNION ALL SELECT * FROM e)"""
+
+
+@query(_RECORDS, views=False)
 def parser_records(spark, d):
-    """Records of a few small sources, one for each part's kind of file."""
+    """Records of a source for each part: nodes with their names, edges with their ends."""
     from skeinwork.functions.parsers import parse_files
 
-    p = table(spark, d, "part").select(F.concat(F.lit("src/m"), "p_partkey", F.lit(".py")).alias("filepath"), F.lit("python").alias("language"), F.concat(F.lit("import os\nclass A(B):\n    def f(self, x=1):\n        return g"), "p_partkey", F.lit("(x)\n")).alias("source"))
-    return parse_files(p, "repo")
+    p = table(spark, d, "part").select(F.concat(F.lit("src/m"), "p_partkey", F.lit(".py")).alias("filepath"), F.lit("python").alias("language"), F.concat(F.lit("import os\nv = 1\nclass A(B):\n    def f(self, x=1):\n        self.y = 2\n        return g"), "p_partkey", F.lit("(x)\n")).alias("source"))
+    found = parse_files(p, "repo")
+    edge = F.col("rec_type") == "edge"
+    return found.select("rec_type", F.when(edge, F.col("source_id")).otherwise(F.col("id")).alias("a"), F.when(edge, F.col("target_id")).otherwise(F.col("name")).alias("b"))
 
 
+import skeinwork.plans.memory_queries  # noqa: E402, F401
+import skeinwork.plans.service_queries  # noqa: E402, F401

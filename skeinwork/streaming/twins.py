@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
@@ -60,19 +60,114 @@ def breaker(stream: DataFrame, threshold: int = 3, seconds: float = 30.0) -> Dat
     return stream.groupBy("service").applyInPandasWithState(run, BREAKER, "state string, failures int, opened double", "append", GroupStateTimeout.NoTimeout)
 
 
-def incremental(stream: DataFrame, store: str, checkpoint: str, key: str, value: str) -> StreamingQuery:
-    """Append each batch's rows whose value differs from the store's newest one for the key; a batch that is run again replaces what it wrote."""
+def changes(stream: DataFrame, key: str, value: str, order: str) -> DataFrame:
+    """Rows whose value differs from the key's last one. Of a key's rows the order column says which comes first (equal ones by value); the last value is all the state there is."""
+
+    def run(_: tuple[Any, ...], parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last = state.get[0] if state.exists else None
+        rows = pd.concat(list(parts)).sort_values([order, value], kind="stable")
+        keep = []
+        for v in rows[value]:
+            keep.append(v != last)
+            last = v
+        state.update((last,))
+        yield rows[keep]
+
+    return stream.groupBy(key).applyInPandasWithState(run, stream.schema, "last string", "append", GroupStateTimeout.NoTimeout)
+
+
+def incremental(stream: DataFrame, store: str, checkpoint: str, key: str, value: str, order: str | None = None) -> StreamingQuery:
+    """Append rows whose value is new for their key to a store, with the batch's number; a batch that is run again replaces what it wrote. What is known
+    is the stream's state, the store isn't read. Without an order rows of a batch go by value."""
 
     def put(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        jvm = spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(store)
-        known = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
-        new = batch.dropDuplicates([key])
-        if known:
-            newest = spark.read.parquet(store).where(F.col("batch") < number).groupBy(key).agg(F.max_by(value, "batch").alias("_was"))
-            new = new.join(newest, key, "left").where(~F.col(value).eqNullSafe(F.col("_was"))).drop("_was")
-        new.withColumn("part", F.lit(number)).withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(store)
+        batch.withColumn("part", F.lit(number)).withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(store)
+
+    return changes(stream, key, value, order or value).writeStream.outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(put).start()
+
+
+def journal(stream: DataFrame, flush: int = 5, compact: int = 20) -> DataFrame:
+    """Journal entries of a stream of turns (session_id, ts, role, content), each with its number in the session and whether the journal is flushed or looked at for compaction after it."""
+    from skeinwork.operators.journal import turn_entry
+
+    entry = turn_entry(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.col("role"), F.col("content"))
+
+    def run(group: tuple[Any, ...], parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        n = state.get[0] if state.exists else 0
+        rows = pd.concat(list(parts)).sort_values(["ts", "entry"], kind="stable")
+        rows["n"] = range(n + 1, n + 1 + len(rows))
+        rows["flush"], rows["compact"] = rows["n"] % flush == 0, rows["n"] % compact == 0
+        state.update((n + len(rows),))
+        yield rows
+
+    made = stream.select("session_id", "ts", entry.alias("entry"))
+    return made.groupBy("session_id").applyInPandasWithState(run, "session_id string, ts timestamp, entry string, n long, flush boolean, compact boolean", "n long", "append", GroupStateTimeout.NoTimeout)
+
+
+def appended(entries: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Append journal entries (session_id, ts, entry) to daily logs."""
+    return entries.withColumn("date", F.date_format("ts", "yyyy-MM-dd")).writeStream.outputMode("append").option("checkpointLocation", checkpoint).partitionBy("date").trigger(availableNow=True).format("parquet").start(path)
+
+
+def hook_entries(stream: DataFrame) -> DataFrame:
+    """Hook events as journal entries; see operators.journal.entries_of."""
+    from skeinwork.operators.journal import entries_of
+
+    return entries_of(stream)
+
+
+def progress_states(stream: DataFrame) -> DataFrame:
+    """The last known state of each indexing run (repo_id, ts, processed, total, status) with percent and the seconds left at the pace so far; for the update mode."""
+    g = stream.groupBy("repo_id").agg(F.max_by(F.struct("processed", "total", "status"), "ts").alias("x"), F.min("ts").alias("begin"), F.max("ts").alias("last"))
+    spent = F.col("last").cast("double") - F.col("begin").cast("double")
+    left = F.when((F.col("x.processed") > 0) & ~F.col("x.status").isin("complete", "cancelled"), (F.col("x.total") - F.col("x.processed")) * spent / F.col("x.processed")).otherwise(0.0)
+    return g.select("repo_id", "x.processed", "x.total", "x.status", F.when(F.col("x.total") > 0, F.round(100.0 * F.col("x.processed") / F.col("x.total"), 2)).otherwise(0.0).alias("percent"), F.round(left, 2).alias("eta"))
+
+
+CACHE = "cache string, ts timestamp, op string, key string, hit boolean, hits long, misses long, evictions long"
+
+
+def cached(stream: DataFrame, capacity: int = 256, seconds: float = 3600.0) -> DataFrame:
+    """What a cache answers to operations (cache, ts, op, key): get is a hit if the key was set less than `seconds` ago and isn't evicted since; set evicts the least recently
+    used of more than `capacity` keys; invalidate drops keys that begin so. The state is the keys held and three counters."""
+
+    def run(group: tuple[Any, ...], parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held, hits, misses, evictions = state.get if state.exists else ("{}", 0, 0, 0)
+        entries, out = json.loads(held), []  # least recently used first
+        rows = pd.concat(list(parts)).sort_values("ts", kind="stable")
+        for ts, op, key in zip(rows["ts"], rows["op"], rows["key"]):
+            now, hit = ts.timestamp(), None
+            if op == "get":
+                at = entries.pop(key, None)
+                hit = at is not None and now - at < seconds
+                if hit:
+                    entries[key] = at
+                hits, misses = hits + hit, misses + (not hit)
+            elif op == "set":
+                entries.pop(key, None)
+                entries[key] = now
+                if len(entries) > capacity:
+                    del entries[next(iter(entries))]
+                    evictions += 1
+            else:
+                entries = {k: v for k, v in entries.items() if not k.startswith(key)}
+            out.append((group[0], ts, op, key, hit, hits, misses, evictions))
+        state.update((json.dumps(entries), hits, misses, evictions))
+        yield pd.DataFrame(out, columns=[c.split(" ")[0] for c in CACHE.split(", ")])
+
+    return stream.groupBy("cache").applyInPandasWithState(run, CACHE, "held string, hits long, misses long, evictions long", "append", GroupStateTimeout.NoTimeout)
+
+
+def fanned_out(stream: DataFrame, subscribers: list[Callable[[list[str]], None]], checkpoint: str) -> StreamingQuery:
+    """Send each batch's rows as JSON events to all subscribers; one that fails is dropped. For progress events, of which a batch has few."""
+
+    def put(batch: DataFrame, _: int) -> None:
+        events = [as_event(r.asDict()) for r in batch.toLocalIterator()]
+        for s in list(subscribers):
+            try:
+                s(events)
+            except Exception:  # noqa: BLE001
+                subscribers.remove(s)
 
     return stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(put).start()
 

@@ -9,7 +9,6 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from skeinwork import tools
 from skeinwork.operators import analysis, context, docs, memory, relational, traversal
 
 CHAIN = [(1, 2), (2, 3), (3, 4), (4, 5), (5, 6)]
@@ -52,11 +51,18 @@ def test_reach_is_breadth_first(spark, pairs, depth):
 
 
 def test_impact_and_risk(spark):
-    e = edges(spark, [(i, 1) for i in range(2, 17)] + [(20, 21)])
-    n = nodes(spark, range(1, 22), lambda k: f"tests/t{k}.py" if k == 2 else f"src/f{k}.py")
-    got = {r["key"]: r for r in traversal.impact(n, e).collect()}
-    assert got[1]["c1"] == 15 and got[1]["risk_score"] == 1.0 and got[1]["risk_label"] == "High" and got[1]["tests"] == 1
-    assert got[21]["risk_score"] == 0.16 and got[21]["risk_label"] == "Low" and 20 not in got
+    e = edges(spark, [(i, 1) for i in range(2, 17)] + [(20, 21), (21, 22)])
+    n = nodes(spark, range(1, 23), lambda k: f"tests/t{k}.py" if k == 2 else f"src/f{k}.py")
+    got = {r["key"]: r for r in traversal.impact(n, e, n).collect()}
+    assert set(got) == set(range(1, 23))
+    one = got[1]  # fifteen callers, in all three depths
+    assert (one["direct_callers_count"], one["total_callers_count"], one["risk_score"], one["risk_label"], one["propagation_depth"]) == (15, 45, 1.0, "High", 0)
+    assert [x["node_id"] for x in one["test_files"]] == ["n2"] * 3 and len(one["direct_dependents"]) == 14 and len(one["all_callers"]) == 45
+    assert got[21]["risk_score"] == 0.16 and got[21]["risk_label"] == "Low" and got[21]["propagation_depth"] == 3
+    # a symbol without callers, and one without callees
+    assert (got[20]["direct_callers_count"], got[20]["risk_score"], got[20]["propagation_depth"], got[20]["all_callers"]) == (0, 0.0, 3, [])
+    assert got[22]["total_callers_count"] == 1 + 2 + 2 and got[22]["propagation_depth"] == 0
+    assert [(x["at"], x["node_id"]) for x in got[22]["all_callers"]] == [(1, "n21"), (2, "n20"), (2, "n21"), (3, "n20"), (3, "n21")]
 
 
 def test_neighbors_and_blast_radius(spark):
@@ -64,6 +70,7 @@ def test_neighbors_and_blast_radius(spark):
     assert {r["node"] for r in traversal.neighbors(e, 3).collect()} == {2, 4, 9}
     assert {r["node"] for r in traversal.neighbors(e, 3, "contains").collect()} == {9}
     got = traversal.blast_radius(e, spark.createDataFrame([(6,), (3,)], "key long"), 2)
+    assert {r["confidence"] for r in got.collect()} == {0.3}
     assert found(got, "node", "impact_score") == [(1, 1 / 3), (2, 0.5), (3, 1.0), (4, 1 / 3), (5, 0.5), (6, 1.0)]
 
 
@@ -85,6 +92,63 @@ def test_plan_levels(tasks, want):
     assert traversal.plan_levels(tasks) == want
 
 
+def test_level_rows_are_plan_levels(spark):
+    plans = {"diamond": [("a", [], 1), ("b", ["a"], 2), ("c", ["a"], 3), ("d", ["b", "c"], 4)], "ring": [("x", ["y"], 2), ("y", ["x"], 1), ("z", ["x", "gone", "z"], 0)], "one": [("s", ["s"], 1)]}
+    rows = [(p, t, n, deps) for p, tasks in plans.items() for t, deps, n in tasks]
+    got = found(traversal.level_rows(spark.createDataFrame(rows, "plan string, task_id string, priority int, depends_on array<string>")), "plan", "level", "task_id")
+    assert got == sorted((p, k, t) for p, tasks in plans.items() for k, group in enumerate(traversal.plan_levels(tasks), 1) for t in group)
+    assert traversal.level_rows(spark.createDataFrame([], "plan string, task_id string, priority int, depends_on array<string>")).count() == 0
+
+
+def test_module_rings(spark):
+    pairs = spark.createDataFrame([(a, b) for a, b in ("ab", "bc", "ca", "cd", "de", "ef", "fd", "gh")], "src_module string, dst_module string")
+    assert found(traversal.module_rings(pairs), "module", "ring") == [(x, "a") for x in "abc"] + [(x, "d") for x in "def"]
+
+
+LAYERS = "node_id long, summary string", "component_id long, data_flow string", "module_path string, architectural_role string"
+
+
+def layers(spark):
+    return tuple(spark.createDataFrame(rows, schema) for rows, schema in zip(([(1, "one"), (2, "two"), (99, "lost")], [(1, "flow"), (99, "lost")], [("src", "role"), ("src/sub", "inner")]), LAYERS))
+
+
+def test_trace_levels_are_cumulative(spark):
+    n, (desc, details, arch) = nodes(spark, [1, 2, 3]), layers(spark)
+    kinds = lambda level, source="src/f1": [r["type"] for r in docs.trace(n, desc, details, arch, source, "r", level).orderBy("type").collect()]
+    assert kinds("code") == kinds("no such level") == ["component_desc"] and kinds("component") == ["component", "component_desc"]
+    assert kinds("architecture") == ["architecture", "component", "component_desc"]
+    assert kinds("architecture", "fn_2") == ["architecture", "component_desc"] and kinds("architecture", "fn_") == []  # a name is whole, a path is part
+    assert docs.trace(n, desc, details, arch, "src/", "other").count() == 0
+    assert {r["confidence"] for r in docs.trace(n, desc, details, arch, "src/f1", "r").collect()} == {0.3}
+
+
+def test_context_surrounds_what_is_located(spark):
+    n, (desc, details, arch) = nodes(spark, [1, 2, 3, 4]), layers(spark)
+    e = edges(spark, [(3, 1), (1, 2), (2, 4)], "contains").union(edges(spark, [(1, 4)]))
+    got = {r["context_id"]: r for r in docs.context(n, e, desc, details, arch, "fn_1", "r").collect()}
+    assert set(got) == {"n2", "n3", "src"} and got["n2"]["summary"] == "two" and got["n3"]["summary"] is None and got["src"]["type"] == "module"
+    assert got["n2"]["confidence"] == 0.1
+    t = {r["key"]: r for r in docs.traceability(n, e, desc, details, arch).collect()}
+    assert [x["type"] for x in t[1]["requirement_links"]] == ["ComponentDescription", "ComponentDoc"] and t[1]["has_architecture_context"] and not t[3]["has_documentation"]
+
+
+def test_layers_are_kept_where_they_belong(spark):
+    n, (desc, details, arch) = nodes(spark, [1, 2]), layers(spark)
+    kept, known, links = docs.stored_layers(n, desc, details, arch)
+    assert found(kept, "node_id") == [(1,), (2,)] and found(known, "component_id") == [(1,)] and found(links, "key", "module_path") == [(1, "src"), (2, "src")]
+    old = spark.createDataFrame([(1, [1.0, 0.0])], "key long, vector array<double>")
+    new = spark.createDataFrame([(1, [0.0, 1.0]), (9, [1.0, 1.0])], "key long, vector array<double>")
+    assert [list(r["vector"]) for r in docs.stored_embeddings(n, old, new, 2).collect()] == [[0.0, 1.0]]
+    with pytest.raises(Exception, match="length 1, not 2"):
+        docs.stored_embeddings(n, old, spark.createDataFrame([(2, [1.0])], "key long, vector array<double>"), 2).collect()
+
+
+def test_dot_is_a_graph(spark):
+    n = nodes(spark, [1, 2])
+    lines = [r["line"] for r in relational.dot_lines(n, edges(spark, [(1, 2), (1, 7)])).orderBy("part", "line").collect()]
+    assert lines[0] == "  node [shape=box];" and lines[-1] == "}" and lines.count('  "n1" -> "n2" [label="calls"];') == 1
+    assert '  "n1" [label="fn_1", style=filled, fillcolor="lightgreen"];' in lines and len(lines) == 7
+
 def test_prefix_join_is_by_whole_segments(spark):
     n = nodes(spark, [1, 2], lambda k: "src/view/a.py" if k == 1 else "src/views/a.py")
     arch = spark.createDataFrame([("src/view", "role")], "module_path string, architectural_role string")
@@ -126,8 +190,10 @@ def test_evaluation(spark):
 def test_documenting_and_complexity(spark):
     df = spark.createDataFrame([("class", "x"), ("function", "a\n" * 10), ("function", "a\n" * 9), ("variable", "a\n" * 50)], "kind string, src string")
     assert [r[0] for r in df.select(relational.worth_documenting(F.col("kind"), F.col("src"))).collect()] == [True, True, False, False]
-    t = spark.createDataFrame([("Fix typo", 0), ("change", 2), ("x", 4), ("w " * 300, 0)], "text string, files int")
-    assert [r[0] for r in t.select(analysis.complexity(F.col("text"), F.col("files"))).collect()] == ["SIMPLE", "MODERATE", "COMPLEX", "COMPLEX"]
+    t = spark.createDataFrame([("Fix typo", 0), ("fix", 1), ("change", 2), ("x", 4), ("w " * 300, 0), ("w " * 100, 0), ("the module", 0), ("Import a package, refactor", 0)], "text string, files int")
+    assert [r[0] for r in t.select(analysis.complexity(F.col("text"), F.col("files"))).collect()] == ["SIMPLE", "SIMPLE", "MODERATE", "COMPLEX", "COMPLEX", "MODERATE", "MODERATE", "COMPLEX"]
+    up = analysis.routed(spark.createDataFrame([("SIMPLE", True), ("MODERATE", True), ("COMPLEX", True), ("SIMPLE", False)], "class string, failed boolean"), "failed")
+    assert sorted(r["tier"] for r in up.collect()) == ["fast", "reasoning", "reasoning", "standard"]
 
 
 def test_contexts_by_hand(spark):
@@ -170,17 +236,6 @@ def test_upkeep_keeps_other_rows(spark):
     assert [r[0] for r in urls.select(memory.valid_url(F.col("u"))).collect()] == [True, False, False, False, False]
 
 
-def test_tools(spark, sf):
-    g = tools.Graph.of(spark, sf)
-    assert tools.dispatch(g, "search", {"query": "ring"}).count() > 0
-    assert tools.dispatch(g, "callers", {"key": 42, "depth": 2}).columns == ["node_id", "name", "kind", "filepath", "call_depth", "min_depth"]
-    for arguments, error in (({}, ValueError), ({"query": 3}, TypeError)):
-        with pytest.raises(error):
-            tools.dispatch(g, "search", arguments)
-    with pytest.raises(KeyError):
-        tools.dispatch(g, "nothing", {})
-
-
 def test_entry(spark):
     assert entry.entry(spark).count() >= 0
 
@@ -197,4 +252,5 @@ def test_against_duckdb(spark, sf, name):
     columns = sorted(df.columns)
     assert columns == sorted(want.columns)
     pick = [want.columns.index(x) for x in columns]
-    assert sorted(map(repr, (tuple(r) for r in df.select(*columns).collect()))) == sorted(map(repr, (tuple(r[i] for i in pick) for r in want.fetchall())))
+    rows = sorted(map(repr, (tuple(r) for r in df.select(*columns).collect())))
+    assert rows == sorted(map(repr, (tuple(r[i] for i in pick) for r in want.fetchall())))
