@@ -172,6 +172,12 @@ class Index:
         self.keys = keys[order]
         self.query = np.repeat(np.arange(len(n)), n)[order]
         self.place = np.concatenate([np.empty(0, np.int32), *places])[order].astype(np.int64)
+        # each query's integers by position, one query after another, for verification
+        self.spans = np.array([int(q[-1]) + 1 if len(q) else 0 for q in places], dtype=np.int64)
+        self.starts = np.concatenate([[0], np.cumsum(self.spans)])
+        at = np.concatenate([np.empty(0, np.int64), *(q + b for q, b in zip(places, self.starts.tolist()))]).astype(np.int64)
+        self.flat, self.there = np.zeros(self.starts[-1], np.uint32), np.zeros(self.starts[-1], bool)
+        self.flat[at], self.there[at] = keys, True
 
     def matches(self, prints: np.ndarray, places: np.ndarray) -> list[tuple[int, int, int, int, float]]:
         """(query, offset of the recording's positions to the query's, votes, overlap, bit error) for each query that matches."""
@@ -197,10 +203,18 @@ class Index:
         order = np.lexsort((offset, np.abs(offset), -counts, query))
         best = order[np.unique(query[order], return_index=True)[1]]
         out = []
-        for q, d, c in zip(query[best].tolist(), offset[best].tolist(), counts[best].tolist()):
-            overlap, error = bit_error(self.prints[q], self.places[q], prints, places, d)
-            if overlap >= MIN_OVERLAP and error <= MAX_BIT_ERROR:
-                out.append((q, d, c, overlap, error))
+        step = max(1, VOTES // len(prints))
+        for i in range(0, len(best), step):
+            some = best[i : i + step]
+            q, d = query[some], offset[some]
+            place = places.astype(np.int64)[None, :] - d[:, None]
+            inside = (place >= 0) & (place < self.spans[q][:, None])
+            at = np.where(inside, place + self.starts[q][:, None], 0)
+            both = inside & self.there[at]
+            overlap = both.sum(axis=1)
+            error = (np.bitwise_count(self.flat[at] ^ prints[None, :]) * both).sum(axis=1) / (32 * np.maximum(overlap, 1))
+            good = (overlap >= MIN_OVERLAP) & (error <= MAX_BIT_ERROR)
+            out += zip(q[good].tolist(), d[good].tolist(), counts[some][good].tolist(), overlap[good].tolist(), error[good].tolist())
         return out
 
 
