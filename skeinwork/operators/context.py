@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from skeinwork.operators.relational import within_budget
+from skeinwork.operators.relational import hybrid, within_budget
 
 BLANK = " \t\n\r\x0b\x0c"
 
@@ -65,6 +65,43 @@ def summaries(contexts: DataFrame, group: str, budget: int, most: int = 2000) ->
     return out
 
 
+def merged(results: DataFrame) -> DataFrame:
+    """Contexts of several results (result, seq, node_id, ...): of a node's contexts the first, by result and place; contexts without a node all stay."""
+    named = results.where("coalesce(node_id, '') <> ''").groupBy("node_id").agg(F.min_by(F.struct(*(c for c in results.columns if c != "node_id")), F.struct("result", "seq")).alias("x")).select("node_id", "x.*")
+    return named.select(*results.columns).unionByName(results.where("coalesce(node_id, '') = ''"))
+
+
+def ranked(contexts: DataFrame) -> DataFrame:
+    """contexts (semantic_similarity, score, impact_score) with rank_score, 0.6 of the semantic part and 0.4 of the impact."""
+    return contexts.withColumn("rank_score", hybrid(F.col("semantic_similarity"), F.col("score"), F.col("impact_score")))
+
+
+RESERVED = 800
+
+
+def summarized(results: DataFrame, group: str, budget: int, most: int = 2000, reserved: int = RESERVED) -> DataFrame:
+    """Merge, rank, budget, summarise: one row for each request (`group`).
+
+    results: group, result, seq, node_id, text, tokens, confidence, filepath, source_text and the parts of the rank. Of the merged contexts the best stay before the first that
+    doesn't fit into budget less `reserved` tokens; summary is their text, cut to `most` characters, with its key facts, snippets, and the results' mean confidence.
+    """
+    per = results.groupBy(group).agg(F.coalesce(F.avg("confidence"), F.lit(0.0)).alias("confidence"))
+    parts = results.withColumn("node_id", F.when(F.coalesce("node_id", F.lit("")) != "", F.concat_ws("\x00", F.col(group).cast("string"), "node_id")))
+    r = ranked(merged(parts))
+    order = [F.desc("rank_score"), F.col("result"), F.col("seq")]
+    fit = within_budget(r, "tokens", order, max(0, budget - reserved), group).withColumn("_at", F.row_number().over(W.partitionBy(group).orderBy(*order)))
+    rows = F.array_sort(F.collect_list(F.struct("_at", "text", snippet(F.col("filepath"), F.col("source_text")).alias("snippet"))))
+    g = fit.groupBy(group).agg(rows.alias("x"), F.count("*").alias("n"))
+    summary = F.substring(F.array_join(F.transform("x", lambda v: v["text"]), "\n"), 1, most)
+    out = g.select(group, "n", summary.alias("summary"), F.array_compact(F.transform("x", lambda v: v["snippet"])).alias("snippets"))
+    return per.join(out, group, "left").withColumn("key_facts", key_facts(F.col("summary")))
+
+
+def snippet(filepath: Column, source: Column) -> Column:
+    """A source text with its file ('unknown' without one); null without a source."""
+    return F.when(F.coalesce(source, F.lit("")) != "", F.concat(F.coalesce(filepath, F.lit("unknown")), F.lit("\n"), source))
+
+
 def narrative(names: Column, relations: Column) -> Column:
     """Names of a path with the relations between them: a (calls) → b."""
     step = lambda x: F.concat(x["names"], F.when(x["relations"].isNotNull(), F.concat(F.lit(" ("), x["relations"], F.lit(")"))).otherwise(""))

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from skeinwork.operators.relational import list_merge
+
 
 def newest(rows: DataFrame, limit: int, condition: str = "true") -> DataFrame:
     """The newest rows that meet the condition; ties by id."""
@@ -118,6 +120,40 @@ def cold_rows(rows: DataFrame) -> DataFrame:
     return rows.select(*names, F.sha1(canonical).alias("content_hash"))
 
 
+def synced(mine: DataFrame, theirs: DataFrame, kind: str) -> DataFrame:
+    """My rows after a pull: attempts are only added, conventions are taken as they come, of decisions the later version's scalars and both's lists stay."""
+    if kind == "attempt":
+        return mine.unionByName(theirs.join(mine.select("id"), "id", "left_anti").select(*mine.columns))
+    if kind == "convention":
+        return mine.join(theirs.select("id"), "id", "left_anti").select(*mine.columns).unionByName(theirs.select(*mine.columns))
+    return list_merge(mine, theirs.select(*mine.columns), "id", [c for c, t in mine.dtypes if t.startswith("array")], "updated_at")
+
+
+def steering(decisions: DataFrame, attempts: DataFrame, preferences: DataFrame, memory_text: str, repo_id: str, author: str) -> DataFrame:
+    """One row: a document that tells an agent what is remembered of a repository, with the first 40 lines of its permanent memory."""
+    none = "_(none yet)_"
+    cut = lambda c, n: F.substring(F.coalesce(c, F.lit("")), 1, n)
+    d = globals()["decisions"](decisions, repo_id, 5).select("updated_at", "id", F.concat(F.lit("- ["), F.upper("outcome"), F.lit("] "), "title", F.lit(": "), cut("decision", 100)).alias("line"))
+    a = globals()["attempts"](attempts, repo_id, "failed", 3).select("updated_at", "id", F.concat(F.lit("- "), cut("problem", 80), F.lit(" → failed because: "), cut("failure_reason", 80)).alias("line"))
+    p = globals()["preferences"](preferences, author, repo_id).select("updated_at", "id", F.concat(F.lit("- "), "key", F.lit(": "), "value").alias("line"))
+    newest_first = F.transform(F.array_sort("x", lambda u, v: F.when(u["updated_at"] > v["updated_at"], -1).when(u["updated_at"] < v["updated_at"], 1).when(u["id"] < v["id"], -1).when(u["id"] > v["id"], 1).otherwise(0)), lambda u: u["line"])
+    blocks = [x.agg(F.collect_list(F.struct("updated_at", "id", "line")).alias("x")).select(F.when(F.size("x") > 0, F.array_join(newest_first, "\n")).otherwise(none).alias(name)) for name, x in (("d", d), ("a", a), ("p", p))]
+    one = blocks[0].join(F.broadcast(blocks[1])).join(F.broadcast(blocks[2]))  # a row each
+    excerpt = "\n".join(memory_text.split("\n")[:40])
+    parts = [F.lit(f"# Memory of {repo_id}\n"), F.lit("## Decisions\n"), F.concat("d", F.lit("\n")), F.lit("## Failed approaches\n"), F.concat("a", F.lit("\n")), F.lit("## Preferences\n"), F.concat("p", F.lit("\n")), F.lit(f"## Permanent memory\n\n{excerpt}\n")]
+    return one.select(F.concat_ws("\n", *parts).alias("text"))
+
+
+def cache_key(kind: Column, *parts: Column) -> Column:
+    """The key under which a cache holds a row: its kind and what names it."""
+    return F.concat_ws(":", kind, *parts)
+
+
+def query_key(namespace: Column, query: Column, repo_id: Column) -> Column:
+    """The key under which a cache holds a query's result."""
+    return F.concat_ws(":", F.lit("query"), namespace, F.substring(F.sha1(F.concat_ws(":", namespace, query, repo_id)), 1, 12))
+
+
 def as_fact(decision: Column, rationale: Column) -> Column:
     """A decision with its rationale as one text of 400 characters at most."""
     return F.substring(F.when(rationale != "", F.concat(decision, F.lit(" — "), rationale)).otherwise(decision), 1, 400)

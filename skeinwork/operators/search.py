@@ -70,3 +70,13 @@ def visible(nodes: DataFrame, edges: DataFrame, hidden: tuple[str, ...] = ("test
 def with_history(history: DataFrame, new: DataFrame, most: int = 50) -> DataFrame:
     """Searches (query, ts, results) with new ones: the newest `most`."""
     return history.unionByName(new).orderBy(F.desc("ts"), "query").limit(most)
+
+
+def history(rows: DataFrame, limit: int = 10) -> DataFrame:
+    """The last searches, the newest first."""
+    return rows.orderBy(F.desc("ts"), "query").limit(limit)
+
+
+def properties(rows: DataFrame) -> Column:
+    """All of a row's columns that aren't null, as JSON."""
+    return F.to_json(F.struct(*rows.columns))

@@ -45,14 +45,21 @@ def levels(edges: DataFrame, roots: DataFrame, depth: int, forward: bool = True)
     return out.groupBy("root", "node").agg(F.min("depth").alias("depth"))
 
 
-def root(edges: DataFrame, key: int) -> DataFrame:
-    return edges.sparkSession.createDataFrame([(key,)], "root long")
+def around(edges: DataFrame, key: int, depth: int, forward: bool = True) -> DataFrame:
+    """(node, depth) of every node within `depth` steps of one key, itself not. The first step is a filter, which reads one bucket of edges bucketed by that end."""
+    step = edges.select(F.col("src").alias("node"), F.col("dst").alias("next")) if forward else edges.select(F.col("dst").alias("node"), F.col("src").alias("next"))
+    at = step.where(F.col("node") == key).select(F.col("next").alias("node")).where(F.col("node") != key).distinct()
+    out = at.withColumn("depth", F.lit(1))
+    for level in range(2, max(1, min(MAX_DEPTH, depth)) + 1):
+        at = at.join(step, "node").select(F.col("next").alias("node")).where(F.col("node") != key).distinct()
+        out = out.unionByName(at.withColumn("depth", F.lit(level)))
+    return out.groupBy("node").agg(F.min("depth").alias("depth")) if depth > 1 else out
 
 
 def callers(nodes: DataFrame, edges: DataFrame, key: int, depth: int = 1, forward: bool = False) -> DataFrame:
     """Symbols that reach `key` within `depth` calls, by name: node_id, name, kind, filepath, lines, call_depth (as asked for), min_depth."""
     depth = max(1, min(MAX_DEPTH, depth))
-    found = levels(edges.where("relation = 'calls'"), root(edges, key), depth, forward)
+    found = around(edges.where("relation = 'calls'"), key, depth, forward)
     named = found.join(nodes, found["node"] == nodes["key"])
     return named.select(F.col("id").alias("node_id"), "name", "kind", "filepath", "start_line", "end_line", F.lit(depth).alias("call_depth"), F.col("depth").alias("min_depth")).orderBy("name", "node_id")
 
@@ -67,7 +74,7 @@ def neighbors(edges: DataFrame, key: int, relation: str | None = None, depth: in
     depth = max(1, min(MAX_DEPTH, depth))
     some = edges.where(F.col("relation") == relation) if relation else edges
     both = some.select("src", "dst").union(some.select("dst", "src"))
-    return levels(both, root(edges, key), depth).select("node", F.lit(1.0 / depth).alias("score"), F.col("depth").alias("min_depth"))
+    return around(both, key, depth).select("node", F.lit(1.0 / depth).alias("score"), F.col("depth").alias("min_depth"))
 
 
 def is_test(path: Column) -> Column:
@@ -79,8 +86,8 @@ def risk_label(risk: Column) -> Column:
     return F.when(risk >= 0.7, "High").when(risk >= 0.4, "Medium").otherwise("Low")
 
 
-def impact(nodes: DataFrame, edges: DataFrame, asked: DataFrame, depth: int = 3) -> DataFrame:
-    """For every asked symbol (key), called or not: its risk and who depends on it.
+def impact(nodes: DataFrame, edges: DataFrame, asked: DataFrame, depth: int = 3, incoming: DataFrame | None = None) -> DataFrame:
+    """For every asked symbol (key), called or not: its risk and who depends on it. incoming: the same edges, bucketed by dst, if there are such.
 
     direct_callers_count, total_callers_count (callers within one, two and three calls, the nearer ones counted again), direct_callees_count,
     propagation_depth (the largest depth to three within which there are callees: those within two include those within one, so it's
@@ -88,7 +95,7 @@ def impact(nodes: DataFrame, edges: DataFrame, asked: DataFrame, depth: int = 3)
     depth asked for, then name, and hold a caller once for every depth within which it is, as the counts do.
     """
     c, roots = edges.where("relation = 'calls'"), asked.select(F.col("key").alias("root")).distinct()
-    up = levels(c, roots, depth, forward=False)
+    up = levels(c if incoming is None else incoming.where("relation = 'calls'"), roots, depth, forward=False)
     named = up.join(nodes.select(F.col("key").alias("node"), F.col("id").alias("node_id"), "name", "kind", "filepath"), "node")
     # a caller at least depth 1 is in all lists, at least depth 3 in the last alone
     listed = named.withColumn("at", F.explode(F.sequence(F.col("depth"), F.lit(depth)))).withColumn("test", F.coalesce(is_test(F.col("filepath")), F.lit(False)))
@@ -126,7 +133,7 @@ def blast_radius(edges: DataFrame, changed: DataFrame, depth: int = 3, most: int
     # one root: what matters is the distance to the nearest changed symbol
     some = edges.where("relation in ('calls', 'imports')").select("src", "dst")
     start = changed.select(F.lit(-1).cast("long").alias("src"), F.col("key").alias("dst")).distinct()
-    found = levels(some.select("dst", "src").toDF("src", "dst").union(start), root(edges, -1), depth + 1)
+    found = around(some.select("dst", "src").toDF("src", "dst").union(start), -1, depth + 1)
     scored = found.select("node", F.expr("1.0D / greatest(depth, 1)").alias("impact_score"))
     return with_confidence(scored.orderBy(F.desc("impact_score"), "node").limit(most), 20)
 

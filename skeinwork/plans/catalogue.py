@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from skeinwork.operators import analysis, bridge, catalog, context, docs, memory, relational, traversal
 from skeinwork.plans.registry import ORACLES, QUERIES, query
 from skeinwork.sources import tables
+from skeinwork.sources.stored import graph
 from skeinwork.sources.tables import TURNS, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -28,17 +29,20 @@ _CALLS = _REACH + "SELECT n.id AS node_id, n.name, n.kind, n.filepath, n.start_l
 
 @query(_CALLS.format(root=ROOT, edges="g_calls", by="dst", to="src", depth=2), recursive=True)
 def callers_depth2(spark, d):
-    return traversal.callers(tables.nodes(spark, d), tables.calls(spark, d), ROOT, 2)
+    g = graph(spark, d)
+    return traversal.callers(g.nodes, g.incoming, ROOT, 2)
 
 
 @query(_CALLS.format(root=ROOT, edges="g_calls", by="dst", to="src", depth=5), recursive=True)
 def callers_depth5(spark, d):
-    return traversal.callers(tables.nodes(spark, d), tables.calls(spark, d), ROOT, 5)
+    g = graph(spark, d)
+    return traversal.callers(g.nodes, g.incoming, ROOT, 5)
 
 
 @query(_CALLS.format(root=ROOT, edges="g_calls", by="src", to="dst", depth=3), recursive=True)
 def callees_depth3(spark, d):
-    return traversal.callees(tables.nodes(spark, d), tables.calls(spark, d), ROOT, 3)
+    g = graph(spark, d)
+    return traversal.callees(g.nodes, g.outgoing, ROOT, 3)
 
 
 _BOTH = "(SELECT src, dst FROM {e} UNION ALL SELECT dst, src FROM {e})"
@@ -46,12 +50,12 @@ _BOTH = "(SELECT src, dst FROM {e} UNION ALL SELECT dst, src FROM {e})"
 
 @query(_REACH.format(root=ROOT, edges=_BOTH.format(e="g_edges"), by="src", to="dst", depth=2) + "SELECT node, 0.5::DOUBLE AS score, CAST(d AS INTEGER) AS min_depth FROM m", recursive=True)
 def neighbors_depth2(spark, d):
-    return traversal.neighbors(tables.edges(spark, d), ROOT, None, 2)
+    return traversal.neighbors(graph(spark, d).outgoing, ROOT, None, 2)
 
 
 @query(_REACH.format(root=ROOT, edges=_BOTH.format(e="g_contains"), by="src", to="dst", depth=1) + "SELECT node, 1.0::DOUBLE AS score, CAST(d AS INTEGER) AS min_depth FROM m", recursive=True)
 def neighbors_contains(spark, d):
-    return traversal.neighbors(tables.edges(spark, d), ROOT, "contains", 1)
+    return traversal.neighbors(graph(spark, d).outgoing, ROOT, "contains", 1)
 
 
 _IMPACT = """+ asked AS (SELECT key AS root FROM g_nodes WHERE {asked}),
@@ -70,7 +74,8 @@ SELECT *, CASE WHEN risk_score >= 0.7 THEN 'High' WHEN risk_score >= 0.4 THEN 'M
 
 
 def _impact(spark, d, asked):
-    found = traversal.impact(tables.nodes(spark, d), tables.calls(spark, d), tables.nodes(spark, d).where(asked))
+    g = graph(spark, d)
+    found = traversal.impact(g.nodes, g.outgoing, g.nodes.where(asked), incoming=g.incoming)
     ids = lambda c: F.array_join(F.transform(c, lambda x: x["node_id"]), ",").alias(c)
     depths = F.array_join(F.transform("all_callers", lambda x: F.concat_ws("@", x["node_id"], x["at"])), ",").alias("all_callers")
     return found.select(*(c for c in found.columns if c not in ("direct_dependents", "test_files", "all_callers")), ids("direct_dependents"), ids("test_files"), depths)
@@ -94,12 +99,13 @@ def symbol_impact(spark, d):
 @query("""+ r(node, d) AS (SELECT key, 0 FROM g_nodes WHERE contains(filepath, 'brand7/') UNION SELECT e.src, r.d + 1 FROM r JOIN g_edges e ON e.dst = r.node AND e.relation IN ('calls', 'imports') WHERE r.d < 3),
 t AS (SELECT node, 1.0 / (min(d) + 1) AS impact_score FROM r GROUP BY node ORDER BY 2 DESC, 1 LIMIT 50) SELECT *, least(1.0::DOUBLE, count(*) OVER () / 20.0::DOUBLE) AS confidence FROM t""", recursive=True)
 def blast_radius_top50(spark, d):
-    return traversal.blast_radius(tables.edges(spark, d), tables.nodes(spark, d).where(F.col("filepath").contains("brand7/")))
+    g = graph(spark, d)
+    return traversal.blast_radius(g.incoming, g.nodes.where(F.col("filepath").contains("brand7/")))
 
 
 @query("SELECT key, CAST(sum(i) AS BIGINT) AS fan_in, CAST(sum(o) AS BIGINT) AS fan_out FROM (SELECT dst AS key, 1 AS i, 0 AS o FROM g_calls UNION ALL SELECT src, 0, 1 FROM g_calls) GROUP BY key")
 def fan_in_out(spark, d):
-    return traversal.fan(tables.calls(spark, d))
+    return traversal.fan(graph(spark, d).outgoing)
 
 
 _PATHS = f"""+ e AS (SELECT * FROM g_calls UNION ALL SELECT * FROM g_imports), cand AS (SELECT key FROM g_nodes WHERE {_CLASSES}), begins AS (SELECT key FROM cand ORDER BY key LIMIT 10),
@@ -112,8 +118,8 @@ g AS (SELECT *, row_number() OVER (PARTITION BY start ORDER BY n, path_text, rel
 
 
 def _paths(spark, d):
-    candidates = tables.nodes(spark, d).where(_CLASSES.replace("starts_with", "startswith"))
-    return traversal.connecting_paths(tables.calls(spark, d).union(tables.imports(spark, d)), candidates)
+    g = graph(spark, d)
+    return traversal.connecting_paths(g.outgoing.where("relation in ('calls', 'imports')"), g.nodes.where(_CLASSES.replace("starts_with", "startswith")))
 
 
 @query(_PATHS + "SELECT start, path_text, relation_text FROM g WHERE rn <= 10")
@@ -125,7 +131,7 @@ def paths_2_3_hops(spark, d):
 SELECT start, path_text, relation_text, round(least(1.0::DOUBLE, 0.1::DOUBLE * n + 0.5::DOUBLE * count_if(contains('how does part_5 work', lower(m.name)) OR contains(lower(m.name), 'how does part_5 work'))), 6) AS score
 FROM k JOIN g_nodes m USING (key) GROUP BY start, path_text, relation_text, n ORDER BY score DESC, start, path_text, relation_text LIMIT 5""")
 def chain_scores(spark, d):
-    return traversal.chain_scores(_paths(spark, d), tables.nodes(spark, d), "how does part_5 work")
+    return traversal.chain_scores(_paths(spark, d), graph(spark, d).nodes, "how does part_5 work")
 
 
 _MODULE = "regexp_replace({}, '/[^/]*$', '')"
@@ -133,7 +139,7 @@ _MODULE = "regexp_replace({}, '/[^/]*$', '')"
 
 @query(f"SELECT {_MODULE.format('filepath')} AS module, count(*) AS n_nodes FROM g_nodes GROUP BY 1")
 def modules_group(spark, d):
-    return tables.nodes(spark, d).groupBy(traversal.module_of(F.col("filepath")).alias("module")).agg(F.count("*").alias("n_nodes"))
+    return graph(spark, d).nodes.groupBy(traversal.module_of(F.col("filepath")).alias("module")).agg(F.count("*").alias("n_nodes"))
 
 
 _MODULES = f"""+ m AS (SELECT key, {_MODULE.format("filepath")} AS module FROM g_nodes),
@@ -141,20 +147,25 @@ q AS (SELECT a.module AS src_module, b.module AS dst_module, count(*) AS n FROM
 """
 
 
+def _module_edges(spark, d):
+    g = graph(spark, d)
+    return traversal.module_edges(g.nodes, g.outgoing)
+
+
 @query(_MODULES + "SELECT * FROM q")
 def module_dependencies(spark, d):
-    return traversal.module_edges(tables.nodes(spark, d), tables.calls(spark, d))
+    return _module_edges(spark, d)
 
 
 @query(_MODULES + "SELECT x.src_module AS a, x.dst_module AS b, x.n AS n_ab, y.n AS n_ba FROM q x JOIN q y ON x.src_module = y.dst_module AND x.dst_module = y.src_module WHERE x.src_module < x.dst_module")
 def module_cycles(spark, d):
-    return traversal.module_cycles(traversal.module_edges(tables.nodes(spark, d), tables.calls(spark, d)))
+    return traversal.module_cycles(_module_edges(spark, d))
 
 
 @query(_MODULES + """, r(a, b) AS (SELECT src_module, dst_module FROM q UNION SELECT r.a, q.dst_module FROM r JOIN q ON q.src_module = r.b)
 SELECT x.a AS module, least(x.a, min(x.b)) AS ring FROM r x JOIN r y ON x.a = y.b AND x.b = y.a WHERE x.a <> x.b GROUP BY x.a""", recursive=True)
 def module_rings(spark, d):
-    return traversal.module_rings(traversal.module_edges(tables.nodes(spark, d), tables.calls(spark, d)))
+    return traversal.module_rings(_module_edges(spark, d))
 
 
 @query("SELECT conv_id AS plan, CAST(CASE WHEN conv_id % 5 = 0 THEN r + 1 ELSE r % 3 + 1 END AS INTEGER) AS level, 't' || r AS task_id FROM (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS r FROM conversations)", views=False)
@@ -177,7 +188,7 @@ _ARCH = "g_nodes n JOIN g_arch a ON starts_with(n.filepath, a.module_path || '/'
 
 @query(f"SELECT n.key, a.module_path, a.architectural_role FROM {_ARCH}")
 def arch_prefix_join(spark, d):
-    return docs.prefix_links(tables.nodes(spark, d), tables.architecture(spark, d))
+    return docs.prefix_links(graph(spark, d).nodes, tables.architecture(spark, d))
 
 
 _TESTS = "(contains(n.name, 'test') OR contains(n.name, 'spec') OR contains(n.filepath, 'test') OR contains(n.filepath, 'spec'))"
@@ -190,7 +201,7 @@ t AS (SELECT key, string_agg(test, ',' ORDER BY test) AS tests FROM c GROUP BY 1
 SELECT n.key, md5(coalesce(links, '')) AS links_md5, coalesce(tests, '') AS tests, coalesce(modules, '') AS modules, links IS NOT NULL AS has_documentation, tests IS NOT NULL AS has_test_coverage, modules IS NOT NULL AS has_architecture_context
 FROM g_nodes n LEFT JOIN l USING (key) LEFT JOIN t USING (key) LEFT JOIN a USING (key)""".replace("type DESC, text", "CASE type WHEN 'ComponentDescription' THEN 1 ELSE 2 END, text"))
 def symbol_traceability(spark, d):
-    t = docs.traceability(tables.nodes(spark, d), tables.edges(spark, d), tables.descriptions(spark, d), tables.component_docs(spark, d), tables.architecture(spark, d))
+    t = docs.traceability(graph(spark, d).nodes, graph(spark, d).outgoing, tables.descriptions(spark, d), tables.component_docs(spark, d), tables.architecture(spark, d))
     links = F.array_join(F.transform("requirement_links", lambda x: F.concat_ws(":", x["type"], x["text"])), "\n")
     return t.select("key", F.md5(links).alias("links_md5"), F.array_join("test_coverage", ",").alias("tests"), F.array_join(F.transform("architecture_context", lambda x: x["module_path"]), ",").alias("modules"), "has_documentation", "has_test_coverage", "has_architecture_context")
 
@@ -203,7 +214,7 @@ SELECT *, least(1.0::DOUBLE, count(*) OVER () / 10.0::DOUBLE) AS confidence FROM
 
 
 def _trace(spark, d, level):
-    return docs.trace(tables.nodes(spark, d), tables.descriptions(spark, d), tables.component_docs(spark, d), tables.architecture(spark, d), "brand", "r2", level)
+    return docs.trace(graph(spark, d).nodes, tables.descriptions(spark, d), tables.component_docs(spark, d), tables.architecture(spark, d), "brand", "r2", level)
 
 
 @query(_TRACE)
@@ -222,7 +233,7 @@ p AS (SELECT n.id AS context_id, 'symbol' AS type, summary, data_flow FROM near
 UNION ALL SELECT DISTINCT a.module_path, 'module', a.architectural_role, NULL FROM {_ARCH.replace("g_nodes", "few")})
 SELECT *, least(1.0::DOUBLE, count(*) OVER () / 30.0::DOUBLE) AS confidence FROM p""")
 def architecture_context(spark, d):
-    return docs.context(tables.nodes(spark, d), tables.edges(spark, d), tables.descriptions(spark, d), tables.component_docs(spark, d), tables.architecture(spark, d), "brand7/", "r1")
+    return docs.context(graph(spark, d).nodes, graph(spark, d).outgoing, tables.descriptions(spark, d), tables.component_docs(spark, d), tables.architecture(spark, d), "brand7/", "r1")
 
 
 _LAYERS = """+ v1 AS (SELECT 'symbol' AS layer, id, name AS label FROM g_nodes ORDER BY id, label LIMIT {n}), v2 AS (SELECT 'description' AS layer, CAST(node_id AS VARCHAR) AS id, summary AS label FROM g_desc ORDER BY 2, 3 LIMIT {n}),
@@ -232,10 +243,10 @@ v5 AS (SELECT 'fact' AS layer, CAST(key AS VARCHAR) AS id, docstring AS label FR
 
 
 def _layers(spark, d):
-    n = tables.nodes(spark, d)
+    n = graph(spark, d).nodes
     facts = n.where("docstring is not null").select(F.col("key").cast("string").alias("id"), F.col("docstring").alias("label"))
     held = tables.decisions(spark, d).select("id", F.col("title").alias("label"))
-    return docs.layered(n, tables.descriptions(spark, d), tables.component_docs(spark, d), tables.architecture(spark, d), facts, held, tables.edges(spark, d), 200)
+    return docs.layered(n, tables.descriptions(spark, d), tables.component_docs(spark, d), tables.architecture(spark, d), facts, held, graph(spark, d).outgoing, 200)
 
 
 @query(_LAYERS + " v AS (FROM v1 UNION ALL FROM v2 UNION ALL FROM v3 UNION ALL FROM v4 UNION ALL FROM v5 UNION ALL FROM v6) SELECT * FROM v", views="both")
@@ -256,7 +267,7 @@ def layered_edges(spark, d):
 @query("+ k AS (SELECT * FROM g_desc WHERE node_id IN (SELECT key FROM g_nodes)) SELECT component_id, md5(data_flow) AS flow FROM g_doc WHERE component_id IN (SELECT node_id FROM k)")
 def stored_details(spark, d):
     """Details are kept where their description is."""
-    _, details, _ = docs.stored_layers(tables.nodes(spark, d), tables.descriptions(spark, d), tables.component_docs(spark, d), tables.architecture(spark, d))
+    _, details, _ = docs.stored_layers(graph(spark, d).nodes, tables.descriptions(spark, d), tables.component_docs(spark, d), tables.architecture(spark, d))
     return details.select("component_id", F.md5("data_flow").alias("flow"))
 
 
@@ -265,14 +276,14 @@ def stored_embeddings(spark, d):
     e = table(spark, d, "embeddings")
     old = e.where("vec_id % 3 <> 0").select(F.col("vec_id").alias("key"), F.col("embedding").alias("vector"), F.lit("old").alias("which"))
     new = e.where("vec_id % 3 = 0").select(F.col("vec_id").alias("key"), F.col("embedding").alias("vector"), F.lit("new").alias("which"))
-    return docs.stored_embeddings(tables.nodes(spark, d), old, new, 64).where("size(vector) = 64").select("key", "which")
+    return docs.stored_embeddings(graph(spark, d).nodes, old, new, 64).where("size(vector) = 64").select("key", "which")
 
 
 @query("""+ i AS (SELECT s_suppkey AS id, 'pkg.mod.part_' || (s_suppkey * 3) AS target FROM supplier)
 SELECT DISTINCT i.id AS src, n.key AS dst FROM i JOIN g_nodes n ON n.name = string_split(target, '.')[-1] WHERE n.kind NOT IN ('import', 'module', 'decorator') AND i.id <> n.key""")
 def import_resolution(spark, d):
     i = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.concat(F.lit("pkg.mod.part_"), F.col("s_suppkey") * 3).alias("target"))
-    return docs.import_links(i, tables.nodes(spark, d).select(F.col("key").alias("id"), "name", "kind"))
+    return docs.import_links(i, graph(spark, d).nodes.select(F.col("key").alias("id"), "name", "kind"))
 
 
 # -- joins over the plain tables
@@ -280,8 +291,8 @@ def import_resolution(spark, d):
 
 @query("""SELECT DISTINCT src, dst, relation FROM (SELECT * FROM g_calls UNION ALL SELECT src, -dst, 'calls' FROM g_calls) WHERE src IN (SELECT key FROM g_nodes) AND dst IN (SELECT key FROM g_nodes)""")
 def edge_integrity(spark, d):
-    c = tables.calls(spark, d)
-    return relational.attached(c.union(c.select("src", -F.col("dst"), "relation")), tables.nodes(spark, d))
+    c = graph(spark, d).outgoing.where("relation = 'calls'")
+    return relational.attached(c.union(c.select("src", -F.col("dst"), "relation")), graph(spark, d).nodes)
 
 
 @query("SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)", views=False)
@@ -298,8 +309,8 @@ def orders_with_lines(spark, d):
 
 @query("SELECT n.key, count(c.dst) AS n FROM g_nodes n LEFT JOIN g_calls c ON c.src = n.key GROUP BY n.key")
 def optional_edges(spark, d):
-    c = tables.calls(spark, d).groupBy(F.col("src").alias("key")).agg(F.count("*").alias("n"))
-    return tables.nodes(spark, d).select("key").join(c, "key", "left").select("key", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    c = graph(spark, d).outgoing.where("relation = 'calls'").groupBy(F.col("src").alias("key")).agg(F.count("*").alias("n"))
+    return graph(spark, d).nodes.select("key").join(c, "key", "left").select("key", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
 @query("""WITH cur AS (SELECT url, sha256(html) AS h FROM (SELECT url, min(html) AS html FROM pages GROUP BY url)), old AS (SELECT url, CASE WHEN length(url) % 10 = 0 THEN 'x' ELSE h END AS h FROM cur WHERE length(url) % 17 <> 0 UNION ALL SELECT 'gone-' || url, h FROM cur WHERE length(url) % 19 = 0)
@@ -315,28 +326,28 @@ def hash_diff(spark, d):
 
 @query("SELECT repo_id, kind, count(*) AS n FROM g_nodes GROUP BY ALL")
 def repo_stats_kind(spark, d):
-    return relational.by_kind(tables.nodes(spark, d))
+    return relational.by_kind(graph(spark, d).nodes)
 
 
 @query("SELECT a.repo_id, e.relation, count(*) AS n FROM g_edges e JOIN g_nodes a ON a.key = e.src JOIN g_nodes b ON b.key = e.dst WHERE a.repo_id = b.repo_id GROUP BY ALL")
 def repo_stats_edges(spark, d):
-    return relational.by_relation(tables.nodes(spark, d), tables.edges(spark, d))
+    return relational.by_relation(graph(spark, d).nodes, graph(spark, d).outgoing)
 
 
 @query("SELECT CASE WHEN regexp_extract(filepath, '(\\.[^./]*)$', 1) = '' THEN '(no extension)' ELSE regexp_extract(filepath, '(\\.[^./]*)$', 1) END AS extension, count(*) AS n FROM g_nodes GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20")
 def repo_stats_ext(spark, d):
-    return relational.by_extension(tables.nodes(spark, d))
+    return relational.by_extension(graph(spark, d).nodes)
 
 
 @query("SELECT repo_id, CAST(sum(end_line - start_line + 1) AS BIGINT) AS total_lines FROM g_nodes GROUP BY 1")
 def repo_lines(spark, d):
-    return relational.lines(tables.nodes(spark, d))
+    return relational.lines(graph(spark, d).nodes)
 
 
 @query("SELECT n.repo_id, count(DISTINCT n.key) AS node_count, count(DISTINCT CASE WHEN e.dst IS NOT NULL THEN n.key || '>' || e.dst || e.relation END) AS edge_count, max(CASE WHEN n.key % 7 = 0 THEN TIMESTAMP '2024-01-01' + to_minutes(n.key) END) AS last_indexed FROM g_nodes n LEFT JOIN g_edges e ON e.src = n.key GROUP BY 1")
 def repo_list(spark, d):
-    n = tables.nodes(spark, d).withColumn("last_indexed", F.expr("CASE WHEN key % 7 = 0 THEN timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, CAST(key AS INT)) END"))
-    return relational.repositories(n, tables.edges(spark, d))
+    n = graph(spark, d).nodes.withColumn("last_indexed", F.expr("CASE WHEN key % 7 = 0 THEN timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, CAST(key AS INT)) END"))
+    return relational.repositories(n, graph(spark, d).outgoing)
 
 
 _REPOS = "(SELECT 'r' || n_nationkey AS repo_id, CASE n_nationkey WHEN 0 THEN '2024-05-01 10:00:00' WHEN 1 THEN 'not a date' WHEN 2 THEN '2024-05-02 10:00:00' END AS last_indexed FROM nation)"
@@ -349,12 +360,12 @@ def _repos(spark, d):
 @query(f"""SELECT r.repo_id, (SELECT count(*) FROM g_nodes n WHERE n.repo_id = r.repo_id) AS node_count, (SELECT count(*) FROM g_edges e JOIN g_nodes a ON a.key = e.src JOIN g_nodes b ON b.key = e.dst WHERE a.repo_id = r.repo_id AND b.repo_id = r.repo_id) AS edge_count,
 TRY_CAST(last_indexed AS TIMESTAMP) AS last_indexed FROM {_REPOS} r""")
 def repo_overview(spark, d):
-    return catalog.overview(tables.nodes(spark, d), tables.edges(spark, d), _repos(spark, d))
+    return catalog.overview(graph(spark, d).nodes, graph(spark, d).outgoing, _repos(spark, d))
 
 
 @query("SELECT kind, CAST(count_if(repo_id = 'r0') AS BIGINT) AS r0, CAST(count_if(repo_id = 'r1') AS BIGINT) AS r1 FROM g_nodes WHERE repo_id IN ('r0', 'r1') GROUP BY kind")
 def repo_compare(spark, d):
-    return many(relational.compare(tables.nodes(spark, d), ["r0", "r1"]), "r0", "r1")
+    return many(relational.compare(graph(spark, d).nodes, ["r0", "r1"]), "r0", "r1")
 
 
 _RUNS = "SELECT event_type <> 'error' AND CAST(json_extract(props, '$.k') AS INTEGER) % 2 = 0 AS resolved, event_type = 'view' AS skipped, event_type = 'error' AS failed, value AS cost, value / 10 AS seconds FROM events"
@@ -384,38 +395,38 @@ def baseline_delta(spark, d):
 
 @query("SELECT id, kind, name, filepath, start_line, end_line FROM g_nodes WHERE repo_id = 'r1' AND kind = 'class' AND contains(filepath, 'brand1') AND contains(name, '_1') ORDER BY id LIMIT 100")
 def node_filter(spark, d):
-    return relational.find_nodes(tables.nodes(spark, d), "r1", "class", "brand1", "_1")
+    return relational.find_nodes(graph(spark, d).nodes, "r1", "class", "brand1", "_1")
 
 
 @query("SELECT e.src, e.dst, e.relation, a.repo_id FROM g_edges e JOIN g_nodes a ON a.key = e.src JOIN g_nodes b ON b.key = e.dst WHERE a.repo_id = b.repo_id")
 def edge_filter(spark, d):
-    return relational.repo_edges(tables.nodes(spark, d), tables.edges(spark, d))
+    return relational.repo_edges(graph(spark, d).nodes, graph(spark, d).outgoing)
 
 
 @query(f"SELECT e.src, e.dst, e.relation, a.repo_id FROM g_edges e JOIN g_nodes a ON a.key = e.src JOIN g_nodes b ON b.key = e.dst WHERE a.repo_id = 'r2' AND b.repo_id = 'r2' AND e.src = {ROOT} ORDER BY ALL LIMIT 100")
 def symbol_edges(spark, d):
-    return relational.find_edges(tables.nodes(spark, d), tables.edges(spark, d), "r2", ROOT)
+    return relational.find_edges(graph(spark, d).nodes, graph(spark, d).outgoing, "r2", ROOT)
 
 
 @query("SELECT id, name, coalesce(docstring, source_text[1:200]) AS snippet, 0.5::DOUBLE AS score FROM g_nodes WHERE contains(lower(name), 'ring') OR contains(lower(coalesce(docstring, '')), 'ring') OR contains(lower(filepath), 'ring') ORDER BY id LIMIT 20")
 def keyword_search(spark, d):
-    return relational.keyword_search(tables.nodes(spark, d), "RING")
+    return relational.keyword_search(graph(spark, d).nodes, "RING")
 
 
 @query("SELECT id, name FROM g_nodes WHERE contains(lower(coalesce(docstring, '')), 'blue') OR contains(lower(name), 'blue') OR contains(lower(coalesce(docstring, '')), 'bolt') OR contains(lower(name), 'bolt') ORDER BY id LIMIT 20")
 def word_or_search(spark, d):
-    return relational.word_search(tables.nodes(spark, d), "a blue bolt is")
+    return relational.word_search(graph(spark, d).nodes, "a blue bolt is")
 
 
 @query("""SELECT kind, count(*) AS n_total, count_if(CASE WHEN kind = 'class' THEN true WHEN kind IN ('function', 'method') THEN len(string_split(regexp_replace(source_text, '\\n$', ''), chr(10))) >= 10 ELSE false END)::BIGINT AS n_documented FROM g_nodes GROUP BY kind""")
 def smart_docs_filter(spark, d):
-    n = tables.nodes(spark, d)
+    n = graph(spark, d).nodes
     return n.groupBy("kind").agg(F.count("*").alias("n_total"), F.sum(F.when(relational.worth_documenting(F.col("kind"), F.col("source_text")), 1).otherwise(0)).alias("n_documented"))
 
 
 @query("SELECT key, concat_ws(chr(10), kind || ': ' || name, signature, docstring, array_to_string(string_split(source_text, ' ')[1:512], ' ')) AS text FROM g_nodes")
 def embedding_text(spark, d):
-    return tables.nodes(spark, d).select("key", context.embedding_text(F.col("kind"), F.col("name"), F.col("signature"), F.col("docstring"), context.first_tokens(F.col("source_text"), 512)).alias("text"))
+    return graph(spark, d).nodes.select("key", context.embedding_text(F.col("kind"), F.col("name"), F.col("signature"), F.col("docstring"), context.first_tokens(F.col("source_text"), 512)).alias("text"))
 
 
 _EPISODES = """+ j AS (SELECT *, coalesce(nullif(docstring, ''), summary, '') AS doc FROM g_nodes LEFT JOIN g_desc ON node_id = key),
@@ -426,19 +437,19 @@ t AS (SELECT repo_id, filepath, 'FILE: ' || filepath || chr(10) || coalesce(chr(
 
 @query(_EPISODES + """SELECT repo_id, filepath, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || (['8', '9', 'a', 'b'])[CAST(('0x' || h[17:17])::INT AS INT) % 4 + 1] || h[18:20] || '-' || h[21:32] AS episode_id, 'Code file: ' || filepath AS summary, transcript FROM t WHERE length(transcript) >= 50""")
 def episode_transcripts(spark, d):
-    return bridge.episodes(tables.nodes(spark, d), tables.descriptions(spark, d))
+    return bridge.episodes(graph(spark, d).nodes, tables.descriptions(spark, d))
 
 
 @query("""+ j AS (SELECT *, concat_ws(' — ', nullif(signature, ''), coalesce(nullif(summary, ''), nullif(docstring[1:200], ''))) AS v FROM g_nodes LEFT JOIN g_desc ON node_id = key WHERE kind IN ('class', 'function', 'method', 'module'))
 SELECT key, (kind || '.' || name)[1:80] AS attribute, (CASE WHEN v = '' THEN kind || ' in ' || filepath ELSE v END)[1:400] AS value, 'index:' || repo_id || ':' || filepath AS session_id FROM j""")
 def symbol_facts(spark, d):
-    return bridge.symbol_facts(tables.nodes(spark, d), tables.descriptions(spark, d))
+    return bridge.symbol_facts(graph(spark, d).nodes, tables.descriptions(spark, d))
 
 
 @query("""+ j AS (SELECT relation, a.name AS a, b.name AS b, row_number() OVER (PARTITION BY relation, a.name ORDER BY b.name, dst, src) AS rn FROM g_edges JOIN g_nodes a ON a.key = src JOIN g_nodes b ON b.key = dst WHERE relation IN ('calls', 'imports', 'inherits'))
 SELECT relation || '_dependency' AS attribute, (a || ' → ' || b)[1:200] AS value FROM j WHERE rn <= 3""")
 def dependency_facts(spark, d):
-    return bridge.dependency_facts(tables.nodes(spark, d), tables.edges(spark, d))
+    return bridge.dependency_facts(graph(spark, d).nodes, graph(spark, d).outgoing)
 
 
 # -- vectors, ranks, budgets
@@ -496,7 +507,7 @@ def dedup_first_wins(spark, d):
 
 @query("SELECT src, dst FROM (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst) AS rn FROM g_calls) WHERE rn <= 3")
 def capped_dependencies(spark, d):
-    return relational.first_n(tables.calls(spark, d), ["relation", "src"], ["dst"], 3).select("src", "dst")
+    return relational.first_n(graph(spark, d).outgoing.where("relation = 'calls'"), ["relation", "src"], ["dst"], 3).select("src", "dst")
 
 
 # -- text
@@ -614,7 +625,7 @@ _BLANK = "' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)"
 @query("""SELECT key, concat_ws(chr(10), '[' || kind || ']', 'Name: ' || name, 'File: ' || filepath, CASE WHEN kind = 'import' AND source_text <> '' THEN 'Code:' || chr(10) || source_text END, CASE WHEN summary <> '' THEN 'Summary: ' || summary END) AS text
 FROM g_nodes LEFT JOIN g_desc ON key = node_id""")
 def context_text(spark, d):
-    n = tables.nodes(spark, d)
+    n = graph(spark, d).nodes
     j = n.join(tables.descriptions(spark, d).select(F.col("node_id").alias("key"), "summary"), "key", "left")
     source = F.when(F.col("kind") == "import", F.col("source_text"))
     return j.select("key", context.rendered(F.col("kind"), F.col("id"), F.col("name"), F.col("filepath"), source, F.col("summary")).alias("text"))
@@ -640,15 +651,15 @@ def context_summaries(spark, d):
 
 @query("SELECT src, dst, a.name || ' (' || relation || ') → ' || b.name AS story FROM g_calls JOIN g_nodes a ON a.key = src JOIN g_nodes b ON b.key = dst")
 def path_narratives(spark, d):
-    n = tables.nodes(spark, d).select("key", "name")
-    j = tables.calls(spark, d).join(n.toDF("src", "a"), "src").join(n.toDF("dst", "b"), "dst")
+    n = graph(spark, d).nodes.select("key", "name")
+    j = graph(spark, d).outgoing.where("relation = 'calls'").join(n.toDF("src", "a"), "src").join(n.toDF("dst", "b"), "dst")
     return j.select("src", "dst", context.narrative(F.array("a", "b"), F.array("relation")).alias("story"))
 
 
 @query("""SELECT module, CAST(abs(list_reduce(list_transform(string_split(module, ''), lambda c: CAST(ord(c) AS BIGINT)), lambda h, c: c + ((h * 32 + 2147483648) % 4294967296 + 4294967296) % 4294967296 - 2147483648 - h, CAST(0 AS BIGINT))) % 360 AS BIGINT) AS hue
 FROM (SELECT DISTINCT regexp_replace(filepath, '/[^/]*$', '') AS module FROM g_nodes)""")
 def module_hues(spark, d):
-    m = tables.nodes(spark, d).select(traversal.module_of(F.col("filepath")).alias("module")).distinct()
+    m = graph(spark, d).nodes.select(traversal.module_of(F.col("filepath")).alias("module")).distinct()
     return m.withColumn("hue", context.hue(F.col("module")))
 
 
@@ -673,19 +684,19 @@ def descriptions_with_details(spark, d):
 
 @query(_COVERED)
 def test_coverage(spark, d):
-    return docs.tests_of(tables.nodes(spark, d), tables.edges(spark, d))
+    return docs.tests_of(graph(spark, d).nodes, graph(spark, d).outgoing)
 
 
 @query("SELECT key FROM g_nodes ANTI JOIN g_desc ON key = node_id")
 def resume_pending(spark, d):
     done = tables.descriptions(spark, d).select(F.col("node_id").alias("key"))
-    return memory.remaining(tables.nodes(spark, d).select("key"), done, "key")
+    return memory.remaining(graph(spark, d).nodes.select("key"), done, "key")
 
 
 @query("SELECT src, dst, relation FROM g_edges e WHERE NOT EXISTS (FROM g_nodes n WHERE n.repo_id = 'r1' AND n.key IN (e.src, e.dst))")
 def delete_cascade(spark, d):
-    gone = tables.nodes(spark, d).where("repo_id = 'r1'").select("key")
-    return memory.without(tables.edges(spark, d), gone, "src", "dst").select("src", "dst", "relation")
+    gone = graph(spark, d).nodes.where("repo_id = 'r1'").select("key")
+    return memory.without(graph(spark, d).outgoing, gone, "src", "dst").select("src", "dst", "relation")
 
 
 @query("""SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN CASE WHEN doc_id % 2 = 0 THEN lang ELSE text[1:120] END WHEN 1 THEN source WHEN 2 THEN text[1:80] || ' → ' || lang WHEN 3 THEN lang || ' = ' || source ELSE source END AS line FROM documents""", views=False)
@@ -706,22 +717,22 @@ def repository_urls(spark, d):
 
 @query("SELECT id, kind, name, filepath, start_line, end_line, coalesce(docstring, '')[1:100] AS docstring FROM g_nodes")
 def export_csv_rows(spark, d):
-    return relational.csv_rows(tables.nodes(spark, d))
+    return relational.csv_rows(graph(spark, d).nodes)
 
 
 @query("""+ n AS (SELECT * FROM g_nodes WHERE repo_id = 'r1'), l AS (SELECT 0 AS part, unnest(['digraph XCE {', '  rankdir=LR;', '  node [shape=box];']) AS line
 UNION ALL SELECT 1, '  "' || id || '" [label="' || replace(name, '"', '\\"') || '", style=filled, fillcolor="' || CASE kind WHEN 'class' THEN 'lightblue' WHEN 'function' THEN 'lightgreen' WHEN 'method' THEN 'lightgreen' WHEN 'module' THEN 'lightyellow' WHEN 'import' THEN 'lightgray' ELSE 'white' END || '"];' FROM n
 UNION ALL SELECT 2, '  "' || a.id || '" -> "' || b.id || '" [label="' || relation || '"];' FROM g_edges JOIN n a ON a.key = src JOIN n b ON b.key = dst UNION ALL SELECT 3, '}') SELECT * FROM l""".replace("digraph XCE", "digraph G"))
 def export_dot_lines(spark, d):
-    n = tables.nodes(spark, d).where("repo_id = 'r1'")
-    return relational.dot_lines(n, tables.edges(spark, d))
+    n = graph(spark, d).nodes.where("repo_id = 'r1'")
+    return relational.dot_lines(n, graph(spark, d).outgoing)
 
 
 @query("""+ e AS (SELECT a.key, b.id AS target, e.relation FROM g_edges e JOIN g_nodes a ON a.key = e.src JOIN g_nodes b ON b.key = e.dst WHERE a.repo_id = b.repo_id),
 l AS (SELECT key, list({'target': target, 'relation': relation} ORDER BY target, relation) AS edges FROM e GROUP BY key)
 SELECT key, id, CAST(to_json({'id': id, 'kind': kind, 'name': name, 'filepath': filepath, 'edges': coalesce(edges, [])}) AS VARCHAR) AS json FROM g_nodes LEFT JOIN l USING (key)""")
 def export_json_rows(spark, d):
-    return catalog.json_graph(tables.nodes(spark, d), tables.edges(spark, d))
+    return catalog.json_graph(graph(spark, d).nodes, graph(spark, d).outgoing)
 
 
 # -- events

@@ -8,6 +8,7 @@ from skeinwork.operators import analysis, journal, memory, search
 from skeinwork.plans.catalogue import _EPISODES, _FOUND, ROOT
 from skeinwork.plans.registry import query
 from skeinwork.sources import tables
+from skeinwork.sources.stored import graph
 from skeinwork.sources.tables import table
 
 # -- listings
@@ -119,7 +120,7 @@ _FACTS = f"SELECT name AS attr, coalesce(docstring, signature, kind) AS val, kin
 
 @query(_FACTS.format(kinds="AND kind IN ('class', 'function')", k=10))
 def code_symbol_search(spark, d):
-    return search.code_facts(tables.nodes(spark, d), "a blue bolt is", "r1", 10, ("class", "function"))
+    return search.code_facts(graph(spark, d).nodes, "a blue bolt is", "r1", 10, ("class", "function"))
 
 
 @query(_EPISODES + f""", f AS (SELECT row_number() OVER (ORDER BY id) AS seq, id, name AS attr, coalesce(docstring, signature, kind) AS val, filepath AS loc FROM (SELECT * FROM g_nodes WHERE repo_id = 'r1' AND {_WORDS} ORDER BY id LIMIT 15)),
@@ -132,7 +133,7 @@ def unified_query(spark, d):
 
     from skeinwork.operators import bridge
 
-    n = tables.nodes(spark, d)
+    n = graph(spark, d).nodes
     some = search.code_facts(n, "a blue bolt is", "r1", 15)
     order = W.orderBy("ftype", "attr")  # over 15 rows
     ids = n.where("repo_id = 'r1'").select(F.col("name").alias("attr"), "id")
@@ -255,7 +256,7 @@ def _vectors(spark, d):
 
 @query(f"SELECT id AS node_id, name, kind, filepath, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST({_Q} AS DOUBLE[])), 5) AS score FROM embeddings JOIN g_nodes ON key = vec_id WHERE repo_id = 'r1' AND kind IN ('class', 'function', 'method') ORDER BY score DESC, id LIMIT 10")
 def semantic_symbols(spark, d):
-    return search.semantic(tables.nodes(spark, d), _vectors(spark, d), _Q, 10, "r1", ("class", "function", "method"))
+    return search.semantic(graph(spark, d).nodes, _vectors(spark, d), _Q, 10, "r1", ("class", "function", "method"))
 
 
 _LIKE = "SELECT id AS node_id, name, kind, filepath, 1.0::DOUBLE AS score FROM g_nodes WHERE (contains(name, 'part_1') OR contains(filepath, 'part_1')) AND repo_id = 'r1' ORDER BY id LIMIT 10"
@@ -263,22 +264,22 @@ _LIKE = "SELECT id AS node_id, name, kind, filepath, 1.0::DOUBLE AS score FROM g
 
 @query(f"SELECT *, least(1.0::DOUBLE, count(*) OVER () / 10.0::DOUBLE) AS confidence FROM ({_LIKE})")
 def search_symbols(spark, d):
-    return search.search(tables.nodes(spark, d), None, "part_1", "r1", "semantic")
+    return search.search(graph(spark, d).nodes, None, "part_1", "r1", "semantic")
 
 
 @query("SELECT id, name, kind, coalesce(docstring, source_text[1:200]) AS snippet, 0.5::DOUBLE AS score FROM g_nodes WHERE (contains(name, 'bolt') OR contains(coalesce(docstring, ''), 'bolt') OR contains(source_text, 'bolt')) AND repo_id = 'r2' ORDER BY id LIMIT 20")
 def source_search(spark, d):
-    return search.source_search(tables.nodes(spark, d), "bolt", "r2")
+    return search.source_search(graph(spark, d).nodes, "bolt", "r2")
 
 
 @query("SELECT key, id FROM g_nodes WHERE contains(lower(coalesce(docstring, name)), 'blue')")
 def free_text_nodes(spark, d):
-    return search.free_text(tables.nodes(spark, d), "BLUE", "docstring", "name").select("key", "id")
+    return search.free_text(graph(spark, d).nodes, "BLUE", "docstring", "name").select("key", "id")
 
 
 @query("SELECT src, dst, relation FROM g_edges WHERE src IN (SELECT key FROM g_nodes WHERE repo_id <> 'r3') AND dst IN (SELECT key FROM g_nodes WHERE repo_id <> 'r3')")
 def visible_edges(spark, d):
-    return search.visible(tables.nodes(spark, d), tables.edges(spark, d), ("r3",))[1].select("src", "dst", "relation")
+    return search.visible(graph(spark, d).nodes, graph(spark, d).outgoing, ("r3",))[1].select("src", "dst", "relation")
 
 
 @query("SELECT event_type || ' ' || user_id AS query, ts, event_id AS results FROM events ORDER BY ts DESC, 1, 3 LIMIT 50", views=False)
@@ -286,3 +287,95 @@ def search_history(spark, d):
     e = table(spark, d, "events").select(F.concat_ws(" ", "event_type", "user_id").alias("query"), "ts", F.col("event_id").alias("results"))
     half = F.col("results") % 2 == 0
     return search.with_history(e.where(half), e.where(~half))
+
+
+# -- contexts
+
+_RESULTS = """WITH r AS (SELECT source, doc_id % 3 AS result, doc_id AS seq, CASE WHEN doc_id % 10 = 0 THEN '' ELSE lang || (doc_id % 40) END AS node_id, text, len(string_split(text, ' ')) AS tokens, (doc_id % 4) / 4.0 AS confidence,
+CASE WHEN doc_id % 3 = 0 THEN (doc_id % 97) / 97.0 END AS semantic_similarity, CASE WHEN doc_id % 2 = 0 THEN (doc_id % 89) / 89.0 END AS score, CASE WHEN doc_id % 5 = 0 THEN (doc_id % 13) / 13.0 END AS impact_score FROM documents),
+m AS (SELECT * FROM r WHERE node_id = '' UNION ALL (SELECT * FROM r WHERE node_id <> '' QUALIFY row_number() OVER (PARTITION BY source, node_id ORDER BY result, seq) = 1)),
+k AS (SELECT *, 0.6::DOUBLE * coalesce(semantic_similarity, score, 0.5::DOUBLE) + 0.4::DOUBLE * coalesce(impact_score, 0.5::DOUBLE) AS rank_score FROM m),
+b AS (SELECT *, sum(tokens) OVER (PARTITION BY source ORDER BY rank_score DESC, result, seq ROWS UNBOUNDED PRECEDING) AS running FROM k),
+s AS (SELECT source, count(*) AS n, string_agg(text, chr(10) ORDER BY rank_score DESC, result, seq)[1:2000] AS summary FROM b WHERE running <= 1200 GROUP BY source)
+SELECT source, confidence, n, summary FROM (SELECT source, avg(confidence) AS confidence FROM r GROUP BY source) LEFT JOIN s USING (source)"""
+
+
+@query(_RESULTS, views=False)
+def summarized_requests(spark, d):
+    """A request for each source, its documents as contexts of three results."""
+    from skeinwork.operators import context
+
+    r = table(spark, d, "documents").selectExpr(
+        "source", "doc_id % 3 AS result", "doc_id AS seq", "CASE WHEN doc_id % 10 = 0 THEN '' ELSE concat(lang, doc_id % 40) END AS node_id", "text", "size(split(text, ' ')) AS tokens", "(doc_id % 4) / 4.0D AS confidence",
+        "CASE WHEN doc_id % 3 = 0 THEN (doc_id % 97) / 97.0D END AS semantic_similarity", "CASE WHEN doc_id % 2 = 0 THEN (doc_id % 89) / 89.0D END AS score", "CASE WHEN doc_id % 5 = 0 THEN (doc_id % 13) / 13.0D END AS impact_score", "CAST(NULL AS STRING) AS filepath", "CAST(NULL AS STRING) AS source_text",
+    )
+    return context.summarized(r, "source", 2000).select("source", "confidence", "n", "summary")
+
+
+_TASKS = [("a", ["zz", "art_2"], "impact"), ("b", ["zz"], "impact"), ("c", ["zz"], "search"), ("d", ["part_1", ""], "trace")]
+
+
+@query("""+ t AS (FROM (VALUES ('a', 'zz', 'impact'), ('a', 'art_2', 'impact'), ('b', 'zz', 'impact'), ('c', 'zz', 'search'), ('d', 'part_1', 'trace')) t(task_id, q, agent)),
+k AS (SELECT DISTINCT task_id FROM t WHERE agent = 'search' OR EXISTS (SELECT 1 FROM g_nodes WHERE contains(name, q)))
+SELECT task_id FROM k UNION ALL SELECT 'subtask-test-' || s FROM (VALUES ('zz'), ('part_9'), ('part_1')) v(s) WHERE s NOT IN (SELECT q FROM t JOIN k USING (task_id))""")
+def plan_checked(spark, d):
+    """A plan's tasks that symbols support, and searches for tested symbols that none asks for."""
+    from skeinwork.operators import context
+
+    kept = context.with_signals(context.supported(graph(spark, d).nodes, _TASKS), ["zz", "part_9", "part_1"])
+    return spark.createDataFrame([(t,) for t, _, _ in kept], "task_id string")
+
+
+_STEER = _BLOCK.split("x AS (")[0].rstrip().rstrip(",")
+
+
+@query(_STEER + """ SELECT '# Memory of r1' || chr(10) || chr(10) || '## Decisions' || chr(10) || chr(10) || (SELECT coalesce(string_agg('- [' || upper(outcome) || '] ' || title || ': ' || decision[1:100], chr(10) ORDER BY updated_at DESC, id), '_(none yet)_') FROM d5) || chr(10) || chr(10) || '## Failed approaches' || chr(10) || chr(10)
+|| (SELECT coalesce(string_agg('- ' || problem[1:80] || ' → failed because: ' || failure_reason[1:80], chr(10) ORDER BY updated_at DESC, id), '_(none yet)_') FROM a3) || chr(10) || chr(10) || '## Preferences' || chr(10) || chr(10)
+|| (SELECT coalesce(string_agg('- ' || key || ': ' || value, chr(10) ORDER BY updated_at DESC, id), '_(none yet)_') FROM p) || chr(10) || chr(10) || '## Permanent memory' || chr(10) || chr(10) || 'kept' || chr(10) AS text""", views="memory")
+def memory_steering(spark, d):
+    return memory.steering(tables.decisions(spark, d), tables.attempts(spark, d), tables.preferences(spark, d), "kept", "r1", "u1")
+
+
+@query("SELECT id, 'decision:' || id AS cache_key, 'query:decisions:' || sha1('decisions:' || title || ':' || repo_id)[1:12] AS query_key FROM m_decisions", views="memory")
+def cache_keys(spark, d):
+    t = tables.decisions(spark, d)
+    return t.select("id", memory.cache_key(F.lit("decision"), F.col("id")).alias("cache_key"), memory.query_key(F.lit("decisions"), F.col("title"), F.col("repo_id")).alias("query_key"))
+
+
+@query("""SELECT id, repo_id, status FROM m_conventions WHERE CAST(id[2:] AS INTEGER) % 4 <> 0 UNION ALL SELECT id, repo_id, 'theirs' FROM m_conventions WHERE CAST(id[2:] AS INTEGER) % 4 = 0 UNION ALL SELECT 'x' || id, repo_id, 'theirs' FROM m_conventions WHERE CAST(id[2:] AS INTEGER) % 4 = 0""", views="memory")
+def synced_conventions(spark, d):
+    c = tables.conventions(spark, d).select("id", "repo_id", "status")
+    t = c.where("CAST(substring(id, 2) AS INT) % 4 = 0").withColumn("status", F.lit("theirs"))
+    return memory.synced(c, t.union(t.select(F.concat(F.lit("x"), "id"), "repo_id", "status")), "convention")
+
+
+@query("SELECT 'a' || event_id AS id, CASE event_type WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'success' ELSE 'partial' END AS result FROM events UNION ALL SELECT 'xa' || event_id, 'theirs' FROM events WHERE event_id % 9 = 0", views=False)
+def synced_attempts(spark, d):
+    a = tables.attempts(spark, d).select("id", "result")
+    t = table(spark, d, "events").where("event_id % 9 = 0").select(F.concat(F.lit("a"), "event_id").alias("id"), F.lit("theirs").alias("result"))
+    return memory.synced(a, t.union(t.select(F.concat(F.lit("x"), "id"), "result")), "attempt")
+
+
+@query("""SELECT key, CAST(to_json({'key': key, 'id': id, 'kind': kind, 'name': name}) AS VARCHAR) AS data FROM g_nodes""")
+def node_properties(spark, d):
+    n = graph(spark, d).nodes.select("key", "id", "kind", "name")
+    return n.select("key", search.properties(n).alias("data"))
+
+
+@query("SELECT key, CASE WHEN source_text <> '' THEN md5(filepath || chr(10) || source_text) END AS snippet_md5 FROM g_nodes")
+def code_snippets(spark, d):
+    from skeinwork.operators import context
+
+    return graph(spark, d).nodes.select("key", F.md5(context.snippet(F.col("filepath"), F.col("source_text"))).alias("snippet_md5"))
+
+
+@query()
+def source_tokens(spark, d):
+    """Tokens of each symbol's source by a byte-pair vocabulary, and the source cut to 512 of them."""
+    import public_tokenizers
+
+    from skeinwork import providers
+
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    n = graph(spark, d).nodes
+    return n.select("key", providers.token_count(F.col("source_text"), path, pattern).alias("n_tokens"), F.length(providers.truncated(F.col("source_text"), 512, path, pattern)).alias("cut_length"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from skeinwork.operators import catalog, memory
 from skeinwork.plans.registry import query
-from skeinwork.sources import tables
+from skeinwork.sources.stored import graph
 from skeinwork.sources.tables import table
 
 _HASHES = "SELECT 'r' || (page_id % 4) AS repo_id, 'p' || page_id || '.html' AS file_path, sha256(html) AS file_hash, TIMESTAMP '2024-01-01' + to_minutes(page_id) AS indexed_at FROM pages"
@@ -89,7 +89,7 @@ def question_report(spark, d):
 @query("SELECT key, 'u' || (key % 7) || ':' || id AS scoped_id, CASE WHEN key % 2 = 0 THEN id END AS shown FROM g_nodes")
 def tenant_scope(spark, d):
     """Ids behind their users, and as their users (every second asks for another's) see them."""
-    n = tables.nodes(spark, d).withColumn("user", F.concat(F.lit("u"), F.col("key") % 7))
+    n = graph(spark, d).nodes.withColumn("user", F.concat(F.lit("u"), F.col("key") % 7))
     asking = F.when(F.col("key") % 2 == 0, F.col("user")).otherwise("u")
     return memory.scoped(n, "user", "id").select("key", "scoped_id", memory.unscoped(F.col("scoped_id"), asking).alias("shown"))
 

@@ -27,3 +27,16 @@ def cut(df: DataFrame) -> DataFrame:
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="skeinwork-"))
     return df.checkpoint()
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local master may leave it unset and has a temporary one."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        import tempfile
+
+        base = getattr(spark, "_skeinwork_graph", None) or tempfile.mkdtemp(prefix="skeinwork-")
+        spark._skeinwork_graph = base
+    return base.rstrip("/")

@@ -33,6 +33,23 @@ def source_files(spark: SparkSession, root: str, languages: tuple[str, ...] = ()
     return found.select("filepath", "language", F.expr("make_valid_utf8(CAST(content AS STRING))").alias("source"), F.sha2("content", 256).alias("sha256"), "length")
 
 
+def git_changes(spark: SparkSession, root: str) -> DataFrame:
+    """Paths below a git work tree that differ from its last commit or aren't tracked. Git runs on the driver; a folder that git doesn't know gives none."""
+    import subprocess
+
+    def run(*arguments: str) -> list[tuple[str]]:
+        try:
+            done = subprocess.run(["git", "-C", root, *arguments], capture_output=True, text=True, timeout=60, check=False)
+        except OSError:
+            return []
+        return [(x,) for x in done.stdout.splitlines()] if done.returncode == 0 else []
+
+    a, b = (spark.createDataFrame(run(*x), "path string") for x in (("diff", "--name-only", "HEAD"), ("ls-files", "--others", "--exclude-standard")))
+    from skeinwork.operators.catalog import changed_files
+
+    return changed_files(a, b)
+
+
 def json_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Rows of a folder of JSON files, one object each; files that can't be read as such are skipped."""
     return spark.read.schema(schema).json(path, mode="DROPMALFORMED", multiLine=True)
@@ -49,3 +66,21 @@ def diff_lines(diffs: DataFrame, key: str, text: str) -> DataFrame:
     files = line.where(F.col("line").startswith("+++ b/")).select(key, F.lit("file").alias("kind"), F.expr("substring(line, 7)").alias("value"))
     added = line.where(F.col("line").startswith("+") & ~F.col("line").startswith("+++")).select(key, F.lit("added").alias("kind"), F.expr("substring(line, 2)").alias("value"))
     return files.unionByName(added)
+
+
+# -- sinks
+
+
+def write_csv(rows: DataFrame, path: str) -> None:
+    """CSV files with a header."""
+    rows.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+
+
+def write_cold(rows: DataFrame, kind: str, path: str) -> None:
+    """JSON lines of a type's rows without columns that begin with an underscore, in a folder of the type's name."""
+    rows.select(*(c for c in rows.columns if not c.startswith("_"))).write.mode("overwrite").option("ignoreNullFields", False).json(f"{path}/{kind}")
+
+
+def write_lines(lines: DataFrame, path: str) -> None:
+    """Text files of a table with the columns part and line, whose parts follow each other."""
+    lines.repartitionByRange("part", "line").sortWithinPartitions("part", "line").select("line").write.mode("overwrite").text(path)

@@ -155,6 +155,28 @@ def planned(problem: str, tasks: list[dict], nodes: DataFrame, symbols: list[str
     return sorted(out, key=lambda t: t["priority"])[:most] if len(out) > most else out
 
 
+PROMPT = "List three to five things to find in the code for this problem, as a JSON array of objects with description, search_query, agent (architecture, trace, impact or search) and depends_on (places in the array).\n\nProblem: {problem}"
+
+
+def decomposed(problem: str, chat: Callable[[str], str] | None, nodes: DataFrame, symbols: list[str] = ()) -> list[dict]:
+    """A plan for a problem from a model's answer, checked and completed by planned(); without a model or an answer it's a search for the problem."""
+    from skeinwork.providers import json_items, retried
+
+    try:
+        items = json_items(retried(lambda: chat(PROMPT.format(problem=problem[:1000])))) if chat else []
+    except Exception:  # noqa: BLE001
+        items = []
+    ids = [f"subtask-{k}" for k in range(len(items))]
+    tasks = [
+        {
+            "task_id": ids[k], "description": str(x.get("description", "")), "search_queries": [q] if (q := str(x.get("search_query") or "")) else [], "target_agent": x.get("agent") if x.get("agent") in AGENTS else "search",
+            "priority": k + 1, "depends_on": [ids[d] for d in x.get("depends_on") or [] if isinstance(d, int) and 0 <= d < len(ids) and d != k],
+        }
+        for k, x in enumerate(items)
+    ]
+    return planned(problem, tasks, nodes, list(symbols))
+
+
 def executed(graph: Graph, tasks: list[dict], repo_id: str, agents: Agents | None = None) -> tuple[dict[str, DataFrame], dict[str, str]]:
     """Results of a plan's tasks, group after group, and what went wrong with others: an unknown agent, or an error, which doesn't stop the rest."""
     agents, by_id = agents or AGENTS, {t["task_id"]: t for t in tasks}
