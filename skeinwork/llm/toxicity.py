@@ -40,7 +40,8 @@ LEXICON = frozenset(
 YOU = frozenset("you your yours yourself youre u ur du dich dir dein deine ihr euch tu te toi ton vous votre tú ti usted ustedes vosotros".split())
 NEAR = 5
 LETTERS = re.compile(r"[^\W\d_]+")
-SIGNED = re.compile(r"[^\W\d_]+[0-9@$!*+][\w@$!*+]*|[0-9@$!]+[^\W\d_][\w@$!*+]*")
+#: Words with digits or signs inside. A run is tried at its beginning alone and never given back, so that long runs cost their length.
+SIGNED = re.compile(r"(?<![^\W\d_])[^\W\d_]++[0-9@$!*+][\w@$!*+]*+|(?<![0-9@$!])[0-9@$!]++[^\W\d_][\w@$!*+]*+")
 LEET = str.maketrans("01345@$!+7", "oieasasitt")
 STRETCHED = re.compile(r"([^\W\d_])\1\1+")
 SPACED = re.compile(r"(?:\b[^\W\d_][ .\-*]){3,}[^\W\d_]\b")
