@@ -164,10 +164,21 @@ def hybrid(semantic: Column, score: Column, impact: Column) -> Column:
     return 0.6 * F.coalesce(semantic, score, F.lit(0.5)) + 0.4 * F.coalesce(impact, F.lit(0.5))
 
 
+#: Parts into which a group's rows are dealt before its budget is applied.
+PARTS = 32
+
+
 def within_budget(ranked: DataFrame, tokens: str, order: list, budget: int, group: str | None = None) -> DataFrame:
-    """Rows before the first that doesn't fit: running is the sum of tokens so far. `group` gives each of its values a budget of its own, so that no window spans the table."""
-    w = (W.partitionBy(group) if group else W.partitionBy()).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    return ranked.withColumn("running", F.sum(tokens).over(w)).where(F.col("running") <= budget)
+    """Rows before the first that doesn't fit: running is the sum of tokens (not negative) so far. `group` gives each of its values a budget of its own.
+
+    Rows are dealt over parts first, and a row whose part alone has spent the budget before it goes: it can't fit, nor can any row behind it. What is left of a
+    group is bounded by the budget, however many rows it has, and the exact sums are over that. The first row that doesn't fit is among it.
+    """
+    names = [group] if group else []
+    part = ranked.withColumn("_part", F.pmod(F.monotonically_increasing_id(), F.lit(PARTS)))
+    sums = lambda *by: F.sum(tokens).over(W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
+    some = part.withColumn("running", sums(*names, "_part")).where(F.coalesce(F.col("running") - F.coalesce(tokens, F.lit(0)), F.lit(0)) <= budget).drop("_part", "running")
+    return some.withColumn("running", sums(*names)).where(F.col("running") <= budget)
 
 
 def first_per_key(df: DataFrame, key: str, order: str) -> DataFrame:

@@ -181,6 +181,18 @@ def test_budget_stops_at_the_first_that_does_not_fit(spark):
     assert found(relational.within_budget(df, "tokens", ["rank"], 10, "g"), "rank") == [(1,)]
 
 
+@pytest.mark.parametrize("budget", [0, 1, 40, 10**6])
+def test_budget_of_a_hot_group(spark, budget):
+    rows = [(i, (i * 7) % 5, "hot" if i % 10 else f"g{i % 3}") for i in range(2000)]
+    want, spent = [], {}
+    for i, n, g in rows:
+        spent[g] = spent.get(g, 0) + n
+        if spent[g] <= budget:
+            want.append((i, spent[g]))
+    df = spark.createDataFrame(rows, "rank int, tokens int, g string").repartition(7)
+    assert found(relational.within_budget(df, "tokens", ["rank"], budget, "g"), "rank", "running") == sorted(want)
+
+
 def test_evaluation(spark):
     rows = [(True, False, False, 1.0, 2.0), (False, False, True, 1.0, 2.0), (True, False, False, 1.0, 2.0), (False, False, False, 1.0, 2.0), (True, True, False, 1.0, 2.0)]
     r = relational.evaluation(spark.createDataFrame(rows, "resolved boolean, skipped boolean, failed boolean, cost double, seconds double")).first()
