@@ -2,6 +2,8 @@
 
 import datetime as dt
 
+from pyspark.sql import functions as F
+
 from skeinwork.functions import parsers
 from skeinwork.operators import analysis
 from skeinwork.sources import files
@@ -107,3 +109,174 @@ def test_incremental_stream_takes_what_changed(spark, tmp_path):
     put([("a", "2"), ("b", "1"), ("c", "1")], 1)
     run()
     assert sorted((r["url"], r["h"], r["batch"]) for r in spark.read.parquet(str(tmp_path / "store")).collect()) == [("a", "1", 0), ("a", "2", 1), ("b", "1", 0), ("c", "1", 1)]
+
+
+TS = '''// about dogs
+// and cats
+@Component
+export class Dog extends Animal {
+  private x = 1;
+  /* barks
+     loudly */
+  bark(n: number): void {
+    const s = "class Fake { run() }";
+    // helper(n)
+    speak(n); this.log(s);
+  }
+}
+const limit = 5;
+import { a } from './lib';
+'''
+
+KOTLIN = '''import a.b.C
+@Test
+class M : Base() {
+    val size = 3
+    fun one() = helper(1)
+    fun two(n: Int): Int {
+        return count(n)
+    }
+}
+'''
+
+RUBY = '''require 'json'
+# a store
+class Store < Base
+  def put(x)
+    if x
+      save(x)
+    end
+  end
+  def get
+    "def fake; end"
+  end
+end
+'''
+
+C = '''#include "m.h"
+/* class Old { */
+class M : public Base {
+public:
+  int size(int n) {
+    return count("}", n);
+  }
+};
+int main(int argc)
+{
+  return run(argc);
+}
+'''
+
+
+def node_of(rows):
+    return {(r["kind"], r["name"]): r for r in rows if r["rec_type"] == "node"}
+
+
+def calls_of(rows):
+    return {(r["source_id"].rsplit(":", 1)[1], r["target_id"].rsplit(":", 1)[1]) for r in rows if r.get("relation") == "calls"}
+
+
+def test_extents_comments_and_texts():
+    rows = parsers.PARSERS["typescript"]("m.ts", TS, "r")
+    n = node_of(rows)
+    assert set(n) == {("module", "m"), ("class", "Dog"), ("method", "bark"), ("variable", "s"), ("variable", "limit"), ("decorator", "Component"), ("import", "./lib")}
+    assert (n["class", "Dog"]["start_line"], n["class", "Dog"]["end_line"], n["method", "bark"]["end_line"]) == (4, 13, 12)
+    assert n["class", "Dog"]["docstring"] == "// about dogs\n// and cats" and n["method", "bark"]["docstring"].startswith("/* barks") and n["class", "Dog"]["source_text"].startswith("export class") and n["class", "Dog"]["source_text"].endswith("}")
+    assert calls_of(rows) == {("bark", "speak"), ("bark", "log")}
+    edges = {(r["source_id"], r["target_id"], r["relation"]) for r in rows if r["rec_type"] == "edge"}
+    lib = "r:m.ts:import:./lib"
+    assert {(lib, lib, "imports"), ("r:m.ts:module:m", lib, "contains"), ("r:m.ts:decorator:Component", "r:m.ts:class:Dog", "decorates"), ("r:m.ts:class:Dog", "r:m.ts:class:Animal", "inherits")} <= edges
+
+    rows = parsers.PARSERS["kotlin"]("m.kt", KOTLIN, "r")
+    n = node_of(rows)
+    assert {("class", "M"), ("method", "one"), ("method", "two"), ("variable", "size"), ("decorator", "Test"), ("import", "a.b.C")} <= set(n)
+    assert (n["method", "one"]["end_line"], n["method", "two"]["end_line"], n["class", "M"]["end_line"]) == (5, 8, 9) and ("two", "count") in calls_of(rows)
+
+    rows = parsers.PARSERS["ruby"]("m.rb", RUBY, "r")
+    n = node_of(rows)
+    assert set(n) == {("module", "m"), ("class", "Store"), ("method", "put"), ("method", "get"), ("import", "json")}
+    assert (n["class", "Store"]["end_line"], n["method", "put"]["end_line"], n["class", "Store"]["docstring"]) == (12, 8, "# a store") and calls_of(rows) == {("put", "save")}
+
+    rows = parsers.PARSERS["cpp"]("m.cpp", C, "r")
+    n = node_of(rows)
+    assert set(n) == {("module", "m"), ("class", "M"), ("method", "size"), ("function", "main"), ("import", "m.h")}
+    assert (n["method", "size"]["end_line"], n["class", "M"]["end_line"], n["function", "main"]["end_line"]) == (7, 8, 12) and calls_of(rows) == {("size", "count"), ("main", "run")}
+
+
+def test_python_variables_are_plain_names():
+    rows = parsers.parse_python("m.py", "x = 1\na[i] = 2\np, q = 1, 2\ny: int = 3\nclass A:\n    def f(self):\n        self.z = 1\n        w = 2\nmatch x:\n    case 1:\n        def g():\n            v = 1\n", "r")
+    n = node_of(rows)
+    assert {k for kind, k in n if kind == "variable"} == {"x", "y", "w", "v"} and ("function", "g") in n
+
+
+def test_registry(spark):
+    import pytest
+
+    r = parsers.default_registry()
+    assert r.parser("a/B.PY") is parsers.parse_python and r.parser("a.unknown") is None and r.parser("dir.py/file") is None
+    with pytest.raises(RuntimeError):
+        r.register("x", (".x",), parsers.parse_python)
+    own = parsers.Registry()
+    own.register("x", (".X",), lambda path, source, repo: [{"rec_type": "node", "seq": 0, "id": path, "kind": "module", "name": source}])
+    with pytest.raises(ValueError):
+        own.register("y", (".x",), parsers.parse_python)
+    rows = spark.createDataFrame([("a.x", "x", "hello"), ("b.py", "python", "x = 1")], "filepath string, language string, source string")
+    assert [(r["id"], r["name"]) for r in parsers.parse_files(rows, "r", own.freeze()).collect()] == [("a.x", "hello")]
+
+
+def test_repository_links_imports_across_files(spark):
+    rows = spark.createDataFrame([("a.py", "python", "from b import helper\n"), ("b.py", "python", "def helper():\n    pass\n")], "filepath string, language string, source string")
+    nodes, edges = parsers.parse_repository(rows, "r")
+    assert ("r:a.py:import:helper", "r:b.py:function:helper", "imports") in {tuple(r) for r in edges.collect()} and nodes.count() == 4
+
+
+def test_languages_git_and_sinks(spark, tmp_path):
+    import subprocess
+
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t" / "a.py").write_text("x = 1\n")
+    (tmp_path / "t" / "b.go").write_text("package b\n")
+    assert [r["filepath"] for r in files.source_files(spark, str(tmp_path / "t"), ("python",)).collect()] == ["a.py"]
+    git = lambda *a: subprocess.run(["git", "-C", str(tmp_path / "t"), "-c", "user.name=n", "-c", "user.email=e@e", *a], check=True, capture_output=True)
+    assert files.git_changes(spark, str(tmp_path / "t")).count() == 0
+    git("init", "-q"), git("add", "a.py"), git("commit", "-qm", "one")
+    (tmp_path / "t" / "a.py").write_text("x = 2\n")
+    assert sorted(r["path"] for r in files.git_changes(spark, str(tmp_path / "t")).collect()) == ["a.py", "b.go"]
+    df = spark.createDataFrame([(0, "first {", "a"), (1, "b", None), (1, "a", "c"), (2, "}", "d")], "part int, line string, _s string")
+    files.write_lines(df, str(tmp_path / "text"))
+    assert "".join(p.read_text() for p in sorted((tmp_path / "text").glob("part-*"))) == "first {\na\nb\n}\n"
+    files.write_cold(df, "kind", str(tmp_path / "cold"))
+    assert files.json_rows(spark, str(tmp_path / "cold" / "kind"), "part int, line string, _s string").where("_s is null").count() > 0
+    files.write_csv(df.drop("_s"), str(tmp_path / "csv"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == 4
+
+
+def test_changes_stream_is_in_order(spark, tmp_path):
+    put = lambda rows: spark.createDataFrame(rows, "k string, v string, n int").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    put([("a", "2", 2), ("a", "1", 1), ("a", "2", 3), ("b", "x", 1)])
+    s = twins.changes(spark.readStream.schema("k string, v string, n int").parquet(str(tmp_path / "in")), "k", "v", "n")
+    got = twins.drained(s, "changes_out", "append", str(tmp_path / "c"))
+    assert sorted((r["k"], r["v"], r["n"]) for r in got.collect()) == [("a", "1", 1), ("a", "2", 2), ("b", "x", 1)]
+
+
+def test_stored_graph_reads_one_bucket(spark, sf):
+    from skeinwork.operators import traversal
+    from skeinwork.sources import stored
+
+    g = stored.graph(spark, sf)
+    assert g is stored.graph(spark, sf)
+    plan = g.incoming.where("relation = 'calls' and dst = 42")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(relation" in plan
+    e = spark.range(2_500_000).selectExpr("id AS src", "id + 1 AS dst", "'calls' AS relation")
+    big = stored.store(spark.range(10).selectExpr("id AS key"), e)
+    # files of other buckets aren't opened, whether the scan keeps its buckets for a join or not
+    read = big.incoming.where("dst = 42").select("src", F.col("_metadata.file_name").alias("f"), F.lit(1))
+    spark.conf.set("spark.sql.sources.bucketing.autoBucketedScan.enabled", False)
+    plan = big.incoming.where("dst = 42")._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.sources.bucketing.autoBucketedScan.enabled")
+    assert "SelectedBucketsCount: 1 out of 3" in plan and read.count() == 1
+    # and a frontier's join moves the frontier alone
+    frontier = spark.range(100).selectExpr("id AS dst").repartition(5).hint("merge")
+    plan = big.incoming.join(frontier, "dst")._jdf.queryExecution().executedPlan().toString()
+    assert "Bucketed: true" in plan.replace("bucketed: true", "Bucketed: true") or plan.count("Exchange hashpartitioning") == 1
+    assert sorted(tuple(r) for r in traversal.around(big.incoming, 42, 3, forward=False).collect()) == [(39, 3), (40, 2), (41, 1)]
