@@ -274,7 +274,7 @@ def fitted_wide(cells: DataFrame, targets: Targets) -> DataFrame:
     """The same columns by the same steps as fitted(), for more cells than the driver should hold. cells: on disk."""
     total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
     if not total:
-        return cells.select(*DIMENSIONS, "tokens", F.lit(1.0).alias("factor"), F.lit(1.0).alias("probability"))
+        return written(cells.select(*DIMENSIONS, "tokens", F.lit(1.0).alias("factor"), F.lit(1.0).alias("probability")), "mixing-cells")
     names, wanted = [], []
     for name in DIMENSIONS[1:]:
         rows = sorted(map(tuple, cells.groupBy(name).agg(F.sum("tokens")).collect()), key=lambda r: (r[0] is not None, r[0] or ""))

@@ -8,7 +8,7 @@ n words is n^2 / 2^65. Arrays that a lambda looks into are bound to a lambda var
 each element.
 
 Defined cases: null and empty texts have no words, zero in every count, and fail the base rules; repeated rows each get their
-verdict; columns of the input other than doc_id and text are ignored.
+verdict; an empty table gives no rows; texts of any length are read whole; columns of the input other than doc_id and text, whatever their names, are ignored.
 """
 
 from __future__ import annotations

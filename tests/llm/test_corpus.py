@@ -485,6 +485,8 @@ def test_wide_mixing_equals_mixing_on_the_driver(spark, sf):
     a = {r["doc_id"]: (r["probability"], r["kept"]) for r in mixing.weighted(documents).collect()}
     b = {r["doc_id"]: (r["probability"], r["kept"]) for r in mixing.weighted(documents, most_cells=1).collect()}
     assert a.keys() == b.keys() and all(abs(a[k][0] - b[k][0]) < 1e-6 and a[k][1] == b[k][1] for k in a)
+    blank = spark.createDataFrame([(i, " ", "en", f"s{i}") for i in range(5)], "doc_id long, text string, lang string, source string")
+    assert {r["probability"] for r in mixing.weighted(blank, most_cells=1).collect()} == {r["probability"] for r in mixing.weighted(blank).collect()} == {1.0}
 
 
 def test_the_draw_is_by_probability(spark):
