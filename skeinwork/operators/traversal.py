@@ -39,8 +39,10 @@ def levels(edges: DataFrame, roots: DataFrame, depth: int, forward: bool = True)
     step = edges.select(F.col("src").alias("node"), F.col("dst").alias("next")) if forward else edges.select(F.col("dst").alias("node"), F.col("src").alias("next"))
     at = roots.select("root", F.col("root").alias("node")).distinct()
     out = None
-    for level in range(1, max(1, min(MAX_DEPTH, depth)) + 1):
-        at = at.join(step, "node").select("root", F.col("next").alias("node")).where("root <> node").distinct()
+    depth = max(1, min(MAX_DEPTH, depth))
+    for level in range(1, depth + 1):
+        at = at.join(step, "node").select("root", F.col("next").alias("node")).where("root <> node")
+        at = at.distinct() if 1 < level < depth else at  # the first level is as distinct as edges are, the last one meets the aggregation
         out = at.withColumn("depth", F.lit(level)) if out is None else out.unionByName(at.withColumn("depth", F.lit(level)))
     return out.groupBy("root", "node").agg(F.min("depth").alias("depth"))
 
@@ -48,12 +50,14 @@ def levels(edges: DataFrame, roots: DataFrame, depth: int, forward: bool = True)
 def around(edges: DataFrame, key: int, depth: int, forward: bool = True) -> DataFrame:
     """(node, depth) of every node within `depth` steps of one key, itself not. The first step is a filter, which reads one bucket of edges bucketed by that end."""
     step = edges.select(F.col("src").alias("node"), F.col("dst").alias("next")) if forward else edges.select(F.col("dst").alias("node"), F.col("src").alias("next"))
-    at = step.where(F.col("node") == key).select(F.col("next").alias("node")).where(F.col("node") != key).distinct()
+    depth = max(1, min(MAX_DEPTH, depth))
+    at = step.where(F.col("node") == key).select(F.col("next").alias("node")).where(F.col("node") != key)
     out = at.withColumn("depth", F.lit(1))
-    for level in range(2, max(1, min(MAX_DEPTH, depth)) + 1):
-        at = at.join(step, "node").select(F.col("next").alias("node")).where(F.col("node") != key).distinct()
+    for level in range(2, depth + 1):
+        at = at.join(step, "node").select(F.col("next").alias("node")).where(F.col("node") != key)
+        at = at.distinct() if level < depth else at  # the first level is as distinct as edges are, the last one meets the aggregation
         out = out.unionByName(at.withColumn("depth", F.lit(level)))
-    return out.groupBy("node").agg(F.min("depth").alias("depth")) if depth > 1 else out
+    return out.groupBy("node").agg(F.min("depth").alias("depth"))
 
 
 def callers(nodes: DataFrame, edges: DataFrame, key: int, depth: int = 1, forward: bool = False) -> DataFrame:
