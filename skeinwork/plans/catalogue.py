@@ -720,9 +720,9 @@ def export_csv_rows(spark, d):
     return relational.csv_rows(graph(spark, d).nodes)
 
 
-@query("""+ n AS (SELECT * FROM g_nodes WHERE repo_id = 'r1'), l AS (SELECT 0 AS part, unnest(['digraph XCE {', '  rankdir=LR;', '  node [shape=box];']) AS line
+@query("""+ n AS (SELECT * FROM g_nodes WHERE repo_id = 'r1'), l AS (SELECT 0 AS part, unnest(['digraph G {', '  rankdir=LR;', '  node [shape=box];']) AS line
 UNION ALL SELECT 1, '  "' || id || '" [label="' || replace(name, '"', '\\"') || '", style=filled, fillcolor="' || CASE kind WHEN 'class' THEN 'lightblue' WHEN 'function' THEN 'lightgreen' WHEN 'method' THEN 'lightgreen' WHEN 'module' THEN 'lightyellow' WHEN 'import' THEN 'lightgray' ELSE 'white' END || '"];' FROM n
-UNION ALL SELECT 2, '  "' || a.id || '" -> "' || b.id || '" [label="' || relation || '"];' FROM g_edges JOIN n a ON a.key = src JOIN n b ON b.key = dst UNION ALL SELECT 3, '}') SELECT * FROM l""".replace("digraph XCE", "digraph G"))
+UNION ALL SELECT 2, '  "' || a.id || '" -> "' || b.id || '" [label="' || relation || '"];' FROM g_edges JOIN n a ON a.key = src JOIN n b ON b.key = dst UNION ALL SELECT 3, '}') SELECT * FROM l""")
 def export_dot_lines(spark, d):
     n = graph(spark, d).nodes.where("repo_id = 'r1'")
     return relational.dot_lines(n, graph(spark, d).outgoing)
