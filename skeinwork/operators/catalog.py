@@ -27,6 +27,11 @@ def changed_files(tracked: DataFrame, untracked: DataFrame) -> DataFrame:
     return both.where("path <> ''").distinct()
 
 
+def repo_id(path: Column) -> Column:
+    """A repository's name: its folder's."""
+    return F.regexp_extract(path, r"([^/\\]+)[/\\]*$", 1)
+
+
 def repositories(rows: DataFrame) -> DataFrame:
     """Repositories, the one indexed last first; those that never were come last."""
     return rows.orderBy(F.desc_nulls_last("last_indexed_at"), "repo_id")

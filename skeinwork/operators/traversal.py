@@ -205,6 +205,19 @@ def module_cycles(module_pairs: DataFrame) -> DataFrame:
     return a.join(b, ["a", "b"]).where("a < b").select("a", "b", "n_ab", "n_ba")
 
 
+def module_details(nodes: DataFrame, module_pairs: DataFrame) -> DataFrame:
+    """For every module: its symbols, those of each kind as text, the modules right below it, and the modules that it calls and that call it."""
+    m = nodes.select(module_of(F.col("filepath")).alias("module"), "kind")
+    kinds = m.groupBy("module", "kind").count().groupBy("module").agg(F.sum("count").alias("n_symbols"), F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "kind", "count"))), ",").alias("kinds"))
+    children = m.select("module").distinct().where(F.col("module").contains("/")).select(F.regexp_replace("module", "/[^/]*$", "").alias("parent"), F.col("module").alias("child"))
+    below = children.groupBy(F.col("parent").alias("module")).agg(F.array_join(F.array_sort(F.collect_list("child")), ",").alias("children"))
+    calls = module_pairs.groupBy(F.col("src_module").alias("module")).agg(F.count("*").alias("n_calls"))
+    called = module_pairs.groupBy(F.col("dst_module").alias("module")).agg(F.count("*").alias("n_called_by"))
+    out = kinds.join(below, "module", "left").join(calls, "module", "left").join(called, "module", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return out.select("module", "n_symbols", "kinds", F.coalesce("children", F.lit("")).alias("children"), zero("n_calls"), zero("n_called_by"))
+
+
 def module_rings(module_pairs: DataFrame, most: int = 64) -> DataFrame:
     """(module, ring): modules that reach each other by calls, through any number of others; ring is the smallest of them.
 

@@ -162,6 +162,13 @@ def module_cycles(spark, d):
     return traversal.module_cycles(_module_edges(spark, d))
 
 
+@query(_MODULES + """, k AS (SELECT module, sum(n) AS n_symbols, string_agg(kind || ':' || n, ',' ORDER BY kind || ':' || n) AS kinds FROM (SELECT m.module, n.kind, count(*) AS n FROM m JOIN g_nodes n USING (key) GROUP BY ALL) GROUP BY module),
+b AS (SELECT regexp_replace(module, '/[^/]*$', '') AS module, string_agg(module, ',' ORDER BY module) AS children FROM (SELECT DISTINCT module FROM m) WHERE contains(module, '/') GROUP BY 1)
+SELECT module, CAST(n_symbols AS BIGINT) AS n_symbols, kinds, coalesce(children, '') AS children, (SELECT count(*) FROM q WHERE src_module = k.module) AS n_calls, (SELECT count(*) FROM q WHERE dst_module = k.module) AS n_called_by FROM k LEFT JOIN b USING (module)""")
+def module_details(spark, d):
+    return traversal.module_details(graph(spark, d).nodes, _module_edges(spark, d))
+
+
 @query(_MODULES + """, r(a, b) AS (SELECT src_module, dst_module FROM q UNION SELECT r.a, q.dst_module FROM r JOIN q ON q.src_module = r.b)
 SELECT x.a AS module, least(x.a, min(x.b)) AS ring FROM r x JOIN r y ON x.a = y.b AND x.b = y.a WHERE x.a <> x.b GROUP BY x.a""", recursive=True)
 def module_rings(spark, d):

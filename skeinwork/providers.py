@@ -162,6 +162,32 @@ def symbol_prompts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return some.select("id", F.concat_ws("\n", line("name", F.col("name")), line("kind", F.col("kind")), line("signature", F.col("signature")), line("docstring", flat(F.col("docstring"))), line("calls", F.col("calls")), line("source", F.substring(flat(F.col("source_text")), 1, 2000))).alias("prompt"))
 
 
+def detail_prompts(desc: DataFrame, nodes: DataFrame) -> DataFrame:
+    """A prompt for each described symbol (node_id, summary): what the next layer details."""
+    j = desc.join(nodes.select(F.col("key").alias("node_id"), "id", "name", "kind", "signature", "start_line", "end_line"), "node_id")
+    lines = F.concat(F.lit("lines: "), (F.col("end_line") - F.col("start_line") + 1).cast("string"))
+    return j.select("id", F.concat_ws("\n", F.concat(F.lit("name: "), "name"), F.concat(F.lit("kind: "), "kind"), F.concat(F.lit("signature: "), "signature"), lines, F.concat(F.lit("summary: "), F.regexp_replace(F.substring("summary", 1, 2000), r"\s+", " "))).alias("prompt"))
+
+
+def module_prompts(nodes: DataFrame, most: int = 50) -> DataFrame:
+    """A prompt for each module (directory): how many symbols it has and the names of the first `most`."""
+    from skeinwork.operators.relational import first_n
+    from skeinwork.operators.traversal import module_of
+
+    m = nodes.select(module_of(F.col("filepath")).alias("id"), "name")
+    n = m.groupBy("id").agg(F.count("*").alias("n"))
+    names = first_n(m, ["id"], ["name"], most).groupBy("id").agg(F.array_join(F.array_sort(F.collect_list("name")), ",").alias("names"))
+    return n.join(names, "id").select("id", F.concat_ws("\n", F.concat(F.lit("name: "), "id"), F.concat(F.lit("symbols: "), F.col("n").cast("string")), F.concat(F.lit("calls: "), "names")).alias("prompt"))
+
+
+def patch_patterns(patches: DataFrame, embedder: Embedder) -> DataFrame:
+    """Solved problems (instance_id, patch, problem_statement; the last by `at` of each id) as patterns: files, symbols, signature and the problem's vector."""
+    from skeinwork.operators.analysis import patch_index
+
+    newest = patches.groupBy("instance_id").agg(F.max_by(F.struct("patch", "problem_statement"), "at").alias("x")).select("instance_id", "x.*")
+    return embedded(patch_index(newest, "instance_id", "patch").join(newest.select("instance_id", "problem_statement"), "instance_id"), "problem_statement", embedder)
+
+
 def token_count(text: Column, ranks: str, pattern: str) -> Column:
     """Tokens of texts by a byte-pair vocabulary: ranks is the path of its file, pattern what cuts texts into words. Special tokens are ordinary text."""
 

@@ -218,10 +218,33 @@ def test_documentation_by_rules(spark, sf):
     prompts = providers.symbol_prompts(g.nodes, g.edges)
     made = providers.documented(prompts, providers.DESCRIPTION, providers.Rules())
     assert made.count() == prompts.count() > 0 and "" not in {r["summary"] for r in made.collect()}
+    described = made.select("node_id", "summary").join(g.nodes.select(F.col("id").alias("node_id"), "key"), "node_id").select(F.col("key").alias("node_id"), "summary")
+    details = providers.documented(providers.detail_prompts(described, g.nodes), providers.DETAIL, providers.Rules())
+    assert details.count() == made.count() and "lines" in details.first()["algorithm_description"]
+    modules = providers.documented(providers.module_prompts(g.nodes), providers.MODULE, providers.Rules())
+    assert modules.count() > 10 and modules.where("architectural_role like 'module of % symbols'").count() == modules.count()
     broken = providers.documented(prompts, providers.DESCRIPTION, lambda p: "no json")
     assert broken.count() == 0
 
 
+def test_patch_patterns(spark):
+    diff = "--- a/x.py\n+++ b/x.py\n@@ -1 +1 @@ def load(a):\n+x\n+++ b/y.py\n@@ -1 +1 @@ class Part:\n"
+    p = spark.createDataFrame([("i", "", "old", 1), ("i", diff, "it fails", 2)], "instance_id string, patch string, problem_statement string, at int")
+    r = providers.patch_patterns(p, providers.HashedWords(8)).collect()
+    assert len(r) == 1 and r[0]["files"] == ["x.py", "y.py"] and r[0]["symbols"] == ["load", "Part"] and r[0]["signature"] == hashlib.sha256(b"x.py,y.py|Part,load|bugfix").hexdigest()
+    assert list(r[0]["vector"]) == providers.HashedWords(8)(["it fails"])[0]
+    names = spark.createDataFrame([("/a/b/",), ("c",)], "p string")
+    assert [x[0] for x in names.select(catalog.repo_id(F.col("p"))).collect()] == ["b", "c"]
+
+
+def test_plans_from_a_model(spark, sf):
+    g = tools.Graph.of(spark, sf)
+    answer = 'Sure: [{"description": "d", "search_query": "part_1", "agent": "trace", "depends_on": [1, 7]}, {"description": "e", "search_query": "part_2", "agent": "dreams"}]'
+    tasks = tools.decomposed("why?", lambda prompt: answer if "why?" in prompt else "", g.nodes)
+    assert [(t["task_id"], t["target_agent"], t["depends_on"]) for t in tasks] == [("subtask-0", "trace", ["subtask-1"]), ("subtask-1", "search", [])]
+    assert tools.decomposed("why?", None, g.nodes)[0]["search_queries"] == ["why?"] and tools.decomposed("why?", lambda _: "no idea", g.nodes)[0]["task_id"] == "subtask-fallback"
+
+
 def test_tokens_of_a_vocabulary(spark):
     p = pytest.importorskip("public_tokenizers")
     path = p.path("byte_bpe_50k.tiktoken")
