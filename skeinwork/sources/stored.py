@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from skeinwork.session import shared_dir
 from skeinwork.sources import tables
 
-#: Edges of a bucket, about, and the most buckets.
-BUCKET_ROWS, MOST_BUCKETS = 1_000_000, 16_384
+#: Rows of a bucket, about, and the most buckets.
+BUCKET_ROWS, MOST_BUCKETS = 200_000, 16_384
 
 
 @dataclass(frozen=True)
@@ -39,11 +39,14 @@ def put(df: DataFrame, key: str, buckets: int, *parts: str) -> DataFrame:
     return spark.table(name)
 
 
-def store(nodes: DataFrame, edges: DataFrame) -> StoredGraph:
-    """A stored graph of symbols (key, ...) and edges (src, dst, relation)."""
-    edges = put(edges, "src", max(1, min(MOST_BUCKETS, -(-edges.count() // BUCKET_ROWS))), "relation")
-    n = max(1, min(MOST_BUCKETS, -(-edges.count() // BUCKET_ROWS)))
-    return StoredGraph(put(nodes, "key", max(1, min(MOST_BUCKETS, -(-nodes.count() // BUCKET_ROWS)))), edges, put(edges, "dst", n, "relation"))
+def buckets(rows: int) -> int:
+    return max(1, min(MOST_BUCKETS, -(-rows // BUCKET_ROWS)))
+
+
+def store(nodes: DataFrame, edges: DataFrame, n_nodes: int, n_edges: int) -> StoredGraph:
+    """A stored graph of symbols (key, ...) and edges (src, dst, relation); their numbers, about, give those of buckets. Edges are worked out once."""
+    outgoing = put(edges, "src", buckets(n_edges), "relation")
+    return StoredGraph(put(nodes, "key", buckets(n_nodes)), outgoing, put(outgoing, "dst", buckets(n_edges), "relation"))
 
 
 _stores: dict[tuple, StoredGraph] = {}
@@ -68,5 +71,6 @@ def graph(spark: SparkSession, sf_dir: str) -> StoredGraph:
     """The bundled tables' graph, stored at its first use in a session."""
     key = (spark.sparkContext.applicationId, sf_dir, *(_stamp(spark, f"{sf_dir}/{t}.parquet") for t in ("part", "lineitem")))
     if key not in _stores:
-        _stores[key] = store(tables.nodes(spark, sf_dir), tables.edges(spark, sf_dir))
+        parts, lines = (tables.table(spark, sf_dir, t).count() for t in ("part", "lineitem"))
+        _stores[key] = store(tables.nodes(spark, sf_dir), tables.edges(spark, sf_dir), parts, 2 * lines)
     return _stores[key]
