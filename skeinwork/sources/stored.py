@@ -7,7 +7,7 @@ bucket. Edges are partitioned by relation, so a traversal of calls reads calls a
 from __future__ import annotations
 
 import uuid
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,21 +18,12 @@ from skeinwork.sources import tables
 BUCKET_ROWS, MOST_BUCKETS = 200_000, 16_384
 
 
-@dataclass(frozen=True)
-class StoredGraph:
-    """outgoing is bucketed by src, incoming by dst; both hold all edges."""
-
-    nodes: DataFrame
-    outgoing: DataFrame
-    incoming: DataFrame
-
-
-def put(df: DataFrame, key: str, buckets: int, *parts: str) -> DataFrame:
-    """df as a table bucketed and sorted by a key, in the shared folder; it goes when the driver ends."""
+def put(df: DataFrame, key: str, n: int, *parts: str) -> DataFrame:
+    """df as a table in n buckets, sorted by their key, in the shared folder; it goes when the driver ends."""
     spark = df.sparkSession
     name = f"skeinwork_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/skeinwork/{name}"
-    writer = df.repartition(buckets, key).sortWithinPartitions(*parts, key).write.format("parquet").option("path", path).bucketBy(buckets, key).sortBy(key)
+    writer = df.repartition(n, key).sortWithinPartitions(*parts, key).write.format("parquet").option("path", path).bucketBy(n, key).sortBy(key)
     (writer.partitionBy(*parts) if parts else writer).saveAsTable(name)
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
@@ -43,10 +34,29 @@ def buckets(rows: int) -> int:
     return max(1, min(MOST_BUCKETS, -(-rows // BUCKET_ROWS)))
 
 
-def store(nodes: DataFrame, edges: DataFrame, n_nodes: int, n_edges: int) -> StoredGraph:
-    """A stored graph of symbols (key, ...) and edges (src, dst, relation); their numbers, about, give those of buckets. Edges are worked out once."""
-    outgoing = put(edges, "src", buckets(n_edges), "relation")
-    return StoredGraph(put(nodes, "key", buckets(n_nodes)), outgoing, put(outgoing, "dst", buckets(n_edges), "relation"))
+class StoredGraph:
+    """Symbols (key, ...) and edges (src, dst, relation), each table written when it is first asked for; edges are worked out once.
+
+    n_nodes and n_edges are about how many there are, which gives the numbers of buckets.
+    """
+
+    def __init__(self, nodes: DataFrame, edges: DataFrame, n_nodes: int, n_edges: int):
+        self._nodes, self._edges, self._n_nodes, self._n_edges = nodes, edges, n_nodes, n_edges
+
+    @cached_property
+    def nodes(self) -> DataFrame:
+        """Bucketed by key."""
+        return put(self._nodes, "key", buckets(self._n_nodes))
+
+    @cached_property
+    def outgoing(self) -> DataFrame:
+        """All edges, bucketed by src."""
+        return put(self._edges, "src", buckets(self._n_edges), "relation")
+
+    @cached_property
+    def incoming(self) -> DataFrame:
+        """All edges, bucketed by dst."""
+        return put(self.outgoing, "dst", buckets(self._n_edges), "relation")
 
 
 _stores: dict[tuple, StoredGraph] = {}
@@ -68,9 +78,9 @@ def _stamp(spark: SparkSession, path: str) -> tuple:
 
 
 def graph(spark: SparkSession, sf_dir: str) -> StoredGraph:
-    """The bundled tables' graph, stored at its first use in a session."""
+    """The bundled tables' graph, stored as a session needs it."""
     key = (spark.sparkContext.applicationId, sf_dir, *(_stamp(spark, f"{sf_dir}/{t}.parquet") for t in ("part", "lineitem")))
     if key not in _stores:
         parts, lines = (tables.table(spark, sf_dir, t).count() for t in ("part", "lineitem"))
-        _stores[key] = store(tables.nodes(spark, sf_dir), tables.edges(spark, sf_dir), parts, 2 * lines)
+        _stores[key] = StoredGraph(tables.nodes(spark, sf_dir), tables.edges(spark, sf_dir), parts, 2 * lines)
     return _stores[key]

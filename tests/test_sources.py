@@ -268,7 +268,7 @@ def test_stored_graph_reads_one_bucket(spark, sf):
     plan = g.incoming.where("relation = 'calls' and dst = 42")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(relation" in plan
     e = spark.range(500_000).selectExpr("id AS src", "id + 1 AS dst", "'calls' AS relation")
-    big = stored.store(spark.range(10).selectExpr("id AS key"), e, 10, 500_000)
+    big = stored.StoredGraph(spark.range(10).selectExpr("id AS key"), e, 10, 500_000)
     # files of other buckets aren't opened, whether the scan keeps its buckets for a join or not
     read = big.incoming.where("dst = 42").select("src", F.col("_metadata.file_name").alias("f"), F.lit(1))
     spark.conf.set("spark.sql.sources.bucketing.autoBucketedScan.enabled", False)
