@@ -33,7 +33,7 @@ WIDTH = 5
 LEAST = 0.8
 BANDS, ROWS = 32, 5
 #: Classes of a candidate component that are compared in one task with as many others.
-PART = 512
+PART = 128
 
 _random = np.random.default_rng(SEED)
 FLIPS = _random.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
