@@ -70,7 +70,7 @@ class Work:
     """Tables written for the steps of one operator; they go when the block ends, whether it fails or not."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.paths = spark, []
+        self.spark, self.paths, self.tables = spark, [], []
 
     def __enter__(self) -> Work:
         return self
@@ -80,6 +80,15 @@ class Work:
         df.write.parquet(self.paths[-1])
         return self.spark.read.schema(df.schema).parquet(self.paths[-1])
 
+    def buckets(self, df: DataFrame, keys: list[str], n: int, name: str) -> DataFrame:
+        """As put(), in n buckets by keys and sorted in each, so that joins on the keys don't move it."""
+        path = work_path(self.spark, name)
+        table = f"{name}_{uuid.uuid4().hex}".replace("-", "_")
+        self.paths.append(path)
+        self.tables.append(table)
+        df.repartition(n, *keys).write.format("parquet").option("path", path).bucketBy(n, *keys).sortBy(*keys).saveAsTable(table)
+        return self.spark.table(table)
+
     def drop_first(self, n: int) -> None:
         """Drop the n oldest tables that are still there."""
         for path in self.paths[:n]:
@@ -87,6 +96,8 @@ class Work:
         del self.paths[:n]
 
     def __exit__(self, *_) -> None:
+        for table in self.tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {table}")
         self.drop_first(len(self.paths))
 
 
