@@ -1,7 +1,9 @@
 """Conversation operators against plain Python."""
 
 import hashlib
+import itertools
 import random
+import re
 import zlib
 from collections import defaultdict
 
@@ -9,6 +11,7 @@ import duckdb
 import pytest
 
 from skeinwork.llm.prefix_trie import op11_prefix_trie
+from skeinwork.llm.repair import CODES, Solver, op13_structure_repair
 
 SCHEMA = "conv_id long, turn long, role string, text string"
 
@@ -103,3 +106,123 @@ def test_a_tree_deeper_than_rounds(spark, tmp_path):
     """Conversation 5k shares all but its end with 5(k - 1): chains hang on chains, a hundred deep."""
     rows = [(5 * k, t, "user", f"{t}" if t <= k else f"{k}:{t}") for k in range(100) for t in range(k + 2)]
     assert found_trie(op11_prefix_trie(spark, conversations(spark, tmp_path, rows))) == brute_trie(rows)
+
+
+# -- repair
+
+SPACE = " \t\n\x0b\x0c\r"
+
+
+def cheapest(rows):
+    """The cheapest edits of (initial, fault) by trying all, with up to two insertions in each place: cost, audit."""
+    puts = [("I" * n, x) for n in range(3) for x in map("".join, itertools.product("ua", repeat=n))]
+    best = None
+    choices = []
+    for initial, fault in rows:
+        c = [("D", "", 4)]
+        if fault not in ("blank", "duplicate"):
+            extra = 3 if fault == "truncated" else 0
+            c += [("K", initial, extra)] + [("R", x, 3 + extra) for x in "ua"]
+        choices.append([(i + e, x + y, 3 * len(i) + n) for i, x in puts for e, y, n in c])
+    for way in itertools.product(*choices, [(i, x, 3 * len(i)) for i, x in puts]):
+        if re.fullmatch("(s?(ua)+)?", "".join(w[1] for w in way)):
+            found = sum(w[2] for w in way), "".join(w[0] for w in way)
+            best = found if best is None or found < best else best
+    return best
+
+
+FAULTS = [None, "blank", "duplicate", "truncated"]
+
+
+def test_audits_of_short_signatures():
+    """Every signature of two rows, and some of three, against all ways of editing them."""
+    solver, rng = Solver(), random.Random(3)
+    some = ["", *CODES, *map("".join, itertools.product(CODES, repeat=2)), *("".join(rng.choices(CODES, k=3)) for _ in range(12))]
+    for s in some:
+        rows = [("suao"[CODES.index(c) // 4], FAULTS[CODES.index(c) % 4]) for c in s]
+        assert solver.solve(s)[4:] == cheapest(rows), s
+
+
+def plain_audit(rows):
+    """The same by a table over (row, state), for conversations of any length; states as letters of what was put out last."""
+    to, after = {"": "u", "s": "u", "u": "a", "a": "u"}, None
+    for row in [None, *reversed(rows)]:
+        best = {}
+        for state in ("", "s", "u", "a"):
+            ways = []
+            if row is None:
+                ways += [(0, "")] if state in ("", "a") else []
+            else:
+                initial, fault = row
+                ways.append((4 + after[state][0], "D" + after[state][1]))
+                if fault not in ("blank", "duplicate"):
+                    extra = 3 * (fault == "truncated")
+                    n = after[to[state]]
+                    ways.append((3 + extra + n[0], "R" + n[1]))
+                    if initial == to[state] or (initial == "s" and state == ""):
+                        ways.append((extra + after[initial][0], "K" + after[initial][1]))
+            best[state] = min(ways, default=(10**9, ""))
+        for _ in range(3):
+            best = {s: min(b, (3 + best[to[s]][0], "I" + best[to[s]][1])) for s, b in best.items()}
+        after = best
+    return after[""]
+
+
+def brute_repair(rows):
+    by = defaultdict(list)
+    for c, t, r, x in rows:
+        r, x = (" " if v is None else v for v in (r, x))
+        k = zlib.crc32(f"{' ' if c is None else c}:{' ' if t is None else t}".encode()) % 20
+        by[c]
+        if k:
+            y = "" if k == 1 else x.translate(dict.fromkeys(map(ord, ".!?"))) if k == 2 else x
+            by[c] += [((t is not None, t or 0, r, x), t, "user" if k == 4 else r, y)] * (1 + (k == 3))
+    out = {}
+    for c, found in by.items():
+        found.sort(key=lambda v: v[0])
+        turns = [t for _, t, _, _ in found if t is not None]
+        seen, marked = set(), []
+        for _, _, r, x in found:
+            body = x.strip(SPACE)
+            fault = "blank" if not body else "duplicate" if (r, x) in seen else "truncated" if body[-1] not in ".!?" else None
+            seen.add((r, x))
+            marked.append((r[:1], fault))
+        cost, audit = plain_audit(marked)
+        lines, last, i = [], "", 0
+        nxt = {"": "user", "s": "user", "u": "assistant", "a": "user"}
+        for e in audit:
+            if e == "I":
+                lines.append(nxt[last] + ":")
+            else:
+                _, _, r, x = found[i]
+                i += 1
+                if e == "D":
+                    continue
+                lines.append(f"{nxt[last] if e == 'R' else r}:{x}")
+            last = lines[-1][0]
+        pairs = sum(a + b not in ("su", "ua", "au") for (a, _), (b, _) in zip(marked, marked[1:]))
+        count = lambda f: sum(m[1] == f for m in marked)
+        gaps = max(turns) - min(turns) + 1 - len(set(turns)) if turns else 0
+        out[c] = (gaps, count("blank"), count("duplicate"), count("truncated"), pairs, cost, audit, hashlib.sha256("\n".join(lines).encode()).hexdigest())
+    return out
+
+
+def found_repair(df):
+    return {r.conv_id: (r.gaps, r.blank, r.duplicate, r.truncated, r.illegal, r.cost, r.audit, r.repaired_sha256) for r in df.collect()}
+
+
+def test_repair_of_the_table(spark, sf):
+    df = op13_structure_repair(spark, sf)
+    assert found_repair(df) == brute_repair(table(sf)) and df.count() == len({r[0] for r in table(sf)})
+
+
+def test_repair_of_odd_rows(spark, tmp_path):
+    rows = odd_rows(2) + odd_rows(3)[:200] + [(None, 1, "user", "Who?"), (None, 2, "assistant", None), (500, None, None, None), (501, 0, "", "a."), (502, 3, "system", "s. \u00a0")]
+    # a turn that stands there twice in different words is faulty twice
+    sf = conversations(spark, tmp_path, [(*r, "x") for r in rows], SCHEMA + ", pos string")
+    got, want = found_repair(op13_structure_repair(spark, sf)), brute_repair(rows)
+    assert {k: (got.get(k), want[k]) for k in want if got.get(k) != want[k]} == {} and len(got) == len(want)
+
+
+def test_repair_of_nothing(spark, tmp_path):
+    assert op13_structure_repair(spark, conversations(spark, tmp_path, [])).count() == 0
