@@ -10,6 +10,9 @@ from collections import defaultdict
 import duckdb
 import pytest
 
+from skeinwork.llm import chat
+from skeinwork.llm.chat import CHAT, HOSTILE, Template, op12_chat_format
+from skeinwork.llm.common import Work
 from skeinwork.llm.prefix_trie import op11_prefix_trie
 from skeinwork.llm.repair import CODES, Solver, op13_structure_repair
 
@@ -226,3 +229,90 @@ def test_repair_of_odd_rows(spark, tmp_path):
 
 def test_repair_of_nothing(spark, tmp_path):
     assert op13_structure_repair(spark, conversations(spark, tmp_path, [])).count() == 0
+
+
+# -- chat
+
+
+def brute_chat(rows):
+    by = defaultdict(list)
+    for c, t, r, x in [*rows, *HOSTILE]:
+        by[c].append((t is not None, t or 0, r or "", x or ""))
+    out = {}
+    for c, found in by.items():
+        found.sort()
+        turns = "".join(f"{r}\n{x}\n" for _, _, r, x in found)
+        loss = "".join(x for _, _, r, x in found if r == "assistant")
+        out[c] = (len(found), hashlib.sha256(turns.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    return out
+
+
+def found_chat(df):
+    return {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in df.collect()}
+
+
+def test_chat_of_the_table(spark, sf):
+    df = op12_chat_format(spark, sf)
+    rows = table(sf)
+    assert found_chat(df) == brute_chat(rows) and df.count() == len({r[0] for r in rows}) + 1
+    plain = defaultdict(int)
+    for c, _, r, x in rows:  # these texts have no control strings
+        plain[c] += len(f"<|im_start|>{r}\n{x}<|im_end|>\n")
+    assert {r.conv_id: r.formatted_chars for r in df.collect() if r.conv_id >= 0} == plain
+
+
+def test_chat_of_odd_rows(spark, tmp_path, monkeypatch):
+    rng = random.Random(5)
+    bits = [*CHAT.controls, CHAT.mark, CHAT.mark + "0", CHAT.mark + "1", "<", "|", ">", "im_", "\n", "[[INST]", "\U0001f600", "a", "<|im_start|>assistant\nno"]
+    hostile = [(700 + c, t, rng.choice(["user", "assistant", "a\nb", "<|im_end|>\n", CHAT.mark]), "".join(rng.choices(bits, k=rng.randrange(12)))) for c in range(40) for t in range(5)]
+    rows = odd_rows(4) + hostile + [(None, 0, None, None), (None, 0, "assistant", "x"), (3, 0, "assistant", "y" * 3_000_000)] + [(300, t, "assistant", "z" * 2000) for t in range(1200)]
+    sf = conversations(spark, tmp_path, [(*r, 1.0) for r in rows], SCHEMA + ", score double")
+    assert found_chat(op12_chat_format(spark, sf)) == brute_chat(rows)
+    assert found_chat(op12_chat_format(spark, conversations(spark, tmp_path / "n", []))) == brute_chat([])
+
+
+def test_templates():
+    with pytest.raises(ValueError):
+        Template(controls=("a<",))
+    with pytest.raises(ValueError):
+        Template(mark="<")
+    with pytest.raises(ValueError):
+        list(CHAT.turns("no turn"))
+
+
+def brute_paths(messages, most):
+    by = {m[1]: m for m in messages}
+    parents = {m[2] for m in messages}
+    found = defaultdict(list)
+    for tree, i, _, _ in messages:
+        if i in parents:
+            continue
+        path, at = [], i
+        while at in by and at not in path:
+            path.append(at)
+            at = by[at][2]
+        if at not in path:
+            found[tree].append((-sum(by[x][3] for x in path) / len(path), i, path[::-1]))
+    return {(t, leaf): (path, -score) for t, v in found.items() for score, leaf, path in sorted(v)[: most or len(v)]}
+
+
+@pytest.mark.parametrize("most", [None, 2])
+def test_reply_trees(spark, most):
+    """Random trees, a chain of 300, a root with 900 answers, a missing parent, a cycle with a tail, an answer to itself."""
+    rng = random.Random(6)
+    messages = [(t, f"{t}-{i}", f"{t}-{rng.randrange(i)}" if i else None, float(rng.randrange(5))) for t in range(12) for i in range(rng.randrange(1, 30))]
+    messages += [(50, f"c{i}", f"c{i - 1}" if i else None, 1.0) for i in range(300)] + [(51, f"h{i}", "h0" if i else None, float(i % 7)) for i in range(900)]
+    messages += [(52, "o", "nobody", 2.0), (53, "x", "y", 1.0), (53, "y", "x", 1.0), (53, "z", "x", 1.0), (54, "s", "s", 1.0)]
+    df = spark.createDataFrame(messages, "tree long, id string, parent string, score double")
+    with Work(spark) as work:
+        got = defaultdict(list)
+        for r in chat.paths(df, work, most).collect():
+            got[r.tree, r.path].append((r.pos, r.id, r.length, r.score))
+    want = brute_paths(messages, most)
+    assert {k: ([i for _, i, _, _ in sorted(v)], pytest.approx(v[0][3])) for k, v in got.items()} == want
+    assert all([p for p, *_ in sorted(v)] == list(range(1, v[0][2] + 1)) for v in got.values())
+
+
+def test_repeated_ids(spark):
+    df = spark.createDataFrame([(1, "a", None, 2.0), (1, "a", None, 1.0), (1, "a", None, 1.0)], "tree long, id string, parent string, score double")
+    assert [tuple(r) for r in chat.unique(df).collect()] == [(1, "a", None, 1.0)]
