@@ -101,7 +101,7 @@ def _row(code: str, after: list) -> list:
             extra = TRUNCATED if fault == 3 else 0
             ways.append((REROLE + extra, "R", TO[WANTED[s]]))
             if role < 3 and (ROLES[role] == WANTED[s] or (s == START and ROLES[role] == "s")):
-                ways.append((KEEP + extra, "K", TO[ROLES[role]]))
+                ways.append((extra, "K", TO[ROLES[role]]))
         found = None
         for cost, initial, to in ways:
             if after[to] is not None:
