@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skeinwork.operators.relational import upsert
+from skeinwork.operators.relational import latest, upsert
 
 #: Dimensions that settings may name.
 DIMENSIONS = (256, 512, 768, 1024, 1536, 2048)
@@ -50,7 +50,8 @@ def without_repository(repo_id: str, *tables: DataFrame) -> list[DataFrame]:
 
 
 def merged_repository(rows: DataFrame, one: DataFrame) -> DataFrame:
-    """rows with a repository put in or replaced."""
+    """rows with repositories put in or replaced; of rows of one repository the last indexed."""
+    one = latest(one, "repo_id", version="last_indexed_at")
     return rows.join(one.select("repo_id"), "repo_id", "left_anti").select(*rows.columns).unionByName(one.select(*rows.columns))
 
 

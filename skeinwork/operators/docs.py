@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skeinwork.operators.relational import first_n
+from skeinwork.operators.relational import first_n, latest
 from skeinwork.operators.traversal import with_confidence
 
 
@@ -91,10 +91,13 @@ def stored_layers(nodes: DataFrame, desc: DataFrame, docs: DataFrame, arch: Data
 
 
 def stored_embeddings(nodes: DataFrame, old: DataFrame, new: DataFrame, dimensions: int) -> DataFrame:
-    """old with new vectors (key, vector) put in by key; a vector of another length is an error, one of an unknown symbol is dropped."""
+    """old with new vectors (key, vector) put in by key; a vector of another length is an error, one of an unknown symbol is dropped.
+
+    Of new vectors of one key that with the largest `version` stays, if there is such a column, and the largest one among equals.
+    """
     size = F.coalesce(F.size("vector"), F.lit(-1))
     checked = new.withColumn("vector", F.when(size == dimensions, F.col("vector")).otherwise(F.raise_error(F.concat(F.lit("a vector has length "), size.cast("string"), F.lit(f", not {dimensions}")))))
-    known = checked.join(nodes.select("key"), "key", "left_semi")
+    known = latest(checked.join(nodes.select("key"), "key", "left_semi"), "key", version="version").select(*old.columns)
     return old.join(known.select("key"), "key", "left_anti").unionByName(known)
 
 

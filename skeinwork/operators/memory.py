@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from skeinwork.operators.relational import list_merge
+from skeinwork.operators.relational import latest, list_merge
 
 
 def newest(rows: DataFrame, limit: int, condition: str = "true") -> DataFrame:
@@ -53,10 +53,10 @@ def conventions(rows: DataFrame, repo_id: str, active_only: bool = True) -> Data
 
 
 def remembered(old: DataFrame, new: DataFrame, me: str, team: bool = False) -> DataFrame:
-    """old with new rows put in by id; rows without an author are `me`'s, rows of team tables wait for being shared."""
+    """old with new rows put in by id; rows without an author are `me`'s, rows of team tables wait for being shared. Of new rows that repeat an id the last updated stays."""
     author = F.when(F.coalesce("author", F.lit("")) == "", me).otherwise(F.col("author"))
     rows = new.withColumn("author", author)
-    rows = rows.withColumn("pending_sync", F.lit(True)) if team else rows
+    rows = latest(rows.withColumn("pending_sync", F.lit(True)) if team else rows, "id", version="updated_at")
     return old.join(rows.select("id"), "id", "left_anti").select(*old.columns).unionByName(rows.select(*old.columns))
 
 
@@ -121,7 +121,11 @@ def cold_rows(rows: DataFrame) -> DataFrame:
 
 
 def synced(mine: DataFrame, theirs: DataFrame, kind: str) -> DataFrame:
-    """My rows after a pull: attempts are only added, conventions are taken as they come, of decisions the later version's scalars and both's lists stay."""
+    """My rows after a pull: attempts are only added, conventions are taken as they come, of decisions the later version's scalars and both's lists stay.
+
+    Of their rows that repeat an id the last updated counts.
+    """
+    theirs = latest(theirs.select(*mine.columns), "id", version="updated_at")
     if kind == "attempt":
         return mine.unionByName(theirs.join(mine.select("id"), "id", "left_anti").select(*mine.columns))
     if kind == "convention":

@@ -114,6 +114,13 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], version: str) -> Dat
     return both.withColumn("_rn", F.row_number().over(order)).where("_rn = 1").drop("_rn", "_new")
 
 
+def latest(rows: DataFrame, *keys: str, version: str | None = None) -> DataFrame:
+    """One row for each key: that of the largest version, if there is one; among equals the largest by its columns, in their order. By aggregation with partial results."""
+    first = [version] if version in rows.columns else []
+    rest = first + [c for c in rows.columns if c not in (*keys, *first)]
+    return rows.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("_row")).select(*keys, "_row.*").select(*rows.columns) if rest else rows.distinct()
+
+
 def coalesce_merge(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """Full outer merge: a new value where there is one, else the old."""
     a, b = old.alias("a"), new.alias("b")
@@ -171,11 +178,11 @@ PARTS = 32
 def within_budget(ranked: DataFrame, tokens: str, order: list, budget: int, group: str | None = None) -> DataFrame:
     """Rows before the first that doesn't fit: running is the sum of tokens (not negative) so far. `group` gives each of its values a budget of its own.
 
-    Rows are dealt over parts first, and a row whose part alone has spent the budget before it goes: it can't fit, nor can any row behind it. What is left of a
+    Rows are dealt over parts by a hash of all columns first (a task that runs again deals alike), and a row whose part alone has spent the budget before it goes: it can't fit, nor can any row behind it. What is left of a
     group is bounded by the budget, however many rows it has, and the exact sums are over that. The first row that doesn't fit is among it.
     """
     names = [group] if group else []
-    part = ranked.withColumn("_part", F.pmod(F.monotonically_increasing_id(), F.lit(PARTS)))
+    part = ranked.withColumn("_part", F.pmod(F.xxhash64(*ranked.columns), F.lit(PARTS)))
     sums = lambda *by: F.sum(tokens).over(W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
     some = part.withColumn("running", sums(*names, "_part")).where(F.coalesce(F.col("running") - F.coalesce(tokens, F.lit(0)), F.lit(0)) <= budget).drop("_part", "running")
     return some.withColumn("running", sums(*names)).where(F.col("running") <= budget)

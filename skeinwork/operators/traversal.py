@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -47,38 +50,74 @@ def levels(edges: DataFrame, roots: DataFrame, depth: int, forward: bool = True)
     return out.groupBy("root", "node").agg(F.min("depth").alias("depth"))
 
 
-def around(edges: DataFrame, key: int, depth: int, forward: bool = True) -> DataFrame:
-    """(node, depth) of every node within `depth` steps of one key, itself not. The first step is a filter, which reads one bucket of edges bucketed by that end."""
-    step = edges.select(F.col("src").alias("node"), F.col("dst").alias("next")) if forward else edges.select(F.col("dst").alias("node"), F.col("src").alias("next"))
-    depth = max(1, min(MAX_DEPTH, depth))
-    at = step.where(F.col("node") == key).select(F.col("next").alias("node")).where(F.col("node") != key)
-    out = at.withColumn("depth", F.lit(1))
-    for level in range(2, depth + 1):
-        at = at.join(step, "node").select(F.col("next").alias("node")).where(F.col("node") != key)
-        at = at.distinct() if level < depth else at  # the first level is as distinct as edges are, the last one meets the aggregation
-        out = out.unionByName(at.withColumn("depth", F.lit(level)))
-    return out.groupBy("node").agg(F.min("depth").alias("depth"))
+#: Nodes of a frontier that are looked up by name, as literals; what is known is told apart by literals up to four times as many. Beyond, both are tables that are joined.
+FEW = 1000
+
+
+def around(steps: list[DataFrame], start: DataFrame, depth: int) -> DataFrame:
+    """(node, depth) of every node within `depth` steps of a start (node), at its least depth; starts have depth 0. depth is clamped to 1..5.
+
+    steps: tables (node, next), each best bucketed by node. A level is worked out once: a small frontier is fetched and looked up in the buckets of its nodes alone, with no
+    exchange; a larger one is written and joined, which moves the frontier and not the edges. Either is freed of what is known.
+    """
+    spark, depth = start.sparkSession, max(1, min(MAX_DEPTH, depth))
+    kind = start.select("node").schema
+
+    def held(df: DataFrame) -> tuple[list | None, DataFrame]:
+        """The nodes if they are few, and a table of them that doesn't work them out again."""
+        few = [r[0] for r in df.limit(FEW + 1).collect()]
+        return (few, spark.createDataFrame([(x,) for x in few], kind)) if len(few) <= FEW else (None, cut(df))
+
+    names, frontier = held(start.select("node").where("node IS NOT NULL").distinct())
+    known, seen = frontier.withColumn("depth", F.lit(0)), names
+    for level in range(1, depth + 1):
+        if names is not None and not names:
+            break
+        if names is not None:
+            found = [s.where(F.col("node").isin(names)).select(F.col("next").alias("node")) for s in steps]
+        else:
+            found = [frontier.join(s, "node").select(F.col("next").alias("node")) for s in steps]
+        new = reduce(DataFrame.union, found).distinct()
+        new = new.where(~F.col("node").isin(seen)) if seen is not None else new.join(known.select("node"), "node", "left_anti")
+        if level < depth:
+            names, new = held(new)
+            seen = seen + names if seen is not None and names is not None and len(seen) + len(names) <= 4 * FEW else None
+        frontier, known = new, known.union(new.withColumn("depth", F.lit(level)))
+    return known
+
 
+def forward(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("src").alias("node"), F.col("dst").alias("next"))
 
-def callers(nodes: DataFrame, edges: DataFrame, key: int, depth: int = 1, forward: bool = False) -> DataFrame:
+
+def backward(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("dst").alias("node"), F.col("src").alias("next"))
+
+
+def one(edges: DataFrame, key: int) -> DataFrame:
+    """A table (node) of one key."""
+    return edges.sparkSession.createDataFrame([(key,)], "node long")
+
+
+def callers(nodes: DataFrame, edges: DataFrame, key: int, depth: int = 1, step: Callable[[DataFrame], DataFrame] = backward) -> DataFrame:
     """Symbols that reach `key` within `depth` calls, by name: node_id, name, kind, filepath, lines, call_depth (as asked for), min_depth."""
     depth = max(1, min(MAX_DEPTH, depth))
-    found = around(edges.where("relation = 'calls'"), key, depth, forward)
+    found = around([step(edges.where("relation = 'calls'"))], one(edges, key), depth).where("depth > 0")
     named = found.join(nodes, found["node"] == nodes["key"])
     return named.select(F.col("id").alias("node_id"), "name", "kind", "filepath", "start_line", "end_line", F.lit(depth).alias("call_depth"), F.col("depth").alias("min_depth")).orderBy("name", "node_id")
 
 
 def callees(nodes: DataFrame, edges: DataFrame, key: int, depth: int = 1) -> DataFrame:
     """Symbols that `key` reaches within `depth` calls."""
-    return callers(nodes, edges, key, depth, forward=True)
+    return callers(nodes, edges, key, depth, forward)
 
 
-def neighbors(edges: DataFrame, key: int, relation: str | None = None, depth: int = 1) -> DataFrame:
-    """Symbols within `depth` steps in either direction: node, score (one over the depth asked for), min_depth."""
+def neighbors(edges: DataFrame, key: int, relation: str | None = None, depth: int = 1, incoming: DataFrame | None = None) -> DataFrame:
+    """Symbols within `depth` steps in either direction: node, score (one over the depth asked for), min_depth. incoming: the same edges, bucketed by dst, if there are such."""
     depth = max(1, min(MAX_DEPTH, depth))
-    some = edges.where(F.col("relation") == relation) if relation else edges
-    both = some.select("src", "dst").union(some.select("dst", "src"))
-    return around(both, key, depth).select("node", F.lit(1.0 / depth).alias("score"), F.col("depth").alias("min_depth"))
+    some = lambda e: e.where(F.col("relation") == relation) if relation else e
+    found = around([forward(some(edges)), backward(some(edges if incoming is None else incoming))], one(edges, key), depth)
+    return found.where("depth > 0").select("node", F.lit(1.0 / depth).alias("score"), F.col("depth").alias("min_depth"))
 
 
 def is_test(path: Column) -> Column:
@@ -134,11 +173,9 @@ def impact(nodes: DataFrame, edges: DataFrame, asked: DataFrame, depth: int = 3,
 
 def blast_radius(edges: DataFrame, changed: DataFrame, depth: int = 3, most: int = 50) -> DataFrame:
     """The `most` symbols nearest to changed ones by reversed calls and imports: node, impact_score 1 / (distance + 1), confidence of the whole list; changed ones score 1."""
-    # one root: what matters is the distance to the nearest changed symbol
-    some = edges.where("relation in ('calls', 'imports')").select("src", "dst")
-    start = changed.select(F.lit(-1).cast("long").alias("src"), F.col("key").alias("dst")).distinct()
-    found = around(some.select("dst", "src").toDF("src", "dst").union(start), -1, depth + 1)
-    scored = found.select("node", F.expr("1.0D / greatest(depth, 1)").alias("impact_score"))
+    # what matters is the distance to the nearest changed symbol, so all start at once
+    found = around([backward(edges.where("relation in ('calls', 'imports')"))], changed.select(F.col("key").alias("node")), depth)
+    scored = found.select("node", F.expr("1.0D / (depth + 1)").alias("impact_score"))
     return with_confidence(scored.orderBy(F.desc("impact_score"), "node").limit(most), 20)
 
 
@@ -218,44 +255,75 @@ def module_details(nodes: DataFrame, module_pairs: DataFrame) -> DataFrame:
     return out.select("module", "n_symbols", "kinds", F.coalesce("children", F.lit("")).alias("children"), zero("n_calls"), zero("n_called_by"))
 
 
-def module_rings(module_pairs: DataFrame, most: int = 64) -> DataFrame:
-    """(module, ring): modules that reach each other by calls, through any number of others; ring is the smallest of them.
+def module_rings(module_pairs: DataFrame) -> DataFrame:
+    """(module, ring): modules that reach each other by calls, through any number of others; ring is the smallest of them."""
+    return components(module_pairs.select(F.col("src_module").alias("src"), F.col("dst_module").alias("dst"))).toDF("module", "ring")
+
+
+#: Rounds of trimming before nodes are coloured.
+TRIMS = 2
 
-    Reachability between modules, doubled each round until nothing is new (rounds are logarithmic in the longest path). It is quadratic in modules that
-    call each other, which are directories, not symbols; `most` bounds the rounds.
-    """
-    reach = cut(module_pairs.select("src_module", "dst_module").distinct())
-    n = reach.count()
-    for _ in range(most):
-        further = reach.toDF("src_module", "via").join(reach.toDF("via", "dst_module"), "via").select("src_module", "dst_module")
-        reach, before = cut(reach.union(further).distinct()), n
-        n = reach.count()
-        if n == before:
-            break
-    a = reach.toDF("module", "other")
-    both = a.join(reach.toDF("other", "module"), ["module", "other"]).where("module <> other")
-    return both.groupBy("module").agg(F.least("module", F.min("other")).alias("ring"))
 
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component) of every node in a cycle of edges (src, dst): strongly connected components of two nodes or more, each named by its smallest node.
 
-def level_rows(tasks: DataFrame, most: int = 64) -> DataFrame:
+    Nodes that nothing leads to, or from, are trimmed. Every other node takes the smallest node that leads to it as its colour; from the node that gave a colour
+    its component is marked backwards, within the colour. Marked nodes and edges between colours go, and what is left goes round again. No
+    round holds more rows than there are edges. Edges from a node to itself count for nothing; nulls are no nodes.
+    """
+    e = cut(edges.select("src", "dst").where("src <> dst").distinct())
+    out = None
+    while True:
+        for _ in range(TRIMS):
+            e = e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
+        e = cut(e)
+        if e.isEmpty():
+            return e.select(F.col("src").alias("node"), F.col("src").alias("component")) if out is None else out
+        colour = cut(e.select(F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("colour", F.col("node")))
+        while True:
+            offered = e.join(colour.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("colour").alias("offer"))
+            tried = cut(colour.join(offered, "node", "left").select("node", F.least("colour", "offer").alias("colour"), (F.col("offer") < F.col("colour")).alias("changed")))
+            colour = tried.select("node", "colour")
+            if tried.where("changed").isEmpty():
+                break
+        e = e.join(colour.toDF("src", "colour"), "src").join(colour.toDF("dst", "to"), "dst").where("colour = to").select("src", "dst", "colour")
+        e = cut(e)
+        fresh = marked = cut(colour.where("node = colour"))
+        while True:
+            back = e.join(fresh.select(F.col("node").alias("dst")), "dst").select(F.col("src").alias("node"), "colour").distinct()
+            fresh = cut(back.join(marked, "node", "left_anti"))
+            if fresh.isEmpty():
+                break
+            marked = cut(marked.union(fresh))
+        several = marked.groupBy("colour").count().where("count > 1").select("colour")
+        found = marked.join(several, "colour", "left_semi").select("node", F.col("colour").alias("component"))
+        out = cut(found) if out is None else cut(out.union(found))
+        gone = marked.select("node")
+        e = cut(e.join(gone.toDF("src"), "src", "left_anti").join(gone.toDF("dst"), "dst", "left_anti").select("src", "dst"))
+
+
+def level_rows(tasks: DataFrame) -> DataFrame:
     """plan_levels() for tables of plans: plan, task_id, priority, depends_on array -> plan, level, task_id; a round of joins for each level.
 
-    Ready are tasks all of whose known dependencies are done; where a plan has none, its task of the smallest priority (then id) is.
+    Ready are tasks all of whose known dependencies are done; where a plan has none, its task of the smallest priority (then id) is. So every round takes a
+    task of each plan that has any left, and the rounds end when none is left.
     """
-    t = tasks.select("plan", "task_id", "priority")
-    needs = tasks.select("plan", "task_id", F.explode("depends_on").alias("needs")).where("needs <> task_id").distinct()
-    needs = needs.join(t.select("plan", F.col("task_id").alias("needs")), ["plan", "needs"], "left_semi")
-    t, needs, done = cut(t), cut(needs), None
-    for level in range(1, most + 1):
-        left = t if done is None else t.join(done, ["plan", "task_id"], "left_anti")
-        unmet = needs if done is None else needs.join(done.select("plan", F.col("task_id").alias("needs")), ["plan", "needs"], "left_anti")
+    left = cut(tasks.select("plan", "task_id", "priority"))
+    unmet = tasks.select("plan", "task_id", F.explode("depends_on").alias("needs")).where("needs <> task_id").distinct()
+    unmet = cut(unmet.join(left.select("plan", F.col("task_id").alias("needs")), ["plan", "needs"], "left_semi"))
+    done, level, few = left.select("plan", F.lit(0).alias("level"), "task_id").limit(0), 0, []
+    while not left.isEmpty():
+        level += 1
         ready = left.join(unmet.select("plan", "task_id").distinct(), ["plan", "task_id"], "left_anti")
         stuck = left.join(ready.select("plan").distinct(), "plan", "left_anti").groupBy("plan").agg(F.min(F.struct("priority", "task_id")).alias("x")).select("plan", F.col("x.task_id").alias("task_id"))
-        now = cut(ready.select("plan", "task_id").union(stuck).withColumn("level", F.lit(level)))
-        if now.isEmpty():
-            break
-        done = now if done is None else done.union(now)
-    return t.select("plan", F.lit(0).alias("level"), "task_id").limit(0) if done is None else done.select("plan", "level", "task_id")
+        now = cut(ready.select("plan", "task_id").union(stuck))
+        few.append(now.select("plan", F.lit(level).alias("level"), "task_id"))
+        left = cut(left.join(now, ["plan", "task_id"], "left_anti"))
+        unmet = unmet.join(now.withColumnRenamed("task_id", "needs"), ["plan", "needs"], "left_anti").join(now, ["plan", "task_id"], "left_anti")
+        unmet = cut(unmet.select("plan", "task_id", "needs"))
+        if len(few) == 16:  # a plan doesn't grow with the levels
+            done, few = cut(reduce(DataFrame.union, few, done)), []
+    return reduce(DataFrame.union, few, done)
 
 
 def plan_levels(tasks: list[tuple[str, list[str], int]]) -> list[list[str]]:

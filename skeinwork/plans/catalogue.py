@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from skeinwork.operators import analysis, bridge, catalog, context, docs, memory, relational, traversal
+from skeinwork.operators import analysis, bridge, catalog, context, docs, memory, relational, traversal, vector_index
 from skeinwork.plans.registry import ORACLES, QUERIES, query
 from skeinwork.sources import tables
-from skeinwork.sources.stored import graph
+from skeinwork.sources.stored import graph, stamp
 from skeinwork.sources.tables import TURNS, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -50,12 +50,14 @@ _BOTH = "(SELECT src, dst FROM {e} UNION ALL SELECT dst, src FROM {e})"
 
 @query(_REACH.format(root=ROOT, edges=_BOTH.format(e="g_edges"), by="src", to="dst", depth=2) + "SELECT node, 0.5::DOUBLE AS score, CAST(d AS INTEGER) AS min_depth FROM m", recursive=True)
 def neighbors_depth2(spark, d):
-    return traversal.neighbors(graph(spark, d).outgoing, ROOT, None, 2)
+    g = graph(spark, d)
+    return traversal.neighbors(g.outgoing, ROOT, None, 2, g.incoming)
 
 
 @query(_REACH.format(root=ROOT, edges=_BOTH.format(e="g_contains"), by="src", to="dst", depth=1) + "SELECT node, 1.0::DOUBLE AS score, CAST(d AS INTEGER) AS min_depth FROM m", recursive=True)
 def neighbors_contains(spark, d):
-    return traversal.neighbors(graph(spark, d).outgoing, ROOT, "contains", 1)
+    g = graph(spark, d)
+    return traversal.neighbors(g.outgoing, ROOT, "contains", 1, g.incoming)
 
 
 _IMPACT = """+ asked AS (SELECT key AS root FROM g_nodes WHERE {asked}),
@@ -175,6 +177,26 @@ def module_rings(spark, d):
     return traversal.module_rings(_module_edges(spark, d))
 
 
+_RING = """, r(a, b) AS (SELECT src, dst FROM k UNION SELECT r.a, k.dst FROM r JOIN k ON k.src = r.b)
+SELECT x.a AS {name}, least(x.a, min(x.b)) AS ring FROM r x JOIN r y ON x.a = y.b AND x.b = y.a WHERE x.a <> x.b GROUP BY x.a"""
+
+
+@query(_MODULES + ", k AS (SELECT src_module AS src, dst_module AS dst FROM q WHERE string_split(src_module, '/')[1] = string_split(dst_module, '/')[1])" + _RING.format(name="module"), recursive=True)
+def package_rings(spark, d):
+    """Rings of modules within one package, the first folder of their paths."""
+    first = lambda c: F.split(c, "/")[0]
+    return traversal.module_rings(_module_edges(spark, d).where(first("src_module") == first("dst_module")))
+
+
+@query(_MODULES + ", k AS (SELECT c.src, c.dst FROM g_calls c JOIN m a ON a.key = c.src JOIN m b ON b.key = c.dst WHERE a.module = b.module)" + _RING.format(name="node"), recursive=True)
+def recursive_symbols(spark, d):
+    """Symbols that call each other in a ring within their module."""
+    g = graph(spark, d)
+    m = g.nodes.select("key", traversal.module_of(F.col("filepath")).alias("module"))
+    calls = g.outgoing.where("relation = 'calls'").join(m.toDF("src", "a"), "src").join(m.toDF("dst", "b"), "dst").where("a = b")
+    return traversal.components(calls).toDF("node", "ring")
+
+
 @query("SELECT conv_id AS plan, CAST(CASE WHEN conv_id % 5 = 0 THEN r + 1 ELSE r % 3 + 1 END AS INTEGER) AS level, 't' || r AS task_id FROM (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS r FROM conversations)", views=False)
 def dag_levels(spark, d):
     """Turns as tasks: each third one needs nothing, others the one before; every fifth conversation is a ring, which breaks at its first turn."""
@@ -475,6 +497,47 @@ def vector_topk_filtered(spark, d):
     return relational.nearest(table(spark, d, "embeddings"), _Q, condition="label in (1, 2)")
 
 
+_INDEXES: dict[tuple, vector_index.VectorIndex] = {}
+
+
+def _index(spark, d):
+    """The vectors' index, built once for a session and folder."""
+    key = (spark.sparkContext.applicationId, d, *stamp(spark, f"{d}/embeddings.parquet"))
+    if key not in _INDEXES:
+        _INDEXES[key] = vector_index.vector_index(table(spark, d, "embeddings"), "embedding", "vec_id")
+    return _INDEXES[key]
+
+
+@query(f"SELECT vec_id, label, {_COS.format(_Q)} AS score FROM embeddings ORDER BY score DESC, vec_id LIMIT 10", views=False)
+def vector_index_topk(spark, d):
+    """vector_topk by the index, exactly."""
+    return _index(spark, d).search(_Q, exact=True).select("vec_id", "label", "score")
+
+
+@query(f"SELECT vec_id, label, {_COS.format(_Q)} AS score FROM embeddings WHERE label IN (1, 2) ORDER BY score DESC, vec_id LIMIT 10", views=False)
+def vector_index_filtered(spark, d):
+    return _index(spark, d).search(_Q, condition="label in (1, 2)", exact=True).select("vec_id", "label", "score")
+
+
+_PAIRS = "SELECT q.vec_id AS query_id, e.vec_id AS id, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 5) AS score FROM embeddings e JOIN embeddings q ON q.vec_id % 50 = 0"
+
+
+def _asked(spark, d):
+    return table(spark, d, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+
+
+@query(f"SELECT query_id, id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM ({_PAIRS}) QUALIFY rank <= 10", views=False)
+def vector_index_all(spark, d):
+    """The ten nearest of all vectors to each whose number 50 divides, exactly."""
+    return _index(spark, d).search_all(_asked(spark, d), exact=True).drop("list")
+
+
+@query()
+def vector_index_probed(spark, d):
+    """The same from the nearest lists alone, as many as the index was tuned to; the tests measure its recall."""
+    return _index(spark, d).search_all(_asked(spark, d)).drop("list")
+
+
 @query("SELECT e.vec_id, e.label, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 5) AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 42) q WHERE round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 5) > 0.5", views=False)
 def vector_threshold(spark, d):
     e = table(spark, d, "embeddings")

@@ -18,12 +18,12 @@ from skeinwork.sources import tables
 BUCKET_ROWS, MOST_BUCKETS = 200_000, 16_384
 
 
-def put(df: DataFrame, key: str, n: int, *parts: str) -> DataFrame:
-    """df as a table in n buckets, sorted by their key, in the shared folder; it goes when the driver ends."""
+def put(df: DataFrame, key: str, n: int, *parts: str, deal: list[str] | None = None) -> DataFrame:
+    """df as a table in n buckets, sorted by their key, in the shared folder; it goes when the driver ends. deal: what rows are dealt over tasks by, if a key's rows are too many for one."""
     spark = df.sparkSession
     name = f"skeinwork_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/skeinwork/{name}"
-    writer = df.repartition(n, key).sortWithinPartitions(*parts, key).write.format("parquet").option("path", path).bucketBy(n, key).sortBy(key)
+    writer = df.repartition(n, *(deal or [key])).sortWithinPartitions(*parts, key).write.format("parquet").option("path", path).bucketBy(n, key).sortBy(key)
     (writer.partitionBy(*parts) if parts else writer).saveAsTable(name)
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
@@ -62,7 +62,7 @@ class StoredGraph:
 _stores: dict[tuple, StoredGraph] = {}
 
 
-def _stamp(spark: SparkSession, path: str) -> tuple:
+def stamp(spark: SparkSession, path: str) -> tuple:
     """Length and time of a table's files, so that a changed table is stored anew."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -79,7 +79,7 @@ def _stamp(spark: SparkSession, path: str) -> tuple:
 
 def graph(spark: SparkSession, sf_dir: str) -> StoredGraph:
     """The bundled tables' graph, stored as a session needs it."""
-    key = (spark.sparkContext.applicationId, sf_dir, *(_stamp(spark, f"{sf_dir}/{t}.parquet") for t in ("part", "lineitem")))
+    key = (spark.sparkContext.applicationId, sf_dir, *(stamp(spark, f"{sf_dir}/{t}.parquet") for t in ("part", "lineitem")))
     if key not in _stores:
         parts, lines = (tables.table(spark, sf_dir, t).count() for t in ("part", "lineitem"))
         _stores[key] = StoredGraph(tables.nodes(spark, sf_dir), tables.edges(spark, sf_dir), parts, 2 * lines)

@@ -105,6 +105,37 @@ def test_module_rings(spark):
     assert found(traversal.module_rings(pairs), "module", "ring") == [(x, "a") for x in "abc"] + [(x, "d") for x in "def"]
 
 
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.sets(st.tuples(st.integers(0, 9), st.integers(0, 9)), max_size=18))
+def test_components_are_strong(spark, pairs):
+    after = {n: {b for a, b in pairs if a == n} for n in range(10)}
+    for _ in range(10):
+        after = {n: x.union(*(after[m] for m in x)) for n, x in after.items()}
+    ring = {n: min([n] + [m for m in after[n] if n in after[m]]) for n in range(10)}
+    want = sorted((n, r) for n, r in ring.items() if sum(v == r for v in ring.values()) > 1)
+    assert found(traversal.components(edges(spark, pairs)), "node", "component") == want
+
+
+def test_levels_have_no_end(spark):
+    """A chain longer than any bound on rounds that there once was."""
+    rows = [("p", f"t{i:03}", i, [f"t{i - 1:03}"] if i else []) for i in range(66)]
+    got = traversal.level_rows(spark.createDataFrame(rows, "plan string, task_id string, priority int, depends_on array<string>"))
+    assert found(got, "level", "task_id") == [(i + 1, f"t{i:03}") for i in range(66)]
+
+
+@pytest.mark.parametrize("few", [0, 2, 1000])
+def test_frontiers_of_any_size(spark, monkeypatch, few):
+    """Frontiers that are looked up and such that are joined find the same; keys below zero are keys like others."""
+    monkeypatch.setattr(traversal, "FEW", few)
+    e = edges(spark, [(-1, 2), (3, -1), (3, 2), (5, 3), (5, 5), (6, 5), (7, 6), (2, 3)])
+    n = nodes(spark, [-1, 2, 3, 5, 6, 7])
+    assert found(traversal.callers(n, e, 2, 3), "node_id", "min_depth") == [("n-1", 1), ("n3", 1), ("n5", 2), ("n6", 3)]
+    assert found(traversal.neighbors(e, -1, None, 2), "node", "min_depth") == [(2, 1), (3, 1), (5, 2)]
+    got = traversal.blast_radius(e, spark.createDataFrame([(2,), (2,), (None,)], "key long"))
+    assert found(got, "node", "impact_score") == [(-1, 0.5), (2, 1.0), (3, 0.5), (5, 1 / 3), (6, 0.25)]
+    assert traversal.blast_radius(e, spark.createDataFrame([], "key long")).count() == 0
+
+
 LAYERS = "node_id long, summary string", "component_id long, data_flow string", "module_path string, architectural_role string"
 
 
@@ -170,6 +201,16 @@ def test_merges(spark):
     assert found(relational.diff(new, old, "id", "s"), "id", "status") == [(1, "deleted"), (2, "changed"), (3, "new")]
 
 
+def test_keys_that_repeat_in_a_batch(spark):
+    old = spark.createDataFrame([("a", "r", "me", "x", 1, False)], "id string, repo_id string, author string, title string, updated_at int, pending_sync boolean")
+    new = spark.createDataFrame([("b", "r", "", "first", 2, False), ("b", "r", "", "last", 3, False), ("b", "r", "", "last", 3, False), ("a", "r", "you", "y", 2, False)], old.schema)
+    assert found(memory.remembered(old, new, "me", team=True), "id", "author", "title", "pending_sync") == [("a", "you", "y", True), ("b", "me", "last", True)]
+    for kind in ("attempt", "convention", "decision"):
+        assert found(memory.synced(old, new, kind), "id", "title") == [("a", "x" if kind == "attempt" else "y"), ("b", "last")]
+    stored = docs.stored_embeddings(nodes(spark, [1]), spark.createDataFrame([(1, [0.0])], "key long, vector array<double>"), spark.createDataFrame([(1, [1.0]), (1, [2.0])], "key long, vector array<double>"), 1)
+    assert found(stored, "key", "vector") == [(1, [2.0])]
+
+
 def test_cosine_guards(spark):
     rows = [([1.0, 0.0], [1.0, 0.0], 1.0), ([1.0], [1.0, 2.0], 0.0), ([], [], 0.0), ([0.0, 0.0], [1.0, 1.0], 0.0)]
     df = spark.createDataFrame(rows, "a array<double>, b array<double>, want double")
