@@ -11,9 +11,10 @@ that has been built is found by its list, so texts that differ only in what can'
 Spaces are characters like others. A run of them is cut into the longest pieces of spaces and a rest, as their scores tie below all others, and its last
 space begins the word behind it, if some piece goes on from it there; a state in a run knows the run's length modulo the longest piece.
 
-A text is cut into chunks, between words where it can be. A chunk's state map has, for the states in which the chunk can begin, the
-state in which it ends and the tokens that it emits; where a chunk begins with a space, all states lead to the same. Maps are
-composed pairwise, neighbour with neighbour, in log2(chunks) rounds of a prefix scan, and the map of the whole text is read off at the start state.
+A text is cut into chunks of one length, in the midst of words too. A chunk's state map has, for the states in which the chunk can begin, the state in which it ends and
+the tokens that it emits. It is made without the chunk before: at the first space behind another character all states become one, so what differs is the few characters
+up to there, which are run from each state that can come of the characters left of the cut (a state that wasn't foreseen is run when it is asked for). Maps are composed
+pairwise, neighbour with neighbour, and a prefix scan of log2(chunks) rounds up and down gives the tokens up to each chunk's end.
 
 Defined cases: null and empty texts have no tokens; a character that is in no piece counts its UTF-8 bytes (byte
 fallback); U+2581 in a text counts as a space, as in the library; repeated rows are each counted; texts of any length are counted whole; an
@@ -23,8 +24,8 @@ empty table gives no rows; columns other than doc_id and text, whatever their na
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
-from dataclasses import dataclass
+import re
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -33,8 +34,12 @@ from skeinwork.llm.common import Memo, docs_of, read_table, text_slices
 from skeinwork.llm.pieces import MARK, WORD, Vocabulary
 
 LIMIT = 4096
-#: Characters of a chunk of a text; half as many again where no word ends before.
+#: Characters of a chunk of a text.
 CHUNK = 1 << 12
+#: Characters before a chunk from which it guesses the states in which it can begin, and places among them at which a beginning is supposed.
+LEFT, BEGINNINGS = 32, 6
+#: A space behind another character: whatever stands before, from here on a text's states are the same.
+SYNC = re.compile(r"[^ ] ")
 #: States that are held; beyond, the transducer is built anew.
 STATES = 300_000
 UNKNOWN = -1
@@ -190,44 +195,46 @@ class Transducer:
         return s, total
 
 
-@dataclass(frozen=True)
 class ChunkMap:
-    """What a chunk does: `table` has the last state and the tokens emitted for states in which it can begin, `others` for every other state,
-    where all of those lead to the same (a chunk that begins with a space after another character)."""
+    """What a piece of text does to any state in which it can begin: the state in which it ends, and the tokens emitted.
 
-    table: dict[int, tuple[int, int]]
-    others: tuple[int, int] | None = None
+    `head` (parts of a text) runs up to the first space that stands behind another character; from there on all states are one, so the rest is one entry, `tail`, which
+    is None if there is no such space. `table` has the states that were tabulated; others that are asked for are run through the head and tabulated then.
+    """
+
+    __slots__ = ("transducer", "head", "tail", "table")
+
+    def __init__(self, transducer: Transducer, head: tuple[str, ...], tail: tuple[int, int] | None, states: Iterable[int] = ()):
+        self.transducer, self.head, self.tail, self.table = transducer, head, tail, {}
+        for s in states:
+            self(s)
 
     def __call__(self, s: int) -> tuple[int, int]:
-        found = self.table.get(s, self.others)
+        found = self.table.get(s)
         if found is None:
-            raise KeyError(f"no chunk before can end in state {s}")
+            t, total = s, 0
+            for part in self.head:
+                t, n = self.transducer.run(t, part)
+                total += n
+            found = self.table[s] = (t, total) if self.tail is None else (self.tail[0], total + self.tail[1])
         return found
 
-    def ends(self) -> set[int]:
-        """The states in which the chunk can end."""
-        return {t for t, _ in self.table.values()} | ({self.others[0]} if self.others else set())
-
     def then(self, b: ChunkMap) -> ChunkMap:
-        """The map of this chunk followed by chunk b. Associative."""
-
-        def on(at: tuple[int, int]) -> tuple[int, int]:
-            t, n = b(at[0])
-            return t, at[1] + n
-
-        return ChunkMap({s: on(at) for s, at in self.table.items()}, self.others and on(self.others))
+        """The map of this piece followed by b. Associative; every state of this table is in the new one."""
+        if self.tail is None:
+            out = ChunkMap(self.transducer, self.head + b.head, b.tail)
+        else:
+            t, n = b(self.tail[0])
+            out = ChunkMap(self.transducer, self.head, (t, self.tail[1] + n))
+        for s, (t, n) in self.table.items():
+            end, more = b(t)
+            out.table[s] = (end, n + more)
+        return out
 
 
 def chunks(text: str, size: int) -> list[str]:
-    """A text in parts of `size` characters and the word that is begun there, if it ends within half as many again."""
-    out, at = [], 0
-    while at < len(text):
-        end = at + size
-        while end < len(text) and end < at + size + size // 2 + 1 and not (text[end] == " " and text[end - 1] != " "):
-            end += 1
-        out.append(text[at:end])
-        at = end
-    return out
+    """A text in parts of `size` characters, wherever that cuts words."""
+    return [text[i : i + size] for i in range(0, len(text), size)]
 
 
 class Counter:
@@ -248,37 +255,53 @@ class Counter:
             self.memo[w] = self.word(w)
         return sum(map(self.memo.__getitem__, words))
 
-    def chunk(self, text: str, begins: set[int]) -> ChunkMap:
-        """The state map of a chunk that can begin in the states `begins`."""
-        run, s = self.transducer.run, next(iter(begins))
-        if text[0] == " " and not any(map(self.transducer._spaces, begins)):
-            *words, last = WORD.findall(text)
-            end, n = run(s, last.replace(" ", MARK))
-            return ChunkMap({}, (end, n + self.words(words)))
-        # it begins inside a word or a run of spaces: these characters depend on the state, words behind them don't
-        first = next((i for i in range(1, len(text)) if text[i] == " " and text[i - 1] != " "), len(text))
-        head = ChunkMap({s: run(s, text[:first].replace(" ", MARK)) for s in begins})
-        return head if first == len(text) else head.then(self.chunk(text[first:], head.ends()))
+    def begins(self, left: str) -> set[int]:
+        """States in which a chunk can begin behind the characters `left`: those that come of a beginning at each of some places in them."""
+        return {self.transducer.run(0, left[i:].replace(" ", MARK))[0] for i in range(0, len(left), max(1, len(left) // BEGINNINGS))}
+
+    def chunk(self, text: str, left: str = "") -> ChunkMap:
+        """The state map of a chunk, from itself and the few characters before it alone; without these it is a text's first, which begins in state 0."""
+        if text[0] == " " and left[-1:] != " ":
+            first = 0
+        else:
+            m = SYNC.search(text)
+            first = m.start() + 1 if m else len(text)
+        head = (text[:first].replace(" ", MARK),) if first else ()
+        tail = None
+        if first < len(text):
+            *words, last = WORD.findall(text[first:])
+            end, n = self.transducer.run(0, last.replace(" ", MARK))
+            tail = (end, n + self.words(words))
+        return ChunkMap(self.transducer, head, tail, self.begins(left) if left else (0,))
 
     def maps(self, text: str) -> list[ChunkMap]:
-        out, begins = [], {0}
-        for part in chunks(text, CHUNK):
-            out.append(self.chunk(part, begins))
-            begins = out[-1].ends()
-        return out
+        """A map for each chunk. None needs another, so they can be made in any order."""
+        return [self.chunk(part, text[max(0, i * CHUNK - LEFT) : i * CHUNK]) for i, part in enumerate(chunks(text, CHUNK))]
 
     @staticmethod
-    def scan(maps: list[ChunkMap]) -> ChunkMap:
-        """The map of all chunks, composed in rounds of neighbours."""
-        while len(maps) > 1:
-            maps = [maps[i].then(maps[i + 1]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
-        return maps[0]
+    def scan(maps: list[ChunkMap], start: int = 0) -> list[tuple[int, int]]:
+        """The state and the tokens so far behind every chunk, by a prefix scan: neighbours' maps are composed in log2(chunks) rounds, then what holds before a
+        composed pair is handed down to its halves in as many."""
+        rounds = [maps]
+        while len(rounds[-1]) > 1:
+            m = rounds[-1]
+            rounds.append([m[i].then(m[i + 1]) if i + 1 < len(m) else m[i] for i in range(0, len(m), 2)])
+        before = [(start, 0)]
+        for m in reversed(rounds[:-1]):
+            down: list[tuple[int, int]] = []
+            for i, (s, n) in enumerate(before):
+                down.append((s, n))
+                if 2 * i + 1 < len(m):
+                    t, more = m[2 * i](s)
+                    down.append((t, n + more))
+            before = down
+        return [(m(s)[0], n + m(s)[1]) for m, (s, n) in zip(maps, before)]
 
     def many(self, texts: list[str]) -> list[int]:
         """Tokens of each text."""
         if len(self.transducer.states) > STATES:
             self.transducer._reset()
-        return [self.scan(self.maps(" " + t.replace(MARK, " ")))(0)[1] if t else 0 for t in texts]
+        return [self.scan(self.maps(" " + t.replace(MARK, " ")))[-1][1] if t else 0 for t in texts]
 
 
 _counters: dict[str, Counter] = {}

@@ -288,16 +288,37 @@ def test_chunk_maps_compose(strings, size, monkeypatch):
     want = [c.transducer.run(0, (" " + t).replace(" ", "▁"))[1] if t else 0 for t in some]
     monkeypatch.setattr(token_counts, "CHUNK", size)
     assert c.many(some) == want
+    several = 0
     for t in some[:60]:
         if t:  # maps are functions of states, and any order of composition gives the same
             maps = c.maps(" " + t.replace("▁", " "))
-            left, state, total = maps[0], 0, 0
+            left, state, total, passed = maps[0], 0, 0, []
             for m in maps[1:]:
                 left = left.then(m)
             for m in maps:
+                several += len(m.table) > 1
                 state, n = m(state)
                 total += n
-            assert left(0) == c.scan(maps)(0) == (state, total)
+                passed.append((state, total))
+            assert left(0) == (state, total) and c.scan(maps) == passed
+    assert several > 20 or size == 50  # texts of one chunk begin in one state
+
+
+def test_chunk_maps_are_made_in_any_order(strings):
+    """Random chunkings, chunks taken in random order, random neighbours composed, from every state that the transducer has been in."""
+    rng, c = random.Random(11), token_counts.Counter(Vocabulary(PIECES))
+    for text in [*(x for x in strings[:120] if len(x) > 3), "a" * 300, "的" * 200 + " x" * 50, "ab c" * 100]:
+        text = " " + text.replace("▁", " ")
+        cuts = sorted({0, len(text), *(rng.randrange(len(text)) for _ in range(rng.randrange(1, 9)))})
+        spans = [*zip(cuts, cuts[1:])]
+        made = {k: c.chunk(text[slice(*spans[k])], text[max(0, spans[k][0] - token_counts.LEFT) : spans[k][0]]) for k in rng.sample(range(len(spans)), len(spans))}
+        maps = [made[k] for k in range(len(spans))]
+        begin = [s for s in rng.sample(range(len(c.transducer.states)), min(20, len(c.transducer.states))) if not c.transducer._spaces(s)]
+        while len(maps) > 1:
+            i = rng.randrange(len(maps) - 1)
+            maps[i : i + 2] = [maps[i].then(maps[i + 1])]
+        for s in {0, *begin}:
+            assert maps[0](s) == c.transducer.run(s, text.replace(" ", "▁"))
 
 
 def test_chunks_are_the_text():
