@@ -1,14 +1,17 @@
-"""Near-duplicates by the Jaccard similarity of five-word shingles: SimHash and Golay keys, joined by minhash keys, then verified.
+"""Near-duplicates by the Jaccard similarity of five-word shingles: SimHash and Golay keys, joined by minhash keys, verified inside the keys, then by whole sets.
 
 Texts whose sets of shingles have a similarity of LEAST or more are linked; components of linked texts are found:
 
 1. Texts of one set are a class, named by a hash of the set. Only classes enter the next steps.
-2. A class has the Golay keys of its set's SimHash fingerprint, which texts within two bits share, and BANDS keys of ROWS minima each
-   of the set's permutations: a pair at similarity s shares one of these with probability 1 - (1 - s ** ROWS) ** BANDS, 0.999997 at 0.8 and
-   more above it. Golay keys alone can't do it: at 0.8 a fingerprint's bits differ with probability 0.15, ten of 64.
-3. Members of a key become a star, and components of the stars are candidates. A candidate component is cut into parts of about PART classes,
-   and every two parts come together in a task, which compares classes that share a key by their whole sets until they
-   are in one component. So every pair that shares a key is compared or already joined, a task never holds more than two parts, and pairs are never rows.
+2. Candidates are linked inside keys. Classes whose sets' SimHash fingerprints are within two bits are linked by Golay keys, as in simhash. Beside these a class has BANDS
+   keys of ROWS minima each of the set's permutations: a pair at similarity s shares one of these with probability 1 - (1 - s ** ROWS) ** BANDS, 0.999997 at
+   0.8 and more above it. Golay keys alone can't do it: at 0.8 a fingerprint's bits differ with probability 0.15, ten of 64. Members of a band's key are
+   linked if their sketches (a byte of each minimum) are near: a member that is within NEAR of no representative becomes one, and a member is linked with all that are within
+   2 * NEAR, so by the triangle inequality two members within NEAR, as pairs at 0.8 are but for one in a million, are linked. Members that only share a key stay apart. A key of
+   more than CAP members links them all: no task holds more, and no link is lost.
+3. Components of these links are candidates. A component is cut into parts of about PART classes, and every two parts come together in a task, which compares
+   classes that share a key by their whole sets until they are in one component. So every pair of candidates that shares a key is compared or already joined, a
+   task never holds more than two parts, and pairs are never rows.
 4. Components of the true links are found as in simhash.
 
 Defined cases: words are white-space bytes apart, A-Z in lower case; fewer words than a shingle are one shingle; null and wordless texts
@@ -27,13 +30,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skeinwork.llm.common import Work, spread_join, text_slices, utf8, written
-from skeinwork.llm.simhash import SEED, _mixed, components, golay_keys, majority
+from skeinwork.llm.simhash import SEED, _mixed, components, golay_keys, links, majority
 
 WIDTH = 5
 LEAST = 0.8
 BANDS, ROWS = 32, 5
 #: Classes of a candidate component that are compared in one task with as many others.
 PART = 128
+#: Members of a key that a task holds; the share of a sketch's bytes in which two members that are near may differ.
+CAP, NEAR = 4096, 0.35
 
 _random = np.random.default_rng(SEED)
 FLIPS = _random.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
@@ -78,14 +83,20 @@ def fuzzy_keys(sets: list[np.ndarray]) -> list[np.ndarray]:
     return out
 
 
-def keys_of(grams: np.ndarray) -> np.ndarray:
-    """The band keys of a set; none of the empty set."""
-    if not len(grams):
-        return np.zeros(0, dtype=np.int64)
+def minima(grams: np.ndarray) -> np.ndarray:
+    """The least image of a set under each permutation."""
     low, least = (grams >> np.uint64(32)).astype(np.uint32), np.full(BANDS * ROWS, 0xFFFFFFFF, dtype=np.uint32)
     for i in range(0, len(low), 1024):
         mixed = (low[None, i : i + 1024] ^ FLIPS[:, None]) * FACTORS[:, None]
         np.minimum(least, (mixed ^ mixed >> np.uint32(15)).min(axis=1), out=least)
+    return least
+
+
+def keys_of(grams: np.ndarray, least: np.ndarray | None = None) -> np.ndarray:
+    """The band keys of a set; none of the empty set."""
+    if not len(grams):
+        return np.zeros(0, dtype=np.int64)
+    least = minima(grams) if least is None else least
     bands = (least.reshape(BANDS, ROWS).astype(np.uint64) * WEIGHTS[None, :]).sum(axis=1, dtype=np.uint64)
     return _mixed(bands + np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
@@ -101,18 +112,20 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """id, doc_id, cls and keys of every row."""
+    """id, doc_id, cls, fp, keys and sketch of every row; no keys of the empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, raw in text_slices(batch, 2):
                 sets = [shingles(x) for x in raw]
-                keys = [np.concatenate([a, keys_of(s)]) for a, s in zip(fuzzy_keys(sets), sets)]
-                columns = [pa.array(map(class_of, sets), pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], names=["id", "doc_id", "cls", "keys"])
+                least = [minima(s) for s in sets]
+                fps = np.array([majority(s) for s in sets], dtype=np.uint64).view(np.int64)
+                keys = [keys_of(s, m) for s, m in zip(sets, least)]
+                columns = [pa.array(map(class_of, sets), pa.int64()), pa.array(fps), pa.array(keys, pa.list_(pa.int64())), pa.array([m.astype(np.uint8).tobytes() for m in least], pa.binary())]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], names=["id", "doc_id", "cls", "fp", "keys", "sketch"])
 
     rows = docs.select(F.expr(ID).alias("id"), F.expr("CAST(doc_id AS BIGINT)").alias("doc_id"), F.expr(TEXT).alias("text"))
-    return rows.mapInArrow(run, "id long, doc_id long, cls long, keys array<long>")
+    return rows.mapInArrow(run, "id long, doc_id long, cls long, fp long, keys array<long>, sketch binary")
 
 
 def true_links(cls: list[int], sets: list[np.ndarray], parts: list[int], least: float = LEAST) -> list[tuple[int, int]]:
@@ -178,21 +191,72 @@ def _dealt(candidates: DataFrame, size: int = PART) -> DataFrame:
     return rows.select(F.explode(others).alias("task"), "cls", "part")
 
 
+def near_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over (key, cls, sketch) sorted by key: links between members whose sketches are near, enough of them for the components of all such."""
+    key, a, b = None, [], []
+    reps, names, root = np.zeros((0, BANDS * ROWS), np.uint8), [], []
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for batch in batches:
+        for k, cls, sketch in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            if k != key:
+                key, names, root = k, [], []
+            mine = np.frombuffer(sketch, np.uint8)
+            off = np.count_nonzero(reps[: len(names)] != mine, axis=1)
+            near = np.flatnonzero(off <= 2 * NEAR * len(mine)).tolist()
+            if near:
+                a.append(cls), b.append(names[near[0]])
+                for i in near[1:]:
+                    x, y = find(near[0]), find(i)
+                    if x != y:
+                        root[y] = x
+                        a.append(cls), b.append(names[i])
+            if not len(off) or off.min() > NEAR * len(mine):
+                if len(names) == len(reps):
+                    reps = np.concatenate([reps, np.zeros((max(16, len(reps)), BANDS * ROWS), np.uint8)])
+                reps[len(names)] = mine
+                root.append(find(near[0]) if near else len(names))
+                names.append(cls)
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            a, b = [], []
+
+
+def candidate_links(classes: DataFrame, work: Work, cap: int = CAP) -> DataFrame:
+    """Links (a, b) between classes (cls, fp, keys, sketch) that may be as similar as asked: near fingerprints by Golay keys, near sketches inside the bands' keys."""
+    some = classes.where(F.size("keys") > 0)
+    named = work.put(some.groupBy("fp").agg(F.min("cls").alias("name")), "jaccard-fingerprints")
+    same = spread_join(some.select("fp", "cls"), named, "fp", "cls").where("cls <> name").select(F.col("cls").alias("a"), F.col("name").alias("b"))
+    fuzzy = work.put(links(named.select("fp"), work), "jaccard-golay")
+    for end in ("a", "b"):
+        fuzzy = spread_join(fuzzy, named.toDF(end, "_name"), end, "a" if end == "b" else "b").drop(end).withColumnRenamed("_name", end)
+        fuzzy = work.put(fuzzy.select("a", "b"), "jaccard-golay")
+    bands = some.select(F.explode("keys").alias("key"), "cls")
+    shared = bands.groupBy("key").agg(F.min("cls").alias("least"), F.count("*").alias("n")).where("n > 1")
+    members = work.put(spread_join(bands, shared, "key", "cls"), "jaccard-members")
+    large = members.where((F.col("n") > cap) & (F.col("cls") != F.col("least"))).select(F.col("cls").alias("a"), F.col("least").alias("b"))
+    small = members.where(F.col("n") <= cap).select("key", "cls").join(some.select("cls", "sketch").hint("merge"), "cls").select("key", "cls", "sketch")
+    near = small.repartition("key").sortWithinPartitions("key").mapInArrow(near_members, "a long, b long")
+    return same.union(fuzzy).union(large).union(near).distinct()
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """id, doc_id, cls and head (the component's smallest linked class) of every row."""
     marked = written(sketches(docs), "jaccard-sketches")
     with Work(docs.sparkSession) as work:
-        classes = marked.groupBy("cls").agg(F.first("keys").alias("keys"))
-        bands = work.put(classes, "jaccard-classes").select(F.explode("keys").alias("key"), "cls")
-        shared = bands.groupBy("key").agg(F.min("cls").alias("b"), F.count("*").alias("n")).where("n > 1").select("key", "b")
-        stars = spread_join(bands, shared, "key", "cls").where("cls <> b").select(F.col("cls").alias("a"), "b").distinct()
-        near = components(work.put(stars, "jaccard-stars"))
+        classes = work.put(marked.groupBy("cls").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")), "jaccard-classes")
+        near = components(work.put(candidate_links(classes, work), "jaccard-candidate-links"))
         candidates = work.put(near.select(F.col("a").alias("cls"), F.col("b").alias("comp")).union(near.select("b", "b").distinct()), "jaccard-candidates")
         wanted = spread_join(_dealt(candidates), marked.groupBy("cls").agg(F.min("id").alias("rep")), "cls", "task")
         # a sort-merge join at every size: the candidates grow with the documents and mustn't be broadcast
         texts = docs.select(F.expr(ID).alias("rep"), F.expr(TEXT).alias("text")).join(wanted.hint("merge"), "rep").select("task", "cls", "part", "text")
-        links = work.put(texts.repartition("task").sortWithinPartitions("task").mapInArrow(_verified, "a long, b long"), "jaccard-links")
-        label = components(links).select(F.col("a").alias("cls"), F.col("b").alias("head"))
+        found = work.put(texts.repartition("task").sortWithinPartitions("task").mapInArrow(_verified, "a long, b long"), "jaccard-links")
+        label = components(found).select(F.col("a").alias("cls"), F.col("b").alias("head"))
     rows = marked.select("id", "doc_id", "cls")
     return spread_join(rows, label, "cls", "id", "left").select("id", "doc_id", "cls", F.coalesce("head", "cls").alias("head"))
 

@@ -651,3 +651,45 @@ def test_pipeline_against_its_parts(spark, sf):
         assert not [x for x in s.spans([(r["text"] or "").encode()])[0]] and r["n_chars"] == len(r["text"])
     drawn = {r["doc_id"] for r in mixing.weighted(hidden).where("kept").collect()}
     assert set(got) == drawn and drawn <= single
+
+
+CLASSES = "cls long, fp long, keys array<long>, sketch binary"
+
+
+def test_unlike_texts_that_share_keys_are_no_candidates(spark):
+    """Ten thousand unlike sets, each of which shares a key with the one before: no two are compared, so no text is moved."""
+    rng = np.random.default_rng(3)
+    rows = [(i, int(rng.integers(-(1 << 62), 1 << 62)), [i, i + 1], rng.integers(0, 256, 160, dtype=np.uint8).tobytes()) for i in range(10_000)]
+    with jaccard.Work(spark) as work:
+        assert jaccard.candidate_links(spark.createDataFrame(rows, CLASSES), work).count() == 0
+
+
+@pytest.mark.parametrize("cap", [2, 4096])
+def test_near_sketches_in_a_key_are_linked(spark, cap):
+    """Sketches that drift away from each other: every two that share a key and are near are in one component, and unlike groups aren't, whatever the order."""
+    rng, rows = np.random.default_rng(4), []
+    for group in range(6):
+        sketch = rng.integers(0, 256, 160, dtype=np.uint8)
+        for _ in range(30):
+            sketch = sketch.copy()
+            sketch[rng.choice(160, rng.integers(1, 60), replace=False)] = rng.integers(0, 256)
+            rows.append((int(rng.integers(-(1 << 62), 1 << 62)), int(rng.integers(-(1 << 62), 1 << 62)), sorted({int(k) for k in rng.integers(0, 12, 3)}), sketch.tobytes(), group))
+    df = spark.createDataFrame([r[:4] for r in rows], CLASSES)
+    with jaccard.Work(spark) as work:
+        edges = [tuple(r) for r in jaccard.candidate_links(df, work, cap).collect()]
+    root = {r[0]: r[0] for r in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        root[find(a)] = find(b)
+    for i, x in enumerate(rows):
+        for y in rows[:i]:
+            off = (np.frombuffer(x[3], np.uint8) != np.frombuffer(y[3], np.uint8)).mean()
+            if off <= jaccard.NEAR and {*x[2]} & {*y[2]}:
+                assert find(x[0]) == find(y[0])
+    if cap > 2:
+        assert len({find(r[0]) for r in rows}) >= 6 and all(len({r[4] for r in rows if find(r[0]) == h}) == 1 for h in {find(r[0]) for r in rows})
