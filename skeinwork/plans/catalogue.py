@@ -845,4 +845,3 @@ def parser_records(spark, d):
 
 import skeinwork.plans.memory_queries  # noqa: E402, F401
 import skeinwork.plans.service_queries  # noqa: E402, F401
-import skeinwork.plans.index_queries  # noqa: E402, F401
