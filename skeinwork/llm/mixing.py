@@ -5,10 +5,11 @@ A document's weight is that of its cell; its probability is the weight times a c
 expected tokens are the wanted share of all; a hash of its id decides. Probabilities that reach one hold their cells, and the
 other cells are raked again to what is left, until no more do.
 
-Only sums per cell leave the aggregation: cells are sources x languages x topics, not documents. Up to MOST_CELLS of them are
-raked on the driver, more by the same steps on DataFrames.
+Only sums per cell leave the aggregation: cells are sources x languages x topics, not documents. They are raked in one way: sums over
+Arrow batches of cells, one row for each source. Up to MOST_CELLS cells the batches are held by the driver and joined by a broadcast; more
+are in the shared folder, where such a sum is a Spark job, and the join deals rows of hot cells over tasks.
 
-Targets that can't be met together are raked ROUNDS times, a warning tells by how much they are missed, and the last weights count.
+Targets that can't be met together are raked until a round changes nothing (STILL), ROUNDS times at most; a warning tells by how much they are missed, and the last weights count.
 
 Defined cases: a null source, language or topic is a category of its own; targets for categories without tokens are
 shared out among the others; documents without tokens have their cell's probability; null ids are decided as one id, and so are repeated
@@ -27,11 +28,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skeinwork.llm.common import Work, drop_at_exit, drop_path, read_table, work_path, written
+from skeinwork.llm.common import Work, drop_at_exit, drop_path, read_table, spread_join, work_path, written
 
 DIMENSIONS = ("source", "lang", "topic")
 MOST_CELLS = 50_000
-ROUNDS, TOLERANCE = 200, 1e-9
+ROUNDS, TOLERANCE, STILL = 200, 1e-9, 1e-13
 
 #: The first condition that holds names a text's topic; {t} stands for the text.
 TOPICS = (
@@ -91,102 +92,46 @@ def missed(worst: float, total: float) -> None:
         warnings.warn(f"targets can't all be met: the worst is off by {worst / total:.2%} of the tokens", stacklevel=3)
 
 
-def rake(tokens: np.ndarray, cells: list[np.ndarray], targets: list[np.ndarray], rounds: int = ROUNDS) -> np.ndarray:
-    """Factors of cells such that factors * tokens has the targets as its sums. cells[d]: each cell's category in dimension d."""
-    w = tokens.astype(float).copy()
-    for _ in range(rounds):
-        worst = 0.0
-        for of, target in zip(cells, targets):
-            have = np.bincount(of, w, len(target))
-            ratio = np.divide(target, have, out=np.ones(len(target)), where=have > 0)
-            worst = max(worst, np.abs(have - target).max())
-            w *= ratio[of]
-        if worst < TOLERANCE * max(1.0, tokens.sum()):
-            break
-    else:
-        missed(worst, tokens.sum())
-    return np.divide(w, tokens, out=np.ones(len(w)), where=tokens > 0)
-
-
-def probabilities(tokens: np.ndarray, factors: np.ndarray, wanted: float) -> np.ndarray:
-    """min(1, c * factor), with c such that the expected tokens are as wanted."""
-    if not tokens.sum():
-        return np.ones(len(tokens))
-    order = np.argsort(-factors, kind="stable")
-    t, f = tokens[order].astype(float), factors[order]
-    held = np.concatenate([[0.0], np.cumsum(t)])  # tokens of the first k cells, at probability one
-    left = np.concatenate([np.cumsum((t * f)[::-1])[::-1], [0.0]])
-    for k in range(len(t)):
-        c = (wanted - held[k]) / left[k] if left[k] > 0 else np.inf
-        if c * f[k] <= 1:
-            return np.minimum(1.0, c * factors)
-    return np.ones(len(tokens))
-
-
-def fitted(cells: DataFrame, targets: Targets) -> list[tuple]:
-    """(source, lang, topic, tokens, factor, probability) of the cells, raked on the driver."""
-    rows = sorted(map(tuple, cells.collect()), key=lambda r: tuple((x is not None, x or "") for x in r[:3]))
-    tokens = np.array([r[3] for r in rows], dtype=float)
-    if not tokens.sum():
-        return [(*r[:3], int(r[3]), 1.0, 1.0) for r in rows]
-    of, wanted = [], []
-    for d, name in enumerate(DIMENSIONS):
-        names = sorted({r[d] for r in rows}, key=lambda x: (x is not None, x or ""))
-        at = {n: i for i, n in enumerate(names)}
-        of.append(np.array([at[r[d]] for r in rows]))
-        wanted.append(marginal(names, np.bincount(of[d], tokens, len(names)), targets.powers[name], targets.fixed.get(name, {})) * targets.share * tokens.sum())
-    factors = rake(tokens, of, wanted)
-    # cells whose probability would pass one hold it; the rest is raked to what they leave of the targets
-    held = np.zeros(len(tokens), bool)
-    p = factors.copy()
-    for _ in range(50):
-        over = ~held & (p > 1 + 1e-9)
-        if not over.any():
-            break
-        held |= over
-        rest = [np.maximum(w - np.bincount(k[held], tokens[held], len(w)), 0) for k, w in zip(of, wanted)]
-        if held.all() or min(x.sum() for x in rest) <= 0:
-            break
-        total = min(x.sum() for x in rest)
-        again = rake(np.where(held, 0, tokens), of, [x * total / x.sum() for x in rest])
-        p = np.where(held, 1.0, again)
-    p = probabilities(tokens, np.minimum(p, 1.0) + 1e-12, targets.share * tokens.sum())
-    return [(*r[:3], int(r[3]), float(f), float(x)) for r, f, x in zip(rows, factors, p)]
+Batches = Iterator[pa.RecordBatch]
 
 
-class Wide:
+class Cells:
     """The cells as one row for each source, with arrays over its languages and topics: tokens t, first factor f, probability p, held h.
 
-    A round of rake() is one pass: a source's factor follows from those of languages and topics, and the passes give
-    the sums over sources that the other two dimensions need. Languages and topics are on the driver, sources aren't.
+    A round of raking is one pass: a source's factor follows from those of languages and topics, and the passes give
+    the sums over sources that the other two dimensions need. Languages and topics are on the driver; sources are there if `few`, else in the shared folder.
     """
 
     SCHEMA = "source string, g double, l array<int>, k array<int>, t array<double>, f array<double>, p array<double>, h array<boolean>"
 
-    def __init__(self, cells: DataFrame, langs: list, topics: list, goal):
-        self.spark, self.shape, self.path = cells.sparkSession, (len(langs), len(topics)), None
+    def __init__(self, cells: DataFrame, langs: list, topics: list, goal, few: bool):
+        self.spark, self.shape, self.path, self.few = cells.sparkSession, (len(langs), len(topics)), None, few
         at, of = {x: i for i, x in enumerate(langs)}, {x: i for i, x in enumerate(topics)}
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def run(batches: Batches) -> Batches:
             for batch in batches:
                 for r in batch.to_pylist():
                     t, n = [float(c["tokens"]) for c in r["cells"]], len(r["cells"])
                     row = {"source": r["source"], "g": goal(r["source"], sum(t)), "l": [at[c["lang"]] for c in r["cells"]], "k": [of[c["topic"]] for c in r["cells"]]}
-                    yield pa.RecordBatch.from_pylist([row | {"t": t, "f": [1.0] * n, "p": [1.0] * n, "h": [False] * n}], schema=WIDE)
+                    yield pa.RecordBatch.from_pylist([row | {"t": t, "f": [1.0] * n, "p": [1.0] * n, "h": [False] * n}], schema=ROWS)
 
-        grouped = cells.groupBy("source").agg(F.collect_list(F.struct("lang", "topic", "tokens")).alias("cells"))
-        self._write(grouped.mapInArrow(run, self.SCHEMA))
+        grouped = cells.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("lang", "topic", "tokens"))).alias("cells"))
+        if few:
+            made = pa.Table.from_batches(run(grouped.orderBy("source").toArrow().to_batches()), schema=ROWS)
+            self.batches = made.combine_chunks().to_batches()
+        else:
+            self._write(grouped.mapInArrow(run, self.SCHEMA))
 
     def _write(self, rows: DataFrame) -> None:
         new = work_path(self.spark, "mixing-cells")
         rows.write.parquet(new)
         drop_at_exit(self.spark, new)
-        self.drop()
-        self.rows, self.path = self.spark.read.schema(self.SCHEMA).parquet(new), new
-
-    def drop(self) -> None:
         if self.path:
             drop_path(self.spark, self.path)
+        self.rows, self.path = self.spark.read.schema(self.SCHEMA).parquet(new), new
+
+    def table(self) -> DataFrame:
+        return self.spark.createDataFrame(pa.Table.from_batches(self.batches, schema=ROWS), self.SCHEMA) if self.few else self.rows
 
     @staticmethod
     def flat(batch: pa.RecordBatch) -> tuple:
@@ -198,40 +143,44 @@ class Wide:
     def sums(self, of, n: int) -> np.ndarray:
         """The sum over batches of of(*flat(batch)), n numbers."""
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def run(batches: Batches) -> Batches:
             total = np.zeros(n)
             for batch in batches:
                 if batch.num_rows:
-                    total += of(*Wide.flat(batch))
+                    total += of(*Cells.flat(batch))
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(n, dtype=np.int32)), pa.array(total)], names=["i", "x"])
 
-        found = self.rows.mapInArrow(run, "i int, x double").groupBy("i").agg(F.sum("x")).collect()
+        if self.few:
+            return next(run(iter(self.batches))).column(1).to_numpy()
         out = np.zeros(n)
-        for i, x in found:
+        for i, x in self.rows.mapInArrow(run, "i int, x double").groupBy("i").agg(F.sum("x")).collect():
             out[i] = x
         return out
 
     def change(self, to) -> None:
         """Put the (f, p, h) that to(*flat(batch)) gives."""
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def run(batches: Batches) -> Batches:
             for batch in batches:
                 if batch.num_rows:
-                    offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(Wide.flat(batch)[0], minlength=batch.num_rows))]).astype(np.int32))
-                    made = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in to(*Wide.flat(batch))]
-                    yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(5)), *made], schema=WIDE)
+                    offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(Cells.flat(batch)[0], minlength=batch.num_rows))]).astype(np.int32))
+                    made = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in to(*Cells.flat(batch))]
+                    yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(5)), *made], schema=ROWS)
 
-        self._write(self.rows.mapInArrow(run, self.SCHEMA))
+        if self.few:
+            self.batches = list(run(iter(self.batches)))
+        else:
+            self._write(self.rows.mapInArrow(run, self.SCHEMA))
 
-    def left(self) -> tuple[float, float]:
-        """What held cells leave of the sources' goals, and tokens that aren't held."""
-        return tuple(self.sums(lambda row, g, l, k, t, f, p, h: np.array([np.maximum(g - np.bincount(row, t * h, len(g)), 0).sum(), t[~h].sum()]), 2))
+    def left(self) -> tuple[float, float, float]:
+        """What held cells leave of the sources' goals; tokens and number of the cells that aren't held."""
+        return tuple(self.sums(lambda row, g, l, k, t, f, p, h: np.array([np.maximum(g - np.bincount(row, t * h, len(g)), 0).sum(), t[~h].sum(), (~h).sum()]), 3))
 
     def rake(self, scale: float, langs: np.ndarray, topics: np.ndarray, tokens: float, rounds: int = ROUNDS):
-        """As rake(), over the cells that aren't held; scale is put on what is left of the sources' goals. Gives a function of flat()
-        that returns the factors."""
+        """Factors of the cells that aren't held, such that factors * tokens has langs, topics and `scale` times what is left of the sources' goals as its sums:
+        a function of flat() that returns them."""
         (nl, nk), b, c = self.shape, np.ones(len(langs)), np.ones(len(topics))
-        before = None
+        before, now, gap = None, np.full((nl, nk), np.inf), np.inf
 
         def source(row, g, t, l, k, h, b, c):
             have = np.bincount(row, t * ~h * b[l] * c[k], len(g))
@@ -239,26 +188,28 @@ class Wide:
             return np.divide(goal, have, out=np.ones(len(g)), where=have > 0), goal, have
 
         for _ in range(rounds):
+            size, b, c = b.max() * c.max(), b / b.max(), c / c.max()  # sources take over what they have in common
 
-            def step(row, g, l, k, t, f, p, h, b=b, c=c, before=before):
+            def step(row, g, l, k, t, f, p, h, b=b, c=c, before=before, size=size):
                 a, goal, have = source(row, g, t, l, k, h, b, c)
                 was = np.ones(len(g)) if before is None else source(row, g, t, l, k, h, *before)[0]
                 # a sum over batches: whether any source is off is what counts
-                off = (np.abs(was * have - goal) >= TOLERANCE * max(1.0, tokens)).sum()
-                return np.concatenate([[off], np.bincount(l * nk + k, t * ~h * a[row], nl * nk)])
+                gaps = np.abs(was * have * size - goal)
+                return np.concatenate([[(gaps >= TOLERANCE * max(1.0, tokens)).sum(), gaps.sum()], np.bincount(l * nk + k, t * ~h * a[row], nl * nk)])
 
-            off, *m = self.sums(step, 1 + nl * nk)
-            m, before, worst = np.array(m).reshape(nl, nk), (b, c), 0.0
+            last, wide = now, gap
+            off, gap, *m = self.sums(step, 2 + nl * nk)
+            m, gap, before = np.array(m).reshape(nl, nk), gap if before else np.inf, (b, c)
             have = b * (m @ c)
-            worst = max(worst, np.abs(have - langs).max())
+            worst = np.abs(have - langs).max()
             b = b * np.divide(langs, have, out=np.ones(nl), where=have > 0)
             have = c * (b @ m)
             worst = max(worst, np.abs(have - topics).max())
             c = c * np.divide(topics, have, out=np.ones(nk), where=have > 0)
-            if not off and worst < TOLERANCE * max(1.0, tokens):
+            now = b[:, None] * m * c  # tokens of each language and topic
+            if (not off and worst < TOLERANCE * max(1.0, tokens)) or max(np.abs(now - last).max(), abs(gap - wide)) <= STILL * tokens:
                 break
-        else:
-            missed(worst, tokens)
+        missed(worst, tokens)
 
         def factors(row, g, l, k, t, f, p, h):
             a = source(row, g, t, l, k, h, *before)[0]
@@ -267,11 +218,14 @@ class Wide:
         return factors
 
 
-WIDE = pa.schema([("source", pa.string()), ("g", pa.float64()), *((x, pa.list_(pa.int32())) for x in "lk"), *((x, pa.list_(pa.float64())) for x in "tfp"), ("h", pa.list_(pa.bool_()))])
+ROWS = pa.schema([("source", pa.string()), ("g", pa.float64()), *((x, pa.list_(pa.int32())) for x in "lk"), *((x, pa.list_(pa.float64())) for x in "tfp"), ("h", pa.list_(pa.bool_()))])
+
 
+def fitted(cells: DataFrame, targets: Targets, few: bool) -> DataFrame:
+    """source, lang, topic, tokens, factor, probability of the cells, which are on disk; few: whether the driver may hold them.
 
-def fitted_wide(cells: DataFrame, targets: Targets) -> DataFrame:
-    """The same columns by the same steps as fitted(), for more cells than the driver should hold. cells: on disk."""
+    Cells whose probability would pass one hold it; the rest is raked to what they leave of the targets.
+    """
     total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
     if not total:
         return written(cells.select(*DIMENSIONS, "tokens", F.lit(1.0).alias("factor"), F.lit(1.0).alias("probability")), "mixing-cells")
@@ -280,7 +234,7 @@ def fitted_wide(cells: DataFrame, targets: Targets) -> DataFrame:
         rows = sorted(map(tuple, cells.groupBy(name).agg(F.sum("tokens")).collect()), key=lambda r: (r[0] is not None, r[0] or ""))
         names.append([r[0] for r in rows])
         wanted.append(marginal(names[-1], np.array([r[1] for r in rows], dtype=float), targets.powers[name], targets.fixed.get(name, {})) * targets.share * total)
-    # marginal() of the sources, which stay on the executors
+    # as marginal(), of the sources, of which the driver has none
     fixed, power = targets.fixed.get("source", {}), targets.powers["source"]
     sums = cells.groupBy("source").agg(F.sum("tokens").cast("double").alias("t")).where("t > 0")
     free = sums.where(~F.coalesce(F.col("source").isin(*fixed), F.lit(False))) if fixed else sums
@@ -293,48 +247,43 @@ def fitted_wide(cells: DataFrame, targets: Targets) -> DataFrame:
         part = 0.0 if not t else fixed[name] if name in fixed else share * (t / total) ** power / own
         return part / (norm or 1.0) * targets.share * total
 
-    wide = Wide(cells, *names, goal)
-    factors = wide.rake(1.0, *wanted, total)
-    wide.change(lambda *x: ((y := factors(*x)), y, x[-1]))
-    for _ in range(50):
+    table = Cells(cells, *names, goal, few)
+    factors = table.rake(1.0, *wanted, total)
+    table.change(lambda *x: ((y := factors(*x)), y, x[-1]))
+    while True:  # each time at least one more cell is held
         over = lambda p, h: ~h & (p > 1 + 1e-9)
-        if not wide.sums(lambda row, g, l, k, t, f, p, h: np.array([over(p, h).sum()]), 1)[0]:
+        if not table.sums(lambda row, g, l, k, t, f, p, h: np.array([over(p, h).sum()]), 1)[0]:
             break
-        wide.change(lambda row, g, l, k, t, f, p, h: (f, p, h | over(p, h)))
-        nl, nk = wide.shape
-        held = wide.sums(lambda row, g, l, k, t, f, p, h: np.bincount(l * nk + k, t * h, nl * nk), nl * nk).reshape(nl, nk)
+        table.change(lambda row, g, l, k, t, f, p, h: (f, p, h | over(p, h)))
+        nl, nk = table.shape
+        held = table.sums(lambda row, g, l, k, t, f, p, h: np.bincount(l * nk + k, t * h, nl * nk), nl * nk).reshape(nl, nk)
         others = [np.maximum(w - held.sum(axis=1 - d), 0) for d, w in enumerate(wanted)]
-        sources, tokens = wide.left()
-        cells_left = wide.sums(lambda row, g, l, k, t, f, p, h: np.array([(~h).sum()]), 1)[0]
+        sources, tokens, cells_left = table.left()
         least = min(sources, *(x.sum() for x in others))
         if not cells_left or least <= 0:
             break
-        again = wide.rake(least / sources, *(x * least / x.sum() for x in others), tokens)
-        wide.change(lambda *x: (x[5], again(*x), x[-1]))
+        again = table.rake(least / sources, *(x * least / x.sum() for x in others), tokens)
+        table.change(lambda *x: (x[5], again(*x), x[-1]))
     # the constant: cells that it brings to one are held, and it is worked out again, until no more are
     weight = lambda p: np.minimum(p, 1.0) + 1e-12
     high, need = 0.0, targets.share * total
     while True:
-        done, left = wide.sums(lambda row, g, l, k, t, f, p, h, c=high: np.array([t[c * weight(p) > 1].sum(), (t * weight(p))[c * weight(p) <= 1].sum()]), 2)
+        done, left = table.sums(lambda row, g, l, k, t, f, p, h, c=high: np.array([t[c * weight(p) > 1].sum(), (t * weight(p))[c * weight(p) <= 1].sum()]), 2)
         before, high = high, (need - done) / left if left > 0 else np.inf
         if high <= before * (1 + 1e-12) or not np.isfinite(high):
             break
-    wide.change(lambda row, g, l, k, t, f, p, h: (f, np.minimum(1.0, high * weight(p)) if np.isfinite(high) else np.ones(len(p)), h))
+    table.change(lambda row, g, l, k, t, f, p, h: (f, np.minimum(1.0, high * weight(p)) if np.isfinite(high) else np.ones(len(p)), h))
     langs, topics = (F.array(*(F.lit(x).cast("string") for x in y)) for y in names)
-    each = wide.rows.select("source", F.explode(F.arrays_zip("l", "k", "t", "f", "p")).alias("x"))
+    each = table.table().select("source", F.explode(F.arrays_zip("l", "k", "t", "f", "p")).alias("x"))
     return each.select("source", F.get(langs, F.col("x.l")).alias("lang"), F.get(topics, F.col("x.k")).alias("topic"), F.col("x.t").cast("long").alias("tokens"), F.col("x.f").alias("factor"), F.col("x.p").alias("probability"))
 
 
-CELLS = "__source string, __lang string, __topic string, __tokens long, factor double, probability double"
-
-
-def cell_table(keys: DataFrame, targets: Targets, most_cells: int = MOST_CELLS) -> DataFrame:
-    """Factor and probability of every cell; a broadcast hint where there are most_cells of them at most. keys: as from keyed()."""
+def cell_table(keys: DataFrame, targets: Targets, most_cells: int = MOST_CELLS) -> tuple[DataFrame, bool]:
+    """Factor and probability of every cell, and whether these are most_cells at most. keys: as from keyed()."""
     with Work(keys.sparkSession) as work:
         cells = work.put(keys.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")), "mixing-cells")
-        if cells.count() <= most_cells:
-            return F.broadcast(keys.sparkSession.createDataFrame(fitted(cells, targets), CELLS))
-        return fitted_wide(cells, targets).toDF("__source", "__lang", "__topic", "__tokens", "factor", "probability")
+        few = cells.count() <= most_cells
+        return fitted(cells, targets, few).toDF("__source", "__lang", "__topic", "__tokens", "factor", "probability"), few
 
 
 def _drawn(targets: Targets) -> Column:
@@ -342,14 +291,20 @@ def _drawn(targets: Targets) -> Column:
     return draw < F.col("probability")
 
 
-def _with_cells(rows: DataFrame, cells: DataFrame) -> DataFrame:
-    return rows.join(cells, rows["source"].eqNullSafe(cells["__source"]) & rows["lang"].eqNullSafe(cells["__lang"]) & rows["topic"].eqNullSafe(cells["__topic"]))
+def _with_cells(rows: DataFrame, cells: DataFrame, few: bool) -> DataFrame:
+    """rows and their cell's columns. Few cells are broadcast; else rows of hot cells are dealt over tasks by their ids."""
+    if few:
+        c = F.broadcast(cells)
+        return rows.join(c, rows["source"].eqNullSafe(c["__source"]) & rows["lang"].eqNullSafe(c["__lang"]) & rows["topic"].eqNullSafe(c["__topic"]))
+    cell = lambda *names: F.to_json(F.struct(*(F.col(n).alias(d) for n, d in zip(names, DIMENSIONS))))  # noqa: E731  (a null is left out, so no text is equal to it)
+    keyed_cells = cells.withColumn("__cell", cell("__source", "__lang", "__topic"))
+    return spread_join(rows.withColumn("__cell", cell(*DIMENSIONS)), keyed_cells, "__cell", "doc_id")
 
 
 def weighted(docs: DataFrame, targets: Targets = Targets(), most_cells: int = MOST_CELLS) -> DataFrame:
     """doc_id, source, lang, topic, tokens, factor, probability and kept of every row. Texts are read once."""
     k = written(keyed(docs), "mixing-keys")
-    joined = _with_cells(k, cell_table(k, targets, most_cells))
+    joined = _with_cells(k, *cell_table(k, targets, most_cells))
     return joined.select("doc_id", "source", "lang", "topic", "tokens", "factor", "probability", _drawn(targets).alias("kept"))
 
 
@@ -357,7 +312,7 @@ def sampled(docs: DataFrame, targets: Targets = Targets(), most_cells: int = MOS
     """The rows, with all columns, that the draw keeps."""
     cells = cell_table(keyed(docs), targets, most_cells)
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), topic().alias("topic"))
-    return _with_cells(rows, cells).where(_drawn(targets)).select("row.*")
+    return _with_cells(rows, *cells).where(_drawn(targets)).select("row.*")
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -475,16 +475,37 @@ def test_repeated_windows_against_brute_force(spark):
 # -- 10
 
 
-def test_raking_meets_targets():
-    r = np.random.default_rng(3)
-    tokens = r.integers(1, 100, 24).astype(float)
-    cells = [np.arange(24) // 8, np.arange(24) // 2 % 4, np.arange(24) % 2]
-    targets = [np.full(3, 100.0), np.array([150.0, 75, 50, 25]), np.array([200.0, 100])]
-    w = mixing.rake(tokens, cells, targets) * tokens
-    for of, target in zip(cells, targets):
-        assert np.allclose(np.bincount(of, w), target, rtol=1e-6)
-    p = mixing.probabilities(tokens, w / tokens, 0.5 * tokens.sum())
-    assert p.max() <= 1 and np.isclose((p * tokens).sum(), 0.5 * tokens.sum())
+def raked(tokens, cells, targets):
+    """Brute force: factors of cells whose sums over each dimension are its targets. cells: each dimension's category of every cell."""
+    w = tokens.copy()
+    for _ in range(1000):
+        for of, target in zip(cells, targets):
+            have = np.bincount(of, w, len(target))
+            w *= np.divide(target, have, out=np.ones(len(target)), where=have > 0)[of]
+    return np.divide(w, tokens, out=np.ones(len(w)), where=tokens > 0)
+
+
+def mixed(rows, targets):
+    """Brute force: factor and probability of every cell (source, lang, topic, tokens)."""
+    tokens, of, goals = np.array([r[3] for r in rows], float), [], []
+    for d, name in enumerate(mixing.DIMENSIONS):
+        names = sorted({r[d] for r in rows}, key=str)
+        of.append(np.array([names.index(r[d]) for r in rows]))
+        goals.append(mixing.marginal(names, np.bincount(of[d], tokens), targets.powers[name], targets.fixed.get(name, {})) * targets.share * tokens.sum())
+    p = factors = raked(tokens, of, goals)
+    held = np.zeros(len(rows), bool)
+    while (over := ~held & (p > 1 + 1e-9)).any():
+        held |= over
+        rest = [np.maximum(g - np.bincount(k, tokens * held), 0) for g, k in zip(goals, of)]
+        least = min(x.sum() for x in rest)
+        if held.all() or least <= 0:
+            break
+        p = np.where(held, 1.0, raked(np.where(held, 0, tokens), of, [x * least / x.sum() for x in rest]))
+    p, low, high = np.minimum(p, 1) + 1e-12, 0.0, 1e13
+    for _ in range(200):  # the constant, by halving
+        middle = (low + high) / 2
+        low, high = (low, middle) if (np.minimum(1, middle * p) * tokens).sum() >= targets.share * tokens.sum() else (middle, high)
+    return factors, np.minimum(1, high * p)
 
 
 def test_mixing_rows(spark, docs, empty, sf):
@@ -500,7 +521,7 @@ def test_mixing_rows(spark, docs, empty, sf):
     assert a.keys() == b.keys() and np.mean([abs(b[k] - c[k]) < 0.05 for k in b]) > 0.9
 
 
-def test_wide_mixing_equals_mixing_on_the_driver(spark, sf):
+def test_mixing_is_the_same_wherever_its_cells_are(spark, sf):
     """The default targets over documents: every probability and every decision."""
     documents = read_table(spark, sf, "documents")
     a = {r["doc_id"]: (r["probability"], r["kept"]) for r in mixing.weighted(documents).collect()}
@@ -531,9 +552,21 @@ def test_the_draw_is_by_probability(spark):
     assert abs(kept / total - 0.4) < 0.1
 
 
-def test_targets_that_cannot_be_met_are_told():
+@pytest.mark.parametrize("few", [True, False])
+def test_targets_that_cannot_be_met_are_told(spark, few):
+    # each source has one language, and the targets ask for other shares of them
+    cells = spark.createDataFrame([("a", "en", "prose", 100), ("b", "de", "prose", 100)], "source string, lang string, topic string, tokens long")
+    targets = mixing.Targets(share=0.1, fixed={"source": {"a": 0.5, "b": 0.5}, "lang": {"en": 0.9, "de": 0.1}})
     with pytest.warns(UserWarning, match="off by"):
-        mixing.rake(np.array([1.0, 1.0]), [np.array([0, 1]), np.array([0, 1])], [np.array([1.0, 1.0]), np.array([1.9, 0.1])])
+        mixing.fitted(cells, targets, few).collect()
+
+
+def test_hot_cells_are_dealt_over_tasks(spark):
+    """Cells that aren't broadcast: null and empty categories stay apart, rows of a hot cell are all there once."""
+    rows = [(i, "w " * 3, "en", "hot") for i in range(3000)] + [(None, "w", None, None), (None, "w", "", ""), (1, "w", "null", "null")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    few, many = (sorted(map(repr, mixing.weighted(docs, most_cells=n).drop("factor", "probability").collect())) for n in (100, 1))
+    assert len(many) == len(rows) and many == few
 
 
 def test_clashing_names(spark):
@@ -546,15 +579,18 @@ def test_clashing_names(spark):
     assert sorted(r["doc_id"] or 0 for r in simhash.deduplicated(docs).collect()) == [0, 1, 3]
 
 
-def test_wide_raking_equals_raking_on_the_driver(spark):
+@pytest.mark.parametrize("few", [True, False])
+def test_raking_equals_brute_force(spark, few):
     # a small source and a small language that saturate, so that cells are held and the rest raked again
     cells = [(f"s{i}" if i else None, lang, topic, (i + 1) ** 3 * a * b) for i in range(6) for lang, a in (("en", 40), ("de", 9), (None, 1)) for topic, b in (("prose", 20), ("short", 1)) if (i, lang) != (2, "de")]
-    table = spark.createDataFrame([*cells, ("none", "en", "prose", 0)], "source string, lang string, topic string, tokens long").coalesce(2)
+    cells.append(("none", "en", "prose", 0))
+    table = spark.createDataFrame(cells, "source string, lang string, topic string, tokens long").coalesce(2)
     targets = mixing.Targets(share=0.5, fixed={"source": {"s1": 0.2, "gone": 0.1}, "lang": {"en": 0.6}})
-    a = {r[:3]: r for r in mixing.fitted(table, targets)}
-    b = {tuple(r)[:3]: tuple(r) for r in mixing.fitted_wide(table, targets).collect()}
-    assert a.keys() == b.keys() and any(r[4] > 1.01 for r in a.values())
-    assert all(a[k][3] == b[k][3] and np.allclose(a[k][4:], b[k][4:], rtol=1e-6, atol=1e-6) for k in a)
+    got = {tuple(r)[:3]: tuple(r) for r in mixing.fitted(table, targets, few).collect()}
+    factors, p = mixed(cells, targets)
+    assert len(got) == len(cells) and (factors > 1.01).any()
+    for r, f, x in zip(cells, factors, p):
+        assert got[r[:3]][3] == r[3] and np.allclose(got[r[:3]][4:], (f, x), rtol=1e-6, atol=1e-6), (r, f, x, got[r[:3]])
 
 
 # -- pipeline
