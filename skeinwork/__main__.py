@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from skeinwork import tools
 from skeinwork.operators import memory, relational, search, traversal
 from skeinwork.session import session
+from skeinwork.sources.keyed import Store
 
 MEMORY = "id string, repo_id string, author string, node_type string, data string, summary string, updated_at timestamp, pending_sync boolean"
 
@@ -23,36 +24,32 @@ def shown(df: DataFrame, most: int = 100) -> None:
         print(r)
 
 
-def read(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    fs = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    there = fs.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(fs)
-    return spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
-
-
 HASHES = "file_path string, file_hash string"
 
 
 def index(spark: SparkSession, a: argparse.Namespace) -> None:
-    known = None if a.full else read(spark, f"{a.store}/hashes", HASHES)
-    known = known if known is not None and not known.isEmpty() else None
+    store = Store(spark, a.store)
+    known = None if a.full or "hashes" not in store.version() else store.read("hashes", HASHES)
     nodes, edges, hashes = tools.index_repository(spark, a.path, a.repo, tuple(a.language), known)
     if known is not None:  # files that aren't parsed again keep their rows, files that are gone lose them
-        old_nodes, old_edges = spark.read.parquet(f"{a.store}/nodes"), spark.read.parquet(f"{a.store}/edges")
+        old_nodes, old_edges = store.read("nodes"), store.read("edges")
         same = relational.diff(hashes, known, "file_path", "file_hash").where("status = 'same'").select(F.col("file_path").alias("filepath"))
         old_nodes = old_nodes.join(same, "filepath", "left_semi").select(*nodes.columns)
         old_edges = old_edges.join(old_nodes.select(F.col("id").alias("source_id")), "source_id", "left_semi").select(*edges.columns)
-        nodes, edges = old_nodes.unionByName(nodes), old_edges.union(edges).distinct()
-    for name, df in (("nodes", nodes), ("edges", edges), ("hashes", hashes)):
-        df.write.mode("overwrite").parquet(f"{a.store}/{name}_next")
-    for name in ("nodes", "edges", "hashes"):
-        spark.read.parquet(f"{a.store}/{name}_next").write.mode("overwrite").parquet(f"{a.store}/{name}")
-    print(json.dumps({"nodes": spark.read.parquet(f"{a.store}/nodes").count(), "edges": spark.read.parquet(f"{a.store}/edges").count()}))
+        nodes, edges = old_nodes.unionByName(nodes), old_edges.union(edges)
+    with store.change() as change:
+        change.put("nodes", nodes, ["id"])
+        change.put("edges", edges, edges.columns)
+        change.put("hashes", hashes, ["file_path"])
+    store.tidy()
+    print(json.dumps({"nodes": store.read("nodes").count(), "edges": store.read("edges").count()}))
 
 
 def keyed(spark: SparkSession, store: str, repo: str) -> tuple[DataFrame, DataFrame]:
     """The store's tables in the form that operators take: nodes with a key, edges by keys."""
-    nodes = spark.read.parquet(f"{store}/nodes").withColumns({"key": F.xxhash64("id"), "repo_id": F.lit(repo)})
-    edges = spark.read.parquet(f"{store}/edges").select(F.xxhash64("source_id").alias("src"), F.xxhash64("target_id").alias("dst"), "relation")
+    tables = Store(spark, store)
+    nodes = tables.read("nodes").withColumns({"key": F.xxhash64("id"), "repo_id": F.lit(repo)})
+    edges = tables.read("edges").select(F.xxhash64("source_id").alias("src"), F.xxhash64("target_id").alias("dst"), "relation")
     return nodes, relational.attached(edges, nodes)
 
 
@@ -75,14 +72,15 @@ def ask(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def remember(spark: SparkSession, a: argparse.Namespace) -> None:
-    path = f"{a.store}/memory"
-    rows = read(spark, path, MEMORY)
+    store = Store(spark, a.store)
+    rows = store.read("memory", MEMORY)
     if a.what == "remember":
         data = json.loads(a.text)
         row = (data.get("id") or f"{a.type}-{hashlib.sha1(a.text.encode()).hexdigest()[:12]}", a.repo, data.get("author", a.author), a.type, json.dumps(data, sort_keys=True), data.get("title") or data.get("summary") or data.get("problem") or data.get("key") or "", None, False)
         new = spark.createDataFrame([row], MEMORY).withColumn("updated_at", F.current_timestamp())
-        memory.remembered(rows, new, a.author, team=memory.SCOPES[a.type] == "team").write.mode("overwrite").parquet(f"{path}_next")
-        spark.read.parquet(f"{path}_next").write.mode("overwrite").parquet(path)
+        row = memory.remembered(rows.limit(0), new, a.author, team=memory.SCOPES[a.type] == "team")
+        with store.change() as change:
+            change.merge("memory", row, ["id"], "updated_at")
     elif a.what == "search":
         shown(memory.found({k: rows.where(F.col("node_type") == k) for k in memory.SCOPES}, a.text, limit=a.limit))
     elif a.what == "stats":

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from skeinwork.operators import analysis, bridge, catalog, context, docs, memory, relational, traversal, vector_index
 from skeinwork.plans.registry import ORACLES, QUERIES, query
+from skeinwork.session import drop_at_exit, shared_dir
 from skeinwork.sources import tables
+from skeinwork.sources.keyed import Store
 from skeinwork.sources.stored import graph, stamp
 from skeinwork.sources.tables import TURNS, table
 
@@ -668,6 +672,19 @@ def upsert_nodes(spark, d):
     return relational.upsert(*_old_new(spark, d), ["id"], "version")
 
 
+@query(ORACLES["upsert_nodes"], views=False)
+def upsert_stored(spark, d):
+    """upsert_nodes in a stored table, of which the merge rewrites the buckets with new rows."""
+    old, new = _old_new(spark, d)
+    store = Store(spark, f"{shared_dir(spark)}/skeinwork/store-{uuid.uuid4().hex}")
+    with store.change() as change:
+        change.put("customer", old, ["id"])
+    drop_at_exit(spark, store.path)
+    with store.change() as change:
+        change.merge("customer", new, ["id"], "version")
+    return store.read("customer")
+
+
 @query(f"SELECT coalesce(b.id, a.id) AS id, coalesce(b.name, a.name) AS name, coalesce(b.bal, a.bal) AS bal, coalesce(b.seg, a.seg) AS seg, CAST(coalesce(b.version, a.version) AS INTEGER) AS version {_FULL}", views=False)
 def upsert_coalesce(spark, d):
     return relational.coalesce_merge(*_old_new(spark, d), "id")
@@ -826,18 +843,20 @@ def progress_eta(spark, d):
     return analysis.progress(table(spark, d, "events"), 100)
 
 
-_RECORDS = """WITH p AS (SELECT p_partkey AS k, 'src/m' || p_partkey || '.py' AS f FROM part), i AS (SELECT *, 'repo:' || f || ':' AS i FROM p),
-n AS (SELECT k, 'node' AS rec_type, i || 'module:m' || k AS a, 'm' || k AS b FROM i UNION ALL SELECT k, 'node', i || 'import:os', 'os' FROM i UNION ALL SELECT k, 'node', i || 'class:A', 'A' FROM i UNION ALL SELECT k, 'node', i || 'method:f', 'f' FROM i UNION ALL SELECT k, 'node', i || 'variable:v', 'v' FROM i),
-e AS (SELECT k, 'edge', i || 'module:m' || k, i || 'class:A' FROM i UNION ALL SELECT k, 'edge', i || 'class:A', i || 'method:f' FROM i UNION ALL SELECT k, 'edge', i || 'class:A', i || 'class:B' FROM i UNION ALL SELECT k, 'edge', i || 'method:f', i || 'function:g' || k FROM i UNION ALL SELECT k, 'edge', i || 'module:m' || k, unnest([i || 'import:os', i || 'import:os']) FROM i UNION ALL SELECT k, 'edge', i || 'module:m' || k, i || 'variable:v' FROM i)
+_RECORDS = """WITH p AS (SELECT p_partkey AS k, 'src/m' || p_partkey || '.py' AS f FROM part), i AS (SELECT *, 'repo:' || f || ':' AS i, i || 'class:A' || k % 13 AS c, i || 'module:m' || k AS m FROM p), j AS (SELECT *, unnest(range(k % 3 + 1)) AS j FROM i),
+n AS (SELECT k, 'node' AS rec_type, m AS a, 'm' || k AS b FROM i UNION ALL SELECT k, 'node', i || 'import:lib' || k % 11, 'lib' || k % 11 FROM i UNION ALL SELECT k, 'node', c, 'A' || k % 13 FROM i UNION ALL SELECT k, 'node', i || 'method:f' || j, 'f' || j FROM j UNION ALL SELECT k, 'node', i || 'variable:v' || k % 5, 'v' || k % 5 FROM i),
+e AS (SELECT k, 'edge', m, c FROM i UNION ALL SELECT k, 'edge', c, i || 'method:f' || j FROM j UNION ALL SELECT k, 'edge', c, i || 'class:B' || k % 7 FROM i UNION ALL SELECT k, 'edge', i || 'method:f' || j, i || 'function:g' || k % 17 FROM j UNION ALL SELECT k, 'edge', m, unnest([i || 'import:lib' || k % 11, i || 'import:lib' || k % 11]) FROM i UNION ALL SELECT k, 'edge', m, i || 'variable:v' || k % 5 FROM i)
 SELECT rec_type, a, b FROM (SELECT * FROM n UNION ALL SELECT * FROM e)"""
+_SOURCE = r"""concat('import lib', k % 11, '\nv', k % 5, ' = 1\nclass A', k % 13, '(B', k % 7, '):\n',
+concat_ws('', transform(sequence(0, k % 3), j -> concat('    def f', j, '(self, x=1):\n        self.y = 2\n        return g', k % 17, '(x)\n'))))"""
 
 
 @query(_RECORDS, views=False)
 def parser_records(spark, d):
-    """Records of a source for each part: nodes with their names, edges with their ends."""
+    """Records of a source for each part, of one to three methods: nodes with their names, edges with their ends."""
     from skeinwork.functions.parsers import parse_files
 
-    p = table(spark, d, "part").select(F.concat(F.lit("src/m"), "p_partkey", F.lit(".py")).alias("filepath"), F.lit("python").alias("language"), F.concat(F.lit("import os\nv = 1\nclass A(B):\n    def f(self, x=1):\n        self.y = 2\n        return g"), "p_partkey", F.lit("(x)\n")).alias("source"))
+    p = table(spark, d, "part").selectExpr("p_partkey AS k").select(F.concat(F.lit("src/m"), "k", F.lit(".py")).alias("filepath"), F.lit("python").alias("language"), F.expr(_SOURCE).alias("source"))
     found = parse_files(p, "repo")
     edge = F.col("rec_type") == "edge"
     return found.select("rec_type", F.when(edge, F.col("source_id")).otherwise(F.col("id")).alias("a"), F.when(edge, F.col("target_id")).otherwise(F.col("name")).alias("b"))

@@ -40,3 +40,9 @@ def shared_dir(spark: SparkSession) -> str:
         base = getattr(spark, "_skeinwork_graph", None) or tempfile.mkdtemp(prefix="skeinwork-")
         spark._skeinwork_graph = base
     return base.rstrip("/")
+
+
+def drop_at_exit(spark: SparkSession, path: str) -> None:
+    """Delete a folder that is there when the driver ends: what a lazy result reads can't go earlier."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
