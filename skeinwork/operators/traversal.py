@@ -197,17 +197,26 @@ def connecting_paths(edges: DataFrame, candidates: DataFrame, starts: int = 10,
 
 
 def paths(edges: DataFrame, starts: DataFrame, ends: DataFrame, most: int = 10) -> DataFrame:
-    """Paths of two and three steps from starts to ends, an edge once at most, `most` for each start: start, path, relations."""
-    e = edges.select("src", "dst", "relation")
-    a = starts.select(F.col("key").alias("start")).join(e, F.col("start") == e["src"]).select("start", F.array("src", "dst").alias("path"), F.array("relation").alias("relations"), F.col("dst").alias("at"))
+    """Paths of two and three steps from starts to ends, an edge once at most, `most` for each start: start, path, relations.
 
-    def grown(p: DataFrame) -> DataFrame:
-        n = p.join(e.toDF("_s", "_d", "_r"), F.col("at") == F.col("_s"))
+    Edges are first reduced to those that are on a way: from what a step or two reaches, as nodes, and into ends or into what has an edge into them. So
+    a hub whose neighbours lead nowhere is met once, and no path is made that doesn't end in `ends`. Edges are only looked up by src.
+    """
+    e = edges.select("src", "dst", "relation")
+    first = e.join(starts.select(F.col("key").alias("src")), "src")  # a start that is named twice has its paths twice
+    near = first.select(F.col("dst").alias("src")).distinct()
+    second = e.join(near, "src", "left_semi")
+    far = near.union(second.select("dst")).distinct()
+    last = e.join(far, "src", "left_semi").join(ends.select(F.col("key").alias("dst")), "dst", "left_semi").select("src", "dst", "relation")
+    middle = second.join(last.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst", "relation")
+    a = first.select(F.col("src").alias("start"), F.array("src", "dst").alias("path"), F.array("relation").alias("relations"), F.col("dst").alias("at"))
+
+    def grown(p: DataFrame, by: DataFrame) -> DataFrame:
+        n = p.join(by.toDF("_s", "_d", "_r"), F.col("at") == F.col("_s"))
         seen = F.expr("exists(sequence(0, size(relations) - 1), i -> path[i] = _s AND path[i + 1] = _d AND relations[i] = _r)")
         return n.where(~seen).select("start", F.concat("path", F.array("_d")).alias("path"), F.concat("relations", F.array("_r")).alias("relations"), F.col("_d").alias("at"))
 
-    two = grown(a)
-    all_paths = two.union(grown(two)).join(ends.select(F.col("key").alias("at")).distinct(), "at", "left_semi")
+    all_paths = grown(a, last).union(grown(grown(a, middle), last))
     text = F.array_join(F.transform("path", lambda x: x.cast("string")), ">")
     rels = F.array_join("relations", ">")
     order = W.partitionBy("start").orderBy(F.size("path"), "path_text", "relation_text")

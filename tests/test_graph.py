@@ -307,3 +307,16 @@ def test_against_duckdb(spark, sf, name):
     pick = [want.columns.index(x) for x in columns]
     rows = sorted(map(repr, (tuple(r) for r in df.select(*columns).collect())))
     assert rows == sorted(map(repr, (tuple(r[i] for i in pick) for r in want.fetchall())))
+
+
+def test_paths_by_a_hub_against_brute_force(spark):
+    edges = [(0, 1, "calls"), *((1, i, "calls") for i in range(2, 60)), (7, 100, "imports"), (7, 100, "calls"), (100, 101, "calls"), (1, 0, "calls"), (0, 100, "calls"), (2, 2, "calls"), (2, 101, "calls")]
+    starts, ends = [0, 1, 7], [100, 101, 2]
+    walks = [[e] for e in edges if e[0] in starts]
+    want = []
+    for _ in range(2):
+        walks = [w + [e] for w in walks for e in edges if e[0] == w[-1][1] and e not in w]
+        want += [(w[0][0], ">".join(str(n) for n in (w[0][0], *(e[1] for e in w))), ">".join(e[2] for e in w)) for w in walks if w[-1][1] in ends]
+    keys = lambda x: spark.createDataFrame([(k,) for k in x], "key long")
+    got = traversal.paths(spark.createDataFrame(edges, "src long, dst long, relation string"), keys(starts), keys(ends), 1000)
+    assert sorted((r["start"], r["path_text"], r["relation_text"]) for r in got.collect()) == sorted(want) and want
