@@ -1,43 +1,247 @@
-"""Impact of all symbols at once: sketches of who reaches a symbol, united along calls, instead of a closure of pairs."""
+"""Impact of all symbols at once: risks from callers that are counted until a risk is at its most, and sketches of who reaches a symbol, united along calls, instead of a closure of pairs."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skeinwork.operators.traversal import risk_label
 from skeinwork.session import cut
+from skeinwork.sources.stored import buckets
 
-#: log2 of a sketch's registers: 4,096 registers have a standard error of 1.6 %, and counts of some 380 or less are exact but for one in a hundred thousand.
+#: log2 of a sketch's registers: 4,096 registers have a standard error of 1.6 %.
 REGISTERS = 12
+#: Nodes of which a sketch keeps a list, so their count is exact; nodes of a list that is united by registers instead.
+LISTED, SHORT = 512, 64
+#: Nodes of a block at least and at most, about, and parts that small graphs are dealt over.
+LEAST_BLOCK, BLOCK, PARTS = 2048, 1 << 15, 16
+#: Pairs (node, reached by) that a task collects before it looks for copies.
+PAIRS = 1 << 21
+#: Callers within two or three calls from which on a risk is at its most: each adds 2 of 100 at least.
+ENOUGH = 50
+
+_MESSAGE = "b int, kind int, other int, pos int, tps array<int>, sketch binary, told array<double>"
+
+
+def _hashed(block: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """32 bits for each node, different for all nodes: the last step of murmur3 is a bijection."""
+    h = ((block.astype(np.uint64) << np.uint64(18)) + pos.astype(np.uint64)).astype(np.uint32)
+    for shift, times in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+        h = (h ^ (h >> np.uint32(shift))) * np.uint32(times)
+    return h ^ (h >> np.uint32(16))
+
+
+def _ranks(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """One more than the zeros that a hash begins with, but for its register's bits."""
+    return (33 - bits - np.frexp((hashes >> np.uint32(bits)).astype(np.float64))[1]).astype(np.uint8)
+
+
+def estimates(rows: np.ndarray, bits: int) -> np.ndarray:
+    """How many nodes registers (a row for each sketch) hold, by Ertl's improved estimator, which has no bias in any range."""
+    m, top = 1 << bits, 32 - bits
+    counts = np.stack([(rows == k).sum(1) for k in range(top + 2)]).astype(float)
+    x = 1 - counts[top + 1] / m
+    y, z = np.ones_like(x), 1 - x
+    for _ in range(64):
+        x, y = np.sqrt(x), y / 2
+        z = z - (1 - x) ** 2 * y
+    z = m * z / 3
+    for k in range(top, 0, -1):
+        z = (z + counts[k]) / 2
+    x, y = counts[0] / m, np.ones_like(x)
+    s = x.copy()
+    for _ in range(64):
+        x = x * x
+        s = s + x * y
+        y = y * 2
+    return m * m / (2 * np.log(2)) / (z + m * np.where(counts[0] < m, s, np.inf))
+
+
+class _Block:
+    """Sketches of the nodes of a block, as what reaches them comes in. A sketch is b'l' and hashes, or b'r' and packed registers."""
+
+    def __init__(self, bits: int):
+        self.bits, self.m, self.codec, self.mine = bits, 1 << bits, pa.Codec("zstd", 1), []
+        self.rows = self.done = None
+
+    def begin(self) -> None:
+        """Own rows say how many nodes there are."""
+        n = 1 + max((int(p.column("pos").to_numpy().max()) for p in self.mine), default=-1)
+        self.rows, self.over, self.told = np.zeros((n, self.m), np.uint8), np.zeros(n, bool), [None] * n
+        self.pairs, self.waiting, self.kept = [], 0, np.zeros(0, np.uint64)
+        for part in self.mine:
+            for p, t in zip(part.column("pos").to_pylist(), part.column("told").to_pylist()):
+                self.told[p] = t or []
+            self.take(part)
+        self.mine = None
+
+    def registers(self, at: np.ndarray, hashes: np.ndarray) -> None:
+        np.maximum.at(self.rows.reshape(-1), at.astype(np.int64) * self.m + (hashes & np.uint32(self.m - 1)), _ranks(hashes, self.bits))
+
+    def collect(self, at: np.ndarray, hashes: np.ndarray) -> None:
+        self.pairs.append((at.astype(np.uint64) << np.uint64(32)) | hashes)
+        self.waiting += len(at)
+        if self.waiting > PAIRS:
+            self.settle()
+
+    def settle(self) -> None:
+        """Copies go; lists that have become too long go into registers."""
+        found = np.unique(np.concatenate([self.kept, *self.pairs]))
+        self.pairs, self.waiting = [], 0
+        at = (found >> np.uint64(32)).astype(np.int64)
+        self.over |= np.bincount(at, minlength=len(self.over)) > LISTED
+        gone = self.over[at]
+        self.registers(at[gone], found[gone].astype(np.uint32))
+        self.kept = found[~gone]
+
+    def take(self, part: pa.RecordBatch) -> None:
+        lists, sketches = part.column("tps"), part.column("sketch")
+        tps, lengths = lists.flatten().to_numpy(), lists.value_lengths().to_numpy()
+        if sketches.null_count == len(part):  # the first step: every node has itself
+            own = _hashed(part.column("other").to_numpy(), part.column("pos").to_numpy())
+            for i in range(0, len(tps), PAIRS):
+                self.collect(tps[i : i + PAIRS], np.repeat(own, lengths)[i : i + PAIRS])
+            return
+        ends = np.cumsum(lengths)
+        for s, lo, hi in zip(sketches, ends - lengths, ends):
+            data, to = s.as_buffer(), tps[lo:hi]
+            form, data = data[:1], data.slice(1)
+            if bytes(form) == b"l":
+                hashes = np.frombuffer(data, np.uint32)
+                if len(hashes) > SHORT:
+                    row = np.zeros(self.m, np.uint8)
+                    np.maximum.at(row, hashes & np.uint32(self.m - 1), _ranks(hashes, self.bits))
+                    self.rows[to] = np.maximum(self.rows[to], row)
+                    to = to[~self.over[to]]
+                self.collect(np.repeat(to, len(hashes)), np.tile(hashes, len(to)))
+            else:
+                self.rows[to] = np.maximum(self.rows[to], np.frombuffer(self.codec.decompress(data, self.m), np.uint8))
+                self.over[to] = True
+
+    def end(self) -> None:
+        self.settle()
+        at = (self.kept >> np.uint64(32)).astype(np.int64)
+        n = len(self.over)
+        ends = np.searchsorted(at, np.arange(n), "right")
+        begins, hashes = np.searchsorted(at, np.arange(n)), self.kept.astype(np.uint32)
+        size = (ends - begins).astype(float)
+        over = np.flatnonzero(self.over)
+        for i in range(0, len(over), 1024):
+            size[over[i : i + 1024]] = estimates(self.rows[over[i : i + 1024]], self.bits)
+        self.told = [None if t is None else [*t, float(s) - 1] for t, s in zip(self.told, size)]
+        self.done = {}
+        self.sketch = lambda p: b"r" + self.codec.compress(self.rows[p].tobytes(), asbytes=True) if self.over[p] else b"l" + hashes[begins[p] : ends[p]].tobytes()
+
+    def give(self, part: pa.RecordBatch, b: int, kind: int, last: bool) -> Iterator[pa.RecordBatch]:
+        """What a block's nodes have, for the blocks that they lead to."""
+        for lo in range(0, len(part), 1024):
+            some = part.slice(lo, 1024)
+            pos = some.column("pos")
+            sketches = None if last else [self.done[p] if p in self.done else self.done.setdefault(p, self.sketch(p)) for p in pos.to_pylist()]
+            none = pa.nulls(len(some), pa.binary())
+            told = [self.told[p] for p in pos.to_pylist()] if kind == 3 else [None] * len(some)
+            columns = [some.column("other"), pa.array([3 - kind] * len(some), pa.int32()), pa.array([b] * len(some), pa.int32()), pos, some.column("tps"), none if last else pa.array(sketches, pa.binary()), pa.array(told, pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["b", "kind", "other", "pos", "tps", "sketch", "told"])
+
+
+def _united(bits: int, last: bool):
+    """A step for the blocks of a task, whose rows come by block and kind: 0 own sketches, 1 those of callers, 2 where the block's nodes lead, 3 the nodes themselves."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, block = None, None
+        for batch in batches:
+            b, kind = batch.column("b").to_numpy(), batch.column("kind").to_numpy()
+            cuts = [0, *(np.flatnonzero((np.diff(b) != 0) | (np.diff(kind) != 0)) + 1), len(b)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if hi == lo:
+                    continue
+                if b[lo] != at:
+                    at, block = b[lo], _Block(bits)
+                part, k = batch.slice(lo, hi - lo), kind[lo]
+                if k == 0:
+                    block.mine.append(part)
+                    continue
+                if block.rows is None:
+                    block.begin()
+                if k == 1:
+                    block.take(part)
+                    continue
+                if block.done is None:
+                    block.end()
+                yield from block.give(part, int(at), int(k), last)
+
+    return run
 
 
 def reach_counts(edges: DataFrame, depth: int = 3, registers: int = REGISTERS) -> DataFrame:
-    """key, and within_1 ... within_depth: about how many other nodes reach every node within so many steps of edges (src, dst).
+    """key, and within_1 ... within_depth: about how many other nodes reach every node within so many steps of edges (src, dst). Counts up to LISTED are exact.
 
-    A round carries each node's sketch along its edges and unites those that meet, before they are moved and after: rows are bounded by edges, and a sketch by its
-    registers, whatever the graph. A node's own sketch holds itself, which isn't counted.
+    Nodes are dealt into blocks by ranges of their keys. In a round a node's sketch goes once to each block in which it has an edge, not once for each edge, and is united there with
+    the sketches of the nodes that it leads to; so what is moved is bounded by nodes times the blocks that they lead to, which are few where keys near each other belong together.
+    A task holds the registers of one block at a time. A node's own sketch holds itself, which isn't counted.
     """
-    e = cut(edges.select("src", "dst").where("src <> dst").distinct())
-    nodes = e.select(F.explode(F.array("src", "dst")).alias("key")).distinct()
-    s = cut(nodes.groupBy("key").agg(F.hll_sketch_agg("key", registers).alias("s")))
-    out = s.select("key")
+    e = edges.select("src", "dst").where("src <> dst")
+    nodes = cut(e.select(F.explode(F.array("src", "dst")).alias("key")).distinct())
+    n, parts = nodes.count(), buckets(e.count())
+    blocks = max(1, -(-n // min(BLOCK, max(LEAST_BLOCK, n // PARTS))))
+    ids = cut(nodes.repartitionByRange(blocks, "key").select("key", F.monotonically_increasing_id().alias("id")))
+    block, pos = lambda c: F.shiftright(c, 33).cast("int"), lambda c: F.col(c).bitwiseAND((1 << 33) - 1).cast("int")
+    placed = e.join(ids.toDF("src", "s"), "src").select("s", "dst").repartition(parts, "dst").join(ids.toDF("dst", "t"), "dst")
+    grouped = placed.select("s", block("t").alias("tb"), pos("t").alias("tp")).repartition(parts, "s").groupBy("s", "tb").agg(F.collect_set("tp").alias("tps"))
+    own = ids.select(block("id").alias("b"), F.lit(3).alias("kind"), block("id").alias("other"), pos("id").alias("pos"), F.array(pos("id")).alias("tps"))
+    leads = cut(grouped.select(block("s").alias("b"), F.lit(2).alias("kind"), F.col("tb").alias("other"), pos("s").alias("pos"), "tps").union(own))
+    nothing = [F.lit(None).cast("binary").alias("sketch"), F.lit(None).cast("array<double>").alias("told")]
+    sent = leads.select(F.col("other").alias("b"), (3 - F.col("kind")).alias("kind"), F.col("b").alias("other"), "pos", "tps", *nothing)
     for level in range(1, depth + 1):
-        met = e.join(s.select(F.col("key").alias("src"), "s"), "src").groupBy(F.col("dst").alias("key")).agg(F.hll_union_agg("s").alias("_met"))
-        s = cut(s.join(met, "key", "left").select("key", F.when(F.col("_met").isNull(), F.col("s")).otherwise(F.hll_union("s", "_met")).alias("s")))
-        out = out.join(s.select("key", (F.hll_sketch_estimate("s") - 1).alias(f"within_{level}")), "key")
-    return out
+        last = level == depth
+        met = sent.union((leads.where("kind = 3") if last else leads).select("*", *nothing))
+        sent = met.repartition(blocks, "b").sortWithinPartitions("b", "kind").mapInArrow(_united(registers, last), _MESSAGE)
+    told = sent.select((F.shiftleft(F.col("b").cast("long"), 33) + F.col("pos")).alias("id"), "told")
+    return ids.join(told, "id").select("key", *(F.round(F.get("told", F.lit(k))).cast("long").alias(f"within_{k + 1}") for k in range(depth)))
+
+
+def _callees(calls: DataFrame) -> DataFrame:
+    return calls.groupBy(F.col("src").alias("key")).agg(F.countDistinct("dst").alias("direct_callees_count"))
+
+
+def _zero(c: str) -> Column:
+    return F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
 
 
 def impact_of_all(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """For every symbol (key): direct_callers_count, total_callers_count (callers within one, two and three calls, the nearer ones counted again), direct_callees_count,
-    risk_score and risk_label, as traversal.impact() has them for the symbols that it is asked about. Counts are estimates beyond some hundreds; a risk is at its most from 50 callers
-    on, so risks are exact."""
+    risk_score and risk_label, as traversal.impact() has them for the symbols that it is asked about. Totals are estimates beyond some hundreds, all else is exact."""
+    up = reach_counts(edges.where("relation = 'calls'")).select("key", (F.col("within_1") + F.col("within_2") + F.col("within_3")).alias("total_callers_count"))
+    out = risk_of_all(nodes, edges).join(up, "key", "left")
+    return out.select("key", "direct_callers_count", _zero("total_callers_count"), "direct_callees_count", "risk_score", "risk_label")
+
+
+def risk_of_all(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """For every symbol (key): direct_callers_count, direct_callees_count, risk_score and risk_label, all exact.
+
+    A risk is at its most from 100 points on: 16 for a caller, 4 for one at two calls and 2 for one at three. So callers are followed only for symbols below that, which have six callers and
+    24 within two calls at most, and only through symbols of ENOUGH callers or less: one of more brings so many callers that the risk is at its most.
+    """
     calls = edges.where("relation = 'calls'")
-    up = reach_counts(calls)
-    down = calls.groupBy(F.col("src").alias("key")).agg(F.countDistinct("dst").alias("direct_callees_count"))
-    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
-    out = nodes.select("key").join(up, "key", "left").join(down, "key", "left")
-    out = out.select("key", zero(F.col("within_1")).alias("direct_callers_count"), zero(F.col("within_1") + F.col("within_2") + F.col("within_3")).alias("total_callers_count"), zero(F.col("direct_callees_count")).alias("direct_callees_count"))
-    risk = F.round(F.least(F.lit(1.0), (10 * F.col("direct_callers_count") + 2 * F.col("total_callers_count")) / 100.0), 2)
-    return out.withColumn("risk_score", risk).withColumn("risk_label", risk_label(F.col("risk_score")))
+    e = calls.select("src", "dst").where("src <> dst").distinct()
+    into = cut(e.groupBy(F.col("dst").alias("key")).agg(F.count("*").alias("direct_callers_count")))
+    points = into.select(F.col("key").alias("root"), (16 * F.col("direct_callers_count")).alias("points")).where("points < 100")
+    at, known = points.select("root", F.col("root").alias("node")), None
+    for each, level in ((0, 1), (4, 2), (2, 3)):
+        met = at.join(into.withColumnRenamed("key", "node"), "node")
+        full = met.where(F.col("direct_callers_count") > ENOUGH).select("root").distinct()
+        step = met.join(full, "root", "left_anti").select("root", "node").join(e.toDF("next", "node"), "node").where("root <> next").select("root", F.col("next").alias("node")).distinct()
+        new = cut(step if known is None else step.join(known, ["root", "node"], "left_anti"))
+        found = new.groupBy("root").agg((F.count("*") * each).alias("more"))
+        points = points.join(full.withColumn("full", F.lit(True)), "root", "left").join(found, "root", "left")
+        points = cut(points.select("root", F.when(F.col("full"), 100).otherwise(F.col("points") + F.coalesce("more", F.lit(0))).alias("points")))
+        at = new.join(points.where("points < 100"), "root", "left_semi")
+        known = at if known is None else known.union(at)
+    out = nodes.select("key").join(into, "key", "left").join(_callees(calls), "key", "left").join(points.withColumnRenamed("root", "key"), "key", "left")
+    risk = F.when(F.coalesce("direct_callers_count", F.lit(0)) == 0, 0.0).otherwise(F.round(F.least(F.lit(1.0), F.coalesce("points", F.lit(100)) / 100.0), 2))
+    out = out.select("key", _zero("direct_callers_count"), _zero("direct_callees_count"), risk.alias("risk_score"))
+    return out.withColumn("risk_label", risk_label(F.col("risk_score")))

@@ -175,3 +175,62 @@ def test_a_deleted_file_is_in_the_stream(spark, tree, tmp_path):
     (tree / "c.py").write_text("y = 2\n")
     assert run() == {("b.go", "deleted", None), ("pkg/a.py", "changed", 6), ("c.py", "new", 6)}
     assert run() == set()
+
+
+def test_a_sketch_goes_once_to_a_block(spark):
+    """What a step moves is bounded by nodes and the blocks that they lead to: rows sent are fewer than edges by far where keys near each other belong together."""
+    from skeinwork.operators import sketches
+
+    rng = random.Random(3)
+    pairs = {(c * 1000 + rng.randrange(1000), c * 1000 + rng.randrange(1000)) for c in range(8) for _ in range(12000)}
+    df = spark.createDataFrame([*pairs], "src long, dst long")
+    into = defaultdict(set)
+    for a, b in pairs:
+        if a != b:
+            into[b].add(a)
+    met = []
+    real = sketches.cut
+
+    def watched(x):
+        met.append(real(x))
+        return met[-1]
+
+    sketches.cut = watched
+    try:
+        rows = {r["key"]: r for r in reach_counts(df, 2).collect()}
+    finally:
+        sketches.cut = real
+    leads = met[-1]
+    assert leads.count() < len(pairs) / 3 and leads.agg({"b": "max"}).first()[0] > 0
+    for n in (0, 999, 1000, 4500, 7999):
+        near = into[n] | {a for m in into[n] for a in into[m]}
+        assert rows[n]["within_1"] == len(into[n]) and rows[n]["within_2"] == len(near - {n})
+
+
+def test_lists_give_way_to_registers(spark):
+    """513 callers are a count from registers, 511 one from a list; a chain of empty levels and a hub are right as well."""
+    pairs = [(i, 100000) for i in range(511)] + [(i, 100001) for i in range(2000)] + [(100000, 100002), (100001, 100002), (100002, 100003)]
+    got = {r["key"]: tuple(r)[1:] for r in reach_counts(spark.createDataFrame(pairs, "src long, dst long")).collect()}
+    assert got[0] == (0, 0, 0) and got[100000] == (511, 511, 511) and got[100002][0] == 2
+    assert all(abs(got[100001][k] - 2000) < 100 and abs(got[100002][max(k, 1)] - 2002) < 100 for k in range(3))
+
+
+def test_risks_of_all_are_exact(spark):
+    """Risks of symbols with few callers, with callers that have many, with loops and repeated calls, against sets."""
+    from skeinwork.operators.sketches import risk_of_all
+
+    rng = random.Random(6)
+    pairs = [(rng.randrange(400), rng.randrange(400)) for _ in range(500)] + [(1000 + i, 1) for i in range(60)] + [(1, 2), (2, 3), (3, 4), (4, 5), (2, 2), (1, 2)] + [(2000 + i, 6) for i in range(7)]
+    df = spark.createDataFrame([(*p, "calls") for p in pairs], "src long, dst long, relation string")
+    into = defaultdict(set)
+    for a, b in pairs:
+        if a != b:
+            into[b].add(a)
+    nodes = spark.createDataFrame([(n,) for n in range(420)], "key long")
+    for r in risk_of_all(nodes, df).collect():
+        one = into[r["key"]]
+        two = {a for m in one for a in into[m]} | one
+        three = {a for m in two for a in into[m]} | two
+        root = {r["key"]}
+        points = 12 * len(one) + 2 * (len(two - root) + len(three - root))
+        assert r["direct_callers_count"] == len(one) and abs(r["risk_score"] - min(1.0, points / 100)) < 1e-9
