@@ -55,9 +55,14 @@ def extract(turns: DataFrame, patterns: tuple[tuple[str, str], ...] = PATTERNS,
     """
     said = turns.where("role = 'assistant'").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.trim("text").alias("text")))).alias("x"))
     log = said.select("conv_id", F.array_join(F.col("x.text"), "\n").alias("log"))
-    parts = [log.select("conv_id", F.lit(name).alias("class"), F.lit(k).alias("k"), F.posexplode(F.regexp_extract_all("log", F.lit(p.replace("(?i)", "(?id)")), F.lit(1)))) for k, (name, p) in enumerate(patterns)]
+    def matches(k: int, name: str, pattern: str) -> Column:
+        found = F.regexp_extract_all("log", F.lit(pattern.replace("(?i)", "(?id)")), F.lit(1))
+        return F.transform(found, lambda x, i: F.struct(F.lit(name).alias("class"), F.lit(k).alias("k"), i.alias("pos"), x.alias("col")))
+
+    # all patterns are looked for in one pass over the logs
+    said = log.select("conv_id", F.inline(F.flatten(F.array(*(matches(k, *p) for k, p in enumerate(patterns))))))
     text = F.regexp_replace(F.trim("col"), r"[.,;]+\z", "")
-    found = reduce(DataFrame.union, parts).select("conv_id", "class", F.struct("k", "pos").alias("at"), text.alias("text")).where(F.length("text") >= least)
+    found = said.select("conv_id", "class", F.struct("k", "pos").alias("at"), text.alias("text")).where(F.length("text") >= least)
     key = F.substring(F.lower("text"), 1, 60)
     first = found.groupBy("conv_id", "class", key.alias("key")).agg(F.min_by("text", "at").alias("text"))
     return first.select("conv_id", "class", F.substring("text", 1, most).alias("text"))

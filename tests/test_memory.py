@@ -328,3 +328,12 @@ def test_progress_stream_and_fan_out(spark, tmp_path):
     subscribers = [dead, heard.extend]
     twins.fanned_out(s, subscribers, str(tmp_path / "c2")).awaitTermination()
     assert len(heard) == 4 and len(subscribers) == 1 and dead not in subscribers
+
+
+def test_journals_are_read_once(spark):
+    """A log is looked through for all patterns in one pass, so a task reads its exchange once."""
+    from skeinwork.operators import analysis
+
+    turns = spark.createDataFrame([(1, 0, "assistant", "We decided: use the pool. I prefer short names here.")], "conv_id long, turn int, role string, text string")
+    plan = analysis.extract(turns)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate") == 1 and "Union" not in plan
