@@ -18,12 +18,14 @@ from skeinwork.sources import tables
 BUCKET_ROWS, MOST_BUCKETS = 200_000, 16_384
 
 
-def put(df: DataFrame, key: str, n: int, *parts: str, deal: list[str] | None = None) -> DataFrame:
-    """df as a table in n buckets, sorted by their key, in the shared folder; it goes when the driver ends. deal: what rows are dealt over tasks by, if a key's rows are too many for one."""
+def put(df: DataFrame, key: str, n: int, *parts: str, deal: list[str] | None = None, once: bool = False) -> DataFrame:
+    """df as a table in n buckets, sorted by their key, in the shared folder; it goes when the driver ends. deal: what rows are dealt over tasks by, if a key's rows are too many for one.
+    once: copies of a row go, in the task of their bucket."""
     spark = df.sparkSession
     name = f"skeinwork_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/skeinwork/{name}"
-    writer = df.repartition(n, *(deal or [key])).sortWithinPartitions(*parts, key).write.format("parquet").option("path", path).bucketBy(n, key).sortBy(key)
+    dealt = df.repartition(n, *(deal or [key]))
+    writer = (dealt.distinct() if once else dealt).sortWithinPartitions(*parts, key).write.format("parquet").option("path", path).bucketBy(n, key).sortBy(key)
     (writer.partitionBy(*parts) if parts else writer).saveAsTable(name)
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
@@ -37,7 +39,7 @@ def buckets(rows: int) -> int:
 class StoredGraph:
     """Symbols (key, ...) and edges (src, dst, relation), each table written when it is first asked for; edges are worked out once.
 
-    n_nodes and n_edges are about how many there are, which gives the numbers of buckets.
+    n_nodes and n_edges are about how many there are, which gives the numbers of buckets. Edges may have copies, which aren't stored.
     """
 
     def __init__(self, nodes: DataFrame, edges: DataFrame, n_nodes: int, n_edges: int):
@@ -51,7 +53,7 @@ class StoredGraph:
     @cached_property
     def outgoing(self) -> DataFrame:
         """All edges, bucketed by src."""
-        return put(self._edges, "src", buckets(self._n_edges), "relation")
+        return put(self._edges, "src", buckets(self._n_edges), "relation", once=True)
 
     @cached_property
     def incoming(self) -> DataFrame:
@@ -82,5 +84,5 @@ def graph(spark: SparkSession, sf_dir: str) -> StoredGraph:
     key = (spark.sparkContext.applicationId, sf_dir, *(stamp(spark, f"{sf_dir}/{t}.parquet") for t in ("part", "lineitem")))
     if key not in _stores:
         parts, lines = (tables.table(spark, sf_dir, t).count() for t in ("part", "lineitem"))
-        _stores[key] = StoredGraph(tables.nodes(spark, sf_dir), tables.edges(spark, sf_dir), parts, 2 * lines)
+        _stores[key] = StoredGraph(tables.nodes(spark, sf_dir), tables.edge_rows(spark, sf_dir, buckets(lines)), parts, 2 * lines)
     return _stores[key]

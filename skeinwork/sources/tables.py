@@ -48,17 +48,27 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def steps(spark: SparkSession, sf_dir: str, parts: int | None = None) -> DataFrame:
+    """calls() with its copies. parts: tasks that orders are dealt over, if the session's number won't do."""
+    line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    order = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    pairs = (line.repartition(parts, "l_orderkey") if parts else line).select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(order).alias("dst"))
+    return pairs.where("dst is not null and src <> dst").withColumn("relation", F.lit("calls"))
+
+
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calls between parts that follow each other in an order."""
-    line = table(spark, sf_dir, "lineitem")
-    order = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
-    pairs = line.select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(order).alias("dst"))
-    return pairs.where("dst is not null and src <> dst").distinct().withColumn("relation", F.lit("calls"))
+    return steps(spark, sf_dir).distinct()
 
 
-def imports(spark: SparkSession, sf_dir: str) -> DataFrame:
+def uses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """imports() with its copies."""
     line = table(spark, sf_dir, "lineitem").where("l_partkey <> l_suppkey")
-    return line.select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst")).distinct().withColumn("relation", F.lit("imports"))
+    return line.select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst"), F.lit("imports").alias("relation"))
+
+
+def imports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return uses(spark, sf_dir).distinct()
 
 
 def contains(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,6 +80,11 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calls(spark, sf_dir).unionByName(imports(spark, sf_dir)).unionByName(contains(spark, sf_dir))
 
 
+def edge_rows(spark: SparkSession, sf_dir: str, parts: int) -> DataFrame:
+    """edges() with its copies."""
+    return steps(spark, sf_dir, parts).unionByName(uses(spark, sf_dir)).unionByName(contains(spark, sf_dir))
+
+
 def descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Layer 2: labelled documents describe the part of the same number."""
     d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")

@@ -280,3 +280,31 @@ def test_stored_graph_reads_one_bucket(spark, sf):
     plan = big.incoming.join(frontier, "dst")._jdf.queryExecution().executedPlan().toString()
     assert "Bucketed: true" in plan.replace("bucketed: true", "Bucketed: true") or plan.count("Exchange hashpartitioning") == 1
     assert sorted(tuple(r) for r in traversal.around([traversal.backward(big.incoming)], traversal.one(big.incoming, 42), 3).where('depth > 0').collect()) == [(39, 3), (40, 2), (41, 1)]
+
+
+def test_files_are_dealt_over_tasks(spark):
+    """Files of one small partition are parsed by many tasks; segments are those of ast."""
+    import ast
+
+    from skeinwork.functions import parsers
+
+    source = "import a\r\nclass É(B):\n    x = 'é'; y = 1\n    def f(self, a=1, *, b=2):\n        return g(\n            'ü')\n"
+    files = spark.range(0, 3500, 1, 1).selectExpr("concat('m', id, '.py') AS filepath", "'python' AS language", "'v = 1' AS source")
+    found = parsers.parse_files(files, "r")
+    assert found.rdd.getNumPartitions() == 4 and found.where("rec_type = 'node'").count() == 7000
+    rows = {r["id"]: r for r in parsers.parse_python("m.py", source, "r") if r["rec_type"] == "node"}
+    for n in ast.walk(ast.parse(source)):
+        if isinstance(n, (ast.ClassDef, ast.FunctionDef)):
+            kind = "class" if isinstance(n, ast.ClassDef) else "method"
+            assert rows[f"r:m.py:{kind}:{n.name}"]["source_text"] == ast.get_source_segment(source, n)
+    assert rows["r:m.py:method:f"]["signature"] == "def f(self, a=..., *, b=...)"
+
+
+def test_edges_are_stored_once(spark):
+    """Copies of an edge go in its bucket, with no exchange of their own."""
+    from skeinwork.sources.stored import StoredGraph
+
+    edges = spark.createDataFrame([(1, 2, "calls"), (1, 2, "calls"), (1, 2, "imports"), (2, 1, "calls")], "src long, dst long, relation string")
+    g = StoredGraph(spark.createDataFrame([(1,), (2,)], "key long"), edges, 2, 500_000)
+    want = [(1, 2, "calls"), (1, 2, "imports"), (2, 1, "calls")]
+    assert sorted(map(tuple, g.outgoing.select("src", "dst", "relation").collect())) == want == sorted(map(tuple, g.incoming.select("src", "dst", "relation").collect()))
