@@ -18,7 +18,7 @@ REGISTERS = 12
 #: Nodes of which a sketch keeps a list, so their count is exact; nodes of a list that is united by registers instead.
 LISTED, SHORT = 512, 64
 #: Nodes of a block at least and at most, about, and parts that small graphs are dealt over.
-LEAST_BLOCK, BLOCK, PARTS = 2048, 1 << 15, 16
+LEAST_BLOCK, BLOCK, PARTS = 2048, 1 << 14, 16
 #: Pairs (node, reached by) that a task collects before it looks for copies.
 PAIRS = 1 << 21
 #: Callers within two or three calls from which on a risk is at its most: each adds 2 of 100 at least.
@@ -85,13 +85,15 @@ class _Block:
     def collect(self, at: np.ndarray, hashes: np.ndarray) -> None:
         self.pairs.append((at.astype(np.uint64) << np.uint64(32)) | hashes)
         self.waiting += len(at)
-        if self.waiting > PAIRS:
+        if self.waiting > max(PAIRS, len(self.kept)):
             self.settle()
 
     def settle(self) -> None:
         """Copies go; lists that have become too long go into registers."""
-        found = np.unique(np.concatenate([self.kept, *self.pairs]))
+        found = np.concatenate([self.kept, *self.pairs])
         self.pairs, self.waiting = [], 0
+        found.sort()  # np.unique's hash table is slower by far
+        found = found[np.r_[True, found[1:] != found[:-1]]] if len(found) else found
         at = (found >> np.uint64(32)).astype(np.int64)
         self.over |= np.bincount(at, minlength=len(self.over)) > LISTED
         gone = self.over[at]
@@ -115,9 +117,12 @@ class _Block:
                 if len(hashes) > SHORT:
                     row = np.zeros(self.m, np.uint8)
                     np.maximum.at(row, hashes & np.uint32(self.m - 1), _ranks(hashes, self.bits))
-                    self.rows[to] = np.maximum(self.rows[to], row)
+                    both = self.rows[to] = np.maximum(self.rows[to], row)
+                    # as many registers that aren't zero are as many nodes at least
+                    self.over[to[~self.over[to] & (np.count_nonzero(both, axis=1) > LISTED)]] = True
                     to = to[~self.over[to]]
-                self.collect(np.repeat(to, len(hashes)), np.tile(hashes, len(to)))
+                if len(to):
+                    self.collect(np.repeat(to, len(hashes)), np.tile(hashes, len(to)))
             else:
                 self.rows[to] = np.maximum(self.rows[to], np.frombuffer(self.codec.decompress(data, self.m), np.uint8))
                 self.over[to] = True
