@@ -70,3 +70,29 @@ def test_recall_and_buckets(spark):
     plan = index.chosen([1, 2], "label = 1")._jdf.queryExecution().executedPlan().toString()
     spark.conf.unset("spark.sql.sources.bucketing.autoBucketedScan.enabled")
     assert "SelectedBucketsCount: " in plan and "SelectedBucketsCount: 12 out of 12" not in plan
+
+
+def test_scores_of_matrices_round_as_sql():
+    """Scores that lie on a half of the last digit, odd lengths, nulls and empty vectors, against sums in order."""
+    import math
+    from decimal import ROUND_HALF_UP, Decimal
+
+    import pyarrow as pa
+
+    from skeinwork.operators.vector_index import _Rows
+
+    rng = random.Random(2)
+    vs = [[rng.gauss(0, 1) for _ in range(7)] for _ in range(60)] + [[1.0, 0.0], [3.0, 4.0], [0.0, 0.0], [], None, [None, 1.0]] + [[a, math.sqrt(1 - a * a)] for a in (0.123455, 0.5, 0.000005, 0.999995, -0.123455)]
+    kind = pa.list_(pa.float64())
+    got = _Rows(pa.array(vs, kind)).scores(_Rows(pa.array(vs, kind)))
+
+    def score(a, b):
+        if not a or not b or None in a or None in b or len(a) != len(b):
+            return 0.0
+        dot, x, y = 0.0, 0.0, 0.0
+        for p, q in zip(a, b):
+            dot, x, y = dot + p * q, x + p * p, y + q * q
+        n = math.sqrt(x) * math.sqrt(y)
+        return float(Decimal(repr(dot / n)).quantize(Decimal("0.00001"), ROUND_HALF_UP)) if n > 0 else 0.0
+
+    assert [[score(q, v) for v in vs] for q in vs] == got.tolist()
