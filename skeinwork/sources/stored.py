@@ -10,6 +10,8 @@ import uuid
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from skeinwork.session import shared_dir
 from skeinwork.sources import tables
@@ -18,14 +20,17 @@ from skeinwork.sources import tables
 BUCKET_ROWS, MOST_BUCKETS = 200_000, 16_384
 
 
-def put(df: DataFrame, key: str, n: int, *parts: str, deal: list[str] | None = None, once: bool = False) -> DataFrame:
+def put(df: DataFrame, key: str, n: int, *parts: str, deal: list[str] | None = None, once: bool = False, number: tuple[str, str] | None = None) -> DataFrame:
     """df as a table in n buckets, sorted by their key, in the shared folder; it goes when the driver ends. deal: what rows are dealt over tasks by, if a key's rows are too many for one.
-    once: copies of a row go, in the task of their bucket."""
+    once: copies of a row go, in the task of their bucket. number: a column for the places of a key's rows from zero, and the column that orders them."""
     spark = df.sparkSession
     name = f"skeinwork_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/skeinwork/{name}"
     dealt = df.repartition(n, *(deal or [key]))
-    writer = (dealt.distinct() if once else dealt).sortWithinPartitions(*parts, key).write.format("parquet").option("path", path).bucketBy(n, key).sortBy(key)
+    dealt = dealt.distinct() if once else dealt
+    if number:
+        dealt = dealt.withColumn(number[0], F.row_number().over(W.partitionBy(key).orderBy(number[1])) - 1)
+    writer = dealt.sortWithinPartitions(*parts, key).write.format("parquet").option("path", path).bucketBy(n, key).sortBy(key)
     (writer.partitionBy(*parts) if parts else writer).saveAsTable(name)
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)

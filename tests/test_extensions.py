@@ -4,6 +4,8 @@ import random
 from collections import defaultdict
 from datetime import datetime, timedelta
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -131,6 +133,49 @@ def test_text_index_of_odd_rows(spark, monkeypatch):
     assert text_index(df.limit(0), "id", "data").holding("abc").count() == 0
 
 
+def stages_of(spark):
+    """Stages so far, by id: the bytes that they have written for others."""
+    jvm, sc = spark._jvm, spark.sparkContext
+    store = sc._jsc.sc().statusStore()
+    sc._jsc.sc().listenerBus().waitUntilEmpty(60_000)
+    stages = store.stageList(None, False, False, sc._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return {stages.apply(i).stageId(): stages.apply(i).shuffleWriteBytes() for i in range(stages.size())}
+
+
+def test_text_index_moves_lists_not_trigrams(spark):
+    """A trigram of a row costs some bits when the index is built, not a row of its own."""
+    rows = spark.range(40_000).selectExpr("concat('d', id) AS id", "concat('ship order ', id, ' as 1-urgent, of segment_', id % 25) AS data").repartition(4)
+    rows.count()
+    before = max(stages_of(spark))
+    index = text_index(rows, "id", "data")
+    moved = sum(n for i, n in stages_of(spark).items() if i > before)
+    assert [r["id"] for r in index.holding("39999", "urgent").where(F.col("data").contains("39999")).collect()] == ["d39999"]
+    assert 0 < moved < 40_000 * 100, moved  # the row itself and its 45 trigrams
+
+
+def test_lists_of_numbers():
+    from skeinwork.operators.text_index import _cut, _listed, _lists, _mask
+
+    rng = random.Random(3)
+    for rows in (1, 9, 70, 5_000, 70_000):
+        for n in {1, rows // 50 + 1, rows // 2 + 1, rows}:
+            at = sorted(rng.sample(range(rows), n))
+            assert np.flatnonzero(_mask([_listed(np.array(at), rows)], rows + 64)).tolist() == at
+    assert len(_listed(np.arange(7, 30_000, 3), 30_000)) < 4_000 and len(_listed(np.array([29_999]), 30_000)) == 3
+    # more letters than a number of 64 bits has room for with their rows; a text that is cut into pieces; rows that are out of order
+    many = [chr(c) for c in range(0x20, 0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(rng.sample(many, 20_000)) for _ in range(40)]
+    got = _lists(5, list(range(40)), texts).to_pylist()
+    want = {}
+    for i, t in enumerate(texts):
+        for k in range(len(t) - 2):
+            want.setdefault(t[k : k + 3], set()).add(i)
+    assert {x["gram"]: set(np.flatnonzero(_mask([x["held"]], 64)).tolist()) for x in got} == want
+    batch = pa.RecordBatch.from_pylist([{"b": 1, "i": 3, "t": "abcdefgh"}, {"b": 1, "i": 2, "t": "cdx"}, {"b": 2, "i": 0, "t": "abc"}, {"b": 2, "i": 1, "t": "ab"}])
+    found = [(x["_block"], x["gram"], i) for piece in _cut(iter([batch]), 2) for x in piece.to_pylist() for i in np.flatnonzero(_mask([x["held"]], 64)).tolist()]
+    assert sorted(found) == [(1, "abc", 3), (1, "bcd", 3), (1, "cde", 3), (1, "cdx", 2), (1, "def", 3), (1, "efg", 3), (1, "fgh", 3), (2, "abc", 0)]
+
+
 def test_memory_search_by_the_index(spark, sf):
     rows = spark.createDataFrame([(f"d{i}", "r", f"2024-01-{i % 28 + 1:02}", f"use the {'shared ' if i % 3 else ''}pool number {i}", f"s{i}") for i in range(60)], "id string, repo_id string, updated_at string, data string, summary string")
     index = text_index(rows, "id", "data")
