@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skeinwork.operators.relational import first_n, latest
-from skeinwork.operators.traversal import with_confidence
+from skeinwork.operators.traversal import held, with_confidence
 
 
 def prefix_links(nodes: DataFrame, arch: DataFrame) -> DataFrame:
@@ -73,8 +73,11 @@ def context(nodes: DataFrame, edges: DataFrame, desc: DataFrame, docs: DataFrame
     few = at.orderBy("id").limit(expanded)
     c = edges.where("relation = 'contains'").select("src", "dst")
     near = few.join(c.union(c.select("dst", "src")).toDF("key", "context"), "key").select(F.col("context").alias("key")).distinct().join(at, "key", "left_anti")
-    named = near.join(nodes.select("key", "id"), "key")
-    d, l = desc.select(F.col("node_id").alias("key"), "summary"), docs.select(F.col("component_id").alias("key"), "data_flow")
+    keys, near = held(near, "key")
+    # symbols and texts of what is near alone are joined
+    some = lambda t: t.join(near, "key", "left_semi") if keys is None else t.where(F.col("key").isin(keys))
+    named = some(nodes.select("key", "id"))
+    d, l = some(desc.select(F.col("node_id").alias("key"), "summary")), some(docs.select(F.col("component_id").alias("key"), "data_flow"))
     symbols = named.join(d, "key", "left").join(l, "key", "left").select(F.col("id").alias("context_id"), F.lit("symbol").alias("type"), "summary", "data_flow")
     modules = prefix_links(few, arch).select(F.col("module_path").alias("context_id"), F.lit("module").alias("type"), F.col("architectural_role").alias("summary"), F.lit(None).cast("string").alias("data_flow")).distinct()
     return with_confidence(symbols.union(modules), 30)

@@ -320,3 +320,21 @@ def test_paths_by_a_hub_against_brute_force(spark):
     keys = lambda x: spark.createDataFrame([(k,) for k in x], "key long")
     got = traversal.paths(spark.createDataFrame(edges, "src long, dst long, relation string"), keys(starts), keys(ends), 1000)
     assert sorted((r["start"], r["path_text"], r["relation_text"]) for r in got.collect()) == sorted(want) and want
+
+
+def test_context_joins_the_texts_of_what_is_near(spark, sf, monkeypatch):
+    """Texts are chosen by key where the tables are read, and not moved; beyond FEW keys the rows are the same."""
+    from skeinwork.operators import docs, traversal
+    from skeinwork.sources import tables
+    from skeinwork.sources.stored import graph
+
+    g = graph(spark, sf)
+    texts = tables.descriptions(spark, sf), tables.component_docs(spark, sf), tables.architecture(spark, sf)
+    found = docs.context(g.nodes, g.outgoing, *texts, "brand", "r1")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    rows = sorted(found.collect(), key=repr)
+    # each reading of documents is by keys, whether or not any is left after pruning
+    scans = [x for x in plan.splitlines() if "Filter" in x and "doc_id" in x]
+    assert scans and all("IN (" in x or "INSET" in x or "doc_id" in x and " = " in x for x in scans), plan
+    monkeypatch.setattr(traversal, "FEW", 0)
+    assert sorted(docs.context(g.nodes, g.outgoing, *texts, "brand", "r1").collect(), key=repr) == rows and len(rows) > 2
