@@ -18,21 +18,63 @@ REGISTERS = 12
 #: Nodes of which a sketch keeps a list, so their count is exact; nodes of a list that is united by registers instead.
 LISTED, SHORT = 512, 64
 #: Nodes of a block at least and at most, about, and parts that small graphs are dealt over.
-LEAST_BLOCK, BLOCK, PARTS = 2048, 1 << 14, 16
-#: Pairs (node, reached by) that a task collects before it looks for copies.
-PAIRS = 1 << 21
+LEAST_BLOCK, BLOCK, PARTS = 2048, 1 << 15, 16
+#: Blocks that a node leads to, on average, from which on nodes are dealt by what is near along edges; one of how many nodes tells that; rounds in which labels spread.
+FAR, TOLD_BY, ROUNDS = 4, 64, 4
+#: Pairs (node, reached by) that a task collects before it looks for copies, and list entries and registers of a message, about.
+PAIRS, CHUNK = 1 << 21, 1 << 17
+
 #: Callers within two or three calls from which on a risk is at its most: each adds 2 of 100 at least.
 ENOUGH = 50
+#: Kinds of messages to block b: where it is led to from block other; sketches from there; its nodes that lead to other; what is known of its nodes. They are read by stage.
+_INTO, _SKETCHES, _LEADS, _TOLD = range(4)
+_MESSAGE = "b int, stage int, other int, kind int, data binary"
+_CODEC = pa.Codec("zstd", 1)
+
+
+def _packed(*arrays: np.ndarray) -> bytes:
+    """Arrays as one value: bytes of the same place in a number lie together and are compressed together."""
+    heads, datas = [len(arrays)], []
+    for x in arrays:
+        datas += [_CODEC.compress(plane.tobytes(), asbytes=True) for plane in np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T]
+        heads += [len(x), x.itemsize, *map(len, datas[-x.itemsize :])]
+    return b"".join([np.array(heads, np.uint32).tobytes(), *datas])
+
+
+def _unpacked(data: pa.Buffer) -> list[np.ndarray]:
+    heads, found, i, ends = np.frombuffer(data, np.uint32, len(data) // 4), [], 1, []
+    for _ in range(heads[0]):
+        n, size = int(heads[i]), int(heads[i + 1])
+        ends.append((n, [int(x) for x in heads[i + 2 : i + 2 + size]]))
+        i += 2 + size
+    at = 4 * i
+    for n, sizes in ends:
+        planes = np.empty((n, len(sizes)), np.uint8)
+        for k, size in enumerate(sizes):
+            planes[:, k] = np.frombuffer(_CODEC.decompress(data.slice(at, size), n), np.uint8)
+            at += size
+        found.append(planes.reshape(-1).view(f"u{len(sizes)}"))
+    return found
 
-_MESSAGE = "b int, kind int, other int, pos int, tps array<int>, sketch binary, told array<double>"
 
+def _steps(x: np.ndarray) -> np.ndarray:
+    """Differences of neighbours, modulo 2^32; np.cumsum gives the numbers back."""
+    x = x.astype(np.uint32)
+    return np.diff(x, prepend=np.uint32(0))
 
-def _hashed(block: np.ndarray, pos: np.ndarray) -> np.ndarray:
+
+def _summed(x: np.ndarray) -> np.ndarray:
+    return np.cumsum(x, dtype=np.uint32)
+
+
+def _hashed(codes: np.ndarray) -> np.ndarray:
     """32 bits for each node, different for all nodes: the last step of murmur3 is a bijection."""
-    h = ((block.astype(np.uint64) << np.uint64(18)) + pos.astype(np.uint64)).astype(np.uint32)
-    for shift, times in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
-        h = (h ^ (h >> np.uint32(shift))) * np.uint32(times)
-    return h ^ (h >> np.uint32(16))
+    h = codes.astype(np.uint32)
+    h ^= h >> np.uint32(16)
+    for shift, times in ((13, 0x85EBCA6B), (16, 0xC2B2AE35)):
+        h *= np.uint32(times)
+        h ^= h >> np.uint32(shift)
+    return h
 
 
 def _ranks(hashes: np.ndarray, bits: int) -> np.ndarray:
@@ -43,7 +85,8 @@ def _ranks(hashes: np.ndarray, bits: int) -> np.ndarray:
 def estimates(rows: np.ndarray, bits: int) -> np.ndarray:
     """How many nodes registers (a row for each sketch) hold, by Ertl's improved estimator, which has no bias in any range."""
     m, top = 1 << bits, 32 - bits
-    counts = np.stack([(rows == k).sum(1) for k in range(top + 2)]).astype(float)
+    at = rows.astype(np.int64) + (np.arange(len(rows)) * (top + 2))[:, None]
+    counts = np.bincount(at.reshape(-1), minlength=len(rows) * (top + 2)).reshape(len(rows), top + 2).T.astype(float)
     x = 1 - counts[top + 1] / m
     y, z = np.ones_like(x), 1 - x
     for _ in range(64):
@@ -61,29 +104,26 @@ def estimates(rows: np.ndarray, bits: int) -> np.ndarray:
     return m * m / (2 * np.log(2)) / (z + m * np.where(counts[0] < m, s, np.inf))
 
 
+def _spread(begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The places begin, begin + 1, ... of every run, one after the other."""
+    return np.repeat(begins - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
+
+
 class _Block:
-    """Sketches of the nodes of a block, as what reaches them comes in. A sketch is b'l' and hashes, or b'r' and packed registers."""
-
-    def __init__(self, bits: int):
-        self.bits, self.m, self.codec, self.mine = bits, 1 << bits, pa.Codec("zstd", 1), []
-        self.rows = self.done = None
-
-    def begin(self) -> None:
-        """Own rows say how many nodes there are."""
-        n = 1 + max((int(p.column("pos").to_numpy().max()) for p in self.mine), default=-1)
-        self.rows, self.over, self.told = np.zeros((n, self.m), np.uint8), np.zeros(n, bool), [None] * n
-        self.pairs, self.waiting, self.kept = [], 0, np.zeros(0, np.uint64)
-        for part in self.mine:
-            for p, t in zip(part.column("pos").to_pylist(), part.column("told").to_pylist()):
-                self.told[p] = t or []
-            self.take(part)
-        self.mine = None
+    """Sketches of the nodes of a block, as what reaches them comes in: a list of nodes, or registers for those that are over LISTED. starts: the number of every block's first node."""
+
+    def __init__(self, b: int, bits: int, starts: np.ndarray):
+        self.b, self.bits, self.m, self.starts = b, bits, 1 << bits, starts
+        n = int(starts[b + 1] - starts[b])
+        self.rows, self.over, self.told = np.zeros((n, self.m), np.uint8), np.zeros(n, bool), np.zeros((0, n))
+        self.pairs, self.waiting, self.kept, self.done = [], 0, np.zeros(0, np.uint64), False
+        self.collect(np.arange(n), starts[b] + np.arange(n))
 
     def registers(self, at: np.ndarray, hashes: np.ndarray) -> None:
         np.maximum.at(self.rows.reshape(-1), at.astype(np.int64) * self.m + (hashes & np.uint32(self.m - 1)), _ranks(hashes, self.bits))
 
-    def collect(self, at: np.ndarray, hashes: np.ndarray) -> None:
-        self.pairs.append((at.astype(np.uint64) << np.uint64(32)) | hashes)
+    def collect(self, at: np.ndarray, codes: np.ndarray) -> None:
+        self.pairs.append((at.astype(np.uint64) << np.uint64(32)) | codes.astype(np.uint64))
         self.waiting += len(at)
         if self.waiting > max(PAIRS, len(self.kept)):
             self.settle()
@@ -93,120 +133,193 @@ class _Block:
         found = np.concatenate([self.kept, *self.pairs])
         self.pairs, self.waiting = [], 0
         found.sort()  # np.unique's hash table is slower by far
-        found = found[np.r_[True, found[1:] != found[:-1]]] if len(found) else found
+        found = found[np.r_[True, found[1:] != found[:-1]]]
         at = (found >> np.uint64(32)).astype(np.int64)
-        self.over |= np.bincount(at, minlength=len(self.over)) > LISTED
+        self.over |= np.bincount(at, minlength=len(self.over)) > LISTED + 1  # a node's list has itself
         gone = self.over[at]
-        self.registers(at[gone], found[gone].astype(np.uint32))
+        self.registers(at[gone], _hashed(found[gone]))
         self.kept = found[~gone]
 
-    def take(self, part: pa.RecordBatch) -> None:
-        lists, sketches = part.column("tps"), part.column("sketch")
-        tps, lengths = lists.flatten().to_numpy(), lists.value_lengths().to_numpy()
-        if sketches.null_count == len(part):  # the first step: every node has itself
-            own = _hashed(part.column("other").to_numpy(), part.column("pos").to_numpy())
-            for i in range(0, len(tps), PAIRS):
-                self.collect(tps[i : i + PAIRS], np.repeat(own, lengths)[i : i + PAIRS])
-            return
-        ends = np.cumsum(lengths)
-        for s, lo, hi in zip(sketches, ends - lengths, ends):
-            data, to = s.as_buffer(), tps[lo:hi]
-            form, data = data[:1], data.slice(1)
-            if bytes(form) == b"l":
-                hashes = np.frombuffer(data, np.uint32)
-                if len(hashes) > SHORT:
-                    row = np.zeros(self.m, np.uint8)
-                    np.maximum.at(row, hashes & np.uint32(self.m - 1), _ranks(hashes, self.bits))
-                    both = self.rows[to] = np.maximum(self.rows[to], row)
-                    # as many registers that aren't zero are as many nodes at least
-                    self.over[to[~self.over[to] & (np.count_nonzero(both, axis=1) > LISTED)]] = True
-                    to = to[~self.over[to]]
-                if len(to):
-                    self.collect(np.repeat(to, len(hashes)), np.tile(hashes, len(to)))
-            else:
-                self.rows[to] = np.maximum(self.rows[to], np.frombuffer(self.codec.decompress(data, self.m), np.uint8))
-                self.over[to] = True
+    def into(self, other: int, data: pa.Buffer, first: bool) -> None:
+        """Where the block is led to from another. In the first step a node's sketch is itself."""
+        src, dst = _unpacked(data)
+        self.src, self.dst = _summed(src), dst
+        if first:
+            for i in range(0, len(src), PAIRS):
+                self.collect(dst[i : i + PAIRS], self.starts[other] + self.src[i : i + PAIRS])
+
+    def take(self, data: pa.Buffer) -> None:
+        """Sketches of some nodes of the block whose edges came last."""
+        p, over, lengths, codes, places, ranks = _unpacked(data)
+        p, over, lengths, codes, places = _summed(p), over.astype(bool), lengths.astype(np.int64), _summed(codes), _summed(places)
+        lo, hi = np.searchsorted(self.src, p[0]), np.searchsorted(self.src, p[-1], "right")
+        src, dst = np.searchsorted(p, self.src[lo:hi]), self.dst[lo:hi]
+        long = over | (lengths > SHORT)
+        slot = np.cumsum(long) - 1
+        met = np.zeros((int(long.sum()), self.m), np.uint8)
+        met[slot[over][places >> np.uint32(self.bits)], places & np.uint32(self.m - 1)] = ranks
+        at = np.repeat(np.arange(len(p)), lengths)
+        some = long[at]
+        hashes = _hashed(codes[some])
+        np.maximum.at(met.reshape(-1), slot[at[some]] * self.m + (hashes & np.uint32(self.m - 1)), _ranks(hashes, self.bits))
+        begins = np.searchsorted(src, np.arange(len(p) + 1))
+        for i in np.flatnonzero(long):
+            to = dst[begins[i] : begins[i + 1]]
+            self.rows[to] = np.maximum(self.rows[to], met[slot[i]])
+        self.over[dst[over[src]]] = True
+        # as many registers that aren't zero are as many nodes at least
+        near = np.unique(dst[long[src] & ~self.over[dst]])
+        for i in range(0, len(near), 1024):
+            each = near[i : i + 1024]
+            self.over[each[np.count_nonzero(self.rows[each], axis=1) > LISTED + 1]] = True
+        listed = ~over[src] & ~(long[src] & self.over[dst])
+        src, dst, first = src[listed], dst[listed], np.cumsum(lengths) - lengths
+        cuts = np.flatnonzero(np.diff(np.cumsum(lengths[src]) // PAIRS, prepend=0))
+        for lo, hi in zip([0, *cuts], [*cuts, len(src)]):
+            each = lengths[src[lo:hi]]
+            self.collect(np.repeat(dst[lo:hi], each), codes[_spread(first[src[lo:hi]], each)])
 
     def end(self) -> None:
         self.settle()
-        at = (self.kept >> np.uint64(32)).astype(np.int64)
         n = len(self.over)
-        ends = np.searchsorted(at, np.arange(n), "right")
-        begins, hashes = np.searchsorted(at, np.arange(n)), self.kept.astype(np.uint32)
-        size = (ends - begins).astype(float)
-        over = np.flatnonzero(self.over)
-        for i in range(0, len(over), 1024):
-            size[over[i : i + 1024]] = estimates(self.rows[over[i : i + 1024]], self.bits)
-        self.told = [None if t is None else [*t, float(s) - 1] for t, s in zip(self.told, size)]
-        self.done = {}
-        self.sketch = lambda p: b"r" + self.codec.compress(self.rows[p].tobytes(), asbytes=True) if self.over[p] else b"l" + hashes[begins[p] : ends[p]].tobytes()
-
-    def give(self, part: pa.RecordBatch, b: int, kind: int, last: bool) -> Iterator[pa.RecordBatch]:
-        """What a block's nodes have, for the blocks that they lead to."""
-        for lo in range(0, len(part), 1024):
-            some = part.slice(lo, 1024)
-            pos = some.column("pos")
-            sketches = None if last else [self.done[p] if p in self.done else self.done.setdefault(p, self.sketch(p)) for p in pos.to_pylist()]
-            none = pa.nulls(len(some), pa.binary())
-            told = [self.told[p] for p in pos.to_pylist()] if kind == 3 else [None] * len(some)
-            columns = [some.column("other"), pa.array([3 - kind] * len(some), pa.int32()), pa.array([b] * len(some), pa.int32()), pos, some.column("tps"), none if last else pa.array(sketches, pa.binary()), pa.array(told, pa.list_(pa.float64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["b", "kind", "other", "pos", "tps", "sketch", "told"])
-
-
-def _united(bits: int, last: bool):
-    """A step for the blocks of a task, whose rows come by block and kind: 0 own sketches, 1 those of callers, 2 where the block's nodes lead, 3 the nodes themselves."""
+        at = (self.kept >> np.uint64(32)).astype(np.int64)
+        self.codes, self.lengths = self.kept.astype(np.uint32), np.bincount(at, minlength=n)
+        self.begins = np.cumsum(self.lengths) - self.lengths
+        size, over = self.lengths.astype(float), np.flatnonzero(self.over)
+        for i in range(0, len(over), 256):
+            size[over[i : i + 256]] = estimates(self.rows[over[i : i + 256]], self.bits)
+        self.told, self.entries, self.done = np.vstack([self.told, size - 1]), np.minimum(size, self.m).astype(np.int64), True
+
+    def give(self, other: int, data: pa.Buffer) -> Iterator[pa.RecordBatch]:
+        """What the nodes that lead to another block have, for that block."""
+        p = _summed(_unpacked(data)[0])
+        cuts = np.flatnonzero(np.diff(np.cumsum(self.entries[p]) // CHUNK, prepend=0))
+        for lo, hi in zip([0, *cuts], [*cuts, len(p)]):
+            if hi > lo:
+                some = p[lo:hi]
+                over, lengths = self.over[some], self.lengths[some]
+                rows = self.rows[some[over]].reshape(-1)
+                places = np.flatnonzero(rows)
+                yield _message(other, 0, self.b, _SKETCHES, _packed(_steps(some), over.view(np.uint8), lengths.astype(np.uint32), _steps(self.codes[_spread(self.begins[some], lengths)]), _steps(places), rows[places]))
+
+
+def _message(b: int, stage: int, other: int, kind: int, data: bytes) -> pa.RecordBatch:
+    ints = [pa.array([x], pa.int32()) for x in (b, stage, other, kind)]
+    return pa.RecordBatch.from_arrays([*ints, pa.array([data], pa.binary())], names=["b", "stage", "other", "kind", "data"])
+
+
+def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (s, t), which come by t's block and s: one message to either block of a pair."""
+    mask, at, waiting = (1 << 33) - 1, None, []
+
+    def told() -> Iterator[pa.RecordBatch]:
+        s, t = (np.concatenate(x) & mask for x in zip(*waiting))
+        both = np.sort((s.astype(np.uint64) << np.uint64(32)) | t.astype(np.uint64))
+        both = both[np.r_[True, both[1:] != both[:-1]]]
+        src = both >> np.uint64(32)
+        yield _message(at[0], 0, at[1], _INTO, _packed(_steps(src), both.astype(np.uint32)))
+        yield _message(at[1], 1, at[0], _LEADS, _packed(_steps(src[np.r_[True, src[1:] != src[:-1]]])))
+
+    for batch in batches:
+        s, t = batch.column("s").to_numpy(), batch.column("t").to_numpy()
+        cuts = np.flatnonzero((np.diff(s >> 33) != 0) | (np.diff(t >> 33) != 0)) + 1
+        for lo, hi in zip([0, *cuts], [*cuts, len(s)]):
+            if hi == lo:
+                continue
+            pair = int(t[lo]) >> 33, int(s[lo]) >> 33
+            if waiting and pair != at:
+                yield from told()
+                waiting = []
+            at = pair
+            waiting.append((s[lo:hi], t[lo:hi]))
+    if waiting:
+        yield from told()
+
+
+def _united(bits: int, starts: np.ndarray, first: bool, last: bool):
+    """A step for the blocks of a task, whose messages come by stage, the other block and kind."""
+
+    def told(block: _Block) -> pa.RecordBatch:
+        if not block.done:
+            block.end()
+        if not last:
+            return _message(block.b, 0, -1, _TOLD, block.told.tobytes())
+        n = block.told.shape[1]
+        lists = pa.FixedSizeListArray.from_arrays(pa.array(block.told.T.reshape(-1)), len(block.told)).cast(pa.list_(pa.float64()))
+        return pa.RecordBatch.from_arrays([pa.array((block.b << 33) + np.arange(n)), lists], names=["id", "told"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, block = None, None
+        block = None
         for batch in batches:
-            b, kind = batch.column("b").to_numpy(), batch.column("kind").to_numpy()
-            cuts = [0, *(np.flatnonzero((np.diff(b) != 0) | (np.diff(kind) != 0)) + 1), len(b)]
-            for lo, hi in zip(cuts, cuts[1:]):
-                if hi == lo:
-                    continue
-                if b[lo] != at:
-                    at, block = b[lo], _Block(bits)
-                part, k = batch.slice(lo, hi - lo), kind[lo]
-                if k == 0:
-                    block.mine.append(part)
-                    continue
-                if block.rows is None:
-                    block.begin()
-                if k == 1:
-                    block.take(part)
-                    continue
-                if block.done is None:
-                    block.end()
-                yield from block.give(part, int(at), int(k), last)
+            b, _, other, kind = (batch.column(i).to_pylist() for i in range(4))
+            for i, data in enumerate(batch.column("data")):
+                if block is None or block.b != b[i]:
+                    if block:
+                        yield told(block)
+                    block = _Block(b[i], bits, starts)
+                if kind[i] == _TOLD:
+                    block.told = np.frombuffer(data.as_buffer()).reshape(-1, len(block.over))
+                elif kind[i] == _INTO:
+                    block.into(other[i], data.as_buffer(), first)
+                elif kind[i] == _SKETCHES:
+                    block.take(data.as_buffer())
+                else:
+                    if not block.done:
+                        block.end()
+                    yield from block.give(other[i], data.as_buffer())
+        if block:
+            yield told(block)
 
     return run
 
 
+def _numbered(nodes: DataFrame, blocks: int, *by: str) -> DataFrame:
+    """key, and id: block and place. Blocks are ranges."""
+    return nodes.repartitionByRange(blocks, *by).sortWithinPartitions(*by).select("key", F.monotonically_increasing_id().alias("id"))
+
+
+def _labelled(nodes: DataFrame, e: DataFrame, parts: int) -> DataFrame:
+    """key, and label: the least key that comes to a node in ROUNDS steps, along edges and against them in turn. Nodes that belong together have few labels."""
+    labels = nodes.select("key", F.col("key").alias("label"))
+    for i in range(ROUNDS):
+        a, b = ("src", "dst") if i % 2 == 0 else ("dst", "src")
+        come = (e if i % 2 == 0 else e.repartition(parts, a)).join(labels.withColumnRenamed("key", a), a).groupBy(F.col(b).alias("key")).agg(F.min("label").alias("low"))
+        labels = cut(labels.join(come, "key", "left").select("key", F.least("label", "low").alias("label")))
+    return labels
+
+
 def reach_counts(edges: DataFrame, depth: int = 3, registers: int = REGISTERS) -> DataFrame:
     """key, and within_1 ... within_depth: about how many other nodes reach every node within so many steps of edges (src, dst). Counts up to LISTED are exact.
 
-    Nodes are dealt into blocks by ranges of their keys. In a round a node's sketch goes once to each block in which it has an edge, not once for each edge, and is united there with
-    the sketches of the nodes that it leads to; so what is moved is bounded by nodes times the blocks that they lead to, which are few where keys near each other belong together.
-    A task holds the registers of one block at a time. A node's own sketch holds itself, which isn't counted.
+    Nodes are dealt into blocks by ranges of their keys or, where these lead to many blocks, of labels that are spread along edges. In a round a node's sketch goes once to each block in which it has an edge, not once for each edge, and is united there with
+    the sketches of the nodes that it leads to; so what is moved is bounded by nodes times the blocks that they lead to, which are few where there are parts of the graph with few edges between them.
+    Sketches of many nodes go as one message: lists as differences of node numbers, registers as the places and ranks of those that aren't zero. Edges go to the block that they lead to,
+    as one message for a pair of blocks; the block that they come from knows which of its nodes lead there. A task holds the registers of one block at a time.
     """
     e = edges.select("src", "dst").where("src <> dst")
+    block = lambda c: F.shiftright(c, 33).cast("int")
     nodes = cut(e.select(F.explode(F.array("src", "dst")).alias("key")).distinct())
     n, parts = nodes.count(), buckets(e.count())
     blocks = max(1, -(-n // min(BLOCK, max(LEAST_BLOCK, n // PARTS))))
-    ids = cut(nodes.repartitionByRange(blocks, "key").select("key", F.monotonically_increasing_id().alias("id")))
-    block, pos = lambda c: F.shiftright(c, 33).cast("int"), lambda c: F.col(c).bitwiseAND((1 << 33) - 1).cast("int")
-    placed = e.join(ids.toDF("src", "s"), "src").select("s", "dst").repartition(parts, "dst").join(ids.toDF("dst", "t"), "dst")
-    grouped = placed.select("s", block("t").alias("tb"), pos("t").alias("tp")).repartition(parts, "s").groupBy("s", "tb").agg(F.collect_set("tp").alias("tps"))
-    own = ids.select(block("id").alias("b"), F.lit(3).alias("kind"), block("id").alias("other"), pos("id").alias("pos"), F.array(pos("id")).alias("tps"))
-    leads = cut(grouped.select(block("s").alias("b"), F.lit(2).alias("kind"), F.col("tb").alias("other"), pos("s").alias("pos"), "tps").union(own))
-    nothing = [F.lit(None).cast("binary").alias("sketch"), F.lit(None).cast("array<double>").alias("told")]
-    sent = leads.select(F.col("other").alias("b"), (3 - F.col("kind")).alias("kind"), F.col("b").alias("other"), "pos", "tps", *nothing)
+    ids = cut(_numbered(nodes, blocks, "key"))
+    if blocks > FAR:
+        some = e.where(F.pmod(F.xxhash64("src"), F.lit(TOLD_BY)) == 0).join(ids.toDF("dst", "t"), "dst")
+        far = some.groupBy("src").agg(F.countDistinct(block("t")).alias("n")).agg(F.avg("n")).first()[0]
+        if (far or 0) > FAR:
+            ids = cut(_numbered(_labelled(nodes, e, parts), blocks, "label", "key"))
+    sizes = np.zeros(blocks, np.int64)
+    for b, size in ids.groupBy(block("id")).count().collect():
+        sizes[b] = size
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    placed = e.join(ids.toDF("src", "s"), "src").select("s", "dst").repartition(parts, "dst").join(ids.toDF("dst", "t"), "dst").select("s", "t")
+    leads = cut(placed.repartitionById(blocks, block("t")).sortWithinPartitions(block("t"), "s").mapInArrow(_dealt, _MESSAGE))
+    sent = None
     for level in range(1, depth + 1):
         last = level == depth
-        met = sent.union((leads.where("kind = 3") if last else leads).select("*", *nothing))
-        sent = met.repartition(blocks, "b").sortWithinPartitions("b", "kind").mapInArrow(_united(registers, last), _MESSAGE)
-    told = sent.select((F.shiftleft(F.col("b").cast("long"), 33) + F.col("pos")).alias("id"), "told")
-    return ids.join(told, "id").select("key", *(F.round(F.get("told", F.lit(k))).cast("long").alias(f"within_{k + 1}") for k in range(depth)))
+        met = leads.where(F.col("kind") == _INTO) if last else leads
+        met = (met if sent is None else met.union(sent)).repartitionById(blocks, F.col("b")).sortWithinPartitions("b", "stage", "other", "kind")
+        sent = met.mapInArrow(_united(registers, starts, level == 1, last), "id long, told array<double>" if last else _MESSAGE)
+    return ids.join(sent, "id").select("key", *(F.round(F.get("told", F.lit(k))).cast("long").alias(f"within_{k + 1}") for k in range(depth)))
 
 
 def _callees(calls: DataFrame) -> DataFrame:

@@ -260,6 +260,41 @@ def test_lists_give_way_to_registers(spark):
     assert all(abs(got[100001][k] - 2000) < 100 and abs(got[100002][max(k, 1)] - 2002) < 100 for k in range(3))
 
 
+def test_what_sketches_move_is_small(spark):
+    """Bytes that are shuffled for copies of a graph whose keys lie between each other, and counts against sets."""
+    rng = random.Random(12)
+    copies, size = 8, 2500
+    pairs = [(rng.randrange(size), rng.randrange(size)) for _ in range(8 * size)]
+    df = spark.createDataFrame([(a * copies + c, b * copies + c) for a, b in pairs for c in range(copies)], "src long, dst long")
+    into = defaultdict(set)
+    for a, b in pairs:
+        if a != b:
+            into[b].add(a)
+    written = lambda: sum(x.totalShuffleWrite() for x in _seq(spark.sparkContext._jsc.sc().statusStore().executorList(False)))
+    before = written()
+    rows = {r["key"]: tuple(r)[1:] for r in reach_counts(df).collect()}
+    moved = written() - before
+    print("MB shuffled", moved / 1e6)
+    assert moved < 30e6
+    for n in (0, 7, 1234, size - 1):
+        known = {n}
+        for level in range(3):
+            known |= {a for m in known for a in into[m]}
+            want = len(known) - 1
+            assert all(abs(rows[n * copies + c][level] - want) <= (0 if want <= 512 else 0.08 * want) for c in range(copies))
+
+
+def _seq(found):
+    return [found.apply(i) for i in range(found.size())]
+
+
+def test_as_many_as_are_listed_are_exact(spark):
+    """512 callers are a count from a list as well: the list also has the node itself, which isn't counted."""
+    pairs = [(i, 10000 + c) for c in range(4) for i in range(509 + c)]
+    got = {r["key"]: tuple(r)[1:] for r in reach_counts(spark.createDataFrame(pairs, "src long, dst long")).collect()}
+    assert [got[10000 + c] for c in range(4)] == [(n, n, n) for n in (509, 510, 511, 512)]
+
+
 def test_risks_of_all_are_exact(spark):
     """Risks of symbols with few callers, with callers that have many, with loops and repeated calls, against sets."""
     from skeinwork.operators.sketches import risk_of_all
